@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,12 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+#: Arrow batches end at so many bytes, so that very long texts don't meet in one batch.
+BATCH_BYTES = 16 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,11 +71,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def rows_of(batch: pa.RecordBatch, limit: int = 8 << 20):
     """Slices of a batch that hold at most about limit bytes of text, or one row."""
-    size = np.array([len(batch)])
     col = batch.column(batch.schema.get_field_index("text"))
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     ends, start = np.cumsum(lengths), 0
-    del size
     while start < len(batch):
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
@@ -125,6 +129,18 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     return (prefix[stop] - prefix[start]) * down[start]
 
 
+def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """About bound rows of different keys chosen by a hash of the key; all of them where there are fewer.
+
+    The bound is a parameter of the fits that use it. The result's size is
+    proven by it, so it may be broadcast.
+    """
+    n = rows.count()
+    if n <= bound:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_003)) < int(1_000_003 * bound / n))
+
+
 def no_text(df: DataFrame, text: str = "text") -> DataFrame:
     """The frame with a null text made empty."""
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
