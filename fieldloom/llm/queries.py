@@ -19,6 +19,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import link_embeddings
+
+    return link_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -61,6 +67,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op4_warc, op5_packing, op6_quality, op8_licenses, op9_fingerprints, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_lattice, op4_warc, op5_packing, op6_quality, op8_licenses, op9_fingerprints, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
