@@ -11,6 +11,12 @@ from .common import read_table
 
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import link_documents
+
+    return link_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +73,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_lattice, op4_warc, op5_packing, op6_quality, op8_licenses, op9_fingerprints, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_lattice, op4_warc, op5_packing, op6_quality, op8_licenses, op9_fingerprints, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
