@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import meet
 from .common import mix64, prefix_hashes, rows_of, span_hashes, stage_table, text_bytes
 from .components import components
 
@@ -36,10 +36,6 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Hash buckets whose shingles are counted over all rows to order shingles; a fixed size, whatever the input.
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-#: Prefix entries that one reducer should get.
-RANGE_ENTRIES = 1_500_000
-#: Entries that a task holds before it hands them on.
-FLUSH_ENTRIES = 2_000_000
 #: Members of a tile beyond which it is compared as a grid of blocks.
 BLOCK = 1024
 #: A table of at most so many ids is broadcast; a larger one is joined by shuffle.
@@ -155,70 +151,17 @@ MEASURED = ["doc_id", "n", "k1", "k2", "sig", "bucket", "seen"]
 
 
 def _by_range(ranges: int, order):
-    """Prefix entries of a task's sets, packed by range of the shingle's hash.
+    """Prefix entries of a task's sets, packed by range of the shingle's hash."""
 
-    Of a shingle that several of the task's sets share, all entries are known to
-    be live and only one is sent to meet other tasks' entries, so no shingle
-    sends more entries than there are tasks.
-    """
-
-    def pack(tokens, docs, sizes, live, ranges_of):
-        o = np.argsort(ranges_of, kind="stable")
-        r = ranges_of[o]
-        at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
-        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(r)], strict=True):
-            yield int(r[lo]), live, tokens[o[lo:hi]].tobytes(), docs[o[lo:hi]].tobytes(), sizes[o[lo:hi]].tobytes()
-
-    def flush(tokens, docs, sizes):
-        t, d, s = np.concatenate(tokens), np.concatenate(docs), np.concatenate(sizes)
-        o = np.argsort(t, kind="stable")
-        t, d, s = t[o], d[o], s[o]
-        new = np.r_[True, t[1:] != t[:-1]]
-        first = np.flatnonzero(new)
-        several = np.repeat(np.diff(np.r_[first, len(t)]) > 1, np.diff(np.r_[first, len(t)]))
-        where = lambda x: ((x >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
-        rows = [*pack(t[several], d[several], s[several], True, where(t[several]))]
-        # The sign of the size tells a reducer that this entry has been handed on as live already.
-        lead = np.where(several[first], -s[first], s[first])
-        rows += pack(t[first], d[first], lead.astype(np.int32), False, where(t[first]))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["r", "live", "tokens", "docs", "sizes"])
-
-    def run(batches):
+    def chosen(batches):
         counts = order.value
-        tokens, docs, sizes, held = [], [], [], 0
         for ids, sets in _sets_of(batches):
             for doc, h in zip(ids.to_pylist(), sets, strict=True):
-                if not len(h):
-                    continue
-                key = (counts[(h >> U64(64 - BUCKET_BITS)).astype(np.int64)].astype(U64) << U64(40)) | (h >> U64(24))
-                chosen = h[np.argsort(key, kind="stable")[: prefix_length(len(h))]]
-                tokens.append(chosen)
-                docs.append(np.full(len(chosen), doc, np.int64))
-                sizes.append(np.full(len(chosen), len(h), np.int32))
-                held += len(chosen)
-            if held >= FLUSH_ENTRIES:
-                yield flush(tokens, docs, sizes)
-                tokens, docs, sizes, held = [], [], [], 0
-        if held:
-            yield flush(tokens, docs, sizes)
-
-    return run
-
-
-def _live(table: pa.Table) -> pa.Table:
-    """The entries of one range whose shingle more than one set has."""
-    join = lambda rows, name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in rows.column(name).to_pylist())])
-    sent, known = table.filter(pc.invert(table.column("live"))), table.filter(table.column("live"))
-    t, d, s = join(sent, "tokens", U64), join(sent, "docs", np.int64), join(sent, "sizes", np.int32)
-    o = np.argsort(t, kind="stable")
-    t, d, s = t[o], d[o], s[o]
-    same = np.zeros(len(t) + 1, bool)
-    same[1:-1] = t[1:] == t[:-1]
-    keep = (same[:-1] | same[1:]) & (s > 0)
-    t = np.concatenate([t[keep], join(known, "tokens", U64)])
-    d = np.concatenate([d[keep], join(known, "docs", np.int64)])
-    s = np.concatenate([s[keep], join(known, "sizes", np.int32)])
-    return pa.table({"token": pa.array(t.view(np.int64)), "doc": pa.array(d), "n": pa.array(s.astype(np.int64))})
+                if len(h):
+                    key = (counts[(h >> U64(64 - BUCKET_BITS)).astype(np.int64)].astype(U64) << U64(40)) | (h >> U64(24))
+                    yield h[np.argsort(key, kind="stable")[: prefix_length(len(h))]], doc, len(h)
+
+    return lambda batches: meet.packed_stream(ranges, chosen(batches))
 
 
 def _bounded(batches):
@@ -333,9 +276,9 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
         counts[b] = n
     order = spark.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.uint32))
     entries = classes.agg(F.sum(F.col("n") / DENOMINATOR + 1)).first()[0] or 0
-    ranges = max(12, int(entries / RANGE_ENTRIES) + 1)
-    packed = own.mapInArrow(_by_range(ranges, order), "r int, live boolean, tokens binary, docs binary, sizes binary")
-    live = stage_table(packed.repartition(ranges, "r").groupBy("r").applyInArrow(_live, "token long, doc long, n long"), "ngram-live")
+    ranges = max(12, int(entries / meet.RANGE_ENTRIES) + 1)
+    packed = own.mapInArrow(_by_range(ranges, order), meet.PACKED)
+    live = stage_table(packed.repartition(ranges, "r").groupBy("r").applyInArrow(meet.live, "token long, doc long, n long"), "ngram-live")
     band = F.floor(F.log("n") / float(np.log(DENOMINATOR / NUMERATOR)))
     leads = live.groupBy("token", band.alias("band")).agg(F.min("doc").alias("a"))
     first = live.withColumn("band", band).join(leads, ["token", "band"]).where("doc != a").select("a", F.col("doc").alias("b")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 
@@ -61,6 +62,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import cut_documents
+
+    cut = cut_documents(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -73,6 +81,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_lattice, op4_warc, op5_packing, op6_quality, op8_licenses, op9_fingerprints, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_lattice, op4_warc, op5_packing, op6_quality, op7_suffix, op8_licenses, op9_fingerprints, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
