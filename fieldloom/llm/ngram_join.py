@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import meet
-from .common import mix64, prefix_hashes, rows_of, span_hashes, stage_table, text_bytes
+from .common import mix64, prefix_hashes, release, rows_of, span_hashes, stage_table, text_bytes
 from .components import components
 
 WORDS = 5
@@ -256,7 +256,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     arrays = docs.join(_side(wanted), docs["doc_id"] == wanted["doc"], "left_semi").mapInArrow(_arrays, "doc long, h binary")
     arrays = stage_table(arrays, "ngram-arrays")
     both = tried.join(arrays.select(F.col("doc").alias("a"), F.col("h").alias("ha")), "a").join(arrays.select(F.col("doc").alias("b"), F.col("h").alias("hb")), "b")
-    return both.select("a", "b", "ha", "hb").mapInArrow(_decided, "a long, b long").distinct()
+    links = stage_table(both.select("a", "b", "ha", "hb").mapInArrow(_decided, "a long, b long").distinct(), "ngram-links")
+    release(pairs.sparkSession, tried, wanted, arrays)
+    return links
 
 
 def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -283,8 +285,9 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     leads = live.groupBy("token", band.alias("band")).agg(F.min("doc").alias("a"))
     first = live.withColumn("band", band).join(leads, ["token", "band"]).where("doc != a").select("a", F.col("doc").alias("b")).distinct()
     sets = classes.select("doc", "n", "sig")
-    links = stage_table(_verify(first, sets, own), "ngram-links")
+    links = _verify(first, sets, own)
     known = stage_table(components(links, "ngram-components"), "ngram-known")
+    release(spark)
     # Tiles in which more than one component is left.
     tiles = live.join(known.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     tiles = stage_table(tiles, "ngram-tiles")
@@ -294,10 +297,18 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "n", "component", "sig")
     second = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_across, "a long, b long").distinct()
-    more = stage_table(_verify(second, sets, own), "ngram-links")
+    more = _verify(second, sets, own)
     stars = known.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     reach = stage_table(components(stars.unionByName(more), "ngram-components"), "ngram-reach")
+    release(spark, copies, live, links, known, tiles, more)
     by_class = classes.join(reach, classes["doc"] == reach["id"], "left").select("k1", "k2", "n", F.coalesce("component", "doc").alias("component"))
     linked = able.join(by_class, ["k1", "k2", "n"]).select("doc_id", "n", "component")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     return linked.unionByName(alone).select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_first(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The rows of documents without those that link, directly or not, to a smaller id; all columns stay."""
+    linked = link_documents(documents, id_column)
+    gone = stage_table(linked.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__gone")).distinct(), "ngram-gone")
+    return documents.join(_side(gone), F.col(id_column) == F.col("__gone"), "left_anti")
