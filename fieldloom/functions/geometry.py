@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -105,6 +105,11 @@ def sampled(c: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(c, F.floor(i * F.size(c) / n).cast("int")))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, although body may use it for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mean_point(c: Column) -> Column:
     total = lambda k: F.aggregate(c, F.lit(0.0), lambda s, p: s + p[k])
     return F.struct((total("x") / F.size(c)).alias("x"), (total("y") / F.size(c)).alias("y"))
@@ -112,14 +117,11 @@ def mean_point(c: Column) -> Column:
 
 def polar(c: Column, at: Column) -> Column:
     """Points by angle around a point: array<struct<angle, radius>>."""
-    return F.array_sort(F.transform(c, lambda p: F.struct(F.atan2(p["y"] - at["y"], p["x"] - at["x"]).alias("angle"), F.hypot(p["x"] - at["x"], p["y"] - at["y"]).alias("radius"))))
-
+    return F.sort_array(F.transform(c, lambda p: F.struct(F.atan2(p["y"] - at["y"], p["x"] - at["x"]).alias("angle"), F.hypot(p["x"] - at["x"], p["y"] - at["y"]).alias("radius"))))
 
-def circle_deviation(df: DataFrame, contour: str, name: str) -> DataFrame:
-    """Deviation of each point's radius from a circle of mean radius one half, by angle around the mean point.
 
-    Mean and radii are columns of their own, so that no element computes them anew.
-    """
-    df = df.withColumn("__at", mean_point(F.col(contour))).withColumn("__polar", polar(F.col(contour), F.col("__at")))
-    df = df.withColumn("__mean", F.aggregate("__polar", F.lit(0.0), lambda s, p: s + p["radius"]) / F.size("__polar"))
-    return df.withColumn(name, F.transform("__polar", lambda p: p["radius"] / F.col("__mean") * 0.5 - 0.5)).drop("__at", "__polar", "__mean")
+def circle_deviation(c: Column) -> Column:
+    """Deviation of each point's radius from a circle of mean radius one half, by angle around the mean point."""
+    mean = lambda points: F.aggregate(points, F.lit(0.0), lambda s, p: s + p["radius"]) / F.size(points)
+    spread = lambda points: let(mean(points), lambda m: F.transform(points, lambda p: p["radius"] / m * 0.5 - 0.5))
+    return let(let(mean_point(c), lambda at: polar(c, at)), spread)

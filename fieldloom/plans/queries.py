@@ -776,7 +776,7 @@ def outline_resample(spark, d):
 )
 def circle_deviation(spark, d):
     """X50."""
-    return rounded(geo.circle_deviation(fx.contour(spark, d), "c", "dev").select("vec_id", F.posexplode("dev").alias("pos", "deviation")))
+    return rounded(fx.contour(spark, d).select("vec_id", F.posexplode(geo.circle_deviation(F.col("c"))).alias("pos", "deviation")))
 
 
 # Components: M1-M3; checked in tests by variance, orthonormality and reconstruction.
