@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage_table
+from .common import release, rows_of, stage_table, text_bytes
+from .ngram_join import shingle_sets
 from .quality import training_rows
 
 TRAIN_ROWS = 40_000
@@ -131,9 +132,13 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int = 0,
     spark = docs.sparkSession
     rows = training_rows(docs, labels, "toxic", modulus, left_out, bound)
     # Rows that share their smallest 5-word shingle are mostly copies; the smallest id of each lot stays.
-    w = F.split(F.col("text"), "[\\x20\\x09-\\x0D]+")
-    smallest = F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.xxhash64(F.slice(w, i + 1, 5))))
-    train = stage_table(rows.withColumn("lot", smallest), "toxicity")
+    def lots(batches):
+        for batch in batches:
+            for part in rows_of(batch):
+                sets = shingle_sets(*text_bytes(part.column(1)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([int(h[0].astype(np.int64)) if len(h) else 0 for h in sets], pa.int64())], names=["doc_id", "text", "y", "lot"])
+
+    train = stage_table(rows.mapInArrow(lots, "doc_id long, text string, y double, lot long"), "toxicity")
     first = train.groupBy("lot", "y").agg(F.min("doc_id").alias("doc_id"))
     own = stage_table(train.join(F.broadcast(first.select("doc_id")), "doc_id").select("y", "text").repartition(12), "toxicity-train")
     release(spark, train)
