@@ -31,6 +31,7 @@ from .components import components
 
 LEAST_COSINE = 0.93
 TABLES, NEIGHBOURS, SCALE, SEED = 8, 3, 7.0, 20260102
+#: SCALE is for vectors of length 64; eight directions hold a larger share of a shorter one.
 #: Members of a cell beyond which it is compared as a grid of blocks.
 BLOCK = 2048
 #: Pairs whose cells are compared at once.
@@ -71,7 +72,7 @@ def cells(x: np.ndarray, labels: np.ndarray, tables: int = TABLES, neighbours: i
     width = x.shape[1]
     for t in range(tables):
         basis = np.linalg.qr(rng.normal(size=(max(width, 8), 8)))[0][:width]
-        y = x @ basis * scale
+        y = x @ basis * scale * (width / 64) ** 0.5
         point = nearest_e8(y)
         order = np.argsort(-((y - point) @ roots.T), axis=1, kind="stable")[:, :neighbours]
         around = np.concatenate([point[:, None, :], point[:, None, :] + roots[order]], axis=1)
