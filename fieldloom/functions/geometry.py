@@ -101,8 +101,64 @@ def farthest_along(c: Column, at: Column, angle: Column) -> Column:
 
 
 def sampled(c: Column, n: int) -> Column:
-    """n points of the contour at even steps of its index."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(c, F.floor(i * F.size(c) / n).cast("int")))
+    """n points, 24 at least, at even steps of the contour's index, between its points where a step falls there."""
+    n = max(24, n)
+
+    def point(i):
+        at = i * F.size(c) / n
+        k = F.floor(at).cast("int")
+        t, p, q = at - k, F.get(c, k), F.get(c, (k + 1) % F.size(c))
+        return F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
+
+
+def resampled(c: Column, n: int = 360) -> Column:
+    """n points, 24 at least, at even distances along the closed contour."""
+    n = max(24, n)
+    step = lambda s, e: F.struct(F.concat(s["ends"], F.array(s["at"] + F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]))).alias("ends"), (s["at"] + F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"])).alias("at"))
+    start = F.struct(F.array().cast("array<double>").alias("ends"), F.lit(0.0).alias("at"))
+
+    def points(ends):
+        def point(i):
+            d = i * F.element_at(ends, -1) / n
+            return let(F.size(F.filter(ends, lambda e: e <= d)), lambda k: between(d, k))
+
+        def between(d, k):
+            before = F.coalesce(F.get(ends, k - 1), F.lit(0.0))
+            t = (d - before) / F.greatest(F.get(ends, k) - before, F.lit(1e-6))
+            p, q = F.get(c, k), F.get(c, (k + 1) % F.size(c))
+            return F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
+
+    return let(F.aggregate(edges(c), start, step, lambda s: s["ends"]), points)
+
+
+def smoothed(c: Column, window: int, size: int) -> Column:
+    """Circular moving average of a contour of a given size; the window is odd, 3 at least and a third of the size at most."""
+    w = max(3, min(window + (window % 2 == 0), max(3, size // 3)))
+    r = w // 2
+
+    def mean(i, k):
+        return sum((F.get(c, (i + d + size) % size)[k] for d in range(-r, w - r)), F.lit(0.0)) / w
+
+    return F.transform(c, lambda p, i: F.struct(mean(i, "x").alias("x"), mean(i, "y").alias("y")))
+
+
+def sharpness(c: Column, window: int = 5) -> Column:
+    """How pointed the contour is at each point: 0 for a straight run, 1 for a needle, from the angle between the points a window away."""
+    n = F.size(c)
+    w = F.greatest(F.lit(1), F.least(F.lit(window), F.greatest(F.lit(1), F.floor(n / 8).cast("int"))))
+
+    def at(p, i):
+        a, b = F.get(c, (i - w + n) % n), F.get(c, (i + w) % n)
+        ax, ay, bx, by = a["x"] - p["x"], a["y"] - p["y"], b["x"] - p["x"], b["y"] - p["y"]
+        size = F.hypot(ax, ay) * F.hypot(bx, by)
+        turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ax * bx + ay * by) / size)))
+        return F.when((F.hypot(ax, ay) < 1e-6) | (F.hypot(bx, by) < 1e-6), 0.0).otherwise(1 - turn / math.pi)
+
+    return F.transform(c, at)
 
 
 def let(value: Column, body) -> Column:

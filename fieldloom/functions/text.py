@@ -52,16 +52,17 @@ def label_valid(label: Column) -> Column:
 
 
 def label_score(label: Column, confidence: Column) -> Column:
-    """Confidence counts most, then hyphens, then characters; a whole label gets a bonus."""
-    return 100 * confidence + 12 * _count(label, "-") + _count(label, r"[A-Z0-9]") + F.when(label_valid(label), 20).otherwise(0)
+    """Confidence counts most, then hyphens, then characters; a whole label gets a bonus. Null for what is no label."""
+    whole = F.when(label.rlike(r"^[A-Z0-9]+(-[A-Z0-9]+){2,}$"), 20).otherwise(0)
+    return F.when(label_valid(label), 100 * confidence + 12 * _count(label, "-") + _count(label, r"[A-Z0-9]") + whole)
 
 
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-#: Characters that readers of weight displays confuse with digits (fixed values).
-CONFUSED, MEANT = "OoQDIl|SsB,", "0000111558."
+#: Characters that readers of weight displays confuse, and what they stand for (fixed values).
+CONFUSED, MEANT = "OoIl|BS,:;", "0011185..."
 
 
 def normalise_weight(text: Column) -> Column:
@@ -75,13 +76,11 @@ def normalise_weight(text: Column) -> Column:
 
 
 def weight_candidates(text: Column, least: float, most: float) -> Column:
-    """Array of (value, kind) of a normalised text: explicit ddd.dd, else 3 to 5 digits with two decimals implied."""
-    explicit = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{1,3}\.\d{2})"), F.lit(1)), lambda x: F.struct(x.cast("double").alias("value"), F.lit("explicit").alias("kind")))
+    """Array of (value, kind) of a normalised text: numbers with a dot, and 3 to 5 digits taken as hundredths."""
+    explicit = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{1,3}\.\d{1,2})"), F.lit(1)), lambda x: F.struct(x.cast("double").alias("value"), F.lit("explicit_decimal").alias("kind")))
     digits = F.regexp_replace(text, r"\D", "")
-    implied = F.when(digits.rlike(r"^\d{3,5}$"), F.array(F.struct((digits.cast("double") / 100).alias("value"), F.lit("implied").alias("kind"))))
-    none = F.array().cast("array<struct<value:double,kind:string>>")
-    found = F.when(F.size(explicit) > 0, explicit).otherwise(F.coalesce(implied, none))
-    return F.filter(found, lambda c: (c["value"] >= least) & (c["value"] <= most))
+    inferred = F.array(F.struct((F.when(digits.rlike(r"^\d{3,5}$"), digits).cast("double") / 100).alias("value"), F.lit("inferred_decimal").alias("kind")))
+    return F.filter(F.concat(explicit, inferred), lambda c: c["value"].between(least, most))
 
 
 def digits_to_weight(digits: Column) -> Column:
@@ -92,7 +91,8 @@ def digits_to_weight(digits: Column) -> Column:
 
 def sanitise(name: Column) -> Column:
     """A name fit for files: illegal characters and blanks to underscores, none of them or dots at the ends, never empty."""
-    t = F.regexp_replace(F.regexp_replace(name, r'[\\/:*?"<>|\s]+', "_"), r"^[._]+|[._]+$", "")
+    t = F.regexp_replace(F.regexp_replace(F.trim(name), r'[\\/:*?"<>|]+', "_"), r"\s+", "_")
+    t = F.regexp_replace(t, r"^[._]+|[._]+$", "")
     return F.when(F.coalesce(t, F.lit("")) == "", "UNKNOWN").otherwise(t)
 
 
@@ -104,3 +104,9 @@ def parse_box(text: Column) -> Column:
 
 def format_box(box: Column) -> Column:
     return F.concat_ws(",", F.transform(box, lambda v: v.cast("bigint").cast("string")))
+
+
+def weight_score(kind: Column, confidence: Column, source: Column, priority: Column) -> Column:
+    """Confidence counts most; numbers with a dot, treated images and surer regions add to it."""
+    by_source = F.when(source.endswith("_binary"), 5.0).when(source.endswith("_scaled"), 2.5).otherwise(0.0)
+    return 100 * confidence + F.when(kind == "explicit_decimal", 25.0).otherwise(8.0) + by_source + 10 * priority

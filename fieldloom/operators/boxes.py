@@ -23,19 +23,31 @@ def clip_to_tray(df: DataFrame, tray: tuple[str, str, str, str], least: float =
     return out.withColumns({"cx1": F.greatest(x1, t[0]), "cy1": F.greatest(y1, t[1]), "cx2": F.least(x2, t[2]), "cy2": F.least(y2, t[3])})
 
 
-def flag_sizes(df: DataFrame, least: float = 0.25, most: float = 4.0, aspect: float = 4.0, enough: int = 8) -> DataFrame:
+#: Sizes that count as odd, over the median of the image (area, then sides).
+AREA_RATIOS, SIDE_RATIOS = (0.35, 3.0), (0.45, 2.2)
+
+
+def with_sizes(df: DataFrame) -> DataFrame:
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return df.withColumns({"area": w * h, "long_side": F.greatest(w, h), "short_side": F.least(w, h)})
+
+
+def flag_sizes(df: DataFrame, aspect: float = 4.0, enough: int = 8) -> DataFrame:
     """Aspect and size flags, with the reasons in order; sizes are held against the medians of the image's boxes that are still active.
 
-    With fewer than enough active boxes no size is odd.
+    With fewer than enough active boxes no size is odd. A box may be both too
+    small and too large, by different sides.
     """
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    df = df.withColumns({"width": w, "height": h, "area": w * h, "bad_aspect": F.greatest(w, h) > aspect * F.least(w, h)})
-    active = F.when(~F.col("bad_aspect"), F.col("area"))
-    middle = df.groupBy("image_no").agg(F.median(active).alias("middle_area"), F.count(active).alias("active"))
+    df = with_sizes(df).withColumn("bad_aspect", F.col("long_side") > aspect * F.col("short_side"))
+    sizes = ["area", "long_side", "short_side"]
+    middle = df.groupBy("image_no").agg(*[F.median(F.when(~F.col("bad_aspect"), F.col(c))).alias(f"middle_{c}") for c in sizes], F.count_if(~F.col("bad_aspect")).alias("active"))
     df = df.join(middle, "image_no")
     judged = ~F.col("bad_aspect") & (F.col("active") >= enough)
-    df = df.withColumn("odd_size", F.coalesce(judged & ((F.col("area") < least * F.col("middle_area")) | (F.col("area") > most * F.col("middle_area"))), F.lit(False)))
-    reasons = F.array_compact(F.array(F.when(F.col("bad_aspect"), "bad_aspect_ratio"), F.when(F.col("odd_size"), "size_outlier")))
+    beyond = lambda k, less: [F.col(c) < r[k] * F.col(f"middle_{c}") if less else F.col(c) > r[k] * F.col(f"middle_{c}") for c, r in zip(sizes, (AREA_RATIOS, SIDE_RATIOS, SIDE_RATIOS), strict=True)]
+    some = lambda cs: F.coalesce(judged & (cs[0] | cs[1] | cs[2]), F.lit(False))
+    df = df.withColumns({"too_small": some(beyond(0, True)), "too_large": some(beyond(1, False))})
+    df = df.withColumn("odd_size", F.col("too_small") | F.col("too_large"))
+    reasons = F.array_compact(F.array(F.when(F.col("bad_aspect"), "bad_aspect_ratio"), F.when(F.col("too_small"), "too_small"), F.when(F.col("too_large"), "too_large")))
     return df.withColumns({"reasons": F.array_distinct(reasons), "kept": ~F.col("bad_aspect") & ~F.col("odd_size")})
 
 
@@ -64,18 +76,52 @@ def holding_centres(df: DataFrame, least: int = 2) -> DataFrame:
     return hits.groupBy("image_no", "box_id").agg(F.count("*").alias("centres")).where(F.col("centres") >= least)
 
 
-def suppress_nested(df: DataFrame, share: float = 0.86, ratio: float = 1.15) -> DataFrame:
+def worse_of(a, b, middle) -> Column:
+    """Which of two overlapping boxes goes: a sliver, a fused box, the odder one by size and confidence, the less sure one, the larger one."""
+    small, large = F.when(a["area"] <= b["area"], a["box_id"]).otherwise(b["box_id"]), F.when(a["area"] <= b["area"], b["box_id"]).otherwise(a["box_id"])
+    lesser, greater = F.least(a["area"], b["area"]), F.greatest(a["area"], b["area"])
+    odd = lambda x: num.size_gap(x["area"], middle["area"]) + 0.45 * num.size_gap(x["long_side"], middle["long_side"]) + 0.45 * num.size_gap(x["short_side"], middle["short_side"]) - 0.25 * x["conf"]
+    return (
+        F.when(lesser < AREA_RATIOS[0] * middle["area"], small)
+        .when(greater > AREA_RATIOS[1] * middle["area"], large)
+        .when(F.abs(odd(a) - odd(b)) > 0.05, F.when(odd(a) > odd(b), a["box_id"]).otherwise(b["box_id"]))
+        .when(F.abs(a["conf"] - b["conf"]) > 0.05, F.when(a["conf"] < b["conf"], a["box_id"]).otherwise(b["box_id"]))
+        .otherwise(large)
+    )
+
+
+def suppress_nested(df: DataFrame, share: float = 0.86, ratio: float = 1.15, fused: float = 1.25, least: int = 2) -> DataFrame:
     """(image_no, box_id) of boxes that greedy suppression deletes.
 
-    Pairs are taken by overlap, then ratio, both falling; the larger box of a
-    pair goes unless either has gone already. The order within an image decides,
-    so its pairs are folded in one row.
+    Pairs are taken by overlap, then ratio, both falling; the worse box of a
+    pair goes unless either has gone already. Then, from the largest down, boxes
+    well above the median that still hold the centres of several others go. The
+    order within an image decides, so an image is folded in one row.
     """
-    pairs = overlap_pairs(df, share, ratio)
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("o"), (-F.col("ratio")).alias("r"), F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), F.col("larger").alias("larger"))))
-    step = lambda gone, p: F.when(F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"]), gone).otherwise(F.concat(gone, F.array(p["larger"])))
-    folded = pairs.groupBy("image_no").agg(ranked.alias("pairs"))
-    return folded.select("image_no", F.explode(F.aggregate("pairs", F.array().cast("array<bigint>"), step)).alias("box_id"))
+    df = with_sizes(df)
+    sides = ["area", "long_side", "short_side"]
+    middle = df.groupBy("image_no").agg(F.struct(*[F.median(c).alias(c) for c in sides]).alias("middle"))
+    one = F.struct("box_id", *sides, "conf")
+    pairs = overlap_pairs(df, share, ratio).select("image_no", "a_box_id", "b_box_id", "overlap", "ratio")
+    for side in ("a", "b"):
+        pairs = pairs.join(df.select("image_no", F.col("box_id").alias(f"{side}_box_id"), one.alias(side)), ["image_no", f"{side}_box_id"])
+    pairs = pairs.join(middle, "image_no")
+    pairs = pairs.withColumn("worse", worse_of(F.col("a"), F.col("b"), F.col("middle")))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("o"), (-F.col("ratio")).alias("r"), F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), "worse")))
+    lists = pairs.groupBy("image_no").agg(ranked.alias("pairs"))
+    held = df.groupBy("image_no").agg(F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("rank"), "box_id", "x1", "y1", "x2", "y2"))).alias("boxes"))
+    none = F.array().cast("array<bigint>")
+    nested = lambda gone, p: F.when(F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"]), gone).otherwise(F.concat(gone, F.array(p["worse"])))
+
+    def holds(gone, b):
+        cx, cy = lambda o: (o["x1"] + o["x2"]) / 2, lambda o: (o["y1"] + o["y2"]) / 2
+        inside = F.filter("boxes", lambda o: (o["box_id"] != b["box_id"]) & ~F.array_contains(gone, o["box_id"]) & cx(o).between(b["x1"], b["x2"]) & cy(o).between(b["y1"], b["y2"]))
+        judged = ~F.array_contains(gone, b["box_id"]) & (-b["rank"] >= fused * F.col("middle.area"))
+        return F.when(judged, F.when(F.size(inside) >= least, F.concat(gone, F.array(b["box_id"]))).otherwise(gone)).otherwise(gone)
+
+    rows = held.join(lists, "image_no", "left").join(middle, "image_no")
+    rows = rows.withColumn("gone", F.coalesce(F.aggregate("pairs", none, nested), none))
+    return rows.select("image_no", F.explode(F.aggregate("boxes", F.col("gone"), holds)).alias("box_id"))
 
 
 def reading_order(df: DataFrame, share: float = 0.6, least: float = 10.0) -> DataFrame:
@@ -106,15 +152,43 @@ def reading_order(df: DataFrame, share: float = 0.6, least: float = 10.0) -> Dat
     return flat.select("image_no", "box_id", F.row_number().over(w).cast("long").alias("place"))
 
 
-def greedy_digits(df: DataFrame, share: float = 0.8) -> DataFrame:
-    """Digits of each image left to right, without those that a surer one covers by more than a share of their width."""
-    best = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("c"), F.col("x1"), F.col("x2"), F.col("digit"), F.col("box_id"))))
-    kind = "array<struct<c:double,x1:double,x2:double,digit:string,box_id:bigint>>"
+def unique_digits(df: DataFrame, share: float = 0.8) -> DataFrame:
+    """Digits of each image left to right, without those that another covers.
 
-    def step(kept, d):
-        hit = F.exists(kept, lambda k: (F.least(k["x2"], d["x2"]) - F.greatest(k["x1"], d["x1"])) > share * F.least(k["x2"] - k["x1"], d["x2"] - d["x1"]))
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(d)).cast(kind))
+    Pairs are taken in the order of the detections (box_id); of two that share
+    more than a part of the smaller one's area the less sure one goes, the later
+    one on ties, unless either has gone already.
+    """
+    box = F.struct("box_id", "x1", "y1", "x2", "y2", "conf", "digit")
+    own = df.groupBy("image_no").agg(F.array_sort(F.collect_list(box)).alias("all"))
+    at = lambda d: (d["x1"], d["y1"], d["x2"], d["y2"])
+    area = lambda d: F.greatest(num.box_area(*at(d)), F.lit(1.0))
+
+    def against(gone, i):
+        a = F.get("all", i)
+
+        def step(gone, b):
+            clash = (b["box_id"] > a["box_id"]) & ~F.array_contains(gone, a["box_id"]) & ~F.array_contains(gone, b["box_id"])
+            clash = clash & (num.overlap_area(at(a), at(b)) / F.least(area(a), area(b)) > share)
+            return F.when(clash, F.concat(gone, F.array(F.when(a["conf"] >= b["conf"], b["box_id"]).otherwise(a["box_id"])))).otherwise(gone)
+
+        return F.aggregate("all", gone, step)
 
-    kept = df.groupBy("image_no").agg(best.alias("all")).select("image_no", F.aggregate("all", F.array().cast(kind), step).alias("kept"))
+    gone = F.aggregate(F.sequence(F.lit(0), F.size("all") - 1), F.array().cast("array<bigint>"), against)
+    kept = own.withColumn("gone", gone).select("image_no", F.filter("all", lambda d: ~F.array_contains(F.col("gone"), d["box_id"])).alias("kept"))
     by_x = F.array_sort(F.transform("kept", lambda k: F.struct(k["x1"].alias("x1"), k["box_id"].alias("box_id"), k["digit"].alias("digit"))))
     return kept.select("image_no", F.array_join(F.transform(by_x, lambda k: k["digit"]), "").alias("digits"))
+
+
+def merge_axes(df: DataFrame, gap: float = 10.0) -> DataFrame:
+    """Axis candidates (key, candidate, angle, length) without those next to a longer one's angle, and how many each kept one stands for."""
+    own = df.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("rank"), "candidate", "angle"))).alias("all"))
+    kind = "array<struct<candidate:bigint,angle:double,merged:bigint>>"
+
+    def step(kept, c):
+        near = F.array_position(F.transform(kept, lambda k: num.undirected_gap(k["angle"], c["angle"]) < gap), F.lit(True)).cast("int")
+        grown = F.transform(kept, lambda k, i: F.struct(k["candidate"].alias("candidate"), k["angle"].alias("angle"), F.when(i == near - 1, k["merged"] + 1).otherwise(k["merged"]).alias("merged")))
+        return F.when(near > 0, grown.cast(kind)).otherwise(F.concat(kept, F.array(F.struct(c["candidate"].alias("candidate"), c["angle"].alias("angle"), F.lit(1).cast("bigint").alias("merged"))).cast(kind)))
+
+    kept = own.select("key", F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("k"))
+    return kept.select("key", "k.candidate", "k.angle", "k.merged")

@@ -164,12 +164,21 @@ def rank_candidates(df: DataFrame, key: str) -> DataFrame:
 
 
 def split_sets(df: DataFrame, key: str, shares: tuple[float, float], seed: str, rounded: bool = False) -> DataFrame:
-    """train, val and test by a hash of key and seed; sizes are truncated or rounded, and each set has a row at least."""
+    """train, val and test by a hash of key and seed.
+
+    Truncated: train and val have their share, one at least, and test the rest.
+    Rounded (half to even): val and test have theirs, one at least, and train the rest.
+    """
     w = Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
     n = F.count("*").over(Window.partitionBy())
-    cut = lambda share: F.greatest(F.lit(1), (F.round if rounded else F.floor)(n * share).cast("long"))
     place = F.row_number().over(w)
-    return df.withColumn("split", F.when(place <= cut(shares[0]), "train").when(place <= cut(shares[0]) + cut(shares[1]), "val").otherwise("test"))
+    if rounded:
+        val, test = (F.greatest(F.lit(1), F.bround(n * x).cast("long")) for x in (shares[1], 1 - sum(shares)))
+        train = n - val - test
+    else:
+        train, val = (F.greatest(F.lit(1), F.floor(n * x).cast("long")) for x in shares)
+        val = F.when(train + val >= n, F.greatest(F.lit(1), n - train - 1)).otherwise(val)
+    return df.withColumn("split", F.when(place <= train, "train").when(place <= train + val, "val").otherwise("test"))
 
 
 def running_best(df: DataFrame, order: str, value: str) -> DataFrame:

@@ -517,7 +517,7 @@ def train_split(spark, d):
     return stats.split_sets(fx.table(spark, d, "embeddings").select("vec_id"), "vec_id", (0.8, 0.1), "42").select("vec_id", "split")
 
 
-@query("""with s as (select *, row_number() over (order by md5('7' || vec_id), vec_id) as k, count(*) over () as n from embeddings) select vec_id, case when k <= greatest(1, round(n * 0.7::double)) then 'train' when k <= greatest(1, round(n * 0.7::double)) + greatest(1, round(n * 0.2::double)) then 'val' else 'test' end as split from s""")
+@query("""with s as (select *, row_number() over (order by md5('7' || vec_id), vec_id) as k, count(*) over () as n from embeddings) select vec_id, case when k <= n - greatest(1, round_even(n * 0.2::double, 0)) - greatest(1, round_even(n * 0.1::double, 0)) then 'train' when k <= n - greatest(1, round_even(n * 0.1::double, 0)) then 'val' else 'test' end as split from s""")
 def rounded_split(spark, d):
     """U7."""
     return stats.split_sets(fx.table(spark, d, "embeddings").select("vec_id"), "vec_id", (0.7, 0.2), "7", rounded=True).select("vec_id", "split")
@@ -561,16 +561,16 @@ def label_normalise(spark, d):
     return t.select("p_partkey", "label", tx.label_valid(F.col("label")).alias("valid"))
 
 
-@query(f", {_LABELS} select image_no, label, {r('100 * conf + 12 * h + a + case when h >= 2 and a >= 8 then 20 else 0 end')} as score from graded qualify row_number() over (partition by image_no order by 100 * conf + 12 * h + a + case when h >= 2 and a >= 8 then 20 else 0 end desc, p_partkey) = 1", "text")
+@query(f", {_LABELS} select image_no, label, {r('100 * conf + 12 * h + a + case when h >= 2 and a >= 8 then 20 else 0 end')} as score from graded where h >= 2 and a >= 8 qualify row_number() over (partition by image_no order by 100 * conf + 12 * h + a + case when h >= 2 and a >= 8 then 20 else 0 end desc, p_partkey) = 1", "text")
 def label_best(spark, d):
     """X8, W4."""
     t = fx.text(spark, d).withColumn("label", tx.normalise_label(F.col("raw")))
-    t = t.withColumn("score", tx.label_score(F.col("label"), F.col("conf")))
+    t = t.withColumn("score", tx.label_score(F.col("label"), F.col("conf"))).where("score is not null")
     return rounded(traits.one_per_key(t, "image_no", [F.desc("score"), F.col("p_partkey")]).select("image_no", "label", "score"))
 
 
 _RAW = "case o_orderkey % 5 when 0 then 'W: ' || o_orderkey || '.2S g' when 1 then 'O' || (o_orderkey % 100) || ',5' when 2 then '-' || (o_orderkey % 1000) || '.4.1' when 3 then (10000 + o_orderkey % 90000) || '' else (o_orderkey % 300) || '.' || (10 + o_orderkey % 90) end"
-_CLEAN = "regexp_replace(translate(raw, 'OoQDIl|SsB,', '0000111558.'), '[^0-9.\\-]', '', 'g')"
+_CLEAN = "regexp_replace(translate(raw, 'OoIl|BS,:;', '0011185...'), '[^0-9.\\-]', '', 'g')"
 _WEIGHT = f"""wr as (select o_orderkey, {_RAW} as raw from orders), wc as (select o_orderkey, {_CLEAN} as c from wr), wd as (select o_orderkey, case when starts_with(c, '-') then '-' else '' end as m, replace(c, '-', '') as c from wc),
     wn as (select o_orderkey, m || case when instr(c, '.') > 0 then substr(c, 1, instr(c, '.')) || replace(substr(c, instr(c, '.') + 1), '.', '') else c end as text from wd)"""
 
@@ -588,22 +588,28 @@ def weight_normalise(spark, d):
     return _weights(spark, d)
 
 
-_CAND = f"""{_WEIGHT}, e as (select o_orderkey, unnest(regexp_extract_all(text, '(\\d{{1,3}}\\.\\d{{2}})', 1))::double as value, 'explicit' as kind from wn where len(regexp_extract_all(text, '\\d{{1,3}}\\.\\d{{2}}')) > 0),
-    i as (select o_orderkey, regexp_replace(text, '\\D', '', 'g')::double / 100 as value, 'implied' as kind from wn where len(regexp_extract_all(text, '\\d{{1,3}}\\.\\d{{2}}')) = 0 and regexp_full_match(regexp_replace(text, '\\D', '', 'g'), '\\d{{3,5}}')), c as (select * from e union all select * from i)"""
+_CAND = f"""{_WEIGHT}, e as (select o_orderkey, unnest(regexp_extract_all(text, '\\d{{1,3}}\\.\\d{{1,2}}'))::double as value, 'explicit_decimal' as kind from wn),
+    i as (select o_orderkey, regexp_replace(text, '\\D', '', 'g')::double / 100 as value, 'inferred_decimal' as kind from wn where regexp_full_match(regexp_replace(text, '\\D', '', 'g'), '\\d{{3,5}}')), c as (select * from e union all select * from i)"""
 
 
-@query(f"with {_CAND} select o_orderkey, value, kind from c where value between 1 and 500")
+@query(f"with {_CAND} select o_orderkey, value, kind from c where value between 0.05 and 999.99")
 def weight_candidates(spark, d):
     """X10."""
-    return _weights(spark, d).select("o_orderkey", F.explode(tx.weight_candidates(F.col("text"), 1.0, 500.0)).alias("c")).select("o_orderkey", "c.value", "c.kind")
+    return _weights(spark, d).select("o_orderkey", F.explode(tx.weight_candidates(F.col("text"), 0.05, 999.99)).alias("c")).select("o_orderkey", "c.value", "c.kind")
 
 
-@query(f"with {_CAND} select o_orderkey % 500 as image_no, o_orderkey, value, kind from c where value between 1 and 500 qualify row_number() over (partition by o_orderkey % 500 order by case kind when 'explicit' then 25 else 8 end + o_orderkey % 7 desc, o_orderkey, value) = 1")
+@query(
+    f"""with {_CAND}, s as (select o_orderkey % 500 as image_no, o_orderkey, value, kind, (o_orderkey % 90) + case kind when 'explicit_decimal' then 25 else 8 end + case o_orderkey % 3 when 0 then 5 when 1 then 2.5::double else 0 end + 10 * case o_orderkey % 2 when 0 then 1 else 0.25::double end as score from c where value between 0.05 and 999.99)
+    select image_no, o_orderkey, value, kind, {r("score")} as score from s qualify row_number() over (partition by image_no order by kind, score desc, o_orderkey, value) = 1"""
+)
 def weight_best(spark, d):
-    """X11: the best candidate of an image by kind and confidence."""
-    c = _weights(spark, d).select("o_orderkey", F.explode(tx.weight_candidates(F.col("text"), 1.0, 500.0)).alias("c")).select("o_orderkey", "c.value", "c.kind", (F.col("o_orderkey") % 500).alias("image_no"))
-    score = F.when(F.col("kind") == "explicit", 25).otherwise(8) + F.col("o_orderkey") % 7
-    return traits.one_per_key(c, "image_no", [score.desc(), F.col("o_orderkey"), F.col("value")]).select("image_no", "o_orderkey", "value", "kind")
+    """X11: numbers with a dot are preferred to inferred ones whatever the score; the first wins ties."""
+    k = F.col("o_orderkey")
+    c = weight_candidates(spark, d).withColumn("image_no", k % 500)
+    source = F.when(k % 3 == 0, "screen_binary").when(k % 3 == 1, "screen_scaled").otherwise("screen")
+    c = c.withColumn("score", tx.weight_score(F.col("kind"), (k % 90) / 100, source, F.when(k % 2 == 0, 1.0).otherwise(0.25)))
+    c = c.withColumn("score", F.round("score", 6))
+    return traits.one_per_key(c, "image_no", [F.col("kind"), F.desc("score"), k, F.col("value")]).select("image_no", "o_orderkey", "value", "kind", "score")
 
 
 @query("select o_orderkey, case when length(x) = 1 then '0.0' || x else substr(x, 1, length(x) - 2) || '.' || right(x, 2) end as weight from (select o_orderkey, cast(o_orderkey % 2000 as varchar) as x from orders)")
@@ -612,7 +618,7 @@ def digit_weight(spark, d):
     return fx.table(spark, d, "orders").select("o_orderkey", tx.digits_to_weight((F.col("o_orderkey") % 2000).cast("string")).alias("weight"))
 
 
-@query("""select conv_id, turn, case when s = '' then 'UNKNOWN' else s end as name from (select conv_id, turn, regexp_replace(regexp_replace(substr(text, 1, 60), '[\\\\/:*?"<>|\\s]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') as s from conversations)""")
+@query("""select conv_id, turn, case when s = '' then 'UNKNOWN' else s end as name from (select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(trim(substr(text, 1, 60)), '[\\\\/:*?"<>|]+', '_', 'g'), '\\s+', '_', 'g'), '^[._]+|[._]+$', '', 'g') as s from conversations)""")
 def sanitise_name(spark, d):
     """X14 on the start of a line, which is what serves as a name here."""
     return fx.table(spark, d, "conversations").select("conv_id", "turn", tx.sanitise(F.substring("text", 1, 60)).alias("name"))
@@ -667,11 +673,13 @@ def box_containment(spark, d):
     return rounded(boxes.clip_to_tray(b, ("tx1", "ty1", "tx2", "ty2")).select("image_no", "box_id", "tray_share", "outside_tray", "cx1", "cy2"))
 
 
-_FLAG = """, g as (select *, (x2 - x1) * (y2 - y1) as area, greatest(x2 - x1, y2 - y1) > 4 * least(x2 - x1, y2 - y1) as bad_aspect from box), m as (select image_no, median(area) filter (not bad_aspect) as mid, count(*) filter (not bad_aspect) as active from g group by 1),
-    f as (select g.*, coalesce(not bad_aspect and active >= 8 and (area < 0.25 * mid or area > 4 * mid), false) as odd_size from g join m using (image_no))"""
+_FLAG = """, g as (select *, (x2 - x1) * (y2 - y1) as area, greatest(x2 - x1, y2 - y1) as l, least(x2 - x1, y2 - y1) as s, greatest(x2 - x1, y2 - y1) > 4 * least(x2 - x1, y2 - y1) as bad_aspect from box),
+    m as (select image_no, median(area) filter (not bad_aspect) as ma, median(l) filter (not bad_aspect) as ml, median(s) filter (not bad_aspect) as ms, count(*) filter (not bad_aspect) as active from g group by 1),
+    t as (select g.*, coalesce(not bad_aspect and active >= 8 and (area < 0.35 * ma or l < 0.45 * ml or s < 0.45 * ms), false) as too_small, coalesce(not bad_aspect and active >= 8 and (area > 3 * ma or l > 2.2 * ml or s > 2.2 * ms), false) as too_large from g join m using (image_no)),
+    f as (select *, too_small or too_large as odd_size from t)"""
 
 
-@query(f"""{_FLAG} select image_no, box_id, bad_aspect, odd_size, concat_ws(',', case when bad_aspect then 'bad_aspect_ratio' end, case when odd_size then 'size_outlier' end) as reasons from f""", "box")
+@query(f"""{_FLAG} select image_no, box_id, bad_aspect, odd_size, concat_ws(',', case when bad_aspect then 'bad_aspect_ratio' end, case when too_small then 'too_small' end, case when too_large then 'too_large' end) as reasons from f""", "box")
 def box_size_outliers(spark, d):
     """F15, F16, F17, G9."""
     return boxes.flag_sizes(fx.box(spark, d)).select("image_no", "box_id", "bad_aspect", "odd_size", F.array_join("reasons", ",").alias("reasons"))
@@ -722,7 +730,7 @@ def reading_order(spark, d):
 @query()
 def digit_reading(spark, d):
     """Ordered, so tests hold it against a loop."""
-    out = boxes.greedy_digits(fx.digit(spark, d))
+    out = boxes.unique_digits(fx.digit(spark, d))
     return out.select("image_no", "digits", tx.digits_to_weight(F.col("digits")).alias("weight"))
 
 
@@ -762,7 +770,7 @@ def width_profile(spark, d):
     return rounded(c, 4)
 
 
-@query(f"""select p.vec_id, k::integer as pos, {r("x", 4)} as x, {r("y", 4)} as y from point p join range(24) t(k) on p.i = floor(k * 64 / 24)""", "contour")
+@query(f"""select vec_id, k::integer as pos, {r("px + (k * 64 / 24.0::double - i) * (qx - px)", 4)} as x, {r("py + (k * 64 / 24.0::double - i) * (qy - py)", 4)} as y from edge join range(24) t(k) on i = floor(k * 64 / 24.0::double)""", "contour")
 def outline_resample(spark, d):
     """P14."""
     c = fx.contour(spark, d).select("vec_id", F.posexplode(geo.sampled(F.col("c"), 24)).alias("pos", "p"))
@@ -779,6 +787,49 @@ def circle_deviation(spark, d):
     return rounded(fx.contour(spark, d).select("vec_id", F.posexplode(geo.circle_deviation(F.col("c"))).alias("pos", "deviation")))
 
 
+@query(
+    f""", c as (select a.vec_id, a.i, b.x - a.x as ax, b.y - a.y as ay, d.x - a.x as bx, d.y - a.y as by_ from point a join point b on a.vec_id = b.vec_id and b.i = (a.i + 59) % 64 join point d on a.vec_id = d.vec_id and d.i = (a.i + 5) % 64)
+    select vec_id, i::integer as pos, {r("1 - acos(greatest(-1, least(1, (ax * bx + ay * by_) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_))))) / pi()", 5)} as sharpness from c""",
+    "contour",
+)
+def local_sharpness(spark, d):
+    """W10."""
+    return rounded(fx.contour(spark, d).select("vec_id", F.posexplode(geo.sharpness(F.col("c"), 5)).alias("pos", "sharpness")), 5)
+
+
+@query(f"""select a.vec_id, a.i::integer as pos, {r("avg(b.x)", 4)} as x, {r("avg(b.y)", 4)} as y from point a join range(-2, 3) t(k) on true join point b on b.vec_id = a.vec_id and b.i = (a.i + k + 64) % 64 group by 1, 2""", "contour")
+def circular_smooth(spark, d):
+    """W9."""
+    c = fx.contour(spark, d).select("vec_id", F.posexplode(geo.smoothed(F.col("c"), 5, 64)).alias("pos", "p"))
+    return rounded(c.select("vec_id", "pos", "p.x", "p.y"), 4)
+
+
+@query(
+    f""", l as (select *, sum(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py))) over (partition by vec_id order by i) as stop, sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) as len from edge), n as (select vec_id, max(stop) as total from l group by 1)
+    select vec_id, k::integer as pos, {r("px + (k * total / 36 - (stop - len)) / len * (qx - px)", 4)} as x, {r("py + (k * total / 36 - (stop - len)) / len * (qy - py)", 4)} as y from l join n using (vec_id) join range(36) t(k) on k * total / 36 >= stop - len - 1e-12 and k * total / 36 < stop - 1e-12""",
+    "contour",
+)
+def arc_resample(spark, d):
+    """Points at even distances along the outline."""
+    c = fx.contour(spark, d).select("vec_id", F.posexplode(geo.resampled(F.col("c"), 36)).alias("pos", "p"))
+    return rounded(c.select("vec_id", "pos", "p.x", "p.y"), 4)
+
+
+@query()
+def axis_merge(spark, d):
+    """Ordered, so tests hold it against a loop."""
+    li = fx.table(spark, d, "lineitem").withColumn("candidate", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*fx._ORDER)).cast("long"))
+    return boxes.merge_axes(li.select(F.col("l_orderkey").alias("key"), "candidate", F.pmod("l_extendedprice", F.lit(180.0)).alias("angle"), F.col("l_quantity").alias("length")))
+
+
+@query(f"""with s as (select *, 'IMG_' || o_orderkey as name from orders) select o_orderkey, case when o_totalprice < 1000 then 'small' when o_orderkey % 9 = 0 then 'no mask' else 'ok' end as status, {r("case when not (o_totalprice < 1000 or o_orderkey % 9 = 0) then o_totalprice / 2 end", 4)} as x from s""")
+def centroid_status(spark, d):
+    """The first reason that applies, and a value only where all is well."""
+    o = fx.table(spark, d, "orders")
+    status = F.when(F.col("o_totalprice") < 1000, "small").when(F.col("o_orderkey") % 9 == 0, "no mask").otherwise("ok")
+    return rounded(o.withColumn("status", status).select("o_orderkey", "status", F.when(F.col("status") == "ok", F.col("o_totalprice") / 2).alias("x")), 4)
+
+
 # Components: M1-M3; checked in tests by variance, orthonormality and reconstruction.
 def _vectors(spark, d):
     return fx.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))

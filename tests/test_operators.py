@@ -87,12 +87,38 @@ def test_suppression_against_a_loop(spark, small):
     df = fx.box(spark, small)
     pairs = rows_by_image(boxes.overlap_pairs(df))
     want = set()
-    for image, ps in pairs.items():
+    for image, bs in rows_by_image(df).items():
+        area = {b.box_id: (b.x2 - b.x1) * (b.y2 - b.y1) for b in bs}
+        sides = {b.box_id: sorted((b.x2 - b.x1, b.y2 - b.y1)) for b in bs}
+        by_id = {b.box_id: b for b in bs}
+        ma, ms, ml = (float(np.median(v)) for v in (list(area.values()), [s[0] for s in sides.values()], [s[1] for s in sides.values()]))
+
+        def odd(i, area=area, sides=sides, by_id=by_id, m=(ma, ms, ml)):
+            return abs(math.log(area[i] / m[0])) + 0.45 * abs(math.log(sides[i][1] / m[2])) + 0.45 * abs(math.log(sides[i][0] / m[1])) - 0.25 * by_id[i].conf
+
         gone = set()
-        for p in sorted(ps, key=lambda p: (-p.overlap, -p.ratio, p.a_box_id, p.b_box_id)):
-            if p.a_box_id not in gone and p.b_box_id not in gone:
-                gone.add(p.larger)
-        want |= {(image, b) for b in gone}
+        for p in sorted(pairs.get(image, []), key=lambda p: (-p.overlap, -p.ratio, p.a_box_id, p.b_box_id)):
+            a, b = p.a_box_id, p.b_box_id
+            if a in gone or b in gone:
+                continue
+            small_, large = (a, b) if area[a] <= area[b] else (b, a)
+            if area[small_] < 0.35 * ma:
+                gone.add(small_)
+            elif area[large] > 3 * ma:
+                gone.add(large)
+            elif abs(odd(a) - odd(b)) > 0.05:
+                gone.add(a if odd(a) > odd(b) else b)
+            elif abs(by_id[a].conf - by_id[b].conf) > 0.05:
+                gone.add(a if by_id[a].conf < by_id[b].conf else b)
+            else:
+                gone.add(large)
+        for b in sorted(bs, key=lambda b: (-area[b.box_id], b.box_id)):
+            if b.box_id in gone or area[b.box_id] < 1.25 * ma:
+                continue
+            inside = [o for o in bs if o.box_id not in gone and o is not b and b.x1 <= (o.x1 + o.x2) / 2 <= b.x2 and b.y1 <= (o.y1 + o.y2) / 2 <= b.y2]
+            if len(inside) >= 2:
+                gone.add(b.box_id)
+        want |= {(image, i) for i in gone}
     got = [tuple(x) for x in boxes.suppress_nested(df).select("image_no", "box_id").collect()]
     assert len(got) == len(set(got))
     assert set(got) == want
@@ -119,13 +145,37 @@ def test_reading_order_against_a_loop(spark, small):
 
 def test_digits_against_a_loop(spark, small):
     df = fx.digit(spark, small)
-    got = {x.image_no: x.digits for x in boxes.greedy_digits(df).collect()}
+    got = {x.image_no: x.digits for x in boxes.unique_digits(df).collect()}
     for image, ds in rows_by_image(df).items():
+        ds, gone = sorted(ds, key=lambda b: b.box_id), set()
+        for i, a in enumerate(ds):
+            for b in ds[i + 1 :]:
+                if a.box_id in gone:
+                    break
+                if b.box_id in gone:
+                    continue
+                share = max(0.0, min(a.x2, b.x2) - max(a.x1, b.x1)) * 20 / 240
+                if share > 0.8:
+                    gone.add(b.box_id if a.conf >= b.conf else a.box_id)
+        assert got[image] == "".join(b.digit for b in sorted(ds, key=lambda b: (b.x1, b.box_id)) if b.box_id not in gone)
+
+
+def test_axis_merge_against_a_loop(spark):
+    rows = [(k, c, float((c * 37 + k * 11) % 180), float((c * 5 + k) % 7)) for k in range(20) for c in range(12)]
+    got = {}
+    for r in boxes.merge_axes(spark.createDataFrame(rows, "key long, candidate long, angle double, length double")).collect():
+        got.setdefault(r.key, {})[r.candidate] = r.merged
+    for k in range(20):
         kept = []
-        for b in sorted(ds, key=lambda b: (-b.conf, b.x1, b.x2, b.digit, b.box_id)):
-            if not any(min(k.x2, b.x2) - max(k.x1, b.x1) > 0.8 * min(k.x2 - k.x1, b.x2 - b.x1) for k in kept):
-                kept.append(b)
-        assert got[image] == "".join(b.digit for b in sorted(kept, key=lambda b: (b.x1, b.box_id)))
+        for _, c, angle, _ in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[3], r[1])):
+            for one_ in kept:
+                d = (one_[1] - angle) % 180
+                if min(d, 180 - d) < 10:
+                    one_[2] += 1
+                    break
+            else:
+                kept.append([c, angle, 1])
+        assert got[k] == {c: n for c, _, n in kept}
 
 
 def test_components(spark, small):

@@ -17,4 +17,4 @@ def test_same_rows(spark, small, duck, name):
 
 
 def test_queries_without_sql_are_known():
-    assert set(plans.QUERIES) - set(plans.ORACLE) == {"nested_suppression", "reading_order", "digit_reading", "pca_scores", "pca_variance", "latent_pca"}
+    assert set(plans.QUERIES) - set(plans.ORACLE) == {"nested_suppression", "reading_order", "digit_reading", "axis_merge", "pca_scores", "pca_variance", "latent_pca"}
