@@ -280,7 +280,13 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     entries = classes.agg(F.sum(F.col("n") / DENOMINATOR + 1)).first()[0] or 0
     ranges = max(12, int(entries / meet.RANGE_ENTRIES) + 1)
     packed = own.mapInArrow(_by_range(ranges, order), meet.PACKED)
-    live = stage_table(packed.repartition(ranges, "r").groupBy("r").applyInArrow(meet.live, "token long, doc long, n long"), "ngram-live")
+    live = stage_table(packed.repartition(min(ranges, 20_000), "r").groupBy("r").applyInArrow(meet.live, "token long, doc long, n long"), "ngram-live")
+    # Tiles with the same members would give the same comparisons; one of each lot stays.
+    lots = live.groupBy("token").agg(F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("lot"), F.count("*").alias("members"))
+    one = lots.groupBy("lot", "members").agg(F.min("token").alias("token")).select("token")
+    every = live
+    live = stage_table(every.join(one, "token", "left_semi"), "ngram-tiles")
+    release(spark, every)
     band = F.floor(F.log("n") / float(np.log(DENOMINATOR / NUMERATOR)))
     leads = live.groupBy("token", band.alias("band")).agg(F.min("doc").alias("a"))
     first = live.withColumn("band", band).join(leads, ["token", "band"]).where("doc != a").select("a", F.col("doc").alias("b")).distinct()
