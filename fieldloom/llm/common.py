@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -69,7 +70,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def rows_of(batch: pa.RecordBatch, limit: int = 8 << 20):
+def rows_of(batch: pa.RecordBatch, limit: int = 1 << 20):
     """Slices of a batch that hold at most about limit bytes of text, or one row."""
     col = batch.column(batch.schema.get_field_index("text"))
     lengths = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
@@ -81,6 +82,16 @@ def rows_of(batch: pa.RecordBatch, limit: int = 8 << 20):
         start = stop
 
 
+def trim() -> None:
+    """Gives memory that this worker no longer uses back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = x ^ (x >> U64(33))

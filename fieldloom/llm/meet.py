@@ -6,10 +6,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import trim
+
 U64 = np.uint64
 PACKED = "r int, live boolean, tokens binary, docs binary, sizes binary"
 #: Entries that one reducer should get, and that a task holds before it hands them on.
-RANGE_ENTRIES, FLUSH_ENTRIES = 1_500_000, 2_000_000
+RANGE_ENTRIES, FLUSH_ENTRIES = 600_000, 500_000
 
 
 def range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
@@ -18,8 +20,8 @@ def range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
 
 def rows_by_range(r: np.ndarray, columns: list[np.ndarray]):
     """(range, bytes of each column) for entries that come sorted by range."""
-    at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
-    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(r)], strict=True):
+    at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]).tolist() if len(r) else []
+    for lo, hi in zip(at, [*at[1:], len(r)], strict=False):
         yield int(r[lo]), [c[lo:hi].tobytes() for c in columns]
 
 
@@ -32,7 +34,7 @@ def pack(ranges: int, tokens: np.ndarray, docs: np.ndarray, sizes: np.ndarray) -
     """
     o = np.lexsort((docs, tokens))
     t, d, s = tokens[o], docs[o], sizes[o]
-    new = np.r_[True, t[1:] != t[:-1]]
+    new = np.r_[True, t[1:] != t[:-1]][: len(t)]
     keep = new | np.r_[True, d[1:] != d[:-1]]
     t, d, s, new = t[keep], d[keep], s[keep], new[keep]
     first = np.flatnonzero(new)
@@ -82,4 +84,5 @@ def live(table: pa.Table) -> pa.Table:
     t = np.concatenate([t[keep], unpack(known, "tokens", U64)])
     d = np.concatenate([d[keep], unpack(known, "docs", np.int64)])
     s = np.abs(np.concatenate([s[keep], unpack(known, "sizes", np.int32)]))
+    trim()
     return pa.table({"token": pa.array(t.view(np.int64)), "doc": pa.array(d), "n": pa.array(s.astype(np.int64))})
