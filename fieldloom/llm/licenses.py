@@ -94,8 +94,10 @@ GATE = ["licen", "cc", "under"]
 
 
 def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keyword, regular expression over words, priority), in order; one for each license and form."""
-    return [(label, keyword, f"(?<= )(?:{before}{name}{behind})(?= )", priority) for (priority, before, behind), (label, keyword, name) in product(FORMS, LICENSES)]
+    """(label, keyword, regular expression over words, priority), in order: one for each license and form, and the bare names that nothing else is called."""
+    told = [(priority, before, behind, license_) for (priority, before, behind), license_ in product(FORMS, LICENSES)]
+    told += [(2, "", "", x) for x in LICENSES if x[0].startswith("cc-") or x[0][-1].isdigit()]
+    return [(label, keyword, f"(?<= )(?:{before}{name}{behind})(?= )", priority) for priority, before, behind, (label, keyword, name) in told]
 
 
 def _intervals(line: Column, pattern: Column) -> Column:
