@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, left_out: int = 1,
 
     def halves(part):
         x = np.vstack(part.column(2).to_pylist()) if len(part) else np.zeros((0, N_STATISTICS))
-        return fourier(x, mean, scale), np.asarray(part.column(1)), np.asarray(part.column(0)) % 2
+        return fourier(x, mean, scale), np.asarray(part.column(1)), (mix64(np.asarray(part.column(0)).astype(np.uint64)) & np.uint64(1)).astype(int)
 
     def equations(batches):
         sums = np.zeros((2, FEATURES + 1, FEATURES + 2))
