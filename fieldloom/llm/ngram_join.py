@@ -194,7 +194,9 @@ def _arrays(batches):
 def _across(batches):
     """Pairs of members of different components of a tile that the bounds don't exclude.
 
-    Rows come sorted by (token, i, j): a tile, or two blocks of a large one; columns 3 to 7 are side, doc, n, component, sig.
+    A pair is only given by the tile of the smallest token that both share. Rows
+    come sorted by (token, i, j): a tile, or two blocks of a large one; columns 3
+    to 8 are side, doc, n, component, sig, tokens.
     """
     held = None
     for batch in batches:
@@ -213,11 +215,12 @@ def _tiles(table, start):
     a, b = [], []
     same = [np.asarray(table.column(k)) for k in (1, 2)]
     side, doc, n, comp = (np.asarray(table.column(k)) for k in (3, 4, 5, 6))
-    sigs = table.column(7)
+    sigs, lists, token = table.column(7), table.column(8), np.asarray(table.column(0))
     for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
         if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
             continue
         words = [np.frombuffer(x, U64) for x in sigs.slice(lo, hi - lo).to_pylist()]
+        tokens = [np.asarray(x.values) for x in lists.slice(lo, hi - lo)]
         grid = same[0][lo] != same[1][lo]
         by_width: dict[int, np.ndarray] = {}
         for k in range(hi - lo):
@@ -235,6 +238,7 @@ def _tiles(table, start):
                     if len(words[x]) >= w:
                         by_width[w][x] = fold(words[x], w)
             good = with_[could_link(int(n[i]), by_width[w][k], n[with_], by_width[w][with_ - lo])]
+            good = np.array([x for x in good.tolist() if np.intersect1d(tokens[x - lo], tokens[k], assume_unique=True)[0] == token[lo]], np.int64)
             a += [np.minimum(doc[good], doc[i])]
             b += [np.maximum(doc[good], doc[i])]
     if a:
@@ -286,7 +290,6 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     one = lots.groupBy("lot", "members").agg(F.min("token").alias("token")).select("token")
     every = live
     live = stage_table(every.join(one, "token", "left_semi"), "ngram-tiles")
-    release(spark, every)
     band = F.floor(F.log("n") / float(np.log(DENOMINATOR / NUMERATOR)))
     leads = live.groupBy("token", band.alias("band")).agg(F.min("doc").alias("a"))
     first = live.withColumn("band", band).join(leads, ["token", "band"]).where("doc != a").select("a", F.col("doc").alias("b")).distinct()
@@ -299,14 +302,16 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     tiles = stage_table(tiles, "ngram-tiles")
     left = tiles.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     left = left.select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    dealt = tiles.join(left, "token").join(sets.select("doc", "sig"), "doc")
+    # A pair counts in the tile of its smallest common token; that token is the one that stays of its lot.
+    shared = every.groupBy("doc").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    dealt = tiles.join(left, "token").join(sets.select("doc", "sig"), "doc").join(shared, "doc")
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "n", "component", "sig")
+    dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "n", "component", "sig", "tokens")
     second = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_across, "a long, b long").distinct()
     more = _verify(second, sets, own)
     stars = known.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     reach = stage_table(components(stars.unionByName(more), "ngram-components"), "ngram-reach")
-    release(spark, copies, live, links, known, tiles, more)
+    release(spark, copies, every, live, links, known, tiles, more)
     by_class = classes.join(reach, classes["doc"] == reach["id"], "left").select("k1", "k2", "n", F.coalesce("component", "doc").alias("component"))
     linked = able.join(by_class, ["k1", "k2", "n"]).select("doc_id", "n", "component")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
