@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import trim
+from .common import mix64, trim
 
 U64 = np.uint64
 PACKED = "r int, live boolean, tokens binary, docs binary, sizes binary"
@@ -15,7 +15,8 @@ RANGE_ENTRIES, FLUSH_ENTRIES = 600_000, 500_000
 
 
 def range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
-    return ((tokens >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int32)
+    """Mixed once more first: tokens that were chosen as least hashes would crowd the lowest ranges."""
+    return ((mix64(tokens) >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int32)
 
 
 def rows_by_range(r: np.ndarray, columns: list[np.ndarray]):
