@@ -513,7 +513,7 @@ def top5_worst(spark, d):
 
 @query("""with s as (select *, row_number() over (order by md5('42' || vec_id), vec_id) as k, count(*) over () as n from embeddings) select vec_id, case when k <= greatest(1, floor(n * 0.8::double)) then 'train' when k <= greatest(1, floor(n * 0.8::double)) + greatest(1, floor(n * 0.1::double)) then 'val' else 'test' end as split from s""")
 def train_split(spark, d):
-    """Membership by hash, sizes as the reference's."""
+    """Membership by hash, so a set is the same on every run."""
     return stats.split_sets(fx.table(spark, d, "embeddings").select("vec_id"), "vec_id", (0.8, 0.1), "42").select("vec_id", "split")
 
 
