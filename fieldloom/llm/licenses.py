@@ -89,14 +89,18 @@ FORMS = [
 ]
 
 LEVELS = max(f[0] for f in FORMS)
-#: Any of these is in a text that a base phrase or a rule can match.
+#: Any of these is in a text that a base phrase or a form can match; bare names are looked for by `BARE_NAMES`.
 GATE = ["licen", "cc", "under"]
+#: Names that nothing else is called.
+BARE = [x for x in LICENSES if x[0].startswith("cc-") or x[0][-1].isdigit()]
+#: A bare name in a text that is not yet words: whole words, with anything but words between them.
+BARE_NAMES = f"(?<!{WORD[:-1]})(?:{'|'.join(name for _, _, name in BARE)})(?!{WORD[:-1]})".replace(" ", "(?:[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)")
 
 
 def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, regular expression over words, priority), in order: one for each license and form, and the bare names that nothing else is called."""
     told = [(priority, before, behind, license_) for (priority, before, behind), license_ in product(FORMS, LICENSES)]
-    told += [(2, "", "", x) for x in LICENSES if x[0].startswith("cc-") or x[0][-1].isdigit()]
+    told += [(2, "", "", x) for x in BARE]
     return [(label, keyword, f"(?<= )(?:{before}{name}{behind})(?= )", priority) for priority, before, behind, (label, keyword, name) in told]
 
 
@@ -116,6 +120,11 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     gate = F.lit(False)
     for k in GATE:
         gate = gate | F.contains(low, F.lit(k))
+    # The expression is slow, so only texts with a bare name's keyword are searched.
+    named = F.lit(False)
+    for k in sorted({keyword.split()[0] for _, keyword, _ in BARE}):
+        named = named | F.contains(low, F.lit(k))
+    gate = gate | (named & low.rlike(BARE_NAMES))
     df = df.select("doc_id", F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(gate, F.translate("text", UPPER, LOWER)).alias("low"))
     df = df.withColumn("line", F.concat(F.lit(" "), F.array_join(F.regexp_extract_all("low", F.lit(WORD), F.lit(0)), " "), F.lit(" "))).drop("low")
     phrases = F.lit("(?<= )(?:" + "|".join(BASE) + ")(?= )")

@@ -416,6 +416,28 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, EMPTY)).count() == 0
 
 
+BARE_NOTICES = [
+    ("mit-0", "MIT-0"), ("mit-0", "MIT No Attribution"), ("apache-2", "Apache 2.0"), ("apache-2", "Apache Software, Version 2"), ("apache-1.1", "Apache 1.1"), ("gpl-3", "GNU General Public, v. 3"), ("gpl-3", "GPLv3."),
+    ("gpl-2", "General\nPublic Version 2.0"), ("gpl-2", "GNU GPL-2"), ("lgpl-3", "LGPL 3"), ("lgpl-2.1", "GNU LGPL v2.1"), ("agpl-3", "AGPLv3"), ("bsd-2", "Simplified BSD"), ("bsd-3", "BSD 3-Clause"), ("bsd-4", "4-clause BSD"),
+    ("mpl-2", "Mozilla Public 2.0"), ("mpl-1.1", "Mozilla-Public v. 1.1"), ("epl-2", "Eclipse Public 2.0"), ("epl-1", "Eclipse Public v. 1.0"), ("artistic-2", "Artistic 2.0"), ("boost-1", "Boost Software 1.0"),
+    ("cc-by", "Creative Commons Attribution"), ("cc-by-sa", "Creative Commons Attribution ShareAlike"), ("cc-by-nc", "Creative Commons Attribution-NonCommercial"), ("cc-by-nd", "Creative Commons Attribution NoDerivatives"),
+]
+
+
+def test_bare_names_need_no_other_word(spark):
+    """A bare name is found in a text with none of the gate's strings, as it is beside one of them."""
+    texts = [f"Copyright 2020 ACME. {name} All rights kept." for _, name in BARE_NOTICES]
+    assert not any(k in t.lower() for t in texts for k in licenses.GATE)
+    assert {x[0] for x in licenses.BARE} == {label for label, _ in BARE_NOTICES} | {"cc0", "cc-by-nc-sa", "cc-by-nc-nd"}
+    rows = [(i, t + also) for k, also in enumerate(["", " Under"]) for i, t in enumerate(texts, k * 100)]
+    rows += [(900, "xGPLv3 apachex 2 GPLv30 commons attribution"), (901, "éGPLv3"), (902, "GPL\u00b73")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    for i, (label, name) in enumerate(BARE_NOTICES):
+        assert label in got[i][0].split(",") and got[i][1] == 0.4, name
+        assert got[i] == got[100 + i], name
+    assert [got[i] for i in (900, 901, 902)] == [("", 0.0)] * 3
+
+
 # 9
 
 
