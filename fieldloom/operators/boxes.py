@@ -172,7 +172,8 @@ def unique_digits(df: DataFrame, share: float = 0.8) -> DataFrame:
             clash = clash & (num.overlap_area(at(a), at(b)) / F.least(area(a), area(b)) > share)
             return F.when(clash, F.concat(gone, F.array(F.when(a["conf"] >= b["conf"], b["box_id"]).otherwise(a["box_id"])))).otherwise(gone)
 
-        return F.aggregate("all", gone, step)
+        later = F.slice("all", i + 2, F.size("all"))
+        return F.when(F.array_contains(gone, a["box_id"]), gone).otherwise(F.aggregate(later, gone, step))
 
     gone = F.aggregate(F.sequence(F.lit(0), F.size("all") - 1), F.array().cast("array<bigint>"), against)
     kept = own.withColumn("gone", gone).select("image_no", F.filter("all", lambda d: ~F.array_contains(F.col("gone"), d["box_id"])).alias("kept"))

@@ -67,7 +67,7 @@ def box(spark: SparkSession, d: str) -> DataFrame:
 
 
 def digit(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 3 = 0")
+    e = table(spark, d, "events")
     x = ((F.col("event_id") * 7919) % 100).cast("double")
     return e.select((F.col("event_id") % 2000).alias("image_no"), F.col("event_id").alias("box_id"), (F.col("event_id") % 10).cast("string").alias("digit"), x.alias("x1"), F.lit(5.0).alias("y1"), (x + 12).alias("x2"), F.lit(25.0).alias("y2"), (((F.col("event_id") * 31) % 997) / 997.0).alias("conf"))
 

@@ -160,6 +160,12 @@ def test_digits_against_a_loop(spark, small):
         assert got[image] == "".join(b.digit for b in sorted(ds, key=lambda b: (b.x1, b.box_id)) if b.box_id not in gone)
 
 
+def test_every_event_is_a_digit(spark, small):
+    events = {x.event_id for x in fx.table(spark, small, "events").select("event_id").collect()}
+    assert {x.box_id for x in fx.digit(spark, small).collect()} == events
+    assert {x.image_no for x in plans.QUERIES["digit_reading"](spark, small).collect()} == {i % 2000 for i in events}
+
+
 def test_axis_merge_against_a_loop(spark):
     rows = [(k, c, float((c * 37 + k * 11) % 180), float((c * 5 + k) % 7)) for k in range(20) for c in range(12)]
     got = {}
