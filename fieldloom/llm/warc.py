@@ -35,8 +35,6 @@ BLOCK = 4 << 20
 #: A table of repeated payloads of at most so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 300_000
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-#: Longest head of a record that is read.
-HEAD = 64 << 10
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -57,7 +55,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = own.join(side, ["digest", "bytes"], "left")
     revisit = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("first") != F.col("page_id"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    uri = F.substring(F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "+"), 1, 8192)
+    uri = F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "+")
     return rows.select(
         F.concat(
             F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
@@ -80,16 +78,17 @@ CANDIDATES = "path string, at long, next long, leaves long, type string, page_id
 
 def parse_head(data: bytes, at: int) -> tuple[int, dict[str, str]] | None:
     """Where a candidate's block starts and its fields; None if this is no head."""
-    end = data.find(b"\r\n\r\n", at, at + HEAD)
-    if end < 0:
-        return None
-    fields = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        key, colon, value = line.partition(b":")
+    fields, place = {}, data.find(b"\r\n", at)
+    # The first line without a colon ends it, so a candidate is read up to the next one at most.
+    while place >= 0:
+        start, place = place + 2, data.find(b"\r\n", place + 2)
+        if place == start:
+            return (start + 2, fields) if fields.get("content-length", "").isdigit() else None
+        key, colon, value = data[start : max(start, place)].partition(b":")
         if not colon:
             return None
         fields[key.strip().lower().decode("latin-1")] = value.strip().decode("latin-1")
-    return (end + 4, fields) if fields.get("content-length", "").isdigit() else None
+    return None
 
 
 def _page(name: str) -> int | None:

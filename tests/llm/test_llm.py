@@ -193,6 +193,18 @@ def test_nearest_lattice_point():
 # 4
 
 
+def test_warc_keeps_long_urls(spark):
+    urls = ["http://a/" + c * n for c, n in (("x", 8184), ("y", 8185), ("z", 200_000))]
+    rows = [(i, u, f"page {i % 2} WARC/1.1\r\nno head") for i, u in enumerate(urls)]
+    path = warc.archive_path(spark)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    told = [line.split(b": ", 1)[1].decode() for f in files for line in f.split(b"\r\n") if line.startswith(b"WARC-Target-URI: ")]
+    assert sorted(told) == sorted(urls)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, path).collect()}
+    assert got == {0: ("response", None, 24), 1: ("response", None, 24), 2: ("revisit", 0, 24)}
+
+
 def test_warc(spark):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     htmls = ["a", "", None, "a", "x" * 5000, fake * 200, "é\r\n\r\n", "é\r\n\r\n", "WARC/1.1\r\n", f"{fake}tail", "\0\n"] * 12
