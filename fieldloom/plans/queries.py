@@ -317,7 +317,7 @@ def exponential_smoothing(spark, d):
     return rounded(fx.profile(spark, d).select("vec_id", F.element_at(prof.exponential(F.col("w")), -1).alias("last")))
 
 
-# Statistics: G10-G38, W3-W18, U1-U10.
+# Statistics: G10-G38 without G26, W3-W15 without W11 and W12, U1-U9.
 @query(
     f"""select label, {r("q1")} as q1, {r("q2")} as q2, {r("q3")} as q3, {r("q3 - q1")} as iqr, {r("q1 - 1.5 * (q3 - q1)")} as low, {r("q3 + 1.5 * (q3 - q1)")} as high from
     (select l_returnflag as label, quantile_cont(l_extendedprice, 0.25) as q1, quantile_cont(l_extendedprice, 0.5) as q2, quantile_cont(l_extendedprice, 0.75) as q3 from lineitem group by 1)"""
@@ -639,7 +639,7 @@ def text_summary(spark, d):
     return fx.text(spark, d).groupBy("image_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", part.alias("t")))), lambda s: s["t"]), " | ").alias("summary"))
 
 
-# Angles, units, boxes: X22-X42.
+# Angles, units, boxes: X22-X42 without X24, X29-X31 and X37.
 @query(f"""select l_orderkey, {r("fmod(pred * 3 + 720, 360::double)", 5)} as turned, {r("least(fmod(fmod(pred - true_, 180::double) + 180, 180::double), 180 - fmod(fmod(pred - true_, 180::double) + 180, 180::double))", 5)} as undirected from angle""", "angle")
 def angle_normalise(spark, d):
     """X32, X34."""
@@ -734,7 +734,7 @@ def digit_reading(spark, d):
     return out.select("image_no", "digits", tx.digits_to_weight(F.col("digits")).alias("weight"))
 
 
-# Polygons: P1-P14, X50.
+# Polygons: P1-P15 without P6 and P13, X50.
 @query(f""", s as (select vec_id, sum(px * qy - qx * py) / 2 as a, sum(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py))) as p from edge group by 1) select vec_id, {r("a", 4)} as area, {r("p", 4)} as perimeter, {r("4 * pi() * a / (p * p)")} as circularity from s""", "contour")
 def polygon_area_perimeter(spark, d):
     """P1-P3."""
