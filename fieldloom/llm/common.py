@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The folder used only where the session sets no spark.checkpoint.dir (local tests).
+#: The folder used only where a session on one machine sets no spark.checkpoint.dir (tests).
 LOCAL_SHARED = "/tmp/fieldloom-shared"
 
 WORD_5 = 5
@@ -20,9 +22,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
-    return base.rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir; only a session on one machine may leave it out."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (base or LOCAL_SHARED).rstrip("/")
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -52,11 +56,37 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 BATCH_BYTES = 16 << 20
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches end at BATCH_BYTES; each operator that sends texts to Python asks for it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts_of(documents: DataFrame, id_column: str) -> DataFrame:
+    """(doc_id, text) of each row, with a null text made empty."""
+    return bounded_batches(documents).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def keep_where(docs: DataFrame, decide: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """The rows of docs whose texts decide() accepts, about a megabyte of texts at a time.
+
+    Only the texts go to Python and one boolean of each comes back; whole rows
+    stay in the JVM. A null text is decided as an empty one.
+    """
+
+    @F.arrow_udf("boolean")
+    def accepted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.concat_arrays([pa.array([], pa.bool_()), *(decide(part) for part in slices(column))])
+            trim()
+
+    return bounded_batches(docs).where(accepted(F.coalesce("text", F.lit(""))))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column as one array, and the n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,18 +100,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def rows_of(batch: pa.RecordBatch, limit: int = 1 << 20):
-    """Slices of a batch that hold at most about limit bytes of text, or one row."""
-    col = batch.column(batch.schema.get_field_index("text"))
-    lengths = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
-    ends, start = np.cumsum(lengths), 0
-    while start < len(batch):
+def _cuts(texts: pa.Array, limit: int):
+    """(first row, rows) of stretches with at most about limit bytes of text, or one row."""
+    ends, start = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)), 0
+    while start < len(texts):
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(start, stop - start)
+        yield start, stop - start
         start = stop
 
 
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
+    """Slices of a text column of at most about limit bytes, or one row."""
+    for cut in _cuts(texts, limit):
+        yield texts.slice(*cut)
+
+
+def rows_of(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold at most about limit bytes of text, or one row."""
+    for cut in _cuts(batch.column(batch.schema.get_field_index("text")), limit):
+        yield batch.slice(*cut)
+
+
 def trim() -> None:
     """Gives memory that this worker no longer uses back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

@@ -9,8 +9,9 @@ probability.
 The fit uses at most TRAIN_ROWS labelled rows (chosen by a hash of the id);
 everything else covers all rows. Defined results: null text counts as empty and
 is scored as an empty text; without any labelled row each score is 0.5; of
-several labels of one document the largest counts; repeated rows are each
-scored; extra columns are ignored.
+several labels of one document the largest counts; of several rows of one id
+the fit takes the one of least statistics; repeated rows are each scored; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, mix64, prefix_hashes, release, rows_of, span_hashes, stage_table, text_bytes
+from .common import bounded_sample, keep_where, mix64, prefix_hashes, release, rows_of, span_hashes, stage_table, text_bytes, texts_of, trim
 
 TRAIN_ROWS = 40_000
 FEATURES = 384
@@ -151,14 +152,15 @@ def _stats_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
     for batch in batches:
         for part in rows_of(batch):
             yield part, statistics(*text_bytes(part.column(part.schema.get_field_index("text"))))
+        trim()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, bound: int) -> DataFrame:
-    """(doc_id, text, y) of the bounded sample of labelled rows whose crc32 remainder isn't left out."""
+    """(doc_id, text, y) of the bounded sample of labelled ids whose crc32 remainder isn't left out; an id that documents repeats comes as often."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % modulus != left_out))
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("y"))
     sample = F.broadcast(bounded_sample(own, "doc_id", bound))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
+    return texts_of(docs, "doc_id").join(sample, "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, left_out: int = 1, bound: int = TRAIN_ROWS) -> Model:
@@ -169,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, left_out: int = 1,
         for part, stats in _stats_of(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(stats), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    train = stage_table(training_rows(docs, labels, "quality", modulus, left_out, bound).mapInArrow(measure, "doc_id long, y double, x array<double>").repartition(FIT_PARTITIONS, "doc_id"), "quality")
+    measured = training_rows(docs, labels, "quality", modulus, left_out, bound).mapInArrow(measure, "doc_id long, y double, x array<double>")
+    # One row of each id, the least, so that the bound on ids bounds the rows.
+    train = stage_table(measured.repartition(FIT_PARTITIONS, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")), "quality")
     parts = [F.col("x")[i] for i in range(N_STATISTICS)]
     row = train.agg(F.count("*"), *[F.avg(c) for c in parts], *[F.stddev_pop(c) for c in parts]).first()
     if not row[0]:
@@ -223,15 +227,10 @@ def score_documents(docs: DataFrame, model: Model, modulus: int = 3, left_out: i
             score = model.score(stats)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = texts_of(docs, "doc_id").mapInArrow(run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == left_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
-
-    def run(batches):
-        for part, stats in _stats_of(batches):
-            yield part.filter(pa.array(model.score(stats) >= 0.5))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of docs that the classifier accepts, with all their columns, whatever their names; a null text counts as empty, repeated rows are each decided."""
+    return keep_where(docs, lambda texts: pa.array(model.score(statistics(*text_bytes(texts))) >= 0.5))

@@ -1,18 +1,21 @@
 """Toxic passages by maximum-scoring segments.
 
 Words and their beginnings get log-odds of standing in a toxic rather than a
-clean document, smoothed by a Dirichlet prior in proportion to how common they
-are. One linear scan finds every maximal segment of a text whose log-odds sum
-is positive; how large the best sum of a clean text of that length gets follows
-an extreme-value law, whose fit on clean training rows turns sums into
-surprise, and a logistic curve turns the surprise of a document into its score.
-
-The fit uses at most TRAIN_ROWS labelled rows, chosen by a hash of the id, and
-of rows that share their smallest shingle only one, so that copies don't count
-as evidence. Defined results: null text counts as empty and has no passage;
-without labelled rows of both kinds each score is 0; of several labels of one
-document the largest counts; repeated rows are each scored; extra columns are
-ignored.
+clean document, for or against, smoothed by a Dirichlet prior in proportion to
+how common they are. A token counts if its log-odds are significant; one that
+speaks for toxicity must also stand in more toxic than clean documents, or
+every rare word would. One linear scan finds every maximal segment of a text
+whose log-odds sum is positive; how large the best sum of a clean text of that
+length gets follows an extreme-value law, whose fit on clean training rows
+turns sums into surprise, and a logistic curve turns the surprise of a document
+into its score.
+
+The fit uses at most TRAIN_ROWS labelled ids, chosen by a hash of the id, one
+row of each, and of rows that share their smallest shingle only one, so that
+copies don't count as evidence. Defined results: null text counts as empty and
+has no passage; without labelled rows of both kinds each score is 0; of several
+labels of one document the largest counts; repeated rows are each scored; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,19 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, rows_of, stage_table, text_bytes
+from .common import keep_where, release, rows_of, stage_table, text_bytes, texts_of, trim
 from .ngram_join import shingle_sets
-from .quality import training_rows
+from .quality import FIT_PARTITIONS, training_rows
 
 TRAIN_ROWS = 40_000
-#: Strength of the Dirichlet prior in documents, the z-value that evidence must reach, and the fewest documents with a token.
-PRIOR, EVIDENCE, FEWEST = 4.0, 4.0, 4
+#: Strength of the Dirichlet prior in documents; the least z-value and the least log-odds, either way, below which a token counts as 0; and the fewest documents of the kind it speaks for.
+PRIOR, EVIDENCE, LEAST_ODDS, FEWEST = 4.0, 2.0, 1.0, 4
 #: The most tokens a model keeps, best evidence first.
 TOKENS = 50_000
 #: Beginnings of words of these lengths are tokens of their own.
 BEGINNINGS = (4, 5, 6)
-#: What a word without evidence adds; it is below 0, so that sums of clean texts stay bounded.
+#: What each word adds besides its log-odds; below 0, so that a segment must gain by every word it takes in and sums of clean texts stay bounded.
 DRIFT = -0.25
+#: Tokens that a task counts before it hands the counts on.
+HELD_TOKENS = 50_000
 #: Distinct words whose weights a task keeps before it starts anew; this bounds memory and changes no result.
 MEMO = 400_000
 
@@ -56,31 +61,33 @@ def tokens_of(word: str) -> list[str]:
 
 
 def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal segments (first word, last word, sum) of a text whose scored words are given.
+    """All maximal segments (first word, last word, sum) of a text whose words with log-odds are given.
 
-    Words in between add drift each. One pass with a stack of candidates, each
-    with the running sum before and after it; a candidate is merged leftwards
-    while an earlier one begins lower and ends below it.
+    Each word adds drift besides. One pass with a stack of candidates, each with
+    the running sum before and after it; a candidate is merged leftwards while
+    an earlier one begins lower and ends below it. Each keeps the place of the
+    nearest earlier one that begins lower, so that searches skip what an earlier
+    search has passed and the whole takes linear time.
     """
-    stack: list[tuple[int, int, float, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     total, at = 0.0, -1
     for i, s in scores:
         total += drift * (i - at - 1)
         at = i
-        left, right, first, last = total, total + s, i, i
+        left, right, first, last = total, total + s + drift, i, i
         total = right
-        if s <= 0:
+        if right <= left:
             continue
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= right:
                 break
             first, left = stack[j][0], stack[j][2]
             del stack[j:]
-        stack.append((first, last, left, right))
-    return [(a, b, r - x) for a, b, x, r in stack]
+        stack.append((first, last, left, right, j))
+    return [(a, b, r - x) for a, b, x, r, _ in stack]
 
 
 @dataclass
@@ -101,7 +108,7 @@ class Model:
             if len(self._memo) > MEMO:
                 self._memo.clear()
             known = [self.weights[t] for t in tokens_of(word) if t in self.weights]
-            got = self._memo[word] = max(known) if known else 0.0
+            got = self._memo[word] = max(known, key=abs) if known else 0.0
         return got
 
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
@@ -131,16 +138,19 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int = 0,
     """Fits on labelled rows whose crc32(doc_id as text) mod modulus isn't left_out."""
     spark = docs.sparkSession
     rows = training_rows(docs, labels, "toxic", modulus, left_out, bound)
-    # Rows that share their smallest 5-word shingle are mostly copies; the smallest id of each lot stays.
+
     def lots(batches):
         for batch in batches:
             for part in rows_of(batch):
                 sets = shingle_sets(*text_bytes(part.column(1)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([int(h[0].astype(np.int64)) if len(h) else 0 for h in sets], pa.int64())], names=["doc_id", "text", "y", "lot"])
+            trim()
 
-    train = stage_table(rows.mapInArrow(lots, "doc_id long, text string, y double, lot long"), "toxicity")
-    first = train.groupBy("lot", "y").agg(F.min("doc_id").alias("doc_id"))
-    own = stage_table(train.join(F.broadcast(first.select("doc_id")), "doc_id").select("y", "text").repartition(12), "toxicity-train")
+    # Rows that share their smallest 5-word shingle are mostly copies; the smallest id of each lot stays, and one row of each id.
+    train = stage_table(rows.mapInArrow(lots, "doc_id long, text string, y double, lot long").withColumn("row", F.monotonically_increasing_id()), "toxicity")
+    each = train.groupBy("doc_id").agg(F.min(F.struct("lot", "row", "y")).alias("x")).select("doc_id", "x.*")
+    first = each.groupBy("lot", "y").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.row")  # at most bound rows
+    own = stage_table(train.join(F.broadcast(first), "row").select("y", "text").repartition(FIT_PARTITIONS), "toxicity-train")
     release(spark, train)
     count = {r[0]: r[1] for r in own.groupBy((F.col("y") > 0).alias("toxic")).count().collect()}
     if len(count) < 2:
@@ -149,33 +159,45 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int = 0,
 
     def tally(batches):
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+
+        def out():
+            keys = list(seen)
+            counts = np.array([seen[k] for k in keys], np.int64).reshape(-1, 2)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["token", "clean", "toxic"])
+
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in {t for word in set(words_of(text)) for t in tokens_of(word)}:
-                    seen[t][y > 0] += 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64())], names=["token", "clean", "toxic"])
+            for part in rows_of(batch):
+                for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for t in {t for word in set(words_of(text)) for t in tokens_of(word)}:
+                        seen[t][y > 0] += 1
+                    if len(seen) >= HELD_TOKENS:
+                        yield out()
+        yield out()
+        trim()
 
     n_clean, n_toxic = float(count[False]), float(count[True])
     sums = own.mapInArrow(tally, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # An informative Dirichlet prior: as if PRIOR more documents of either kind held the token as often as all do.
     prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n_clean + n_toxic)
     odds = lambda k, n: F.log((k + prior) / (n + PRIOR - k - prior))
     best = (
-        sums.where(F.col("toxic") >= FEWEST)
+        sums
         .withColumn("weight", odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean))
-        .withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior + 0.01)))
-        .where((F.col("weight") > 1) & (F.col("z") > EVIDENCE * 0.5) & (F.col("toxic") > F.col("clean")))
-        .orderBy(F.desc("z"), "token")
+        .withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
+        .where((F.abs("z") >= EVIDENCE) & (F.abs("weight") >= LEAST_ODDS))
+        .where(((F.col("weight") > 0) & (F.col("toxic") > F.col("clean")) & (F.col("toxic") >= FEWEST)) | ((F.col("weight") < 0) & (F.col("clean") >= FEWEST)))
+        .orderBy(F.desc(F.abs("z")), "token")
         .limit(TOKENS)
     )
     model = Model(weights={r["token"]: float(r["weight"]) for r in best.select("token", "weight").collect()})
 
     def measure(batches):
-        for batch in batches:
-            n, s = zip(*((n, max((x[2] for x in f), default=0.0)) for n, f in map(model.passages, batch.column(1).to_pylist())), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.float64()), pa.array(s, pa.float64())], names=["y", "n", "s"])
+        for y, texts in _parts(batches):
+            n, s = zip(*((n, max((x[2] for x in f), default=0.0)) for n, f in map(model.passages, texts.to_pylist())), strict=True)
+            yield pa.RecordBatch.from_arrays([y, pa.array(n, pa.float64()), pa.array(s, pa.float64())], names=["y", "n", "s"])
 
-    clean = np.array([r for r in own.where("y <= 0").mapInArrow(measure, "y double, n double, s double").collect()])  # at most TRAIN_ROWS
+    clean = np.array([r for r in own.where("y <= 0").mapInArrow(measure, "y double, n double, s double").collect()])  # at most bound rows
     x, s = np.log1p(clean[:, 1]), clean[:, 2]
     if x.std() > 0:
         model.slope = max(0.0, float(np.cov(x, s)[0, 1] / x.var()))
@@ -185,16 +207,24 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int = 0,
     model.place = float(rest.mean()) - 0.5772156649 * model.spread
 
     def weigh(batches):
-        for batch in batches:
-            e = [model.evidence(*model.passages(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e, pa.float64())], names=["y", "e"])
+        for y, texts in _parts(batches):
+            e = [model.evidence(*model.passages(t)) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([y, pa.array(e, pa.float64())], names=["y", "e"])
 
-    pairs = np.array(own.mapInArrow(weigh, "y double, e double").collect())  # at most TRAIN_ROWS
+    pairs = np.array(own.mapInArrow(weigh, "y double, e double").collect())  # at most bound rows
     release(spark, own)
     model.a, model.b = logistic(pairs[:, 1], (pairs[:, 0] > 0).astype(float))
     return model
 
 
+def _parts(batches):
+    """(first column, texts) of slices of batches of two columns."""
+    for batch in batches:
+        for part in rows_of(batch):
+            yield part.column(0), part.column(1)
+        trim()
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and intercept by Newton's method with a small ridge; the slope is never below 0."""
     scale = x.std() or 1.0
@@ -213,25 +243,19 @@ def score_documents(docs: DataFrame, model: Model, modulus: int = 5, left_out: i
     """doc_id, held_out, score, predicted, and the passages: n_passages, best_first and best_last word."""
 
     def run(batches):
-        for batch in batches:
+        for ids, texts in _parts(batches):
             out = []
-            for text in batch.column(1).to_pylist():
-                n, found = model.passages(text or "")
+            for text in texts.to_pylist():
+                n, found = model.passages(text)
                 best = max(found, key=lambda x: x[2], default=(None, None, 0.0))
                 out.append((model.score(model.evidence(n, found)), sum(model.surprise(n, x[2]) > 3 for x in found), best[0], best[1]))
             score, n, first, last = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["doc_id", "score", "predicted", "n_passages", "best_first", "best_last"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["doc_id", "score", "predicted", "n_passages", "best_first", "best_last"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int, n_passages long, best_first long, best_last long")
+    scored = texts_of(docs, "doc_id").mapInArrow(run, "doc_id long, score double, predicted int, n_passages long, best_first long, best_last long")
     return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == left_out, F.lit(False)).alias("held_out"), "score", "predicted", "n_passages", "best_first", "best_last")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that aren't toxic, with all their columns."""
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([model.score(model.evidence(*model.passages(t or ""))) < 0.5 for t in texts], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of docs that aren't toxic, with all their columns, whatever their names; a null text counts as empty, repeated rows are each decided."""
+    return keep_where(docs, lambda texts: pa.array([model.score(model.evidence(*model.passages(t))) < 0.5 for t in texts.to_pylist()], pa.bool_()))
