@@ -6,12 +6,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .common import mix64, trim
 
 U64 = np.uint64
 PACKED = "r int, live boolean, tokens binary, docs binary, sizes binary"
 #: Entries that one reducer should get, and that a task holds before it hands them on.
 RANGE_ENTRIES, FLUSH_ENTRIES = 600_000, 500_000
+#: Groups over which what is settled already is dealt within each range, so that a token of very many documents lands in no one task.
+SALTS = 8
 
 
 def range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
@@ -67,6 +72,16 @@ def packed_stream(ranges: int, entries):
         yield pack(ranges, np.concatenate(tokens), np.concatenate(docs), np.concatenate(sizes))
 
 
+def met(packed: DataFrame, settled: str, ranges: int, most: int, reduce, schema: str) -> DataFrame:
+    """reduce() over each range of packed rows; rows whose flag settled is set need no company and are dealt apart.
+
+    Of a token, only entries that aren't settled meet in one task, and those are
+    at most one of each hand-over of a task.
+    """
+    salt = F.when(F.col(settled), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int") + 1).otherwise(0)
+    return packed.withColumn("salt", salt).repartition(min(2 * ranges, most), "r", "salt").groupBy("r", "salt").applyInArrow(reduce, schema)
+
+
 def unpack(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
 

@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard join by size-banded tiles with bitmap signatures.
+"""N-gram Jaccard join by size-banded tiles with bitmap signatures.
 
 A document's set holds its distinct 5-word shingles, as 64-bit hashes. Equal
 sets are one class. Two sets with a Jaccard similarity of 0.8 or more have sizes
@@ -13,21 +13,29 @@ across components. Every comparison asks the bitmaps first: bits that only one
 side has bound the overlap from above. What passes is decided by intersecting
 the sorted arrays of hashes.
 
+The result is exact but for hashes: words and shingles are known by 64 bits,
+equal sets by their size and two 64-bit digests, tiles of equal members by
+their count and a sum of 64-bit hashes. Words of over LONG_WORD bytes are hashed
+by a function without algebraic structure, since the polynomial that serves
+short ones has made-up collisions of a thousand bytes and more.
+
 Defined results: null and empty texts, and texts of white space only, have an
 empty set and link with nothing; a row without id links with nothing and has no
-component; rows of equal id count as one document with the links of each; an
-empty table gives no rows; extra columns are ignored.
+component; rows of equal id count as one document with the links of each, and
+each row has its own n_shingles; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import meet
-from .common import mix64, prefix_hashes, release, rows_of, span_hashes, stage_table, text_bytes
+from .common import mix64, prefix_hashes, release, rows_of, span_hashes, stage_table, text_bytes, texts_of
 from .components import components
 
 WORDS = 5
@@ -40,6 +48,8 @@ BUCKETS = 1 << BUCKET_BITS
 BLOCK = 1024
 #: A table of at most so many ids is broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of a word beyond which it is not hashed as a polynomial.
+LONG_WORD = 64
 #: Bits of a signature: a power of two at least twice the set's size, within these.
 LEAST_BITS, MOST_BITS = 256, 16384
 
@@ -62,6 +72,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | cut[:-1]))
     stop = np.flatnonzero(solid[1:-1] & (~solid[2:] | cut[1:])) + 1
     word = mix64(span_hashes(prefix_hashes(low), start, stop))
+    for i in np.flatnonzero(stop - start > LONG_WORD).tolist():
+        word[i] = xxhash.xxh3_64_intdigest(low[start[i] : stop[i]].tobytes())
     first = np.searchsorted(start, offsets)  # the first word of each text
     count = np.diff(first)
     out: list[np.ndarray] = [np.zeros(0, U64)] * n
@@ -122,16 +134,17 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
-def _sets_of(batches):
+def _sets_of(batches, *more):
+    """(ids, sets, further columns) of a megabyte of texts at a time; the columns are id, text and the rest."""
     for batch in batches:
         for part in rows_of(batch):
-            yield part.column(0), shingle_sets(*text_bytes(part.column(1)))
+            yield part.column(0), shingle_sets(*text_bytes(part.column(1))), *(part.column(part.schema.get_field_index(c)) for c in more)
 
 
 def _measure(batches):
     """Size, digest and signature of each set, then the bucket counts of the task's texts."""
     seen = np.zeros(BUCKETS, np.int64)
-    for ids, sets in _sets_of(batches):
+    for ids, sets, rows in _sets_of(batches, "row"):
         k1, k2, sigs = [], [], []
         for h in sets:
             k1.append(int(np.bitwise_xor.reduce(mix64(h + _ODD[0]).view(np.int64))) if len(h) else 0)
@@ -139,15 +152,15 @@ def _measure(batches):
             sigs.append(signature(h).tobytes() if len(h) else None)
         seen += np.bincount((np.concatenate([np.zeros(0, U64), *sets]) >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS)
         none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(h) for h in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(ids), pa.int32()), none], names=MEASURED)
+        yield pa.RecordBatch.from_arrays([ids, rows, pa.array([len(h) for h in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(ids), pa.int32()), none], names=MEASURED)
     used = np.flatnonzero(seen)
     for lo in range(0, len(used), 50_000):
         at = used[lo : lo + 50_000]
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(seen[at])], names=MEASURED)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(seen[at])], names=MEASURED)
 
 
-MEASURED = ["doc_id", "n", "k1", "k2", "sig", "bucket", "seen"]
+MEASURED = ["doc_id", "row", "n", "k1", "k2", "sig", "bucket", "seen"]
 
 
 def _by_range(ranges: int, order):
@@ -268,15 +281,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links) for each row."""
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    measured = stage_table(docs.mapInArrow(_measure, "doc_id long, n long, k1 long, k2 long, sig binary, bucket int, seen long"), "ngram-measured")
-    rows = measured.where("bucket is null").select("doc_id", "n", "k1", "k2", "sig")
+    # A row is known by its id and a hash of its text; that tells rows of one id apart.
+    docs = texts_of(documents, id_column).withColumn("row", F.xxhash64("text"))
+    measured = stage_table(docs.mapInArrow(_measure, "doc_id long, row long, n long, k1 long, k2 long, sig binary, bucket int, seen long"), "ngram-measured")
+    rows = measured.where("bucket is null").select("doc_id", "row", "n", "k1", "k2", "sig")
     able = rows.where("n > 0 and doc_id is not null")
-    # Equal sets have equal signatures.
-    classes = stage_table(able.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "ngram-classes")
-    copies = able.join(classes, ["k1", "k2", "n"]).where("doc_id != doc").select(F.col("doc_id").alias("copy")).distinct().join(classes, F.col("copy") == F.col("doc"), "left_anti").select("copy")
-    copies = stage_table(copies, "ngram-copies")
-    own = docs.join(_side(copies), docs["doc_id"] == copies["copy"], "left_anti").where("doc_id is not null")
+    # Equal sets have equal signatures. A class goes by its smallest id, or by a hash where that id stands for several classes.
+    classes = able.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "row")).alias("x"), F.first("sig").alias("sig"))
+    classes = stage_table(classes.select("k1", "k2", "n", F.col("x.doc_id").alias("least"), F.col("x.row").alias("least_row"), "sig"), "ngram-first")
+    twice = stage_table(classes.groupBy("least").count().where("count > 1").select(F.col("least").alias("twice")), "ngram-twice")
+    release(spark)
+    named = classes.join(_side(twice), F.col("least") == F.col("twice"), "left").withColumn("doc", F.when(F.col("twice").isNull(), F.col("least")).otherwise(F.xxhash64("least", "least_row"))).drop("twice")
+    classes, whole = stage_table(named, "ngram-classes"), classes
+    member = able.select("doc_id", "row", "k1", "k2", "n").join(classes.select("k1", "k2", "n", "doc", "least", "least_row"), ["k1", "k2", "n"])
+    copies = stage_table(member.where("doc_id != least or row != least_row").select(F.col("doc_id").alias("copy"), F.col("row").alias("copy_row")).distinct(), "ngram-copies")
+    # Classes that rows of one id belong to are linked by that id.
+    shared_id = member.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a != z").select("doc_id", "a")
+    by_id = stage_table(member.join(shared_id, "doc_id").where("doc != a").select("a", F.col("doc").alias("b")).distinct(), "ngram-by-id")
+    own = docs.join(_side(copies), (docs["doc_id"] == copies["copy"]) & (docs["row"] == copies["copy_row"]), "left_anti").where("doc_id is not null")
+    own = own.join(_side(twice), F.col("doc_id") == F.col("twice"), "left").select(F.when(F.col("twice").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "row")).alias("doc_id"), "text")
     counts = np.zeros(BUCKETS, np.int64)
     for b, n in measured.where("bucket is not null").groupBy("bucket").agg(F.sum("seen")).collect():  # at most BUCKETS rows
         counts[b] = n
@@ -284,7 +307,7 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     entries = classes.agg(F.sum(F.col("n") / DENOMINATOR + 1)).first()[0] or 0
     ranges = max(12, int(entries / meet.RANGE_ENTRIES) + 1)
     packed = own.mapInArrow(_by_range(ranges, order), meet.PACKED)
-    live = stage_table(packed.repartition(min(ranges, 20_000), "r").groupBy("r").applyInArrow(meet.live, "token long, doc long, n long"), "ngram-live")
+    live = stage_table(meet.met(packed, "live", ranges, 20_000, meet.live, "token long, doc long, n long"), "ngram-live")
     # Tiles with the same members would give the same comparisons; one of each lot stays.
     lots = live.groupBy("token").agg(F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("lot"), F.count("*").alias("members"))
     one = lots.groupBy("lot", "members").agg(F.min("token").alias("token")).select("token")
@@ -295,7 +318,7 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     first = live.withColumn("band", band).join(leads, ["token", "band"]).where("doc != a").select("a", F.col("doc").alias("b")).distinct()
     sets = classes.select("doc", "n", "sig")
     links = _verify(first, sets, own)
-    known = stage_table(components(links, "ngram-components"), "ngram-known")
+    known = stage_table(components(links.unionByName(by_id), "ngram-components"), "ngram-known")
     release(spark)
     # Tiles in which more than one component is left.
     tiles = live.join(known.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -311,15 +334,23 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     more = _verify(second, sets, own)
     stars = known.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     reach = stage_table(components(stars.unionByName(more), "ngram-components"), "ngram-reach")
-    release(spark, copies, every, live, links, known, tiles, more)
-    by_class = classes.join(reach, classes["doc"] == reach["id"], "left").select("k1", "k2", "n", F.coalesce("component", "doc").alias("component"))
-    linked = able.join(by_class, ["k1", "k2", "n"]).select("doc_id", "n", "component")
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
-    return linked.unionByName(alone).select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    # A component's number is the smallest id of its classes.
+    least = reach.join(classes.select(F.col("doc").alias("id"), "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    by_class = classes.join(reach.join(least, "component").select(F.col("id").alias("doc"), "component_id"), "doc", "left").select("k1", "k2", "n", F.coalesce("component_id", "least").alias("component_id"))
+    linked = able.join(by_class, ["k1", "k2", "n"]).select("doc_id", "n", "component_id")
+    alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = stage_table(linked.unionByName(alone).select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), "component_id"), "ngram-linked")
+    release(spark, measured, whole, twice, classes, copies, by_id, every, live, links, known, tiles, more, reach)
+    return out
 
 
 def keep_first(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of documents without those that link, directly or not, to a smaller id; all columns stay."""
+    """The rows of documents without those that link, directly or not, to a smaller id; all columns stay, whatever their names.
+
+    Rows of one id stay or go together; a row without id, and one with an empty text, stays.
+    """
     linked = link_documents(documents, id_column)
     gone = stage_table(linked.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__gone")).distinct(), "ngram-gone")
-    return documents.join(_side(gone), F.col(id_column) == F.col("__gone"), "left_anti")
+    release(documents.sparkSession, linked)
+    gone = _side(gone)
+    return documents.join(gone, documents[id_column] == gone["__gone"], "left_anti")

@@ -47,43 +47,61 @@ EMPTY = []
 
 
 def brute_links(rows):
+    """Sorted (id as text, set size, component) of each row; rows of one id count as one document."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = {}
+    sets = []
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    comp = {i: i for i in sets if i is not None}
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())))
+    comp = {i: i for i, _ in sets if i is not None}
 
     def find(x):
         while comp[x] != x:
             x = comp[x]
         return x
 
-    ids = sorted(comp)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 80 * len(sets[a] | sets[b]):
+    own = [x for x in sets if x[0] is not None and x[1]]
+    for k, (a, s) in enumerate(own):
+        for b, t in own[k + 1 :]:
+            if 100 * len(s & t) >= 80 * len(s | t):
                 x, y = find(a), find(b)
                 comp[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i) if i is not None else None) for i in sets}
+    return sorted((str(i), len(s), str(find(i) if s else i) if i is not None else "None") for i, s in sets)
+
+
+def linked(spark, rows):
+    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.link_documents(docs(spark, rows)).collect())
+
+
+def thue_morse(n):
+    """n letters, and the same with the letters exchanged: their polynomial hashes modulo a power of two are equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
 
 
 def test_ngram_join(spark, monkeypatch):
-    rows = odd_texts()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs(spark, rows)).collect()}
+    rows = [*odd_texts(), *enumerate(thue_morse(2048), 7000)]
+    got = linked(spark, rows)
     assert got == brute_links(rows)
     assert ngram_join.link_documents(docs(spark, EMPTY)).count() == 0
-    kept = [r.doc_id for r in ngram_join.keep_first(docs(spark, rows)).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted(i for i, (_, c) in got.items() if i == c and i is not None)
+    kept = [r.doc_id for r in ngram_join.keep_first(docs(spark, rows).withColumn("__gone", F.lit(1))).collect()]
+    assert sorted(map(str, kept)) == sorted(i for i, _, c in got if i == c)
 
 
 def test_ngram_join_beyond_its_bounds(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     rows = [*odd_texts(2), *((5000 + i, " ".join(f"w{j}" if j != i % 50 else f"v{i}" for j in range(50))) for i in range(60))]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs(spark, rows)).collect()}
-    assert got == brute_links(rows)
+    assert linked(spark, rows) == brute_links(rows)
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    assert linked(spark, [(3, a), (5, a), (5, b), (7, b), (9, c)]) == [("3", 3, "3"), ("5", 3, "3"), ("5", 3, "3"), ("7", 3, "3"), ("9", 3, "9")]
+    # One id is the smallest of several classes.
+    assert linked(spark, [(5, a), (5, b), (5, b), (7, b), (8, a), (9, c), (4, c)]) == [("4", 3, "4"), ("5", 3, "5"), ("5", 3, "5"), ("5", 3, "5"), ("7", 3, "5"), ("8", 3, "5"), ("9", 3, "4")]
+    rows = [(i // 2 % 100, t) if i is not None else (i, t) for i, t in odd_texts(3)]
+    assert linked(spark, rows) == brute_links(rows)
 
 
 def test_bitmaps_bound_from_above():
@@ -391,6 +409,22 @@ def test_suffix(spark):
     assert suffix.cut_documents(docs(spark, EMPTY)).count() == 0
 
 
+def cuts(spark, rows):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.cut_documents(docs(spark, rows)).collect())
+
+
+def test_suffix_of_repeated_ids(spark, monkeypatch):
+    rng = random.Random(6)
+    p, q = ("".join(rng.choice("abcdef ") for _ in range(300)) for _ in range(2))
+    for rows in ([(1, p), (5, "zz" + p), (5, q)], [(1, p), (5, "zz" + p), (5, "short")], [(5, p), (5, "zz" + p), (6, q + p), (6, p), (6, p)]):
+        assert cuts(spark, rows) == brute_cut(rows)
+    # A passage that many blocks of a task have, in falling order of ids too.
+    monkeypatch.setattr(suffix, "BLOCK", 2000)
+    for sign in (1, -1):
+        rows = [(sign * i, f"{i} {q[: 40 + i % 9]} {p} {i * 7}") for i in range(120)]
+        assert cuts(spark, rows) == brute_cut(rows)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(11)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
