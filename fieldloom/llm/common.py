@@ -53,7 +53,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 #: Arrow batches end at so many bytes, so that very long texts don't meet in one batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def texts_of(documents: DataFrame, id_column: str) -> DataFrame:
 
 
 def keep_where(docs: DataFrame, decide: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """The rows of docs whose texts decide() accepts, about a megabyte of texts at a time.
+    """The rows of docs whose texts decide() accepts, half a megabyte of texts at a time.
 
     Only the texts go to Python and one boolean of each comes back; whole rows
     stay in the JVM. A null text is decided as an empty one.
@@ -110,13 +110,13 @@ def _cuts(texts: pa.Array, limit: int):
         start = stop
 
 
-def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, limit: int = 1 << 19) -> Iterator[pa.Array]:
     """Slices of a text column of at most about limit bytes, or one row."""
     for cut in _cuts(texts, limit):
         yield texts.slice(*cut)
 
 
-def rows_of(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def rows_of(batch: pa.RecordBatch, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold at most about limit bytes of text, or one row."""
     for cut in _cuts(batch.column(batch.schema.get_field_index("text")), limit):
         yield batch.slice(*cut)

@@ -14,7 +14,7 @@ from .common import mix64, trim
 U64 = np.uint64
 PACKED = "r int, live boolean, tokens binary, docs binary, sizes binary"
 #: Entries that one reducer should get, and that a task holds before it hands them on.
-RANGE_ENTRIES, FLUSH_ENTRIES = 600_000, 500_000
+RANGE_ENTRIES, FLUSH_ENTRIES = 600_000, 250_000
 #: Groups over which what is settled already is dealt within each range, so that a token of very many documents lands in no one task.
 SALTS = 8
 

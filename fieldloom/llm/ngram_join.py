@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import meet
-from .common import mix64, prefix_hashes, release, rows_of, span_hashes, stage_table, text_bytes, texts_of
+from .common import mix64, prefix_hashes, release, rows_of, span_hashes, stage_table, text_bytes, texts_of, trim
 from .components import components
 
 WORDS = 5
@@ -135,10 +135,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets_of(batches, *more):
-    """(ids, sets, further columns) of a megabyte of texts at a time; the columns are id, text and the rest."""
+    """(ids, sets, further columns) of half a megabyte of texts at a time; the columns are id, text and the rest."""
     for batch in batches:
         for part in rows_of(batch):
             yield part.column(0), shingle_sets(*text_bytes(part.column(1))), *(part.column(part.schema.get_field_index(c)) for c in more)
+        trim()
 
 
 def _measure(batches):
