@@ -1,20 +1,24 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-Texts become a line of words. A keyword prefilter decides which rules' regular
-expressions are tried on a document, each match becomes an interval of words,
-and a match that a match of higher priority contains is dropped.
+A gate of keywords, derived from the rules so that no match escapes it, decides
+which texts become a line of words; the keywords that the line holds decide
+which rules' regular expressions are tried. Each match becomes an interval of
+words, and a match that a match of the same or higher priority contains is
+dropped; of matches of one interval the higher priority stays, then the earlier
+rule. The score says how unlikely it is that all remaining matches are mistaken.
 
 Defined results: null and empty texts have no words, no labels and the score 0;
-repeated rows are each scanned; extra columns are ignored.
+repeated rows are each scanned; extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import rules
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: The same words before A-Z are lower-cased.
@@ -23,85 +27,46 @@ RAW_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: The base phrases and their labels (fixed values).
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Licenses: label, keyword that any text naming it has, regular expression of its name in words.
-LICENSES = [
-    ("mit", "mit", "mit"),
-    ("mit", "expat", "expat"),
-    ("mit-0", "mit", "mit (?:no attribution|0)"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache", "apache", "apache(?: software)?"),
-    ("gpl-3", "general public", "(?:gnu )?general public(?: license)?(?: version| v)? 3(?: 0)?"),
-    ("gpl-3", "gpl", "(?:gnu )?gpl ?v?3(?: 0)?"),
-    ("gpl-2", "general public", "(?:gnu )?general public(?: license)?(?: version| v)? 2(?: 0)?"),
-    ("gpl-2", "gpl", "(?:gnu )?gpl ?v?2(?: 0)?"),
-    ("gpl", "general public", "(?:gnu )?general public"),
-    ("gpl", "gpl", "(?:gnu )?gpl"),
-    ("lgpl-3", "lgpl", "(?:gnu )?lgpl ?v?3(?: 0)?"),
-    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl ?v?2 1"),
-    ("lgpl", "lesser general", "(?:gnu )?lesser general public"),
-    ("agpl-3", "agpl", "(?:gnu )?agpl ?v?3(?: 0)?"),
-    ("agpl", "affero", "(?:gnu )?affero(?: general public)?"),
-    ("bsd-2", "bsd", "(?:simplified bsd|bsd 2(?: clause)?|2 clause bsd)"),
-    ("bsd-3", "bsd", "(?:new bsd|modified bsd|bsd 3(?: clause)?|3 clause bsd)"),
-    ("bsd-4", "bsd", "(?:original bsd|bsd 4(?: clause)?|4 clause bsd)"),
-    ("bsd", "bsd", "bsd"),
-    ("isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("mpl-2", "mozilla", "mozilla public(?: license)?(?: version| v)? 2(?: 0)?"),
-    ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: version| v)? 1 1"),
-    ("mpl", "mozilla", "mozilla public"),
-    ("epl-2", "eclipse", "eclipse public(?: license)?(?: version| v)? 2(?: 0)?"),
-    ("epl-1", "eclipse", "eclipse public(?: license)?(?: version| v)? 1(?: 0)?"),
-    ("cddl", "cddl", "cddl"),
-    ("cddl", "common development", "common development and distribution"),
-    ("artistic-2", "artistic", "artistic(?: license)? 2(?: 0)?"),
-    ("artistic", "artistic", "artistic"),
-    ("boost-1", "boost", "boost(?: software)?(?: license)?(?: version)?(?: 1 0)?"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("ofl", "open font", "(?:sil )?open font"),
-    ("odbl", "open database", "open database"),
-    ("eupl", "european union", "european union public"),
-    ("cc0", "cc0", "cc0"),
-    ("cc-by", "cc", "cc by"),
-    ("cc-by-sa", "cc", "cc by sa"),
-    ("cc-by-nc", "cc", "cc by nc"),
-    ("cc-by-nd", "cc", "cc by nd"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd"),
-    ("cc-by", "creative", "creative commons attribution"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial"),
-    ("cc-by-nd", "creative", "creative commons attribution no ?deriv(?:ative)?s?"),
-    ("proprietary", "proprietary", "proprietary"),
-    ("public-domain", "public domain", "public domain"),
-]
-
-#: Forms a notice takes round a name: priority, what stands before it, what stands behind it.
-FORMS = [
-    (5, "spdx licen[cs]e identifier ", "(?: only| or later)?"),
-    (4, "(?:licen[cs]ed|released|distributed|available|published|provided|covered|offered) under (?:the )?(?:terms of (?:the )?)?(?:conditions of (?:the )?)?", "(?: licen[cs]e)?(?: version \\w+(?: \\d+)?| \\d+(?: \\d+)?)?"),
-    (4, "subject to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?", " licen[cs]e(?: version \\w+(?: \\d+)?| \\d+(?: \\d+)?)?"),
-    (3, "under (?:the )?(?:terms of (?:the )?)?", " licen[cs]e(?: version \\w+(?: \\d+)?| \\d+(?: \\d+)?)?"),
-    (2, "licen[cs]e ", ""),
-    (1, "(?:the )?", " licen[cs]e(?: version \\w+(?: \\d+)?| \\d+(?: \\d+)?)?"),
-]
-
-LEVELS = max(f[0] for f in FORMS)
-#: Any of these is in a text that a base phrase or a form can match; bare names are looked for by `BARE_NAMES`.
-GATE = ["licen", "cc", "under"]
-#: Names that nothing else is called.
-BARE = [x for x in LICENSES if x[0].startswith("cc-") or x[0][-1].isdigit()]
-#: A bare name in a text that is not yet words: whole words, with anything but words between them.
-BARE_NAMES = f"(?<!{WORD[:-1]})(?:{'|'.join(name for _, _, name in BARE)})(?!{WORD[:-1]})".replace(" ", "(?:[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)")
-
-
-def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keyword, regular expression over words, priority), in order: one for each license and form, and the bare names that nothing else is called."""
-    told = [(priority, before, behind, license_) for (priority, before, behind), license_ in product(FORMS, LICENSES)]
-    told += [(2, "", "", x) for x in BARE]
-    return [(label, keyword, f"(?<= )(?:{before}{name}{behind})(?= )", priority) for priority, before, behind, (label, keyword, name) in told]
+#: Confidence in a match of each priority, from 1 on; a base phrase has that of a notice.
+CONFIDENCE = (0.4, 0.6, 0.8, 0.9, 0.95)
+LEVELS = len(CONFIDENCE)
+#: Keywords that are parts of too many words to be a good gate; they still decide which rules are tried.
+WEAK = {"under", "by", "sa", "nc", "nd", "new", "mit", "cc", "0"}
+#: What may stand between two words of a raw text, and what may not stand beside a match.
+GAP, LETTER = "(?:[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
+
+
+def all_rules() -> list[tuple[str, int, tuple[str, ...], str]]:
+    """The hand-written rules, and behind them the base phrases as notices."""
+    return [*rules(), *((label, 3, tuple(phrase.split()), f"(?<= )(?:{phrase})(?= )") for phrase, label in BASE.items())]
+
+
+def cover(table: list[tuple[str, int, tuple[str, ...], str]]) -> list[str]:
+    """Keywords of which every match of every rule with a keyword that isn't weak holds one: those that cover most rules first, and of these the longest."""
+    parts = sorted({k for r in table for k in r[2]} - WEAK, key=lambda k: (-len(k), k))
+    left, out = [r for r in table if set(r[2]) - WEAK], []
+    while left:
+        covered = {k: [r for r in left if any(k in q for q in r[2])] for k in parts}
+        best = max(parts, key=lambda k: len(covered[k]))
+        out.append(best)
+        left = [r for r in left if r not in covered[best]]
+    return out
+
+
+def may_match(text: Column, table: list[tuple[str, int, tuple[str, ...], str]]) -> Column:
+    """Whether a lower-cased text can hold a match of any rule: by keywords, and by their own expressions for rules whose keywords are all weak."""
+    gate = F.lit(False)
+    for k in cover(table):
+        gate = gate | F.contains(text, F.lit(k))
+    weak = [r for r in table if not set(r[2]) - WEAK]
+    some = F.lit(False)
+    for keywords in sorted({r[2] for r in weak}):
+        every = F.lit(True)
+        for k in keywords:
+            every = every & F.contains(text, F.lit(k))
+        some = some | every
+    raw = "|".join(p.removeprefix("(?<= )").removesuffix("(?= )").replace(" ", GAP) for *_, p in weak)
+    return gate | (some & text.rlike(f"(?<!{LETTER})(?:{raw})(?!{LETTER})"))
 
 
 def _intervals(line: Column, pattern: Column) -> Column:
@@ -113,35 +78,31 @@ def _intervals(line: Column, pattern: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Words, base phrases, labels and a score of each document."""
-    table = rules()
-    text = F.coalesce("text", F.lit(""))
-    df = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
-    low = F.lower("text")
-    gate = F.lit(False)
-    for k in GATE:
-        gate = gate | F.contains(low, F.lit(k))
-    # The expression is slow, so only texts with a bare name's keyword are searched.
-    named = F.lit(False)
-    for k in sorted({keyword.split()[0] for _, keyword, _ in BARE}):
-        named = named | F.contains(low, F.lit(k))
-    gate = gate | (named & low.rlike(BARE_NAMES))
-    df = df.select("doc_id", F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(gate, F.translate("text", UPPER, LOWER)).alias("low"))
+    table = all_rules()
+    df = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    df = df.select("doc_id", F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), "text", F.lower("text").alias("any_case"))
+    # lower() also makes ASCII letters of some others, so it serves only where a keyword settles the matter; it never takes an ASCII letter away.
+    df = df.select("doc_id", "n_words", F.when(may_match(F.col("any_case"), table), F.translate("text", UPPER, LOWER)).alias("low"))
     df = df.withColumn("line", F.concat(F.lit(" "), F.array_join(F.regexp_extract_all("low", F.lit(WORD), F.lit(0)), " "), F.lit(" "))).drop("low")
     phrases = F.lit("(?<= )(?:" + "|".join(BASE) + ")(?= )")
     df = df.withColumn("base", F.transform(_intervals(F.col("line"), phrases), lambda x: x["first"]))
     df = df.withColumn("base_set", F.filter(F.array(*[F.when(F.contains("line", F.lit(f" {p} ")), F.lit(label)) for p, label in BASE.items()]), lambda x: x.isNotNull()))
-    known = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(i).alias("order")) for i, (a, k, p, n) in enumerate(table)])
-    tried = F.filter(known, lambda r: F.contains(F.col("line"), r["keyword"]))
+    # Keyword prefilter: which keywords a line holds, then the rules that have all theirs.
+    words = F.array(*[F.lit(k) for k in sorted({k for r in table for k in r[2]})])
+    df = df.withColumn("held", F.when(F.col("line").isNotNull(), F.filter(words, lambda k: F.contains(F.col("line"), k))))
+    known = F.array(*[F.struct(F.lit(a).alias("label"), F.array(*map(F.lit, k)).alias("keywords"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(i).alias("order")) for i, (a, n, k, p) in enumerate(table)])
+    tried = F.filter(known, lambda r: F.size(F.array_except(r["keywords"], F.col("held"))) == 0)
     found = F.flatten(F.transform(tried, lambda r: F.transform(_intervals(F.col("line"), r["pattern"]), lambda x: F.struct(x["first"].alias("first"), (-x["last"]).alias("back"), (-r["priority"]).alias("rank"), r["order"].alias("order"), r["label"].alias("label")))))
     # In this order whatever contains a match stands before it, so one pass that keeps each priority's farthest end settles containment.
-    df = df.withColumn("found", F.sort_array(found))
+    df = df.withColumn("found", F.when(F.size("held") > 0, F.sort_array(found)))
     none = F.transform(F.sequence(F.lit(1), F.lit(LEVELS)), lambda i: F.lit(-1))
-    start = F.struct(none.alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("best"))
+    start = F.struct(none.alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(1.0).alias("doubt"))
+    doubt = F.array(*[F.lit(1 - c) for c in CONFIDENCE])
 
     def step(s, d):
         lost = F.exists(F.slice(s["ends"], -d["rank"], LEVELS), lambda e: e >= -d["back"])
         ends = F.transform(s["ends"], lambda e, i: F.when((i == -d["rank"] - 1) & (e < -d["back"]), -d["back"]).otherwise(e))
-        return F.struct(ends.alias("ends"), F.when(lost, s["labels"]).otherwise(F.array_union(s["labels"], F.array(d["label"]))).alias("labels"), F.when(lost, s["best"]).otherwise(F.greatest(s["best"], -d["rank"])).alias("best"))
+        return F.struct(ends.alias("ends"), F.when(lost, s["labels"]).otherwise(F.array_union(s["labels"], F.array(d["label"]))).alias("labels"), F.when(lost, s["doubt"]).otherwise(s["doubt"] * F.get(doubt, -d["rank"] - 1)).alias("doubt"))
 
     df = df.withColumn("kept", F.aggregate("found", start, step))
     n_base = F.coalesce(F.size("base"), F.lit(0))
@@ -153,6 +114,6 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         F.array_min("base").cast("long").alias("first_word"),
         F.array_max("base").cast("long").alias("last_word"),
         joined(F.col("base_set")).alias("base_labels"),
-        joined(F.concat("base_set", F.col("kept.labels"))).alias("labels"),
-        F.coalesce(F.when(F.size("base_set") > 0, F.lit(1.0)).otherwise(F.col("kept.best") / F.lit(float(LEVELS))), F.lit(0.0)).alias("score"),
+        joined(F.concat("base_set", F.coalesce("kept.labels", F.array().cast("array<string>")))).alias("labels"),
+        F.coalesce(F.round(1 - F.col("kept.doubt"), 9), F.lit(0.0)).alias("score"),
     )

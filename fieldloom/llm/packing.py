@@ -4,12 +4,16 @@ A task reads its documents in order and keeps N(h), the number of partially
 filled windows with fill level h, in one array. A document's remainder of s
 tokens goes to the level h for which the sum of N(h)^2 after the move is
 smallest; level 0 stands for a new window. Documents of a window or more fill
-whole windows first. What is still partial at a task's end is cut into whole
-windows and windows whose size is a power of two, which need no padding.
-
-Defined results: null text counts as empty (one token, the end id); tasks pack
-independently, and the task's number is part of sequence_id, so no id repeats;
-repeated rows are each packed; extra columns are ignored.
+whole windows first. At most MOST_OPEN windows stand open: where one more would
+be opened beyond that, the remainder is cut to close the fullest one and what is
+left of it is placed anew, so a task holds at most MOST_OPEN windows of ids. What
+is still partial at a task's end is cut into whole windows and windows whose
+size is a power of two, which need no padding.
+
+Defined results: null text counts as empty (one token, the end id); a null id
+stays null; tasks pack independently, and the task's number is part of
+sequence_id, so no id repeats; repeated rows are each packed; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import rows_of, texts_of, trim
 
 WINDOW = 4096
 END_ID = 2
-#: Distinct words and pre-tokens kept by a worker before their memo starts anew; this bounds memory and changes no result.
-WORDS, PARTS = 500_000, 1_000_000
+#: Windows that a task keeps open.
+MOST_OPEN = 256
+#: Distinct words and pre-tokens that a task remembers before their memo starts anew; this bounds memory and changes no result.
+WORDS, PARTS = 200_000, 200_000
 MEMO_LENGTH = 64
 #: A task's sequence numbers stay below 2 ** TASK_BITS.
 TASK_BITS = 40
@@ -69,6 +76,10 @@ class WordIds:
             return b"".join(map(self._parts.__getitem__, self._split(word.lower())))
         return _packed(self._whole.encode(word, add_special_tokens=False).ids)
 
+    def forget(self) -> None:
+        self._words.clear()
+        self._parts.clear()
+
     def __call__(self, text: str) -> bytes:
         if len(self._words) > WORDS:
             self._words.clear()
@@ -113,6 +124,7 @@ class Levels:
         self.window = window
         self.count = np.zeros(window + 1, np.int64)
         self.standing: dict[int, list[list]] = {}
+        self.open = 0
 
     def choose(self, size: int) -> int:
         """The level h at which adding size tokens gives the smallest sum of N(h)^2."""
@@ -129,10 +141,15 @@ class Levels:
         if level == 0:
             return []
         self.count[level] -= 1
+        self.open -= 1
         return self.standing[level].pop()
 
+    def fullest(self) -> int:
+        return int(np.flatnonzero(self.count)[-1])
+
     def put(self, level: int, pieces: list) -> None:
         self.count[level] += 1
+        self.open += 1
         self.standing.setdefault(level, []).append(pieces)
 
     def rest(self) -> Iterator[list]:
@@ -140,8 +157,11 @@ class Levels:
             yield from self.standing[level]
 
 
-def pack_stream(docs: Iterator[tuple[int, bytes]], window: int = WINDOW) -> Iterator[tuple]:
-    """(doc_id, packed ids) to (doc_id, start, length, crc32, doc_tokens, sequence, offset)."""
+def pack_stream(docs: Iterator[tuple[int, bytes]], window: int = WINDOW, most_open: int = MOST_OPEN, report: dict | None = None) -> Iterator[tuple]:
+    """(doc_id, packed ids) to (doc_id, start, length, crc32, doc_tokens, sequence, offset).
+
+    report, if given, counts tokens and those of them that the final cut deals out.
+    """
     levels, sequence, size = Levels(window), 0, 4 * window
 
     def close(pieces):
@@ -157,19 +177,26 @@ def pack_stream(docs: Iterator[tuple[int, bytes]], window: int = WINDOW) -> Iter
         while len(ids) - at >= size:
             yield from close([(doc, at // 4, ids[at : at + size], total)])
             at += size
-        if at == len(ids):
-            continue
-        length = (len(ids) - at) // 4
-        level = levels.choose(length)
-        pieces = levels.take(level)
-        pieces.append((doc, at // 4, ids[at:], total))
-        if level + length == window:
-            yield from close(pieces)
-        else:
-            levels.put(level + length, pieces)
+        while at < len(ids):
+            length = (len(ids) - at) // 4
+            level = levels.choose(length)
+            if level == 0 and levels.open >= most_open:
+                level = levels.fullest()
+                length = min(length, window - level)
+            pieces = levels.take(level)
+            pieces.append((doc, at // 4, ids[at : at + 4 * length], total))
+            at += 4 * length
+            if level + length == window:
+                yield from close(pieces)
+            else:
+                levels.put(level + length, pieces)
+        if report is not None:
+            report["tokens"] = report.get("tokens", 0) + total
     # The rest: cut freely into whole windows, then into powers of two.
     rest = [p for pieces in levels.rest() for p in pieces]
     left = sum(len(p[2]) // 4 for p in rest)
+    if report is not None:
+        report["cut"] = left
     rest.reverse()
     while left:
         room = window if left >= window else 1 << (left.bit_length() - 1)
@@ -197,8 +224,11 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
 
         def stream():
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    yield doc, ids_of(text or "") + end
+                for part in rows_of(batch):
+                    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        yield doc, ids_of(text) + end
+            ids_of.forget()
+            trim()
 
         def out(rows):
             columns = [list(c) for c in zip(*rows, strict=True)]
@@ -214,4 +244,4 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
         if rows:
             yield out(rows)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, PIECES)
+    return texts_of(docs, id_column).mapInArrow(run, PIECES)
