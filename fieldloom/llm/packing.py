@@ -33,7 +33,7 @@ from .common import rows_of, texts_of, trim
 WINDOW = 4096
 END_ID = 2
 #: Windows that a task keeps open.
-MOST_OPEN = 256
+MOST_OPEN = 128
 #: Distinct words and pre-tokens that a task remembers before their memo starts anew; this bounds memory and changes no result.
 WORDS, PARTS = 200_000, 200_000
 MEMO_LENGTH = 64
