@@ -11,9 +11,9 @@ several cells is counted only in the smallest of them, so counts are exact for
 the pairs found, and only sums and a star per group leave a task.
 
 Defined results: a vector that is null, zero, or has null or non-finite
-components, and one with a null label, links with nothing; vectors of different
-length have different labels in effect; repeated rows are vectors of their own
-and link with each other; an empty table gives no rows; extra columns are
+components, and one with a null label or id, links with nothing; vectors of
+different length have different labels in effect; repeated rows, and rows of
+one id, are vectors of their own and link with each other; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stage_table
+from .common import bounded_batches, mix64, release, stage_table
 from .components import components
 
 LEAST_COSINE = 0.93
@@ -83,6 +83,12 @@ def cells(x: np.ndarray, labels: np.ndarray, tables: int = TABLES, neighbours: i
     return np.sort(np.concatenate(out, axis=1).view(np.int64), axis=1)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; the largest component goes first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(v, np.float64) for v in column.to_pylist()]
 
@@ -95,10 +101,10 @@ def _hash_classes(batches):
         for width in {len(r) for r in rows}:
             at = [i for i, r in enumerate(rows) if len(r) == width]
             x = np.vstack([rows[i] for i in at])
-            got = cells(x / np.linalg.norm(x, axis=1)[:, None], labels[at])
+            got = cells(unit(x), labels[at])
             for i, c in zip(at, got, strict=True):
                 codes[i] = c
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(codes, pa.list_(pa.int64()))], names=["rep", "n", "v", "codes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(codes, pa.list_(pa.int64()))], names=["rep", "label", "n", "v", "codes"])
 
 
 def links_within(cell: int, x: np.ndarray, codes: np.ndarray, side: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -158,17 +164,19 @@ def _compare(least: float):
             part = table.slice(lo, hi - lo)
             cell, i, j = (part.column(k)[0].as_py() for k in range(3))
             ids, n = np.asarray(part.column(4)), np.asarray(part.column(5))
-            widths = pc_lengths(part.column(6))
-            if (widths != widths[0]).any():
-                continue  # codes of different lengths differ but for a hash collision
-            x = np.asarray(part.column(6).flatten(), np.float64).reshape(len(part), -1)
-            x /= np.linalg.norm(x, axis=1)[:, None]
-            codes = np.asarray(part.column(7).flatten()).reshape(len(part), -1)
-            a, b = links_within(cell, x, codes, np.asarray(part.column(3)) if i != j else None, least)
-            if len(a):
-                add = np.bincount(a, weights=n[b], minlength=len(part)) + np.bincount(b, weights=n[a], minlength=len(part))
-                has = add > 0
-                out.append((ids[has], stars(len(part), a, b, ids)[has], add[has].astype(np.int64)))
+            widths, labels = pc_lengths(part.column(6)), np.asarray(part.column(8))
+            # A cell's code is a hash: of vectors that differ in length or label, each kind is compared by itself.
+            kinds = sorted(set(zip(widths.tolist(), labels.tolist(), strict=True)))
+            for width, label in kinds:
+                at = np.flatnonzero((widths == width) & (labels == label))
+                own = part if len(kinds) == 1 else part.take(pa.array(at))
+                x = unit(np.asarray(own.column(6).flatten(), np.float64).reshape(len(at), -1))
+                codes = np.asarray(own.column(7).flatten()).reshape(len(at), -1)
+                a, b = links_within(cell, x, codes, np.asarray(own.column(3)) if i != j else None, least)
+                if len(a):
+                    add = np.bincount(a, weights=n[at][b], minlength=len(at)) + np.bincount(b, weights=n[at][a], minlength=len(at))
+                    has = add > 0
+                    out.append((ids[at][has], stars(len(at), a, b, ids[at])[has], add[has].astype(np.int64)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["rep", "star", "add"])
 
@@ -183,28 +191,39 @@ def pc_lengths(column: pa.Array) -> np.ndarray:
 
 def link_embeddings(embeddings: DataFrame, least: float = LEAST_COSINE, id_column: str = "vec_id") -> DataFrame:
     """id, n_links, component_id and kept for each row."""
-    rows = embeddings.select(F.col(id_column).cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("v"))
+    spark = embeddings.sparkSession
+    # Vectors travel as they are given, floats or doubles, and are compared as doubles.
+    kind = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = bounded_batches(embeddings).select(F.col(id_column).cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     finite = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
     rows = rows.withColumn("links", finite & F.col("label").isNotNull() & F.col("id").isNotNull())
     # + 0.0 makes a negative zero a zero, so that equal vectors group.
-    able = rows.where("links").withColumn("v", F.transform("v", lambda c: c + F.lit(0.0).cast("float")))
+    able = rows.where("links").withColumn("v", F.transform("v", lambda c: c + F.lit(0.0).cast(kind)))
     key = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("v").cast("array<string>")), 256)
     able = able.withColumn("key", F.unhex(key))
-    classes = able.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = stage_table(classes, "lattice-classes")
-    hashed = stage_table(classes.select("rep", "label", "n", "v").mapInArrow(_hash_classes, "rep long, n long, v array<float>, codes array<long>"), "lattice-codes")
-    entries = hashed.select(F.explode("codes").alias("cell"), "rep", "n", "v", "codes")
-    large = hashed.select(F.explode("codes").alias("cell")).groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = entries.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "n", "v", "codes")
+    first = stage_table(able.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")), "lattice-first")
+    # A class goes by its smallest id, or by a hash where that id stands for several classes.
+    twice = first.groupBy("least").count().where("count > 1").select(F.col("least").alias("twice"))
+    named = first.join(twice, F.col("least") == F.col("twice"), "left").withColumn("rep", F.when(F.col("twice").isNull(), F.col("least")).otherwise(F.xxhash64("key"))).drop("twice")
+    classes = stage_table(named, "lattice-classes")
+    hashed = stage_table(classes.select("rep", "label", "n", "v").mapInArrow(_hash_classes, f"rep long, label long, n long, v array<{kind}>, codes array<long>"), "lattice-codes")
+    # Only the ids meet first; vectors go to cells that hold several of them.
+    entries = hashed.select(F.explode("codes").alias("cell"), "rep")
+    counts = entries.groupBy("cell").count().where("count > 1").select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    live = entries.join(counts, "cell").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = live.join(hashed, "rep").select("cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "n", "v", "codes", "label")
     compared = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_compare(least), "rep long, star long, add long")
     compared = stage_table(compared, "lattice-links")
     links = compared.groupBy("rep").agg(F.sum("add").alias("links_of_class"))
-    reach = components(compared.select(F.col("rep").alias("a"), F.col("star").alias("b")), "lattice-components").select(F.col("id").alias("rep"), "component")
-    by_class = classes.select("key", "rep", "n").join(links, "rep", "left").join(reach, "rep", "left")
-    by_class = by_class.select("key", (F.coalesce("links_of_class", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    reached = stage_table(components(compared.select(F.col("rep").alias("a"), F.col("star").alias("b")), "lattice-components"), "lattice-reach")
+    reach = reached.select(F.col("id").alias("rep"), "component")
+    # A component's number is the smallest id of its classes.
+    least_id = reach.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    by_class = classes.select("key", "rep", "n", "least").join(links, "rep", "left").join(reach.join(least_id, "component").select("rep", "component_id"), "rep", "left")
+    by_class = by_class.select("key", (F.coalesce("links_of_class", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     linked = able.select("id", "key").join(by_class, "key").select("id", "n_links", "component_id")
     alone = rows.where(~F.col("links")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     both = linked.unionByName(alone)
-    return both.select(F.col("id").alias(id_column), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = stage_table(both.select(F.col("id").alias(id_column), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")), "lattice-linked")
+    release(spark, first, classes, hashed, compared, reached)
+    return out
