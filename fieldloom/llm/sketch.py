@@ -1,9 +1,11 @@
 """Threshold-scaled sketches of documents, with DataFrame functions only.
 
 A document's sketch holds every hash of its 5-word shingles that lies below a
-fixed fraction of the hash range, and always the smallest hash, so that a text
-with any word has a sketch. Sketches merge by union, and the share of one in
-another estimates containment whatever the two sizes are.
+fixed fraction of the hash range, so a long text has a long sketch; a text with
+too few of them has its LEAST smallest hashes instead, or all it has. Either
+way a sketch is complete up to a limit that can be told from the sketch, so two
+of them are compared up to the smaller limit, whatever the two sizes are, and
+the sketch of several documents together follows from theirs.
 
 Defined results: null text counts as empty; an empty text has an empty sketch;
 two empty sketches have likeness 1, an empty and another 0; with fewer than
@@ -18,24 +20,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-FRACTION = 0.25
+FRACTION = 1 / 50
+#: Hashes that a sketch has at least, if the text has so many shingles.
+LEAST = 32
 SHINGLE = 5
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Rows that a range of ids should hold, and the most ranges; bounds of ranges are all that the driver gets.
 ROWS_PER_RANGE, MOST_RANGES = 4000, 4096
 
 
+def threshold(fraction: float) -> int:
+    """The hash below which a fraction of the range lies."""
+    return -(1 << 63) + int((1 << 64) * fraction)
+
+
+def _trimmed(hashes: Column, fraction: float) -> Column:
+    """Of an array of hashes the sorted distinct ones below the threshold, or the LEAST smallest where those are more."""
+    below = F.array_distinct(F.filter(hashes, lambda h: h < F.lit(threshold(fraction))))
+    return F.when(F.size(below) >= LEAST, F.sort_array(below)).otherwise(F.slice(F.sort_array(F.array_distinct(hashes)), 1, LEAST))
+
+
 def with_sketch(df: DataFrame, text: str, name: str, fraction: float = FRACTION, words: int = SHINGLE) -> DataFrame:
     """df with the sorted sketch of a text column, an array of longs."""
-    top = -(1 << 63) + int((1 << 64) * fraction)
     w, s = f"__{name}_w", f"__{name}_s"
     split = F.filter(F.split(F.col(text), SPACE), lambda x: x != "")
     df = df.withColumn(w, F.transform(split, lambda x: F.xxhash64(x)))
     shingles = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(words)]))
     whole = F.when(F.size(w) > 0, F.array(F.xxhash64(F.col(w)))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(s, F.when(F.size(w) >= words, shingles).otherwise(whole)).drop(w)
-    kept = F.concat(F.filter(s, lambda h: h < F.lit(top)), F.filter(F.array(F.array_min(s)), lambda h: h.isNotNull()))
-    return df.withColumn(name, F.sort_array(F.array_distinct(kept))).drop(s)
+    return df.withColumn(name, _trimmed(F.col(s), fraction)).drop(s)
 
 
 def as_text(sketch: Column) -> Column:
@@ -43,19 +56,34 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared hashes over all hashes of two sketches."""
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+def _limit(sketch: Column, fraction: float) -> Column:
+    """Up to where a sketch holds every hash of its text: everywhere, if it has fewer than LEAST."""
+    last = F.get(sketch, F.size(sketch) - 1)
+    return F.when(F.size(sketch) < LEAST, F.lit((1 << 63) - 1)).otherwise(F.greatest(last, F.lit(threshold(fraction) - 1)))
+
+
+def _common(a: Column, b: Column, fraction: float) -> tuple[Column, Column]:
+    """Both sketches up to the limit of either."""
+    top = F.least(_limit(a, fraction), _limit(b, fraction))
+    return F.filter(a, lambda h: h <= top), F.filter(b, lambda h: h <= top)
+
+
+def likeness(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Shared hashes over all hashes of two sketches, up to the limit of either: an estimate of the Jaccard similarity."""
+    x, y = _common(a, b, fraction)
+    both = F.size(F.array_intersect(x, y))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(both, F.size(x) + F.size(y) - both), F.lit(0.0)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The share of a's hashes that b has too; 1 for an empty a."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The share of a's hashes that b has too, up to the limit of either; 1 for an empty a, 0 where a has none up to there."""
+    x, y = _common(a, b, fraction)
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(x)), F.lit(0.0)))
 
 
-def merge(sketches: Column) -> Column:
-    """The sketch of several documents together, from an array of their sketches."""
-    return F.sort_array(F.array_distinct(F.flatten(sketches)))
+def merge(sketches: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of several documents together, the same as that of all their shingles, from an array of their sketches."""
+    return _trimmed(F.flatten(sketches), fraction)
 
 
 def _ranges(docs: DataFrame, id_column: str) -> tuple[list[int], int]:
@@ -114,7 +142,7 @@ def fingerprint_documents(docs: DataFrame, fraction: float = FRACTION, id_column
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_in_original"),
+        likeness(F.col("sketch"), F.col("edited_sketch"), fraction).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch"), fraction).alias("near_next"),
+        containment(F.col("edited_sketch"), F.col("sketch"), fraction).alias("edited_in_original"),
     )
