@@ -13,7 +13,8 @@ Defined results: a null html counts as empty; a null url is written as an empty
 one; a row without page_id is written as a response and read back with a null
 id; rows that repeat the page_id of a response are responses too; an empty
 table gives no rows; extra columns are ignored. A file must fit binaryFile's
-limit of 2 GB; RECORDS_PER_FILE keeps our own far below.
+limit of 2 GB, and a task of the reader holds one file: ours hold FILE_BYTES of
+records, or one record.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 from .common import release, shared_dir, stage_table
 
 END = "\r\n\r\n"
-RECORDS_PER_FILE = 5000
+#: Bytes of records that a file holds at most, unless one record alone has more.
+FILE_BYTES = 128 << 20
+#: Records are written by classes of size; a file of a class holds as many as fit FILE_BYTES at the class's largest size.
+LARGEST = [32 << 10, 512 << 10, 8 << 20]
 BLOCK = 4 << 20
 #: A table of repeated payloads of at most so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 300_000
@@ -45,13 +49,21 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*digits), HEX32, BASE32)
 
 
-def records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """One string per page: its WARC record without the separator. Payloads under least bytes are never revisits."""
+def _own(pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    own = own.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
-    keys = own.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeated = stage_table(keys, "warc-repeated")
-    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    return own.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
+
+
+def first_pages(pages: DataFrame, least: int = 0) -> DataFrame:
+    """(digest, bytes, first): the smallest page_id of each payload of at least so many bytes that several rows have."""
+    own = _own(pages).where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
+    return own.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def records(pages: DataFrame, firsts: DataFrame) -> DataFrame:
+    """One string per page: its WARC record without the separator; firsts says what it revisits."""
+    own = _own(pages)
+    side = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
     rows = own.join(side, ["digest", "bytes"], "left")
     revisit = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("first") != F.col("page_id"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -70,7 +82,17 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    records(pages, least).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    firsts = stage_table(first_pages(pages, least), "warc-firsts")
+    # A head takes under a kilobyte besides the url.
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + 1024
+    of = F.lit(len(LARGEST))
+    for k in range(len(LARGEST) - 1, -1, -1):
+        of = F.when(size <= LARGEST[k], k).otherwise(of)
+    # There are at most len(LARGEST) + 1 classes; an empty table is written as one empty archive.
+    for k in sorted(r[0] for r in pages.select(of.alias("k")).distinct().collect()) or [0]:
+        most = FILE_BYTES // LARGEST[k] if k < len(LARGEST) else 1
+        records(pages.where(of == k), firsts).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+    release(pages.sparkSession, firsts)
 
 
 CANDIDATES = "path string, at long, next long, leaves long, type string, page_id long, refers_to long, payload_bytes long, payload_digest string"

@@ -233,6 +233,24 @@ def test_warc_keeps_long_urls(spark):
     assert got == {0: ("response", None, 24), 1: ("response", None, 24), 2: ("revisit", 0, 24)}
 
 
+def test_warc_rolls_files_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 16_000)
+    monkeypatch.setattr(warc, "LARGEST", [2_000, 4_000, 8_000])
+    rows = [(i, "u", "x" * n) for i, n in enumerate([*range(0, 900, 30), 1_500, 1_500, 2_500, 3_500, 6_000, 6_500, 7_000, 30_000, 31_000])]
+    path = warc.archive_path(spark)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect()]
+    assert max(sorted(sizes)[:-2]) <= 16_000 and sorted(sizes)[-2] > 30_000
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: (len(h), "revisit" if i == 31 else "response") for i, _, h in rows}
+
+
+def test_warc_of_nothing(spark):
+    path = warc.archive_path(spark)
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string, k int"), path)
+    assert warc.read_archives(spark, path).count() == 0
+
+
 def test_warc(spark):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     htmls = ["a", "", None, "a", "x" * 5000, fake * 200, "é\r\n\r\n", "é\r\n\r\n", "WARC/1.1\r\n", f"{fake}tail", "\0\n"] * 12
