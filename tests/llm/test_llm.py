@@ -432,7 +432,16 @@ def test_segments_are_maximal():
 # 7
 
 
+def brute_kept(rows):
+    """(id as text, bytes that stay) of each row."""
+    return [(i, kept) for i, _, _, _, kept in brute_cuts(rows)]
+
+
 def brute_cut(rows):
+    return sorted((*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in brute_cuts(rows))
+
+
+def brute_cuts(rows):
     seen, out = {}, []
     data = [(i, (t or "").encode()) for i, t in rows]
     for i, b in data:
@@ -445,8 +454,8 @@ def brute_cut(rows):
             if i is not None and seen[b[k : k + 50]] < i:
                 gone[k : k + 50] = True
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        out.append((str(i), len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]][: len(b)]).sum()), hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+        out.append((str(i), len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]][: len(b)]).sum()), kept))
+    return out
 
 
 def test_suffix(spark):
@@ -648,3 +657,39 @@ def test_pipeline(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert {"doc_id", "start", "length", "sequence_id"} <= set(out.columns)
     assert {r.doc_id for r in out.select("doc_id").collect()} <= ids
+
+
+def test_pipeline_stages_against_brute_force(spark, small):
+    """Each stage on its own input: nulls, empties, repeats, very long texts and extra columns among the rows."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    own = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    long = " ".join(f"w{i % 997}x{i % 1009}" for i in range(60_000))
+    rows = [*own, (900_001, None), (900_002, ""), (900_003, own[0][1]), (900_003, own[0][1]), (900_004, long), (900_005, long + " end"), (None, own[1][1]), (900_006, own[2][1]), (900_006, own[3][1])]
+    lab = spark.read.parquet(f"{small}/labels.parquet")
+    key = lambda out: sorted((str(r.doc_id), r.text or "") for r in out)
+    table = docs(spark, rows)
+
+    accepted = stage["quality"](spark, table, small)
+    score = quality.score_documents(table, quality.fit(table, lab)).select("score").collect()
+    assert accepted.columns == table.columns and key(accepted.collect()) == sorted((str(i), t or "") for (i, t), s in zip(rows, score, strict=True) if s.score >= 0.5)
+    calm = stage["toxicity"](spark, table, small)
+    score = toxicity.score_documents(table, toxicity.fit(table, lab)).select("score").collect()
+    assert calm.columns == table.columns and key(calm.collect()) == sorted((str(i), t or "") for (i, t), s in zip(rows, score, strict=True) if s.score < 0.5)
+    single = stage["ngram_join"](spark, table, small)
+    component = {i: c for i, _, c in brute_links(rows)}
+    assert single.columns == table.columns and key(single.collect()) == sorted((str(i), t or "") for i, t in rows if component[str(i)] == str(i))
+    few = [*own[:150], (900_001, None), (900_002, ""), (900_003, own[0][1]), (900_003, own[0][1]), (None, own[1][1]), (900_006, own[2][1]), (900_006, "z" + own[3][1])]
+    cut = stage["suffix"](spark, docs(spark, few), small)
+    want = brute_cut(few)
+    assert cut.columns == table.columns
+    got = sorted((str(r.doc_id), len(r.text), r.n_chars) for r in cut.collect())
+    kept = sorted((i, len(b.decode("utf-8", "ignore"))) for i, b in brute_kept(few))
+    assert [(i, n) for i, n, _ in got] == kept and all(n == c for _, n, c in got) and len(got) == len(want)
+    ids = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    ids.encode_special_tokens = True
+    pieces = stage["packing"](spark, table, small).collect()
+    assert sum(r.length for r in pieces) == sum(len(ids.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    for f in stage.values():
+        assert f(spark, docs(spark, EMPTY), small).count() == 0
