@@ -79,7 +79,7 @@ def met(packed: DataFrame, settled: str, ranges: int, most: int, reduce, schema:
     at most one of each hand-over of a task.
     """
     salt = F.when(F.col(settled), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int") + 1).otherwise(0)
-    return packed.withColumn("salt", salt).repartition(min(2 * ranges, most), "r", "salt").groupBy("r", "salt").applyInArrow(reduce, schema)
+    return packed.withColumn("salt", salt).repartition(min(ranges, most), "r", "salt").groupBy("r", "salt").applyInArrow(reduce, schema)
 
 
 def unpack(table: pa.Table, name: str, kind) -> np.ndarray:
