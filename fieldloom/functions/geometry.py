@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def opened(c: Column) -> Column:
-    """The contour without a last point that repeats the first."""
-    again = (F.size(c) > 1) & (F.element_at(c, 1) == F.element_at(c, -1))
+    """The contour without a last point that repeats the first, as near as makes no difference."""
+    a, b = F.get(c, F.lit(0)), F.get(c, F.size(c) - 1)
+    again = (F.size(c) > 1) & (F.hypot(a["x"] - b["x"], a["y"] - b["y"]) < 1e-6)
     return F.when(again, F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c)
 
 
@@ -33,6 +34,11 @@ def signed_area(c: Column) -> Column:
     return over_edges(c, cross) / 2
 
 
+def area(c: Column) -> Column:
+    """Enclosed area, whichever way round the contour runs."""
+    return F.abs(signed_area(c))
+
+
 def perimeter(c: Column) -> Column:
     return over_edges(c, lambda p, q: F.hypot(q["x"] - p["x"], q["y"] - p["y"]))
 
@@ -58,7 +64,7 @@ def second_moments(c: Column, at: Column) -> Column:
     xx = over_edges(moved, lambda p, q: (p["x"] * p["x"] + p["x"] * q["x"] + q["x"] * q["x"]) * cross(p, q)) / 12
     yy = over_edges(moved, lambda p, q: (p["y"] * p["y"] + p["y"] * q["y"] + q["y"] * q["y"]) * cross(p, q)) / 12
     xy = over_edges(moved, lambda p, q: (p["x"] * q["y"] + 2 * p["x"] * p["y"] + 2 * q["x"] * q["y"] + q["x"] * p["y"]) * cross(p, q)) / 24
-    return F.struct((xx / a).alias("xx"), (yy / a).alias("yy"), (xy / a).alias("xy"))
+    return F.struct(*[F.try_divide(v, a).alias(n) for n, v in (("xx", xx), ("yy", yy), ("xy", xy))])
 
 
 def principal(m: Column) -> Column:
@@ -66,7 +72,7 @@ def principal(m: Column) -> Column:
     half, diff = (m["xx"] + m["yy"]) / 2, (m["xx"] - m["yy"]) / 2
     root = F.sqrt(diff * diff + m["xy"] * m["xy"])
     angle = F.pmod(F.degrees(0.5 * F.atan2(2 * m["xy"], m["xx"] - m["yy"])), F.lit(180.0))
-    ratio = F.sqrt(F.greatest(half - root, F.lit(0.0)) / (half + root))
+    ratio = F.coalesce(F.sqrt(F.try_divide(F.greatest(half - root, F.lit(0.0)), half + root)), F.lit(1.0))
     return F.struct(angle.alias("angle"), ratio.alias("ratio"))
 
 
@@ -75,21 +81,167 @@ def eccentricity(ratio: Column) -> Column:
     return F.sqrt(1 - r * r)
 
 
-def width_at(c: Column, bottom: Column, top: Column, fraction) -> Column:
-    """Distance of the outermost crossings of a line across the axis at a fraction of it; 0 for fewer than two."""
-    dx, dy = top["x"] - bottom["x"], top["y"] - bottom["y"]
-    length = F.hypot(dx, dy)
-    ux, uy = dx / length, dy / length
-    ox, oy = bottom["x"] + dx * fraction, bottom["y"] + dy * fraction
+def _sides(c: Column, ox, oy, ux, uy) -> Column:
+    """Each edge in the frame of an axis: how far its ends lie along it (s, t) and across it (a, b)."""
     along = lambda p: (p["x"] - ox) * ux + (p["y"] - oy) * uy
     across = lambda p: (p["y"] - oy) * ux - (p["x"] - ox) * uy
-    sides = F.transform(edges(c), lambda e: F.struct(along(e["p"]).alias("s"), along(e["q"]).alias("t"), across(e["p"]).alias("a"), across(e["q"]).alias("b")))
-    hits = F.transform(F.filter(sides, lambda e: (e["s"] >= 0) != (e["t"] >= 0)), lambda e: e["a"] + (e["b"] - e["a"]) * e["s"] / (e["s"] - e["t"]))
-    return F.when(F.size(hits) >= 2, F.array_max(hits) - F.array_min(hits)).otherwise(0.0)
+    return F.transform(edges(c), lambda e: F.struct(along(e["p"]).alias("s"), along(e["q"]).alias("t"), across(e["p"]).alias("a"), across(e["q"]).alias("b")))
+
+
+def merged(hits: Column, gap: float = 1.0) -> Column:
+    """Sorted numbers in which one that follows within a gap is averaged into the one before it."""
+    last = lambda m: F.get(m, F.size(m) - 1)
+    step = lambda m, h: F.when((F.size(m) > 0) & (h - last(m) <= gap), F.concat(F.slice(m, F.lit(1), F.size(m) - 1), F.array((last(m) + h) / 2))).otherwise(F.concat(m, F.array(h)))
+    return F.aggregate(F.sort_array(hits), F.array().cast("array<double>"), step)
+
+
+def crossings(sides: Column, at) -> Column:
+    """Where a line across an axis, at a place along it, meets the contour; places within a pixel count once."""
+    over = F.filter(sides, lambda e: (e["s"] >= at) != (e["t"] >= at))
+    return merged(F.transform(over, lambda e: e["a"] + (e["b"] - e["a"]) * (e["s"] - at) / (e["s"] - e["t"])))
+
+
+def _extent(hits: Column) -> Column:
+    return F.when(F.size(hits) >= 2, F.get(hits, F.size(hits) - 1) - F.get(hits, F.lit(0))).otherwise(0.0)
+
+
+def widths_at(c: Column, bottom: Column, top: Column, fractions: Column) -> Column:
+    """Distance of the outermost crossings of lines across the axis at fractions of it; 0 for fewer than two, and on an axis under a pixel.
+
+    The contour is brought into the axis's frame once for all fractions.
+    """
+    dx, dy = top["x"] - bottom["x"], top["y"] - bottom["y"]
+    axis = F.struct(F.hypot(dx, dy).alias("l"), F.when(F.hypot(dx, dy) > 0, dx / F.hypot(dx, dy)).otherwise(0.0).alias("ux"), F.when(F.hypot(dx, dy) > 0, dy / F.hypot(dx, dy)).otherwise(-1.0).alias("uy"), bottom["x"].alias("x"), bottom["y"].alias("y"))
+    return let(axis, lambda x: let(_sides(c, x["x"], x["y"], x["ux"], x["uy"]), lambda sides: F.transform(fractions, lambda f: F.when(x["l"] >= 1, let(crossings(sides, f * x["l"]), _extent)).otherwise(0.0))))
+
+
+def width_at(c: Column, bottom: Column, top: Column, fraction: float) -> Column:
+    return F.get(widths_at(c, bottom, top, F.array(F.lit(float(fraction)))), F.lit(0))
 
 
 def width_profile(c: Column, bottom: Column, top: Column, samples: int = 100) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: width_at(c, bottom, top, i / (samples - 1)))
+    return widths_at(c, bottom, top, F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: i / (samples - 1)))
+
+
+def support_widths(c: Column, bottom: Column, top: Column, fractions: tuple[float, float, float] = (0.12, 0.50, 0.75)) -> Column:
+    """Widths near the bottom end, in the middle and in the upper part."""
+    return let(widths_at(c, bottom, top, F.array(*map(F.lit, fractions))), lambda w: F.struct(*[F.get(w, F.lit(i)).alias(n) for i, n in enumerate(("near", "mid", "upper"))]))
+
+
+def bundle(c: Column, bottom: Column, top: Column, samples: int = 100) -> Column:
+    """All measurements of an outline with an axis, in pixels.
+
+    The widths at a quarter, half and three quarters count from the top end; the
+    greatest width is that of a scan. An axis under a pixel has no widths, and
+    then, or without a middle width, there is no length to width ratio.
+    """
+    length = F.hypot(top["x"] - bottom["x"], top["y"] - bottom["y"])
+    ring = opened(c)
+
+    def all_of(ring):
+        def with_widths(w):
+            round_ = let(F.struct(area(ring).alias("a"), perimeter(ring).alias("p")), lambda m: F.struct(m["a"].alias("a"), m["p"].alias("p"), circularity(m["a"], m["p"]).alias("c")))
+            by_area = let(centroid(ring), lambda at: let(second_moments(ring, at), principal))
+            spread = F.when(area(ring) > 1e-12, by_area).otherwise(point_spread(ring))
+            return let(F.struct(round_.alias("r"), spread.alias("s")), lambda x: F.struct(
+                length.alias("axis_length"), w["w"][0].alias("width_25pct"), w["w"][1].alias("width_50pct"), w["w"][2].alias("width_75pct"), F.array_max(w["scan"]).alias("max_width"), w["p"].alias("max_width_at"),
+                x["r"]["a"].alias("area"), x["r"]["p"].alias("perimeter"), x["r"]["c"].alias("circularity"), x["s"]["ratio"].alias("minor_major_ratio"), eccentricity(x["s"]["ratio"]).alias("eccentricity"),
+                F.when((length >= 1) & (w["w"][1] > 1e-6), length / w["w"][1]).alias("length_width_ratio"),
+            ))
+
+        scan = width_profile(ring, bottom, top, samples)
+        quarters = widths_at(ring, top, bottom, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        return let(scan, lambda s: let(F.struct(s.alias("scan"), quarters.alias("w"), ((F.array_position(s, F.array_max(s)) - 1) / (samples - 1)).alias("p")), with_widths))
+
+    return let(ring, all_of)
+
+
+def axis_ends(c: Column, at: Column, angle: Column) -> Column:
+    """Where the line through a point at an angle leaves the contour: the outermost crossings behind (a) and before (b) the point.
+
+    If all crossings lie to one side, the outermost two; null for fewer than two, or for ends within a pixel.
+    """
+    u = F.struct(F.cos(F.radians(angle)).alias("x"), F.sin(F.radians(angle)).alias("y"))
+
+    def ends(o):
+        # In the frame of the line's normal, what lies across is the way along the line.
+        hits = crossings(_sides(c, o["x"], o["y"], o["uy"], -o["ux"]), F.lit(0.0))
+
+        def pick(h):
+            lo, hi = F.get(h, F.lit(0)), F.get(h, F.size(h) - 1)
+            point = lambda d: F.struct((o["x"] + d * o["ux"]).alias("x"), (o["y"] + d * o["uy"]).alias("y"))
+            return F.when((F.size(h) >= 2) & (hi - lo >= 1), F.struct(point(lo).alias("a"), point(hi).alias("b"), (hi - lo).alias("length")))
+
+        return let(hits, pick)
+
+    return let(F.struct(at["x"].alias("x"), at["y"].alias("y"), u["x"].alias("ux"), u["y"].alias("uy")), ends)
+
+
+def model_axis(c: Column, at: Column, theta: Column) -> Column:
+    """Bottom and top of an object from a directed angle: the crossing farthest with the direction is the bottom, the one farthest against it the top; without two, the points with greatest and least projection."""
+    return F.coalesce(let(axis_ends(c, at, theta), lambda e: F.when(e.isNotNull(), F.struct(e["b"].alias("bottom"), e["a"].alias("top")))), farthest_along(c, at, theta))
+
+
+def axis_scan(c: Column, at: Column, step: int = 1) -> Column:
+    """Chords through a point at every step degrees from 0 to 179 that have two ends: array<struct<length, angle>>."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(179), F.lit(step)), lambda d: let(axis_ends(c, at, d.cast("double")), lambda e: F.when(e.isNotNull(), F.struct(e["length"].alias("length"), d.cast("double").alias("angle")))))
+    return F.filter(each, lambda x: x.isNotNull())
+
+
+def nearest_index(c: Column, p: Column) -> Column:
+    """Place of the contour's point nearest to a point, the first on ties."""
+    d = F.transform(c, lambda q: F.hypot(q["x"] - p["x"], q["y"] - p["y"]))
+    return let(d, lambda d: F.array_position(d, F.array_min(d)).cast("int") - 1)
+
+
+def point_spread(c: Column) -> Column:
+    """Principal axis of the contour's points by their sample covariance: angle in [0, 180) and lesser over greater spread; a ratio of 1 for under three points."""
+    at = mean_point(c)
+
+    def spread(m):
+        total = lambda a, b: F.aggregate(c, F.lit(0.0), lambda s, p: s + (p[a] - m[a]) * (p[b] - m[b])) / (F.size(c) - 1)
+        return let(F.struct(total("x", "x").alias("xx"), total("y", "y").alias("yy"), total("x", "y").alias("xy")), principal)
+
+    return F.when(F.size(c) >= 3, let(at, spread)).otherwise(F.struct(F.lit(90.0).alias("angle"), F.lit(1.0).alias("ratio")))
+
+
+#: Scales of the windows of sharpness, and how much each further scale widens the neighbourhood and loses weight (fixed values).
+SCALES, WIDER, LIGHTER = (1.0, 2.0, 3.5), 0.6, 0.5
+
+
+def windows(size: int, base: int = 5) -> list[int]:
+    """Window of each scale for a contour of a size, without repeats."""
+    most = max(1, size // 6)
+    return list(dict.fromkeys(max(1, min(round(max(1.0, base * f)), most)) for f in SCALES))
+
+
+def tip_sharpness(c: Column, at: Column, size: int, base: int = 5, radius: int = 2) -> Column:
+    """How pointed a contour of a size is round its point at a place: over each scale the greatest sharpness among the neighbours and the mean of the greatest ones, averaged with less weight to wider scales."""
+
+    def score(w, r):
+        """At one scale; Spark counts a lambda's parameters, so w and r are bound here."""
+        top = min(2 * r + 1, max(2, r + 1))
+        near = let(sharpness(c, w), lambda s: F.sort_array(F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda o: F.get(s, F.pmod(at + o, F.lit(size)))), asc=False))
+        return let(near, lambda n: 0.65 * F.get(n, F.lit(0)) + 0.35 * F.aggregate(F.slice(n, 1, top), F.lit(0.0), lambda s, x: s + x) / top)
+
+    levels = list(enumerate(windows(size, base)))
+    weights = [1 / (1 + LIGHTER * level) for level, _ in levels]
+    total = F.lit(0.0)
+    for (level, w), weight in zip(levels, weights, strict=True):
+        total = total + score(w, max(radius, round(radius * (1 + WIDER * level)))) * weight
+    return total / sum(weights)
+
+
+def taper_score(w: Column) -> Column:
+    """Whether support widths grow from the bottom end on: how much narrower the end is (0.45 against the middle, 0.55 against the upper part), and 1, 0.5 or 0 for rising in both, one or no steps."""
+    over = lambda k: F.when(w[k] > 1e-6, 1 - F.least(F.lit(2.0), w["near"] / w[k])).otherwise(0.0)
+    rising = F.when((w["near"] <= w["mid"]) & (w["mid"] <= w["upper"]), 1.0).when((w["near"] <= w["mid"]) | (w["near"] <= w["upper"]), 0.5).otherwise(0.0)
+    return F.struct((0.45 * over("mid") + 0.55 * over("upper")).alias("taper"), rising.alias("rising"))
+
+
+def bottom_score(sharp: Column, widths: Column) -> Column:
+    """Score of an axis end as the bottom: its sharpness, and with less weight its taper."""
+    return let(taper_score(widths), lambda t: sharp + 0.35 * t["taper"] + 0.15 * t["rising"])
 
 
 def farthest_along(c: Column, at: Column, angle: Column) -> Column:

@@ -75,8 +75,76 @@ def overlap_area(a: tuple, b: tuple) -> Column:
 
 
 def size_gap(value: Column, reference: Column) -> Column:
-    """|ln(value / reference)|."""
-    return F.abs(F.log(value / reference))
+    """|ln(value / reference)|; 0 unless both are above 0."""
+    return F.when((value > 0) & (reference > 0), F.abs(F.log(value / reference))).otherwise(0.0)
+
+
+def padded_box(box: tuple, pad: Column, width: Column, height: Column) -> tuple:
+    """A box grown by pad on every side, rounded and clamped to an image, at least a pixel wide and high."""
+    low = lambda v, top: F.greatest(F.lit(0), F.least(top - 1, F.bround(v - pad))).cast("double")
+    x1, y1 = low(box[0], width), low(box[1], height)
+    high = lambda v, top, other: F.greatest(F.greatest(F.lit(0), F.least(top, F.bround(v + pad))), F.least(top, other + 1)).cast("double")
+    return x1, y1, high(box[2], width, x1), high(box[3], height, y1)
+
+
+def ratio_box(width: Column, height: Column, ratios: tuple[float, float, float, float]) -> tuple:
+    """A box at shares of an image's sides."""
+    return width * ratios[0], height * ratios[1], width * ratios[2], height * ratios[3]
+
+
+def clamp_box(box: tuple, width: Column, height: Column) -> tuple:
+    """A box rounded half to even and clamped to an image, at least a pixel wide and high."""
+    return padded_box(box, F.lit(0), width, height)
+
+
+def to_display(value: Column, pad: Column, scale: Column) -> Column:
+    """An image coordinate on a square display: padding before, then the scale."""
+    return (value + pad) * scale
+
+
+def from_display(value: Column, pad: Column, scale: Column, size: Column) -> Column:
+    """A display coordinate back on the image, clamped to it."""
+    return F.greatest(F.lit(0.0), F.least(size - 1, value / scale - pad))
+
+
+def square_display(width: Column, height: Column, size: float) -> Column:
+    """Padding left and above and the scale of an image on a square display of a size."""
+    side = F.greatest(width, height, F.lit(1))
+    return F.struct(F.floor((side - width) / 2).alias("left"), F.floor((side - height) / 2).alias("above"), (F.lit(float(size)) / side).alias("scale"))
+
+
+def full_point(value: Column, origin: Column, size: Column, padding: int = 20) -> Column:
+    """A coordinate of a cut-out on the whole image: the cut-out begins padding before its box, and the image clamps."""
+    return F.greatest(F.lit(0), F.least(size - 1, F.bround(value + F.greatest(F.lit(0), origin - padding)))).cast("long")
+
+
+def direction(degrees: Column) -> Column:
+    """The unit vector of an axis angle."""
+    t = F.radians(turn(degrees, 180.0))
+    return F.struct(F.cos(t).alias("x"), F.sin(t).alias("y"))
+
+
+def axis_angle(x: Column, y: Column) -> Column:
+    """The axis angle of a vector in [0, 180); 0 for the zero vector."""
+    return F.when(F.hypot(x, y) < 1e-6, 0.0).otherwise(turn(F.degrees(F.atan2(y, x)), 180.0))
+
+
+def angle_encoding(degrees: Column) -> Column:
+    """cos and sin of an angle and of its double, and the angle in radians, as label files hold them."""
+    t = F.radians(turn(degrees))
+    return F.struct(F.degrees(t).alias("theta_deg"), t.alias("theta_rad"), F.cos(t).alias("cos_theta"), F.sin(t).alias("sin_theta"), F.cos(2 * t).alias("cos2theta"), F.sin(2 * t).alias("sin2theta"))
+
+
+def scale_limit(wanted: Column, width: Column, height: Column, most: Column) -> Column:
+    """The magnification that is asked for, 1 at least, as far as the longer side stays within a limit."""
+    return F.least(F.greatest(F.lit(1.0), wanted), F.greatest(F.lit(1.0), most / F.greatest(F.lit(1), width, height)))
+
+
+def overlay_scale(width: Column, height: Column) -> Column:
+    """Point radius, line width and letter size of an overlay by the image's shorter side."""
+    side = F.greatest(F.lit(1), F.least(width, height))
+    within = lambda v, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), v))
+    return F.struct(within(F.bround(side / 1000.0), 2.0, 3.0).cast("int").alias("radius"), within(F.bround(side / 1400.0), 1.0, 2.0).cast("int").alias("line"), within(side / 3600.0, 0.34, 0.46).alias("letters"))
 
 
 def clamp(value: Column, low: float, high: float) -> Column:

@@ -23,8 +23,12 @@ def clip_to_tray(df: DataFrame, tray: tuple[str, str, str, str], least: float =
     return out.withColumns({"cx1": F.greatest(x1, t[0]), "cy1": F.greatest(y1, t[1]), "cx2": F.least(x2, t[2]), "cy2": F.least(y2, t[3])})
 
 
-#: Sizes that count as odd, over the median of the image (area, then sides).
+#: Sizes that count as odd, over the median of the image (area, then sides); shares and ratios of nested and fused boxes; weights of a box's oddness (fixed values).
 AREA_RATIOS, SIDE_RATIOS = (0.35, 3.0), (0.45, 2.2)
+NESTED_SHARE, NESTED_RATIO, FUSED_RATIO = 0.86, 1.15, 1.25
+SIDE_WEIGHT, SURE_WEIGHT, CLEAR_GAP = 0.45, 0.25, 0.05
+#: Least share of a box in its tray; padding of a tray and width of an image's edge as shares of the shorter side, and the edge's least width (fixed values).
+TRAY_SHARE, TRAY_PADDING, EDGE_SHARE, EDGE_LEAST = 0.55, 0.005, 0.02, 10
 
 
 def with_sizes(df: DataFrame) -> DataFrame:
@@ -35,14 +39,16 @@ def with_sizes(df: DataFrame) -> DataFrame:
 def flag_sizes(df: DataFrame, aspect: float = 4.0, enough: int = 8) -> DataFrame:
     """Aspect and size flags, with the reasons in order; sizes are held against the medians of the image's boxes that are still active.
 
-    With fewer than enough active boxes no size is odd. A box may be both too
+    Boxes whose column inside is false, if there is one, are judged no more. With fewer than enough active boxes no size is odd. A box may be both too
     small and too large, by different sides.
     """
-    df = with_sizes(df).withColumn("bad_aspect", F.col("long_side") > aspect * F.col("short_side"))
+    active = F.col("inside") if "inside" in df.columns else F.lit(True)
+    df = with_sizes(df).withColumn("bad_aspect", active & (F.col("long_side") > aspect * F.greatest(F.col("short_side"), F.lit(1))))
     sizes = ["area", "long_side", "short_side"]
-    middle = df.groupBy("image_no").agg(*[F.median(F.when(~F.col("bad_aspect"), F.col(c))).alias(f"middle_{c}") for c in sizes], F.count_if(~F.col("bad_aspect")).alias("active"))
+    plausible = active & ~F.col("bad_aspect")
+    middle = df.groupBy("image_no").agg(*[F.median(F.when(plausible, F.col(c))).alias(f"middle_{c}") for c in sizes], F.count_if(plausible).alias("active"))
     df = df.join(middle, "image_no")
-    judged = ~F.col("bad_aspect") & (F.col("active") >= enough)
+    judged = plausible & (F.col("active") >= enough)
     beyond = lambda k, less: [F.col(c) < r[k] * F.col(f"middle_{c}") if less else F.col(c) > r[k] * F.col(f"middle_{c}") for c, r in zip(sizes, (AREA_RATIOS, SIDE_RATIOS, SIDE_RATIOS), strict=True)]
     some = lambda cs: F.coalesce(judged & (cs[0] | cs[1] | cs[2]), F.lit(False))
     df = df.withColumns({"too_small": some(beyond(0, True)), "too_large": some(beyond(1, False))})
@@ -57,7 +63,7 @@ def final_ids(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.withColumn("final_id", F.when(F.col("kept"), F.sum(F.col("kept").cast("long")).over(w)))
 
 
-def overlap_pairs(df: DataFrame, share: float = 0.86, ratio: float = 1.15) -> DataFrame:
+def overlap_pairs(df: DataFrame, share: float = NESTED_SHARE, ratio: float = NESTED_RATIO) -> DataFrame:
     """Pairs of an image's boxes of which the smaller lies in the larger by a share, and that differ by a ratio."""
     box = ["box_id", "x1", "y1", "x2", "y2", "conf"]
     a = df.select("image_no", *[F.col(c).alias(f"a_{c}") for c in box])
@@ -65,14 +71,15 @@ def overlap_pairs(df: DataFrame, share: float = 0.86, ratio: float = 1.15) -> Da
     pairs = a.join(b, "image_no").where("a_box_id < b_box_id and a_x1 < b_x2 and b_x1 < a_x2 and a_y1 < b_y2 and b_y1 < a_y2")
     at = lambda s: tuple(F.col(f"{s}_{c}") for c in box[1:5])
     sa, sb = num.box_area(*at("a")), num.box_area(*at("b"))
-    pairs = pairs.withColumns({"overlap": num.overlap_area(at("a"), at("b")) / F.least(sa, sb), "ratio": F.greatest(sa, sb) / F.least(sa, sb), "larger": F.when(sa >= sb, F.col("a_box_id")).otherwise(F.col("b_box_id"))})
+    least = F.greatest(F.least(sa, sb), F.lit(1.0))
+    pairs = pairs.withColumns({"overlap": num.overlap_area(at("a"), at("b")) / least, "ratio": F.greatest(sa, sb) / least, "larger": F.when(sa >= sb, F.col("a_box_id")).otherwise(F.col("b_box_id"))})
     return pairs.where((F.col("overlap") >= share) & (F.col("ratio") >= ratio))
 
 
 def holding_centres(df: DataFrame, least: int = 2) -> DataFrame:
-    """Boxes that hold the centres of so many others of their image."""
+    """Boxes that hold, also on their border, the centres of so many others of their image."""
     other = df.select("image_no", F.col("box_id").alias("o"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
-    hits = df.join(other, "image_no").where("box_id != o and cx > x1 and cx < x2 and cy > y1 and cy < y2")
+    hits = df.join(other, "image_no").where("box_id != o and cx between x1 and x2 and cy between y1 and y2")
     return hits.groupBy("image_no", "box_id").agg(F.count("*").alias("centres")).where(F.col("centres") >= least)
 
 
@@ -80,27 +87,30 @@ def worse_of(a, b, middle) -> Column:
     """Which of two overlapping boxes goes: a sliver, a fused box, the odder one by size and confidence, the less sure one, the larger one."""
     small, large = F.when(a["area"] <= b["area"], a["box_id"]).otherwise(b["box_id"]), F.when(a["area"] <= b["area"], b["box_id"]).otherwise(a["box_id"])
     lesser, greater = F.least(a["area"], b["area"]), F.greatest(a["area"], b["area"])
-    odd = lambda x: num.size_gap(x["area"], middle["area"]) + 0.45 * num.size_gap(x["long_side"], middle["long_side"]) + 0.45 * num.size_gap(x["short_side"], middle["short_side"]) - 0.25 * x["conf"]
+    sure = lambda x: F.coalesce(x["conf"], F.lit(0.0))
+    odd = lambda x: num.size_gap(x["area"], middle["area"]) + SIDE_WEIGHT * (num.size_gap(x["long_side"], middle["long_side"]) + num.size_gap(x["short_side"], middle["short_side"])) - SURE_WEIGHT * sure(x)
     return (
         F.when(lesser < AREA_RATIOS[0] * middle["area"], small)
         .when(greater > AREA_RATIOS[1] * middle["area"], large)
-        .when(F.abs(odd(a) - odd(b)) > 0.05, F.when(odd(a) > odd(b), a["box_id"]).otherwise(b["box_id"]))
-        .when(F.abs(a["conf"] - b["conf"]) > 0.05, F.when(a["conf"] < b["conf"], a["box_id"]).otherwise(b["box_id"]))
+        .when(F.abs(odd(a) - odd(b)) > CLEAR_GAP, F.when(odd(a) > odd(b), a["box_id"]).otherwise(b["box_id"]))
+        .when(F.abs(sure(a) - sure(b)) > CLEAR_GAP, F.when(sure(a) < sure(b), a["box_id"]).otherwise(b["box_id"]))
         .otherwise(large)
     )
 
 
-def suppress_nested(df: DataFrame, share: float = 0.86, ratio: float = 1.15, fused: float = 1.25, least: int = 2) -> DataFrame:
-    """(image_no, box_id) of boxes that greedy suppression deletes.
+def suppress_nested(df: DataFrame, share: float = NESTED_SHARE, ratio: float = NESTED_RATIO, fused: float = FUSED_RATIO, least: int = 2, middle: DataFrame | None = None) -> DataFrame:
+    """(image_no, box_id, reason) of boxes that greedy suppression deletes; middle has the median sizes of images (image_no, middle), those of df by default.
 
     Pairs are taken by overlap, then ratio, both falling; the worse box of a
     pair goes unless either has gone already. Then, from the largest down, boxes
     well above the median that still hold the centres of several others go. The
-    order within an image decides, so an image is folded in one row.
+    order within an image decides, so an image is folded in one row; a detector
+    gives a thousand boxes of an image at most. A null confidence counts as 0.
     """
     df = with_sizes(df)
     sides = ["area", "long_side", "short_side"]
-    middle = df.groupBy("image_no").agg(F.struct(*[F.median(c).alias(c) for c in sides]).alias("middle"))
+    if middle is None:
+        middle = df.groupBy("image_no").agg(F.struct(*[F.median(c).alias(c) for c in sides]).alias("middle"))
     one = F.struct("box_id", *sides, "conf")
     pairs = overlap_pairs(df, share, ratio).select("image_no", "a_box_id", "b_box_id", "overlap", "ratio")
     for side in ("a", "b"):
@@ -121,7 +131,58 @@ def suppress_nested(df: DataFrame, share: float = 0.86, ratio: float = 1.15, fus
 
     rows = held.join(lists, "image_no", "left").join(middle, "image_no")
     rows = rows.withColumn("gone", F.coalesce(F.aggregate("pairs", none, nested), none))
-    return rows.select("image_no", F.explode(F.aggregate("boxes", F.col("gone"), holds)).alias("box_id"))
+    out = rows.select("image_no", "gone", F.explode(F.aggregate("boxes", F.col("gone"), holds)).alias("box_id"))
+    return out.select("image_no", "box_id", F.when(F.array_contains("gone", F.col("box_id")), "overlap_contained").otherwise("overlap_multi_center").alias("reason"))
+
+
+def tray_or_edge(df: DataFrame) -> DataFrame:
+    """Boxes held against their image's tray, or its edge where there is none.
+
+    Columns image_no, box_id, x1 to y2, conf, width, height and tray (a struct
+    x1 to y2, or null). With a tray, padded a little, a box is out if its centre
+    isn't in it or too little of it is, and what stays is clipped to it; without
+    one, a box next to the edge is out. inside says what stays.
+    """
+    box, tray = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), tuple(F.col("tray")[c] for c in ("x1", "y1", "x2", "y2"))
+    side = F.least(F.greatest(tray[2] - tray[0], F.lit(1.0)), F.greatest(tray[3] - tray[1], F.lit(1.0)))
+    region = num.padded_box(tray, F.bround(side * TRAY_PADDING), F.col("width"), F.col("height"))
+    df = df.withColumn("region", F.when(F.col("tray").isNotNull(), F.struct(*[v.alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), region, strict=True)])))
+    at = tuple(F.col("region")[c] for c in ("x1", "y1", "x2", "y2"))
+    share = F.coalesce(F.try_divide(num.overlap_area(box, at), num.box_area(*box)), F.lit(0.0))
+    centre = ((box[0] + box[2]) / 2).between(at[0], at[2]) & ((box[1] + box[3]) / 2).between(at[1], at[3])
+    margin = F.greatest(F.lit(EDGE_LEAST), F.bround(F.least("width", "height") * EDGE_SHARE))
+    near = (box[0] <= margin) | (box[1] <= margin) | (box[2] >= F.col("width") - margin) | (box[3] >= F.col("height") - margin)
+    some = F.col("region").isNotNull()
+    df = df.withColumns({
+        "edge_distance": F.least(box[0], box[1], F.col("width") - box[2], F.col("height") - box[3]).cast("long"),
+        "tray_share": F.when(some, F.round(share, 4)),
+        "outside_tray": F.coalesce(some & (~centre | (share < TRAY_SHARE)), F.lit(False)),
+        "near_edge": ~some & near,
+    })
+    df = df.withColumn("inside", ~F.col("outside_tray") & ~F.col("near_edge"))
+    clip = lambda own, other, pick: F.when(F.col("inside") & some, pick(own, other)).otherwise(own)
+    clipped = [clip(box[0], at[0], F.greatest), clip(box[1], at[1], F.greatest), clip(box[2], at[2], F.least), clip(box[3], at[3], F.least)]
+    changed = F.col("inside") & some & ((clipped[0] != box[0]) | (clipped[1] != box[1]) | (clipped[2] != box[2]) | (clipped[3] != box[3]))
+    df = df.withColumn("tray_share", F.when(changed, 1.0).otherwise(F.col("tray_share"))).withColumn("at", F.struct(*[c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), clipped, strict=True)]))
+    return df.withColumns({c: F.col("at")[c] for c in ("x1", "y1", "x2", "y2")}).drop("region", "at")
+
+
+def filter_detections(df: DataFrame) -> DataFrame:
+    """The whole chain over detections: tray or edge, aspect, sizes, overlaps, then numbers of what is kept in reading order.
+
+    Sizes, also those that decide between overlapping boxes, are held against the
+    medians before odd sizes go. Each box stays in the result with its reasons.
+    """
+    flagged = flag_sizes(tray_or_edge(df))
+    sides = ["area", "long_side", "short_side"]
+    middle = flagged.groupBy("image_no").agg(F.struct(*[F.first(f"middle_{c}").alias(c) for c in sides]).alias("middle"))
+    flagged = flagged.withColumn("kept", F.col("kept") & F.col("inside"))
+    gone = suppress_nested(flagged.where("kept").drop("area", "long_side", "short_side"), middle=middle).withColumnRenamed("reason", "overlap_reason")
+    out = flagged.join(gone, ["image_no", "box_id"], "left").withColumn("suppressed", F.col("overlap_reason").isNotNull())
+    reasons = F.concat(F.array_compact(F.array(F.when(F.col("outside_tray"), "outside_tray"), F.when(F.col("near_edge"), "near_image_edge"))), F.col("reasons"), F.array_compact(F.array("overlap_reason")))
+    out = out.withColumns({"reasons": reasons, "kept": F.col("kept") & ~F.col("suppressed")})
+    placed = reading_order(out.where("kept")).withColumnRenamed("place", "final_id")
+    return out.join(placed, ["image_no", "box_id"], "left")
 
 
 def reading_order(df: DataFrame, share: float = 0.6, least: float = 10.0) -> DataFrame:
@@ -153,7 +214,7 @@ def reading_order(df: DataFrame, share: float = 0.6, least: float = 10.0) -> Dat
 
 
 def unique_digits(df: DataFrame, share: float = 0.8) -> DataFrame:
-    """Digits of each image left to right, without those that another covers.
+    """Digits of each image left to right, without those that another covers; what is no digit can cover one, but isn't read.
 
     Pairs are taken in the order of the detections (box_id); of two that share
     more than a part of the smaller one's area the less sure one goes, the later
@@ -176,20 +237,89 @@ def unique_digits(df: DataFrame, share: float = 0.8) -> DataFrame:
         return F.when(F.array_contains(gone, a["box_id"]), gone).otherwise(F.aggregate(later, gone, step))
 
     gone = F.aggregate(F.sequence(F.lit(0), F.size("all") - 1), F.array().cast("array<bigint>"), against)
-    kept = own.withColumn("gone", gone).select("image_no", F.filter("all", lambda d: ~F.array_contains(F.col("gone"), d["box_id"])).alias("kept"))
+    kept = own.withColumn("gone", gone).select("image_no", F.filter("all", lambda d: ~F.array_contains(F.col("gone"), d["box_id"]) & d["digit"].rlike("^[0-9]+$")).alias("kept"))
     by_x = F.array_sort(F.transform("kept", lambda k: F.struct(k["x1"].alias("x1"), k["box_id"].alias("box_id"), k["digit"].alias("digit"))))
     return kept.select("image_no", F.array_join(F.transform(by_x, lambda k: k["digit"]), "").alias("digits"))
 
 
 def merge_axes(df: DataFrame, gap: float = 10.0) -> DataFrame:
-    """Axis candidates (key, candidate, angle, length) without those next to a longer one's angle, and how many each kept one stands for."""
-    own = df.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("rank"), "candidate", "angle"))).alias("all"))
-    kind = "array<struct<candidate:bigint,angle:double,merged:bigint>>"
+    """Axis candidates (key, candidate, source, angle, length) without those next to a longer one's angle, by candidate; each with how many different sources it stands for.
+
+    Of equal lengths the smaller candidate comes first. A source that is null or
+    empty isn't counted, but each kept candidate counts for one at least.
+    """
+    own = df.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("rank"), "candidate", "angle", "source"))).alias("all"))
+    kind = "array<struct<candidate:bigint,angle:double,length:double,sources:array<string>>>"
+    named = lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(x))
 
     def step(kept, c):
         near = F.array_position(F.transform(kept, lambda k: num.undirected_gap(k["angle"], c["angle"]) < gap), F.lit(True)).cast("int")
-        grown = F.transform(kept, lambda k, i: F.struct(k["candidate"].alias("candidate"), k["angle"].alias("angle"), F.when(i == near - 1, k["merged"] + 1).otherwise(k["merged"]).alias("merged")))
-        return F.when(near > 0, grown.cast(kind)).otherwise(F.concat(kept, F.array(F.struct(c["candidate"].alias("candidate"), c["angle"].alias("angle"), F.lit(1).cast("bigint").alias("merged"))).cast(kind)))
+        grown = F.transform(kept, lambda k, i: F.struct(k["candidate"].alias("candidate"), k["angle"].alias("angle"), k["length"].alias("length"), F.when(i == near - 1, F.array_union(k["sources"], named(c["source"]))).otherwise(k["sources"]).alias("sources")))
+        begun = F.struct(c["candidate"].alias("candidate"), c["angle"].alias("angle"), (-c["rank"]).alias("length"), named(c["source"]).alias("sources"))
+        return F.when(near > 0, grown.cast(kind)).otherwise(F.concat(kept, F.array(begun).cast(kind)))
 
     kept = own.select("key", F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("k"))
-    return kept.select("key", "k.candidate", "k.angle", "k.merged")
+    return kept.select("key", "k.candidate", "k.angle", "k.length", F.greatest(F.size("k.sources"), F.lit(1)).cast("long").alias("merged"))
+
+
+#: Weights of an axis candidate's penalties (fixed values); the length a candidate must have at least, in pixels and as a share of the reference.
+PENALTIES = {"area": 0.25, "width": 0.30, "color": 0.25, "length": 0.10, "endpoint": 0.10}
+LENGTH_LEAST, LENGTH_SHARE, LENGTH_PERCENTILE = 3.0, 0.72, 0.9
+#: When a choice of axis isn't sure: margin to the second, a component's penalty, and a component whose own winner is so much better and so far off (fixed values).
+SURE_MARGIN, HIGH_PENALTY, CONFLICT_GAP, CONFLICT_ANGLE = 0.035, 0.70, 0.12, 25.0
+
+
+def score_axes(df: DataFrame) -> DataFrame:
+    """Axis candidates (key, candidate, angle, length and penalties area, width, color, endpoint) with their length penalty, total score and rank.
+
+    The reference length is the 90th percentile of the key's positive lengths;
+    candidates under a pixel are left out. The best has the smallest score, the
+    longer one on ties, then the smaller candidate; it alone has a margin to the
+    second.
+    """
+    middle = df.where("length > 0").groupBy("key").agg(F.percentile("length", F.lit(LENGTH_PERCENTILE)).alias("reference"))
+    df = df.where("length >= 1").join(middle, "key", "left").withColumn("reference", F.coalesce("reference", F.lit(1.0)))
+    low = F.greatest(F.lit(LENGTH_LEAST), F.col("reference") * LENGTH_SHARE)
+    within = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("reference") - F.col("length")) / F.greatest(F.col("reference") - low, F.lit(1e-6))))
+    df = df.withColumn("length_penalty", F.when(F.col("length") >= F.col("reference"), 0.0).when(F.col("length") >= low, within).otherwise(1.0))
+    parts = {"area": "area", "width": "width", "color": "color", "length": "length_penalty", "endpoint": "endpoint"}
+    total = sum((PENALTIES[k] * F.col(c) for k, c in parts.items()), F.lit(0.0)) / sum(PENALTIES.values())
+    df = df.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
+    w = Window.partitionBy("key").orderBy("score", F.desc("length"), "candidate")
+    df = df.withColumns({"rank": F.row_number().over(w).cast("long"), "margin": F.lead("score").over(w) - F.col("score")})
+    return df.withColumn("margin", F.when(F.col("rank") == 1, F.col("margin")))
+
+
+def choose_axis(scored: DataFrame) -> DataFrame:
+    """Each key's best candidate and why it isn't sure, if so: a small margin, a high penalty, or a component whose own best one is clearly better and points elsewhere."""
+    parts = ["area", "width", "color"]
+    first = lambda c: F.min(F.struct(F.col(c).alias("v"), F.col("rank").alias("r"), F.col("angle").alias("angle"))).alias(f"best_{c}")
+    best = scored.groupBy("key").agg(F.min_by(F.struct("candidate", "angle", "score", "margin", *parts, "endpoint"), "rank").alias("b"), *map(first, parts))
+    reasons = [F.when(F.col("b.margin") <= SURE_MARGIN, F.lit(f"top2_margin<={SURE_MARGIN:.3f}"))]
+    reasons += [F.when(F.col(f"b.{c}") >= HIGH_PENALTY, F.lit(f"{n}>={HIGH_PENALTY:.2f}")) for c, n in (("area", "area_balance_penalty"), ("width", "width_symmetry_penalty"), ("color", "color_symmetry_penalty"), ("endpoint", "endpoint_penalty"))]
+    clash = lambda c: (F.col(f"b.{c}") - F.col(f"best_{c}.v") >= CONFLICT_GAP) & (num.undirected_gap(F.col("b.angle"), F.col(f"best_{c}.angle")) >= CONFLICT_ANGLE)
+    reasons += [F.when(clash(c), F.lit(f"{n}_winner_conflicts")) for c, n in (("area", "area_balance_penalty"), ("width", "width_symmetry_penalty"), ("color", "color_symmetry_penalty"))]
+    text = F.array_join(F.array_compact(F.array(*reasons)), "|")
+    return best.select("key", "b.candidate", "b.angle", "b.score", text.alias("reasons"), (text != "").alias("unsure"))
+
+
+#: Gates and weights of tray candidates (fixed values): shares of the image, greatest aspect, least fill.
+TRAY_AREA, TRAY_ASPECT, TRAY_FILL = (0.03, 0.45), 1.45, 0.45
+
+
+def choose_tray(df: DataFrame) -> DataFrame:
+    """Each image's best tray candidate (image_no, candidate, contour_area, cx, cy, rect_w, rect_h, width, height), with its sides.
+
+    Gates: share of the image, sides of a pixel at least, aspect, and how much
+    of its rectangle it fills. The score rewards size, a place in the middle
+    (a little below the centre), fill and squareness; the first wins ties.
+    """
+    share = F.col("contour_area") / (F.col("width") * F.col("height"))
+    long, short = F.greatest("rect_w", "rect_h"), F.least("rect_w", "rect_h")
+    aspect, fill = long / F.greatest(short, F.lit(1e-6)), F.col("contour_area") / F.greatest(F.col("rect_w") * F.col("rect_h"), F.lit(1.0))
+    off = lambda v, at, reach: F.greatest(F.lit(-1.0), 1 - F.abs(v - at) / F.greatest(reach, F.lit(1.0)))
+    score = 120 * share + 2.4 * off(F.col("cx"), F.col("width") / 2, F.col("width") / 2) + 1.8 * off(F.col("cy"), F.col("height") * 0.52, F.col("height") * 0.35) + 1.6 * fill + 1.3 * (1 - F.least(F.lit(1.0), F.abs(aspect - 1) / (TRAY_ASPECT - 1)))
+    good = (F.col("contour_area") > 0) & share.between(*TRAY_AREA) & (F.col("rect_w") >= 1) & (F.col("rect_h") >= 1) & (aspect <= TRAY_ASPECT) & (fill >= TRAY_FILL)
+    rows = df.where(good).withColumns({"score": score, "long_side": long, "short_side": short})
+    best = rows.groupBy("image_no").agg(F.min(F.struct((-F.col("score")).alias("rank"), "candidate", "score", "long_side", "short_side")).alias("b"))
+    return best.select("image_no", "b.candidate", "b.score", "b.long_side", "b.short_side")

@@ -16,7 +16,10 @@ def principal_components(df: DataFrame, values: str, k: int, scale: bool = True)
     reaches the driver. Without spread a column keeps the scale 1. The loading
     of greatest size in each component is positive.
     """
-    d = len(df.select(values).first()[0])
+    first = df.select(values).where(F.col(values).isNotNull()).first()
+    if first is None:
+        raise ValueError("principal components need three rows at least")
+    d = len(first[0])
     cells = F.flatten(F.transform(values, lambda x: F.transform(values, lambda y: x * y)))
     row = df.select(array_to_vector(F.concat(F.col(values), cells)).alias("v")).agg(Summarizer.sum(F.col("v")).alias("s"), F.count("*").alias("n")).first()
     if row["n"] < 3:
@@ -47,3 +50,11 @@ def variance(df: DataFrame, values: str, k: int, scale: bool = True) -> DataFram
     *_, percent = principal_components(df, values, k, scale)
     rows = [(i + 1, float(p), float(c)) for i, (p, c) in enumerate(zip(percent, np.cumsum(percent), strict=True))]
     return df.sparkSession.createDataFrame(rows, "component int, percent double, cumulative double")
+
+
+def loadings(df: DataFrame, values: str, k: int, scale: bool = True) -> DataFrame:
+    """Loading of each position on each component, with the position's place from 0 to 1."""
+    _, _, load, _ = principal_components(df, values, k, scale)
+    last = max(1, len(load) - 1)
+    rows = [(j + 1, i, i / last, float(load[i, j])) for j in range(load.shape[1]) for i in range(len(load))]
+    return df.sparkSession.createDataFrame(rows, "component int, pos int, place double, loading double")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+import math
+from itertools import combinations, combinations_with_replacement
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,6 +96,97 @@ def strongest(load: DataFrame) -> DataFrame:
     return load.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return min(max(x, 0.0), 1.0)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    total = d
+    for m in range(1, 500):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            total *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return front * total
+
+
+def correlation_tests(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlation of each two columns over the rows that have both, the p-value of its t-test, and stars at .05, .01 and .001.
+
+    One pass; the p-values are of one row per pair. Under three rows there is no p-value.
+    """
+    pairs = list(combinations(columns, 2))
+    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    row = df.agg(*[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)], *[F.count_if(both(a, b)).alias(f"n{i}") for i, (a, b) in enumerate(pairs)])
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)])
+
+    @F.pandas_udf("double")
+    def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if m < 3 or pd.isna(x) else beta_share(max(0.0, 1 - x * x), (m - 2) / 2, 0.5) for x, m in zip(r, n, strict=True)], dtype="float64")
+
+    out = row.select(F.explode(each).alias("s")).select("s.*").withColumn("p", p_value("r", "n"))
+    return out.withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise(""))
+
+
+def strongest_rows(df: DataFrame, key: str, dims: str) -> DataFrame:
+    """(dim, key, value): the row with the greatest absolute value of each latent dimension, the smallest key on ties."""
+    long = df.select(key, F.posexplode(dims).alias("dim", "value"))
+    best = long.groupBy("dim").agg(F.min(F.struct((-F.abs("value")).alias("rank"), key, "value")).alias("b"))
+    return best.select("dim", F.col(f"b.{key}").alias(key), "b.value")
+
+
+def median_vector(df: DataFrame, dims: str) -> DataFrame:
+    """One row: the median, least and greatest value of each dimension, as arrays middle, least and most."""
+    each = df.select(F.posexplode(dims).alias("pos", "v")).groupBy("pos").agg(F.median("v").alias("middle"), F.min("v").alias("least"), F.max("v").alias("most"))
+    one = each.agg(F.array_sort(F.collect_list(F.struct("pos", "middle", "least", "most"))).alias("a"))  # one row per dimension
+    return one.select(F.col("a.middle").alias("middle"), F.col("a.least").alias("least"), F.col("a.most").alias("most"))
+
+
+def nearest_to_median(df: DataFrame, key: str, dims: str, others: int, seed: str) -> DataFrame:
+    """(key, pick): the row next to the median vector, the smallest key on ties, and so many others chosen by a hash of key and seed."""
+    far = df.crossJoin(F.broadcast(median_vector(df, dims))).select(key, F.aggregate(F.zip_with(dims, "middle", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"))  # one row of medians
+    first = far.orderBy("d", key).limit(1).select(key, F.lit("median").alias("pick"))
+    rest = df.select(key).join(F.broadcast(first.select(key)), key, "left_anti").orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(others)
+    return first.unionByName(rest.withColumn("pick", F.lit("other")))
+
+
+def substituted(df: DataFrame, dims: str, n: int) -> DataFrame:
+    """(dim, side, z): the median vector with one of n dimensions at its least (low) or greatest (high) value."""
+    row = median_vector(df, dims)
+    both = row.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("dim")).select("*", F.explode(F.array(F.lit("low"), F.lit("high"))).alias("side"))
+    other = F.when(F.col("side") == "low", F.get("least", F.col("dim"))).otherwise(F.get("most", F.col("dim")))
+    return both.select("dim", "side", other.alias("__o"), "middle").select("dim", "side", F.transform("middle", lambda x, i: F.when(i == F.col("dim"), F.col("__o")).otherwise(x)).alias("z"))
+
+
+def vae_loss(recon: Column, x: Column, mu: Column, logvar: Column, beta: float = 0.001) -> tuple[Column, Column]:
+    """Aggregates: mean squared error over all elements, and the mean divergence from a standard normal, of array columns; the loss is the first plus beta times the second."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    squares = F.sum(total(F.zip_with(recon, x, lambda a, b: (a - b) * (a - b)))) / F.sum(F.size(x))
+    kl = -0.5 * F.sum(total(F.zip_with(mu, logvar, lambda m, v: 1 + v - m * m - F.exp(v)))) / F.sum(F.size(mu))
+    return squares, kl
+
+
+def direction_loss(px: Column, py: Column, tx: Column, ty: Column, weight: float = 0.05) -> tuple[Column, Column, Column]:
+    """Mean of 1 - cosine between predicted and true directions, the same plus a penalty on predicted lengths other than 1, and the mean cosine."""
+    n = F.greatest(F.hypot(px, py), F.lit(1e-8))
+    cosine = (px * tx + py * ty) / n
+    penalty = (F.hypot(px, py) - 1) * (F.hypot(px, py) - 1)
+    return F.avg(1 - cosine), F.avg(1 - cosine) + weight * F.avg(penalty), F.avg(cosine)
+
+
+def standardised(df: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, pos, value): each position of an array column over its mean and sample deviation; 1 where there is none."""
+    long = df.select(key, F.posexplode(values).alias("pos", "v"))
+    each = long.groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    return long.join(F.broadcast(each), "pos").select(key, "pos", ((F.col("v") - F.col("m")) / F.when(F.coalesce("s", F.lit(0.0)) == 0, 1.0).otherwise(F.col("s"))).alias("value"))  # one row per position
+
+
 def linear_fit(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("*").alias("n"))
 

@@ -69,7 +69,7 @@ def box(spark: SparkSession, d: str) -> DataFrame:
 def digit(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     x = ((F.col("event_id") * 7919) % 100).cast("double")
-    return e.select((F.col("event_id") % 2000).alias("image_no"), F.col("event_id").alias("box_id"), (F.col("event_id") % 10).cast("string").alias("digit"), x.alias("x1"), F.lit(5.0).alias("y1"), (x + 12).alias("x2"), F.lit(25.0).alias("y2"), (((F.col("event_id") * 31) % 997) / 997.0).alias("conf"))
+    return e.select((F.col("event_id") % 2000).alias("image_no"), F.col("event_id").alias("box_id"), F.when(F.col("event_id") % 17 == 0, ".").otherwise((F.col("event_id") % 10).cast("string")).alias("digit"), x.alias("x1"), F.lit(5.0).alias("y1"), (x + 12).alias("x2"), F.lit(25.0).alias("y2"), (((F.col("event_id") * 31) % 997) / 997.0).alias("conf"))
 
 
 def angle(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ SQL = {
         from embeddings, range(1, 65) t(i)), edge as (select p.vec_id, p.i, p.x as px, p.y as py, q.x as qx, q.y as qy from point p join point q on p.vec_id = q.vec_id and q.i = (p.i + 1) % 64)""",
     "box": f"""box as (select image_no, row_number() over (partition by image_no order by l_orderkey, {_L}) as box_id, x as x1, y as y1, x + 20 + 3 * l_quantity as x2, y + 15 + (l_partkey % 90) as y2, 1 - 5 * l_discount as conf
         from (select *, floor(l_orderkey / 20)::bigint as image_no, ((l_partkey * 37) % 1000)::double as x, ((l_suppkey * 53 + l_linenumber * 97) % 700)::double as y from lineitem))""",
-    "digit": """digit as (select event_id % 2000 as image_no, event_id as box_id, cast(event_id % 10 as varchar) as digit, ((event_id * 7919) % 100)::double as x1, ((event_id * 7919) % 100)::double + 12 as x2, ((event_id * 31) % 997) / 997.0::double as conf from events where event_id % 3 = 0)""",
+    "digit": """digit as (select event_id % 2000 as image_no, event_id as box_id, case when event_id % 17 = 0 then '.' else cast(event_id % 10 as varchar) end as digit, ((event_id * 7919) % 100)::double as x1, ((event_id * 7919) % 100)::double + 12 as x2, ((event_id * 31) % 997) / 997.0::double as conf from events)""",
     "angle": "angle as (select l_orderkey, l_returnflag as model, fmod(l_extendedprice, 360.0::double) as pred, ((l_partkey * 7) % 360)::double as true_ from lineitem)",
     "text": "texts as (select p_partkey, concat_ws('_', p_brand, p_type, p_name) as raw, (p_partkey % 100) / 100.0::double as conf, p_partkey % 200 as image_no from part)",
 }

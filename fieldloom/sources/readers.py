@@ -83,6 +83,39 @@ def angle_labels(rows: DataFrame, status: str = "ok") -> DataFrame:
     return rows.where(F.lower(F.trim("status")) == status).where(n > 1e-12).withColumns({"cos_theta": x / n, "sin_theta": y / n})
 
 
+def image_records(spark: SparkSession, folder: str, labels: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """image_name, path and status of a folder's images in name order, with the columns of labels if given; without labels, or a row for an image, its status is null.
+
+    limit keeps the first so many, as a test run asks for.
+    """
+    files = image_files(spark, folder).select("image_name", "path")
+    out = files.withColumn("status", F.lit(None).cast("string")) if labels is None else files.join(labels, "image_name", "left")
+    return out.orderBy("image_name").limit(limit) if limit is not None else out
+
+
+def labelled_images(labels: DataFrame, files: DataFrame, status: str = "ok", limit: int | None = None) -> DataFrame:
+    """Labels of one status whose image is there by its name or, failing that, by its stem with any suffix."""
+    rows = angle_labels(labels, status)
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    exact = files.select(F.col("image_name").alias("image_label"), F.col("path").alias("__a"))
+    near = files.groupBy(stem(F.col("image_name")).alias("__stem")).agg(F.min("path").alias("__b"))
+    out = rows.withColumn("__stem", stem(F.col("image_label"))).join(exact, "image_label", "left").join(near, "__stem", "left")
+    out = out.withColumn("path", F.coalesce("__a", "__b")).where("path is not null").drop("__stem", "__a", "__b")
+    return out.orderBy("image_label").limit(limit) if limit is not None else out
+
+
+def read_latents(spark: SparkSession, path: str, dims: int = 5) -> DataFrame:
+    """plant_id and z, the array of latent values, of a latent CSV."""
+    names = [f"latent_{i + 1}" for i in range(dims)]
+    rows = read_csv(spark, path, ", ".join(["plant_id string", *[f"{n} double" for n in names]]))
+    return rows.select("plant_id", F.array(*names).alias("z"))
+
+
+def detection_counts(boxes: DataFrame) -> DataFrame:
+    """Accepted boxes of each image, in name order of the numbers."""
+    return boxes.groupBy("image_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("kernel_id")).alias("ids"))
+
+
 def read_results(spark: SparkSession, folder: str, essential: str, optional: dict[str, str], schemas: dict[str, str]) -> dict:
     """A result folder's tables by name, with ok, errors and warnings; only the essential one must be there."""
     out = {"ok": True, "errors": [], "warnings": [], "tables": {}}

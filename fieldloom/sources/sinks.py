@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_profiles(df: DataFrame, path: str, name: str, values: str) -> None:
     """A line per row: its name and the values with two decimals."""
-    numbers = F.array_join(F.transform(values, lambda x: F.format_string("%.2f", x)), " ")
+    numbers = F.array_join(F.transform(values, lambda x: F.format_string("%.2f", F.bround(x, 2))), " ")
     df.select(F.concat_ws(" ", name, numbers).alias("value")).write.mode("overwrite").text(path)
 
 
@@ -31,14 +31,76 @@ def write_latents(df: DataFrame, path: str, key: str, columns: list[str]) -> Non
 
 
 def append_log(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of CSV parts, each with its header; read_csv reads them as one table, export_log writes them as one file."""
     write_csv(df, path, mode="append")
 
 
-def swap_in(df: DataFrame, path: str, staged: str) -> None:
-    """Replaces a Parquet table by rows that may be read from it: written beside it first, then renamed."""
+def export_log(log: DataFrame, order: str, path: str) -> None:
+    """A log of training steps as one CSV file with one header, in order; a row per step, so one task writes it."""
+    write_csv(log.orderBy(order).coalesce(1), path)
+
+
+def write_json_array(df: DataFrame, path: str, files: int = 1) -> None:
+    """Compact JSON arrays of all rows, without missing values, one in each of so many files; choose files so that one's rows fit a task."""
+    lot = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    rows = df.select(lot.alias("__lot"), F.struct(*df.columns).alias("__row")).groupBy("__lot").agg(F.collect_list("__row").alias("rows"))
+    rows.select(F.to_json("rows").alias("value")).repartition(files, "value").write.mode("overwrite").text(path)
+
+
+def write_json_map(df: DataFrame, path: str, key: str, files: int = 1) -> None:
+    """JSON objects keyed by image, each value an object of the other columns, spread over so many files by key."""
+    value = F.struct(*[c for c in df.columns if c != key])
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("__lot"), F.struct(F.col(key).cast("string").alias("key"), value.alias("value")).alias("e"))
+    rows = rows.groupBy("__lot").agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    rows.select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_points(df: DataFrame, path: str, name: str, contour: str) -> None:
+    """A line per contour: its name, then x,y of each point with two decimals."""
+    point = lambda p: F.format_string("%.2f,%.2f", F.bround(p["x"], 2), F.bround(p["y"], 2))
+    df.select(F.concat_ws(" ", name, F.array_join(F.transform(contour, point), " ")).alias("value")).write.mode("overwrite").text(path)
+
+
+def _store(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    return p(path).getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def backup(spark: SparkSession, path: str, to: str) -> None:
+    """Copies a file or folder within its store, over what is there."""
+    fs, p = _store(spark, path)
+    fs.delete(p(to), True)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p(path), fs, p(to), False, spark._jsc.hadoopConfiguration())
+
+
+def swap_in(df: DataFrame, path: str, staged: str, write=None) -> None:
+    """Replaces a table by rows that may be read from it: written beside it first, then the old one is renamed, the new one put in its place, and the old one deleted.
+
+    A crash in between leaves the old table under path.old; recover() puts it back.
+    write(df, path) is another writer than Parquet's.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(staged)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(p, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), p)
+    (write or (lambda d, at: d.write.mode("overwrite").parquet(at)))(df, staged)
+    fs, p = _store(spark, path)
+    old = f"{path.rstrip('/')}.old"
+    fs.delete(p(old), True)
+    if fs.exists(p(path)):
+        fs.rename(p(path), p(old))
+    fs.rename(p(staged), p(path))
+    fs.delete(p(old), True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Puts back the old table where a swap was broken off; whether it had to."""
+    fs, p = _store(spark, path)
+    old = p(f"{path.rstrip('/')}.old")
+    if fs.exists(p(path)) or not fs.exists(old):
+        return False
+    return fs.rename(old, p(path))
+
+
+def delete_objects(spark: SparkSession, gone: DataFrame, tables: dict[str, tuple]) -> None:
+    """Deletes objects from several result tables: path to (rows, key, write or None); each is rewritten beside itself and swapped in."""
+    for path, (rows, key, write) in tables.items():
+        kept = rows.join(gone.select(F.col(gone.columns[0]).alias(key)).distinct(), key, "left_anti")
+        swap_in(kept.select(*rows.columns), path, f"{path.rstrip('/')}.staged", write)
