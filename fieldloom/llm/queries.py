@@ -83,4 +83,18 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_lattice, op4_warc, op5_packing, op6_quality, op7_suffix, op8_licenses, op9_fingerprints, op10_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The join by all shared shingles, and components by a recursion that hands the smaller id on; and archives as the contract describes what is read back.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as l from documents),
+    s as (select doc_id, unnest(case when len(l) = 0 then [] when len(l) < 5 then [array_to_string(l, ' ')] else list_distinct(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) end) as g, len(l) as k from w),
+    n as (select doc_id, count(*) as n from s group by 1),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as k2 from s a join s b on a.g = b.g and (a.k < 5) = (b.k < 5) and a.doc_id < b.doc_id group by 1, 2),
+    e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k2 >= 80 * (x.n + y.n - k2)),
+    u as (select a, b from e union all select b, a from e),
+    r as (select doc_id as id, doc_id as c from w union select u.b, r.c from r join u on u.a = r.id where r.c < u.b)
+    select w.doc_id, coalesce(n.n, 0) as n_shingles, min(c) as component_id from w left join n using (doc_id) join r on r.id = w.doc_id group by 1, 2""",
+    "op4_warc": """with p as (select page_id, coalesce(html, '') as html from pages), f as (select html, min(page_id) as first from p group by 1), h as (select page_id, html, first, sha1(html) as x from p join f using (html)),
+    d as (select page_id, strlen(html)::bigint as payload_bytes, first, list_transform(range(8), lambda i: ('0x' || substr(x, i * 5 + 1, 5))::bigint) as v from h)
+    select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '') as payload_digest,
+    case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to from d""",
+}

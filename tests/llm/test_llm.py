@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import compare
 import numpy as np
 import public_tokenizers as public
 import pytest
@@ -650,6 +651,11 @@ def test_every_contract_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, small, name):
+    assert compare.differences(compare.connect(small), queries.ORACLE_SQL[name], queries.QUERIES[name](spark, small)) == []
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
