@@ -11,6 +11,58 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows that one range of an ordered column should hold, and the most ranges; their bounds are all that the driver gets.
+ROWS_PER_RANGE, MOST_RANGES = 200_000, 4096
+
+
+def in_ranges(df: DataFrame, column: str, rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """df with __range, the number of an interval of a numeric column; later intervals hold greater values, null stands in the first.
+
+    Bounds are approximate quantiles, so that intervals hold about as many rows
+    each; they are constants of the plan, so every use of it agrees on them.
+    """
+    n = df.where(F.col(column).isNotNull()).count()
+    parts = min(MOST_RANGES, n // rows + 1)
+    if parts == 1:
+        return df.withColumn("__range", F.lit(0))
+    at = F.percentile_approx(F.col(column).cast("double"), F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts))
+    bounds = sorted(set(df.agg(at).first()[0]))
+    step = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    own = F.col(column).cast("double")
+    array = lambda xs: F.array(*map(F.lit, xs))
+    block = F.greatest(F.size(F.filter(array([b[0] for b in blocks]), lambda b: b <= own)), F.lit(1))
+    inside = F.size(F.filter(F.get(F.array(*map(array, blocks)), block - 1), lambda b: b <= own))
+    return df.withColumn("__range", F.coalesce((block - 1) * step + inside, F.lit(0)))
+
+
+def before_each(ranges: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """(keys, __range, __before, __all): the sum of n over a key's earlier ranges, and over all; a row per key and range, which is what the window sees."""
+    each = ranges.groupBy(*keys, "__range").agg(F.sum(n).alias("__n"))
+    w = Window.partitionBy(*keys).orderBy("__range")
+    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return each.withColumns({"__before": before, "__all": F.sum("__n").over(Window.partitionBy(*keys))}).drop("__n")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float], rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """(keys, q): exact quantiles of value by linear interpolation, as an array; nulls are left out.
+
+    Equal values are counted first, counts are summed up within ranges of values,
+    and only the values next to the wanted ranks are gathered, so no task holds a
+    group, however few groups there are.
+    """
+    counts = in_ranges(df.where(F.col(value).isNotNull()), value, rows).groupBy(*keys, "__range", value).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__range").orderBy(value))
+    placed = counts.withColumn("__upto", upto).join(before_each(counts, keys, "__n"), [*keys, "__range"])
+    last = F.col("__before") + F.col("__upto")
+    holds = lambda rank: (rank < last) & (rank >= last - F.col("__n"))
+    h = [(F.col("__all") - 1) * F.lit(float(p)) for p in at]
+    picks = [F.max(F.when(holds(f(x)), F.col(value).cast("double"))).alias(f"{n}{i}") for i, x in enumerate(h) for n, f in (("lo", F.floor), ("hi", F.ceil))]
+    got = placed.groupBy(*keys).agg(F.first("__all").alias("__all"), *picks)
+    part = lambda i, x: F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (x - F.floor(x))
+    return got.select(*keys, F.array(*[part(i, x) for i, x in enumerate(h)]).alias("q"))
+
+
 def element_median(df: DataFrame, key: str, values: str) -> DataFrame:
     """(key, pos, value): the median of an array column at each position; one group per key and position keeps groups small."""
     return df.select(key, F.posexplode(values).alias("pos", "value")).groupBy(key, "pos").agg(F.median("value").alias("value"))
@@ -23,7 +75,7 @@ def gathered(long: DataFrame, key: str, name: str) -> DataFrame:
 
 def fences(df: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles by linear interpolation and the fences beyond which values are outliers."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(df, keys, value, [0.25, 0.5, 0.75])
     q1, q3 = F.col("q")[0], F.col("q")[2]
     return q.select(*keys, q1.alias("q1"), F.col("q")[1].alias("q2"), q3.alias("q3"), (q3 - q1).alias("iqr"), (q1 - reach * (q3 - q1)).alias("low"), (q3 + reach * (q3 - q1)).alias("high"))
 
@@ -43,8 +95,8 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def error_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]))
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), p.alias("p"), F.max(value).alias("most"), F.avg((F.col(value) < 5).cast("double")).alias("within_5"), F.avg((F.col(value) < 10).cast("double")).alias("within_10"))
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.avg((F.col(value) < 5).cast("double")).alias("within_5"), F.avg((F.col(value) < 10).cast("double")).alias("within_10"))
+    out = out.join(quantiles(df, keys, value, [0.5, 0.9, 0.95, 0.99]).withColumnRenamed("q", "p"), keys)
     return out.select(*keys, "n", "mean", *[F.col("p")[i].alias(f"p{x}") for i, x in enumerate((50, 90, 95, 99))], "most", "within_5", "within_10")
 
 
@@ -65,9 +117,9 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """Each distinct value with the share of values that don't exceed it; counts are summed per value first."""
-    counts = df.groupBy(value).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select(value, (F.sum("n").over(Window.orderBy(value)) / total).alias("share"))
+    counts = in_ranges(df, value).groupBy("__range", value).agg(F.count("*").alias("n"))
+    placed = counts.withColumn("__upto", F.sum("n").over(Window.partitionBy("__range").orderBy(value))).join(F.broadcast(before_each(counts, [], "n")), "__range")  # a row per range
+    return placed.select(value, ((F.col("__before") + F.col("__upto")) / F.col("__all")).alias("share"))
 
 
 def correlations(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
@@ -204,12 +256,12 @@ def hexagons(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
 
 
 def density(df: DataFrame, value: str, low: float, high: float, points: int, width: float) -> DataFrame:
-    """Gaussian kernel density at points of a grid; the grid is a constant array, so rows meet no other table."""
-    step = (high - low) / (points - 1)
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: low + step * i)).alias("at")
-    own = df.where(F.col(value).isNotNull()).select(value, grid)
-    z = (F.col("at") - F.col(value)) / width
-    return own.groupBy("at").agg((F.sum(F.exp(-0.5 * z * z)) / (F.count("*") * width * (2 * 3.141592653589793) ** 0.5)).alias("density"))
+    """Gaussian kernel density at points of a grid: one sum per point in one pass, so rows aren't multiplied."""
+    at = [low + (high - low) / (points - 1) * i for i in range(points)]
+    z = lambda x: (F.lit(x) - F.col(value)) / width
+    row = df.where(F.col(value).isNotNull()).agg(F.count("*").alias("n"), *[F.sum(F.exp(-0.5 * z(x) * z(x))).alias(f"s{i}") for i, x in enumerate(at)])
+    each = F.array(*[F.struct(F.lit(x).alias("at"), (F.col(f"s{i}") / (F.col("n") * width * (2 * math.pi) ** 0.5)).alias("density")) for i, x in enumerate(at)])
+    return row.where("n > 0").select(F.explode(each).alias("d")).select("d.*")
 
 
 def collapsed(df: DataFrame, most: float = 0.5) -> DataFrame:
@@ -262,21 +314,28 @@ def split_sets(df: DataFrame, key: str, shares: tuple[float, float], seed: str,
     Truncated: train and val have their share, one at least, and test the rest.
     Rounded (half to even): val and test have theirs, one at least, and train the rest.
     """
-    w = Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    n = F.count("*").over(Window.partitionBy())
-    place = F.row_number().over(w)
+    hashed = df.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
+    # The hash is spread evenly, so its beginning makes even ranges.
+    hashed = hashed.withColumn("__range", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
+    placed = hashed.withColumn("__upto", F.row_number().over(Window.partitionBy("__range").orderBy("__h", key)))
+    placed = placed.join(F.broadcast(before_each(hashed.withColumn("__one", F.lit(1)), [], "__one")), "__range")  # a row per range
+    n, place = F.col("__all"), F.col("__before") + F.col("__upto")
     if rounded:
         val, test = (F.greatest(F.lit(1), F.bround(n * x).cast("long")) for x in (shares[1], 1 - sum(shares)))
         train = n - val - test
     else:
         train, val = (F.greatest(F.lit(1), F.floor(n * x).cast("long")) for x in shares)
         val = F.when(train + val >= n, F.greatest(F.lit(1), n - train - 1)).otherwise(val)
-    return df.withColumn("split", F.when(place <= train, "train").when(place <= train + val, "val").otherwise("test"))
+    return placed.withColumn("split", F.when(place <= train, "train").when(place <= train + val, "val").otherwise("test")).select(*df.columns, "split")
 
 
 def running_best(df: DataFrame, order: str, value: str) -> DataFrame:
     """The best value so far and how many steps ago it was reached first, over a log of training steps."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    best = df.withColumn("best", F.min(value).over(w))
-    lot = Window.partitionBy("best")
-    return best.withColumn("stall", F.col(order) - F.min(order).over(lot))
+    log = in_ranges(df, order)
+    # What earlier ranges have reached is one row each.
+    ranges = log.groupBy("__range").agg(F.min(value).alias("__least"))
+    earlier = ranges.select("__range", F.min("__least").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
+    own = F.min(value).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    best = log.withColumn("__own", own).join(F.broadcast(earlier), "__range").withColumn("best", F.least("__own", "__earlier"))
+    reached = best.groupBy("best").agg(F.min(order).alias("__reached"))
+    return best.join(reached, "best").withColumn("stall", F.col(order) - F.col("__reached")).select(*df.columns, "best", "stall")

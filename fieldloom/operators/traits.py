@@ -105,19 +105,41 @@ def without_deleted(labels: DataFrame, present: DataFrame, key: str) -> DataFram
     return kept.unionByName(rows.where("__some = 0")).drop("__some")
 
 
+#: Profile names that may be broadcast for a search by substring.
+MOST_NAMES = 100_000
+
+
 def match_profile(images: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Each image with the profile of its group, else the first by order whose name is part of the image's stem or the other way round."""
+    """Each image with the profile of its group, else the first by order whose name is part of the image's stem or the other way round.
+
+    No key can serve a search by substrings of any length. Names, one per group
+    of a study, are broadcast if a count shows them few; beyond that, names and
+    stems meet on the three-letter parts that one has of the other, and shorter
+    ones, which are few by nature, are broadcast.
+    """
     known = images.join(profiles.select(F.col("name").alias("profile"), "ord"), F.col("plant_name") == F.col("profile"), "left")
     exact = known.where(F.col("profile").isNotNull()).select("image_name", "profile")
-    rest = known.where(F.col("profile").isNull()).drop("profile", "ord").alias("i")
-    # The profiles' side is one row per group of a study; both tests are on substrings, so no key can serve.
-    near = rest.join(profiles.alias("p"), F.contains("i.stem", "p.name") | F.contains("p.name", "i.stem"))
-    fuzzy = one_per_key(near.select("image_name", F.col("p.name").alias("profile"), F.col("p.ord").alias("ord")), "image_name", F.col("ord")).drop("ord")
+    rest, own = known.where(F.col("profile").isNull()).select("image_name", "stem"), profiles.select("name", "ord")
+    part = F.contains("stem", "name") | F.contains("name", "stem")
+    if own.count() <= MOST_NAMES:
+        near = rest.join(F.broadcast(own), part)
+    else:
+        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+        long = lambda df, c: df.where(F.length(c) >= 3).withColumn("__gram", F.explode(grams(F.col(c))))
+        first = lambda df, c: df.where(F.length(c) >= 3).withColumn("__gram", F.substring(F.col(c), 1, 3))
+        near = long(rest, "stem").join(first(own, "name"), "__gram").where(F.contains("stem", "name")).drop("__gram")
+        near = near.unionByName(first(rest, "stem").join(long(own, "name"), "__gram").where(F.contains("name", "stem")).select(*near.columns))
+        near = near.unionByName(rest.join(F.broadcast(own.where(F.length("name") < 3).distinct()), F.contains("stem", "name")).select(*near.columns))
+        near = near.unionByName(own.join(F.broadcast(rest.where(F.length("stem") < 3).distinct()), F.contains("name", "stem")).select(*near.columns))
+    fuzzy = near.groupBy("image_name").agg(F.min_by("name", "ord").alias("profile"))
     return images.select("image_name").distinct().join(exact.unionByName(fuzzy), "image_name", "left")
 
 
 def upsert_in_order(current: DataFrame, order: DataFrame, key: str) -> DataFrame:
-    """Rows in the order of a list of keys, rows whose key isn't listed behind them by key."""
+    """Rows in the order of a list of keys, rows whose key isn't listed behind them by key.
+
+    The order is that of one label file, a row per image of a folder, so one task numbers it.
+    """
     listed = order.join(current, key, "left_semi").select(key, "ord")
     return current.join(listed, key, "left").withColumn("place", F.row_number().over(Window.orderBy(F.col("ord").asc_nulls_last(), key))).drop("ord")
 

@@ -322,3 +322,38 @@ def test_records_of_images(spark, tmp_path):
     assert sorted((r.image_label, r.path.rsplit("/", 1)[1], round(r.cos_theta, 6)) for r in out.collect()) == [("a.jpg", "a.png", 1.0), ("b.jpg", "b.jpg", 0.6)]
     sinks.write_latents(spark.createDataFrame([("p", *[0.1 * i for i in range(5)])], "plant_id string, " + ", ".join(f"latent_{i + 1} double" for i in range(5))), str(tmp_path / "z.csv"), "plant_id", [f"latent_{i + 1}" for i in range(5)])
     assert readers.read_latents(spark, str(tmp_path / "z.csv")).first().z == [0.0, 0.1, 0.2, 0.3, 0.4]
+
+
+def test_ranges_change_nothing(spark, monkeypatch):
+    """Exact quantiles, distributions and running bests are the same over many ranges as over one."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 4000), rng.choice(rng.normal(size=300), 4000), strict=True)] + [(5, None), (6, 1.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    log = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(size=500).cumsum())], "step long, loss double")
+    got = []
+    for n in (10_000_000, 150):
+        monkeypatch.setattr(stats, "ROWS_PER_RANGE", n)
+        monkeypatch.setattr(stats.in_ranges, "__defaults__", (n,))
+        monkeypatch.setattr(stats.quantiles, "__defaults__", (n,))
+        q = {r.k: list(r.q) for r in stats.quantiles(df, ["k"], "v", [0, 0.1, 0.25, 0.5, 0.99, 1]).collect()}
+        c = sorted((r.v, r.share) for r in stats.distribution(df.where("v is not null"), "v").collect())
+        b = sorted((r.step, r.best, r.stall) for r in stats.running_best(log, "step", "loss").collect())
+        got.append((q, c, b))
+    assert got[0] == got[1]
+    for k, q in got[1][0].items():
+        assert np.allclose(q, np.quantile([v for x, v in rows if x == k], [0, 0.1, 0.25, 0.5, 0.99, 1]))
+    best, at = math.inf, 0
+    for (step, got_best, stall), r in zip(got[1][2], log.orderBy("step").collect(), strict=True):
+        if r.loss < best:
+            best, at = r.loss, r.step
+        assert (got_best, stall) == (best, step - at)
+    assert len({r[0] for r in stats.in_ranges(df, "v", 150).select("__range").distinct().collect()}) > 10
+
+
+def test_names_match_without_a_broadcast(spark, monkeypatch):
+    images = spark.createDataFrame([(f"i{k}", s, "x") for k, s in enumerate(["corn_12", "ab", "wheat", "a", "zz", "corn", "rice_b"])] + [("e", "q", "corn")], "image_name string, stem string, plant_name string")
+    profiles = spark.createDataFrame([("corn", 3), ("corn_1", 2), ("ab", 1), ("xwheatx", 5), ("ce_", 4), ("b", 9)], "name string, ord int")
+    want = sorted((r.image_name, r.profile or "") for r in traits.match_profile(images, profiles).collect())
+    monkeypatch.setattr(traits, "MOST_NAMES", 0)
+    assert sorted((r.image_name, r.profile or "") for r in traits.match_profile(images, profiles).collect()) == want
+    assert dict(want)["i0"] == "corn_1" and dict(want)["e"] == "corn" and dict(want)["i2"] == "xwheatx" and dict(want)["i4"] == ""
