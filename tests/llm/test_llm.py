@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -147,6 +148,14 @@ def test_byte_bpe(spark, strange):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(r.ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_empty_tables(spark, strange):
+    empty = docs(spark, EMPTY)
+    assert byte_bpe.encode_documents(empty, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN).count() == 0
+    lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_documents(empty, toxicity.fit(empty, lab)).count() == 0
+    assert quality.score_documents(empty, quality.fit(empty, lab)).count() == 0
+
+
 def test_units_fall_apart_at_blanks(strange):
     codec = byte_bpe.Codec(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
     assert [codec.encode(t) for t in strange] == codec.encode_many(strange)
@@ -384,6 +393,59 @@ def test_quality(spark):
     assert quality.score_documents(docs(spark, EMPTY), model).count() == 0
 
 
+def brute_isotonic(scores, y):
+    """Least squares over non-decreasing steps by the max-min formula, at each distinct score."""
+    at = sorted(set(scores))
+    sums = [(sum(v for x, v in zip(scores, y, strict=True) if x == a), sum(1 for x in scores if x == a)) for a in at]
+    mean = lambda i, j: (sum(s for s, _ in sums[i : j + 1]) / sum(n for _, n in sums[i : j + 1]))
+    return {at[k]: max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))}
+
+
+def test_quality_against_numpy(spark):
+    """The same model from one table in memory: no partitions, no sums of sums; one id is repeated, of whose rows the least statistics count."""
+    rows, labels = planted(12, 240)
+    rows = [*rows, (2, "x " * 40), (2, "A!")]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(docs(spark, rows).repartition(3), lab)
+    y = {i: q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    stat = lambda t: quality.statistics(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0]
+    by_id = defaultdict(list)
+    for i, t in rows:
+        if i in y:
+            by_id[i].append(tuple(stat(t)))
+    ids = sorted(by_id)
+    x, q = np.array([min(by_id[i]) for i in ids]), np.array([float(y[i]) for i in ids])
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < 1e-9] = 1.0
+    z = quality.fourier(x, mean, scale)
+    ridge = quality.RIDGE * np.diag([1.0] * quality.FEATURES + [1e-6]) / 10
+    solve = lambda own: np.linalg.solve(z[own].T @ z[own] + ridge, z[own].T @ q[own])
+    half = np.array([int(quality.mix64(np.array([i], np.int64).astype(np.uint64))[0]) & 1 for i in ids])
+    crossed = np.where(half == 0, z @ solve(half == 1), z @ solve(half == 0))
+    whole = solve(np.ones(len(ids), bool))
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale) and np.allclose(model.weights, whole, atol=1e-6)
+    knots, values = quality.isotonic(crossed, q)
+    assert np.allclose(model.knots, knots, atol=1e-6) and np.allclose(model.values, values, atol=1e-6)
+    for r in quality.score_documents(docs(spark, rows[:40]), model).collect():
+        one = quality.fourier(stat(dict(rows[:40])[r.doc_id])[None, :], mean, scale) @ whole
+        assert abs(r.score - float(np.clip(np.interp(one, knots, values), 0, 1)[0])) < 1e-4
+
+
+def test_isotonic_against_the_formula():
+    rng = random.Random(5)
+    for _ in range(40):
+        n = rng.randrange(1, 14)
+        s, y = [rng.randrange(6) / 6 for _ in range(n)], [float(rng.randrange(2)) for _ in range(n)]
+        want = brute_isotonic(s, y)
+        x, v = quality.isotonic(np.array(s), np.array(y))
+        steps = [k for k in sorted(want)]
+        got = np.interp(steps, x, v)
+        # Half a count of either label is added to each step of the fit, and the curve never falls.
+        lots = {k: [v for x, v in zip(s, y, strict=True) if want[x] == want[k]] for k in steps}
+        smooth = np.maximum.accumulate([(sum(lots[k]) + 0.5) / (len(lots[k]) + 1) for k in steps])
+        assert np.allclose(got, smooth, atol=1e-5)
+
+
 def test_isotonic():
     x, v = quality.isotonic(np.array([0.1, 0.2, 0.3, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
     assert (np.diff(v) >= 0).all() and (np.diff(x) >= 0).all()
@@ -411,6 +473,48 @@ def test_toxicity(spark):
     assert max(r.score for r in toxicity.score_documents(docs(spark, rows), empty).collect()) < 0.01
 
 
+def test_toxicity_against_a_loop(spark):
+    """Counts, log-odds, which tokens count, the extreme-value fit and the scores, from loops over the texts."""
+    rows, labels = planted(10, 300)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows).repartition(3), lab)
+    y = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 5 != 0}
+    first = {}
+    for i, t in rows:
+        if i in y:
+            data = np.frombuffer((t or "").encode(), np.uint8)
+            sets = ngram_join.shingle_sets(data, np.array([0, len(data)]))[0]
+            lot = (int(sets[0].astype(np.int64)) if len(sets) else 0, y[i])
+            if lot not in first or i < first[lot][0]:
+                first[lot] = (i, t or "")
+    own = [(kind, t) for (_, kind), (_, t) in first.items()]
+    n = [sum(k == kind for k, _ in own) for kind in (0, 1)]
+    seen = defaultdict(lambda: [0, 0])
+    for kind, t in own:
+        for token in {x for w in re.findall(r"[^\W\d_]+", t.lower()) for x in [w, *(w[:k] + "-" for k in (4, 5, 6) if len(w) >= k)]}:
+            seen[token][kind] += 1
+    weights = {}
+    for token, (clean, toxic) in seen.items():
+        prior = toxicity.PRIOR * (clean + toxic) / sum(n)
+        odds = lambda k, m, prior=prior: math.log((k + prior) / (m + toxicity.PRIOR - k - prior))
+        weight = odds(toxic, n[1]) - odds(clean, n[0])
+        z = weight / math.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+        if abs(z) >= toxicity.EVIDENCE and abs(weight) >= toxicity.LEAST_ODDS and (toxic > clean and toxic >= toxicity.FEWEST if weight > 0 else clean >= toxicity.FEWEST):
+            weights[token] = weight
+    assert set(model.weights) == set(weights) and all(abs(model.weights[k] - v) < 1e-9 for k, v in weights.items())
+    assert any(v < 0 for v in weights.values()) or len(weights) > 0
+    best = lambda t: max((x[2] for x in model.passages(t)[1]), default=0.0)
+    words = lambda t: len(re.findall(r"[^\W\d_]+", t.lower()))
+    x, m = np.log1p([words(t) for kind, t in own if not kind]), np.array([best(t) for kind, t in own if not kind])
+    slope = max(0.0, float(np.cov(x, m)[0, 1] / x.var()))
+    rest = m - slope * x
+    spread = max(1.0, float(rest.std()) * math.sqrt(6) / math.pi)
+    assert (model.slope, model.spread) == (pytest.approx(slope), pytest.approx(spread)) and model.place == pytest.approx(rest.mean() - 0.5772156649 * spread)
+    for r in toxicity.score_documents(docs(spark, rows[:60]), model).collect():
+        t = dict(rows[:60])[r.doc_id]
+        assert r.score == pytest.approx(model.score(model.evidence(*model.passages(t or ""))))
+
+
 def test_segments_are_maximal():
     rng = random.Random(10)
     for _ in range(300):
@@ -489,6 +593,17 @@ def test_suffix_of_repeated_ids(spark, monkeypatch):
         assert cuts(spark, rows) == brute_cut(rows)
 
 
+def test_frequent_passages_are_settled_early():
+    """Of a class that a task has met often, only what can be the smallest id is sent again."""
+    contexts, frequent = np.zeros((6, suffix.CONTEXT), np.uint8), {}
+    token, count = np.full(6, 9, np.uint64), np.full(6, 3, np.int32)
+    for ids, want in (([7, 8, 9, 7, 8, 9], [7]), ([8, 9, 10, 8, 9, 10], [7]), ([5, 6, 9, 9, 9, 9], [5]), ([6, 7, 9, 9, 9, 9], [5])):
+        cls, lowest = suffix.classes(token, count, contexts, np.array(ids))
+        assert suffix.settle(cls, lowest, token, count, contexts, frequent).tolist() == want
+    few = suffix.classes(token[:2], count[:2], contexts[:2], np.array([20, 21]))
+    assert suffix.settle(*few, token[:2], count[:2], contexts[:2], frequent).tolist() == [20]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(11)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
