@@ -130,11 +130,11 @@ def fourier(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarra
 
 def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots and values of the non-decreasing least-squares fit, by pooling adjacent violators."""
-    order = np.argsort(scores, kind="stable")
+    at, lot = np.unique(scores, return_inverse=True)  # equal scores are one step
     blocks: list[list[float]] = []
-    for s, y in zip(scores[order].tolist(), labels[order].tolist(), strict=True):
-        blocks.append([s, s, y, 1.0])
-        while len(blocks) > 1 and (blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3] or blocks[-2][1] == blocks[-1][0]):
+    for s, y, n in zip(at.tolist(), np.bincount(lot, weights=labels, minlength=len(at)).tolist(), np.bincount(lot, minlength=len(at)).tolist(), strict=True):
+        blocks.append([s, s, y, float(n)])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
             a = blocks.pop()
             blocks[-1] = [blocks[-1][0], a[1], blocks[-1][2] + a[2], blocks[-1][3] + a[3]]
     # Each block is a step; half a count of either label at its ends keeps scores off 0 and 1 and the curve rising within it.
