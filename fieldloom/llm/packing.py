@@ -35,7 +35,7 @@ END_ID = 2
 #: Windows that a task keeps open.
 MOST_OPEN = 128
 #: Distinct words and pre-tokens that a task remembers before their memo starts anew; this bounds memory and changes no result.
-WORDS, PARTS = 200_000, 200_000
+WORDS, PARTS = 400_000, 400_000
 MEMO_LENGTH = 64
 #: A task's sequence numbers stay below 2 ** TASK_BITS.
 TASK_BITS = 40
