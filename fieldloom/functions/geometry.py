@@ -287,8 +287,12 @@ def resampled(c: Column, n: int = 360) -> Column:
     return let(F.aggregate(edges(c), start, step, lambda s: s["ends"]), points)
 
 
-def smoothed(c: Column, window: int, size: int) -> Column:
-    """Circular moving average of a contour of a given size; the window is odd, 3 at least and a third of the size at most."""
+def smoothed(c: Column, window: int, size: int, iterations: int = 1) -> Column:
+    """Circular moving average of a contour of a given size, so many times over; the window is odd, 3 at least and a third of the size at most, and one of 1 changes nothing."""
+    if size < 3 or window <= 1:
+        return c
+    if iterations > 1:
+        return let(smoothed(c, window, size), lambda s: smoothed(s, window, size, iterations - 1))
     w = max(3, min(window + (window % 2 == 0), max(3, size // 3)))
     r = w // 2
 
@@ -313,6 +317,37 @@ def sharpness(c: Column, window: int = 5) -> Column:
     return F.transform(c, at)
 
 
+def oriented(c: Column, a: Column, b: Column, size: int) -> Column:
+    """Two ends of an axis as bottom and top of a contour of a size: the bottom has the higher score, the first end on ties."""
+
+    def choose(e):
+        score = lambda p, q: bottom_score(tip_sharpness(c, nearest_index(c, p), size), support_widths(c, p, q))
+        ends = lambda p, q, x, y: F.struct(p.alias("bottom"), q.alias("top"), x.alias("score"), y.alias("top_score"))
+        return let(F.struct(score(e["a"], e["b"]).alias("a"), score(e["b"], e["a"]).alias("b")), lambda s: F.when(s["a"] >= s["b"], ends(e["a"], e["b"], s["a"], s["b"])).otherwise(ends(e["b"], e["a"], s["b"], s["a"])))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), choose)
+
+
+def direction_axis(c: Column, at: Column, angle: Column, size: int) -> Column:
+    """Bottom and top on the line through a point at an angle, whichever way round; null if it has no two ends."""
+    return let(axis_ends(c, at, angle), lambda e: F.when(e.isNotNull(), oriented(c, e["a"], e["b"], size)))
+
+
+def fallback_axis(c: Column, at: Column, size: int) -> Column:
+    """An axis along the greater spread of the contour's points: through a point if the line has two ends, else between the points with least and greatest projection."""
+
+    def along(angle):
+        extremes = let(farthest_along(c, at, angle), lambda f: oriented(c, f["top"], f["bottom"], size))
+        return F.coalesce(direction_axis(c, at, angle, size), extremes)
+
+    return let(point_spread(c)["angle"], along)
+
+
+def analysis_contour(c: Column, n: int = 360) -> Column:
+    """n points at even steps of the contour's index, then n points at even distances along those."""
+    return let(sampled(c, n), lambda s: resampled(s, n))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, although body may use it for every element of an array."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

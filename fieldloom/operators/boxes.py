@@ -242,13 +242,14 @@ def unique_digits(df: DataFrame, share: float = 0.8) -> DataFrame:
     return kept.select("image_no", F.array_join(F.transform(by_x, lambda k: k["digit"]), "").alias("digits"))
 
 
-def merge_axes(df: DataFrame, gap: float = 10.0) -> DataFrame:
+def merge_axes(df: DataFrame, gap: float = 10.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """Axis candidates (key, candidate, source, angle, length) without those next to a longer one's angle, by candidate; each with how many different sources it stands for.
 
     Of equal lengths the smaller candidate comes first. A source that is null or
-    empty isn't counted, but each kept candidate counts for one at least.
+    empty isn't counted, but each kept candidate counts for one at least. Columns
+    to carry come along from the kept candidate's row.
     """
-    own = df.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("rank"), "candidate", "angle", "source"))).alias("all"))
+    own = df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("rank"), "candidate", "angle", "source", *carry))).alias("all"))
     kind = "array<struct<candidate:bigint,angle:double,length:double,sources:array<string>>>"
     named = lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(x))
 
@@ -258,8 +259,9 @@ def merge_axes(df: DataFrame, gap: float = 10.0) -> DataFrame:
         begun = F.struct(c["candidate"].alias("candidate"), c["angle"].alias("angle"), (-c["rank"]).alias("length"), named(c["source"]).alias("sources"))
         return F.when(near > 0, grown.cast(kind)).otherwise(F.concat(kept, F.array(begun).cast(kind)))
 
-    kept = own.select("key", F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("k"))
-    return kept.select("key", "k.candidate", "k.angle", "k.length", F.greatest(F.size("k.sources"), F.lit(1)).cast("long").alias("merged"))
+    kept = own.select("key", "all", F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("k"))
+    row = F.get(F.filter("all", lambda x: x["candidate"] == F.col("k.candidate")), F.lit(0))
+    return kept.select("key", "k.candidate", "k.angle", "k.length", F.greatest(F.size("k.sources"), F.lit(1)).cast("long").alias("merged"), *[row[c].alias(c) for c in carry])
 
 
 #: Weights of an axis candidate's penalties (fixed values); the length a candidate must have at least, in pixels and as a share of the reference.

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as geo
 from ..functions import numeric as num
 from ..functions import text as tx
-from ..operators import boxes, components_analysis, stats, traits
+from ..operators import axes, boxes, components_analysis, stats, traits
 from . import fixtures as fx
 from .queries import MERGED, _latent, query, r, rounded, upright
 
@@ -116,6 +116,24 @@ def model_axis(spark, d):
     return c.select("vec_id", *[(F.round(F.col("x")[e][k], 3) + F.lit(0.0)).alias(f"{e}_{k}") for e in ("bottom", "top") for k in ("x", "y")])
 
 
+@query()
+def method_axes(spark, d):
+    """Base angles, their axes with the bottom chosen, merged; tests hold it against loops."""
+    out = axes.method_axes(fx.contour(spark, d), "vec_id", "c", 64)
+    return rounded(out.select("vec_id", "candidate", "source", "angle", "length", "merged", F.col("bottom.x").alias("bottom_x"), F.col("bottom.y").alias("bottom_y"), F.col("top.x").alias("top_x"), F.col("top.y").alias("top_y"), "score"), 4)
+
+
+_TWICE = """w1 as (select a.vec_id, a.i, avg(b.x) as x, avg(b.y) as y from point a join range(-5, 6) t(k) on true join point b on b.vec_id = a.vec_id and b.i = (a.i + k + 64) % 64 group by 1, 2),
+    w2 as (select a.vec_id, a.i, avg(b.x) as x, avg(b.y) as y from w1 a join range(-5, 6) t(k) on true join w1 b on b.vec_id = a.vec_id and b.i = (a.i + k + 64) % 64 group by 1, 2)"""
+
+
+@query(f""", {_TWICE} select vec_id, i::integer as pos, {r("x", 4)} as x, {r("y", 4)} as y from w2""", "contour")
+def hint_contour(spark, d):
+    """The contour smoothed twice, by which bottoms are refined."""
+    c = fx.contour(spark, d).select("vec_id", F.posexplode(geo.smoothed(F.col("c"), 11, 64, 2)).alias("pos", "p"))
+    return rounded(c.select("vec_id", "pos", "p.x", "p.y"), 4)
+
+
 @query(f""", q as (select p.vec_id, p.i, sqrt((x - 50) * (x - 50) + (y - vec_id % 90) * (y - vec_id % 90)) as dist from point p) select vec_id, min_by(i, (dist, i))::integer as nearest from q group by 1""", "contour")
 def nearest_contour_point(spark, d):
     """J17."""

@@ -357,3 +357,102 @@ def test_names_match_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(traits, "MOST_NAMES", 0)
     assert sorted((r.image_name, r.profile or "") for r in traits.match_profile(images, profiles).collect()) == want
     assert dict(want)["i0"] == "corn_1" and dict(want)["e"] == "corn" and dict(want)["i2"] == "xwheatx" and dict(want)["i4"] == ""
+
+
+def crossed(ring, at, u):
+    """Places along u of a line's crossings with a ring, merged within a pixel."""
+    n, hits = (-u[1], u[0]), []
+    for p, q in zip(ring, np.roll(ring, -1, 0), strict=True):
+        s, t = (p - at) @ n, (q - at) @ n
+        if (s >= 0) != (t >= 0):
+            hits.append((p + (q - p) * s / (s - t) - at) @ u)
+    out = []
+    for h in sorted(hits):
+        if out and h - out[-1] <= 1:
+            out[-1] = (out[-1] + h) / 2
+        else:
+            out.append(h)
+    return out
+
+
+def pointed(ring, i):
+    """Sharpness round a point of a ring over the scales."""
+    n, scores, weights = len(ring), [], []
+    used = []
+    for f in (1.0, 2.0, 3.5):
+        w = max(1, min(round(5 * f), n // 6))
+        if w in used:
+            continue
+        used.append(w)
+        level, w = len(used) - 1, max(1, min(w, n // 8))
+        values = []
+        for k in range(n):
+            a, b = ring[k - w] - ring[k], ring[(k + w) % n] - ring[k]
+            values.append(1 - math.acos(np.clip(a @ b / np.linalg.norm(a) / np.linalg.norm(b), -1, 1)) / math.pi)
+        r = max(2, round(2 * (1 + 0.6 * level)))
+        near = sorted(values[(i + o) % n] for o in range(-r, r + 1))
+        scores.append(0.65 * near[-1] + 0.35 * np.mean(near[-max(2, r + 1) :]))
+        weights.append(1 / (1 + 0.5 * level))
+    return float(np.average(scores, weights=weights))
+
+
+def as_bottom(ring, p, q):
+    u = (q - p) / np.linalg.norm(q - p)
+    across = np.array([-u[1], u[0]])
+    near, mid, upper = ((lambda h: h[-1] - h[0] if len(h) >= 2 else 0.0)(crossed(ring, p + f * (q - p), across)) for f in (0.12, 0.5, 0.75))
+    over = lambda w: 1 - min(2.0, near / w) if w > 1e-6 else 0.0
+    rising = 1.0 if near <= mid <= upper else 0.5 if near <= mid or near <= upper else 0.0
+    return pointed(ring, int(np.argmin(np.linalg.norm(ring - p, axis=1)))) + 0.35 * (0.45 * over(mid) + 0.55 * over(upper)) + 0.15 * rising
+
+
+def test_method_axes_against_loops(spark, small):
+    rows = {}
+    for x in plans.QUERIES["method_axes"](spark, small).collect():
+        rows.setdefault(x.vec_id, {})[x.source] = x
+    sources = ["moments_axis", "longest_centroid_chord", "shortest_centroid_chord"]
+    for x in measures.fx.contour(spark, small).where("vec_id < 60").collect():
+        ring = np.array([(p.x, p.y) for p in x.c])
+        p, q = ring, np.roll(ring, -1, 0)
+        cross = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
+        at = ((p + q) * cross[:, None]).sum(0) / (3 * cross.sum())
+        a, b = p - at, q - at
+        cr = a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1]
+        xx, yy = (((a * a + a * b + b * b) * cr[:, None]).sum(0) / 12)[:2]
+        xy = ((a[:, 0] * b[:, 1] + 2 * a[:, 0] * a[:, 1] + 2 * b[:, 0] * b[:, 1] + b[:, 0] * a[:, 1]) * cr).sum() / 24
+        angle = math.degrees(0.5 * math.atan2(2 * xy / abs(cross.sum()), (xx - yy) / abs(cross.sum()))) % 180 if cross.sum() > 0 else math.degrees(0.5 * math.atan2(-2 * xy, yy - xx)) % 180
+        chords = []
+        for d in range(180):
+            h = crossed(ring, at, np.array([math.cos(math.radians(d)), math.sin(math.radians(d))]))
+            if len(h) >= 2 and h[-1] - h[0] >= 1:
+                chords.append((h[-1] - h[0], d))
+        found = []
+        for k, d in enumerate((angle, min((-length, d) for length, d in chords)[1], min(chords)[1])):
+            u = np.array([math.cos(math.radians(d)), math.sin(math.radians(d))])
+            h = crossed(ring, at, u)
+            if len(h) < 2 or h[-1] - h[0] < 1:
+                continue
+            e, f = at + h[0] * u, at + h[-1] * u
+            se, sf = as_bottom(ring, e, f), as_bottom(ring, f, e)
+            bottom, top, score = (e, f, se) if se >= sf else (f, e, sf)
+            v = top - bottom
+            found.append((h[-1] - h[0], k, sources[k], math.degrees(math.atan2(v[1], v[0])) % 180, bottom, top, score, abs(se - sf)))
+        kept = []
+        if any(abs(min((a[3] - b[3]) % 180, (b[3] - a[3]) % 180) - 10) < 1e-6 for a in found for b in found):
+            continue  # whole degrees that lie at the limit but for rounding
+        for c in sorted(found, key=lambda c: (-c[0], c[1])):
+            if not any(min((c[3] - o[3]) % 180, 180 - (c[3] - o[3]) % 180) < 10 for o in kept):
+                kept.append(c)
+        assert sorted(rows[x.vec_id]) == sorted(c[2] for c in kept), (x.vec_id, [c[:4] for c in found], [(r.source, r.angle, r.length) for r in rows[x.vec_id].values()])
+        for c in kept:
+            got = rows[x.vec_id][c[2]]
+            assert (got.length, got.score) == (pytest.approx(c[0], abs=1e-3), pytest.approx(c[6], abs=1e-3))
+            if c[7] > 1e-6:
+                assert (got.bottom_x, got.bottom_y) == (pytest.approx(c[4][0], abs=1e-2), pytest.approx(c[4][1], abs=1e-2))
+
+
+def test_fallback_axis(spark):
+    bow = [(0, 0), (40, 10), (80, 0), (40, 14)]
+    got = outline(spark, bow).select(geo.fallback_axis(F.col("c"), point(40, 100), 4).alias("x")).first().x
+    assert {got.bottom.x, got.top.x} == {0, 80}
+    ring = outline(spark, [(0, 0), (100, 0), (100, 50), (0, 50)])
+    assert len(ring.select(geo.analysis_contour(F.col("c"), 360)).first()[0]) == 360
