@@ -89,9 +89,11 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     for k in range(len(LARGEST) - 1, -1, -1):
         of = F.when(size <= LARGEST[k], k).otherwise(of)
     # There are at most len(LARGEST) + 1 classes; an empty table is written as one empty archive.
-    for k in sorted(r[0] for r in pages.select(of.alias("k")).distinct().collect()) or [0]:
+    for k, n in sorted(tuple(r) for r in pages.select(of.alias("k")).groupBy("k").count().collect()) or [(0, 0)]:
         most = FILE_BYTES // LARGEST[k] if k < len(LARGEST) else 1
-        records(pages.where(of == k), firsts).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+        # No more tasks than files: what a task writes is what a file may hold.
+        rows = records(pages.where(of == k), firsts).coalesce(max(1, -(-n // most)))
+        rows.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
     release(pages.sparkSession, firsts)
 
 
@@ -182,10 +184,10 @@ def jump_chains(pointers: DataFrame) -> DataFrame:
 
     Every round doubles the length of the pointers and of the reached part of
     each chain, so the rounds grow with the logarithm of a chain's length.
+    pointers are read anew in every round, so give a written table.
     """
     spark = pointers.sparkSession
-    places = stage_table(pointers, "warc-places")
-    jumps = places
+    places = jumps = pointers
     reached = stage_table(jumps.where("at = 0").select("path", "at"), "warc-reached")
     count = reached.count()
     while True:
@@ -196,7 +198,8 @@ def jump_chains(pointers: DataFrame) -> DataFrame:
         release(spark, reached)
         reached = new_reached
         if new_count == count:
-            release(spark, *{id(t): t for t in (places, jumps)}.values())
+            if jumps is not places:
+                release(spark, jumps)
             return reached
         count = new_count
         ahead = jumps.select("path", F.col("at").alias("to"), F.col("to").alias("then"))
