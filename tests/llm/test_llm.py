@@ -593,6 +593,22 @@ def test_suffix_of_repeated_ids(spark, monkeypatch):
         assert cuts(spark, rows) == brute_cut(rows)
 
 
+def test_suffix_of_hot_anchors(spark, monkeypatch):
+    """A line that every document has, each time in other surroundings; its windows meet one by one."""
+    rng = random.Random(7)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    rows = [(i, " ".join(word() for _ in range(12)) + line + " ".join(word() for _ in range(rng.randrange(12)))) for i in range(150)] + [(200, line), (7, line * 2), (201, line[:49])]
+    want = brute_cut(rows)
+    for hot in (10**9, 3, -1):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        assert cuts(spark, rows) == want
+    count, contexts = np.array([2, 1, 3], np.int32), np.arange(3 * suffix.CONTEXT, dtype=np.uint8).reshape(3, -1)
+    entry, within, out = suffix.windows_of(count, contexts)
+    assert entry.tolist() == [0, 0, 1, 2, 2, 2] and within.tolist() == [0, 1, 0, 0, 1, 2]
+    assert all((out[k, : suffix.LEAST] == contexts[e, w : w + suffix.LEAST]).all() and not out[k, suffix.LEAST :].any() for k, (e, w) in enumerate(zip(entry, within, strict=True)))
+
+
 def test_frequent_passages_are_settled_early():
     """Of a class that a task has met often, only what can be the smallest id is sent again."""
     contexts, frequent = np.zeros((6, suffix.CONTEXT), np.uint8), {}
