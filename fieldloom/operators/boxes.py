@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from ..functions import numeric as num
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows. What has been computed so far isn't merged into later expressions, whose size would multiply with each step that uses it several times."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__row")).select("__row.*")
+
+
 def clip_to_tray(df: DataFrame, tray: tuple[str, str, str, str], least: float = 0.55) -> DataFrame:
     """Whether each box lies outside its tray, and the box clipped to it.
 
@@ -43,7 +48,7 @@ def flag_sizes(df: DataFrame, aspect: float = 4.0, enough: int = 8) -> DataFrame
     small and too large, by different sides.
     """
     active = F.col("inside") if "inside" in df.columns else F.lit(True)
-    df = with_sizes(df).withColumn("bad_aspect", active & (F.col("long_side") > aspect * F.greatest(F.col("short_side"), F.lit(1))))
+    df = settled(with_sizes(df).withColumn("bad_aspect", active & (F.col("long_side") > aspect * F.greatest(F.col("short_side"), F.lit(1)))))
     sizes = ["area", "long_side", "short_side"]
     plausible = active & ~F.col("bad_aspect")
     middle = df.groupBy("image_no").agg(*[F.median(F.when(plausible, F.col(c))).alias(f"middle_{c}") for c in sizes], F.count_if(plausible).alias("active"))
@@ -54,7 +59,7 @@ def flag_sizes(df: DataFrame, aspect: float = 4.0, enough: int = 8) -> DataFrame
     df = df.withColumns({"too_small": some(beyond(0, True)), "too_large": some(beyond(1, False))})
     df = df.withColumn("odd_size", F.col("too_small") | F.col("too_large"))
     reasons = F.array_compact(F.array(F.when(F.col("bad_aspect"), "bad_aspect_ratio"), F.when(F.col("too_small"), "too_small"), F.when(F.col("too_large"), "too_large")))
-    return df.withColumns({"reasons": F.array_distinct(reasons), "kept": ~F.col("bad_aspect") & ~F.col("odd_size")})
+    return settled(df.withColumns({"reasons": F.array_distinct(reasons), "kept": ~F.col("bad_aspect") & ~F.col("odd_size")}))
 
 
 def final_ids(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -147,6 +152,7 @@ def tray_or_edge(df: DataFrame) -> DataFrame:
     side = F.least(F.greatest(tray[2] - tray[0], F.lit(1.0)), F.greatest(tray[3] - tray[1], F.lit(1.0)))
     region = num.padded_box(tray, F.bround(side * TRAY_PADDING), F.col("width"), F.col("height"))
     df = df.withColumn("region", F.when(F.col("tray").isNotNull(), F.struct(*[v.alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), region, strict=True)])))
+    df = settled(df)
     at = tuple(F.col("region")[c] for c in ("x1", "y1", "x2", "y2"))
     share = F.coalesce(F.try_divide(num.overlap_area(box, at), num.box_area(*box)), F.lit(0.0))
     centre = ((box[0] + box[2]) / 2).between(at[0], at[2]) & ((box[1] + box[3]) / 2).between(at[1], at[3])
@@ -159,12 +165,12 @@ def tray_or_edge(df: DataFrame) -> DataFrame:
         "outside_tray": F.coalesce(some & (~centre | (share < TRAY_SHARE)), F.lit(False)),
         "near_edge": ~some & near,
     })
-    df = df.withColumn("inside", ~F.col("outside_tray") & ~F.col("near_edge"))
+    df = settled(df.withColumn("inside", ~F.col("outside_tray") & ~F.col("near_edge")))
     clip = lambda own, other, pick: F.when(F.col("inside") & some, pick(own, other)).otherwise(own)
     clipped = [clip(box[0], at[0], F.greatest), clip(box[1], at[1], F.greatest), clip(box[2], at[2], F.least), clip(box[3], at[3], F.least)]
     changed = F.col("inside") & some & ((clipped[0] != box[0]) | (clipped[1] != box[1]) | (clipped[2] != box[2]) | (clipped[3] != box[3]))
     df = df.withColumn("tray_share", F.when(changed, 1.0).otherwise(F.col("tray_share"))).withColumn("at", F.struct(*[c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), clipped, strict=True)]))
-    return df.withColumns({c: F.col("at")[c] for c in ("x1", "y1", "x2", "y2")}).drop("region", "at")
+    return settled(df.withColumns({c: F.col("at")[c] for c in ("x1", "y1", "x2", "y2")}).drop("region", "at"))
 
 
 def filter_detections(df: DataFrame) -> DataFrame:

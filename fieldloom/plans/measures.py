@@ -10,7 +10,7 @@ from ..functions import numeric as num
 from ..functions import text as tx
 from ..operators import axes, boxes, components_analysis, stats, traits
 from . import fixtures as fx
-from .queries import MERGED, _latent, query, r, rounded, upright
+from .queries import GREEDY, MERGED, READ, _latent, query, r, rounded, upright
 
 _MOMENTS = """a as (select vec_id, sum(px * qy - qx * py) / 2 as a, sum((px + qx) * (px * qy - qx * py)) as sx, sum((py + qy) * (px * qy - qx * py)) as sy, sum(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py))) as p from edge group by 1), c as (select vec_id, a, p, sx / (6 * a) as cx, sy / (6 * a) as cy from a),
     e as (select c.vec_id, a, px - cx as px, py - cy as py, qx - cx as qx, qy - cy as qy from edge join c using (vec_id)),
@@ -182,9 +182,22 @@ def detection_places(spark, d):
     return out.drop("edge_distance").join(raw, ["image_no", "box_id"]).select("image_no", "box_id", "outside_tray", "near_edge", "inside", "edge_distance", "tray_share", "x1", "y1", "x2", "y2")
 
 
-@query()
+@query(
+    f""", {_REGION}, pl as (select image_no, box_id, conf, outside_tray, near_edge, not outside_tray and not near_edge as inside, case when not outside_tray and rx1 is not null then greatest(x1, rx1) else x1 end as x1, case when not outside_tray and rx1 is not null then greatest(y1, ry1) else y1 end as y1,
+      case when not outside_tray and rx1 is not null then least(x2, rx2) else x2 end as x2, case when not outside_tray and rx1 is not null then least(y2, ry2) else y2 end as y2 from st),
+    sd as (select *, (x2 - x1) * (y2 - y1) as area, greatest(x2 - x1, y2 - y1) as l, least(x2 - x1, y2 - y1) as s, inside and greatest(x2 - x1, y2 - y1) > 4 * greatest(least(x2 - x1, y2 - y1), 1) as bad from pl),
+    m as (select image_no, median(area) filter (inside and not bad) as ma, median(l) filter (inside and not bad) as ml, median(s) filter (inside and not bad) as ms, count(*) filter (inside and not bad) as active from sd group by 1),
+    fl as (select sd.*, coalesce(inside and not bad and active >= 8 and (area < 0.35 * ma or l < 0.45 * ml or s < 0.45 * ms), false) as small_, coalesce(inside and not bad and active >= 8 and (area > 3 * ma or l > 2.2 * ml or s > 2.2 * ms), false) as large_ from sd join m using (image_no)),
+    sz as (select * from fl where inside and not bad and not small_ and not large_), {GREEDY},
+    kp as (select sz.*, coalesce(list_contains(g1.g, box_id), false) as contained, coalesce(list_contains(g2.g, box_id), false) as gone from sz left join g1 using (image_no) left join g2 using (image_no)),
+    c as (select image_no, box_id, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, y2 - y1 as h from kp where not gone), {READ},
+    places as (select image_no, t.id as box_id, row_number() over (partition by image_no order by y, k, t.cx, t.id) as final_id from b)
+    select fl.image_no, fl.box_id, final_id is not null as kept, final_id, concat_ws(',', case when outside_tray then 'outside_tray' end, case when near_edge then 'near_image_edge' end, case when bad then 'bad_aspect_ratio' end, case when small_ then 'too_small' end, case when large_ then 'too_large' end, case when contained then 'overlap_contained' when gone then 'overlap_multi_center' end) as reasons
+    from fl left join (select image_no, box_id, contained, gone from kp) k2 using (image_no, box_id) left join places using (image_no, box_id)""",
+    "box",
+)
 def detection_chain(spark, d):
-    """The whole chain; ordered, so tests hold it against a loop."""
+    """The whole chain; a loop in the tests agrees too."""
     return boxes.filter_detections(_detections(spark, d)).select("image_no", "box_id", "kept", "final_id", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -206,10 +219,16 @@ def axis_scores(spark, d):
     return rounded(boxes.score_axes(_candidates(spark, d)).select("key", "candidate", "reference", "length_penalty", F.round("score", 5).alias("score")))
 
 
-@query()
+@query(
+    f"""with {_SCORED}, rk as (select *, row_number() over w as rank, lead(score) over w - score as margin from tot window w as (partition by key order by score, length desc, candidate)),
+    o as (select key, min(area) as area_least, min(width) as width_least, min(color) as color_least, min_by(angle, (area, rank)) as best_area, min_by(angle, (width, rank)) as best_width, min_by(angle, (color, rank)) as best_color from rk group by 1),
+    t as (select b.*, concat_ws('|', case when margin <= 0.035 then 'top2_margin<=0.035' end, case when area >= 0.7 then 'area_balance_penalty>=0.70' end, case when width >= 0.7 then 'width_symmetry_penalty>=0.70' end, case when color >= 0.7 then 'color_symmetry_penalty>=0.70' end, case when endpoint >= 0.7 then 'endpoint_penalty>=0.70' end,
+      {", ".join(f"case when {c} - {c}_least >= 0.12 and least(fmod(angle - best_{c} + 180, 180::double), 180 - fmod(angle - best_{c} + 180, 180::double)) >= 25 then '{n}_winner_conflicts' end" for c, n in (("area", "area_balance_penalty"), ("width", "width_symmetry_penalty"), ("color", "color_symmetry_penalty")))}) as reasons from rk b join o using (key) where rank = 1)
+    select key, candidate, {r("score", 5)} as score, reasons, reasons <> '' as unsure from t"""
+)
 def axis_choice(spark, d):
-    """The best candidate and why it isn't sure; tests hold it against a loop."""
-    return rounded(boxes.choose_axis(boxes.score_axes(_candidates(spark, d))).select("key", "candidate", "score", "reasons", "unsure"))
+    """The best candidate and why it isn't sure; a loop in the tests agrees too."""
+    return rounded(boxes.choose_axis(boxes.score_axes(_candidates(spark, d))).select("key", "candidate", F.round("score", 5).alias("score"), "reasons", "unsure"))
 
 
 _TRAYS = "tr as (select o_custkey as image_no, o_orderkey as candidate, 20000 + fmod(o_totalprice * 7, 400000::double) as contour_area, (o_orderkey * 13) % 1000 as cx, (o_orderkey * 29) % 700 as cy, 200 + (o_orderkey * 7) % 500 as rect_w, 200 + (o_orderkey * 11) % 500 as rect_h from orders)"

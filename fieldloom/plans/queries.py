@@ -716,21 +716,51 @@ def box_multi_center(spark, d):
     return boxes.holding_centres(fx.box(spark, d))
 
 
-@query()
+#: Folds over ordered lists: what is gone grows by the third of each list whose first two are both still there.
+_FOLD = "lambda g, p: case when list_contains(g, p[1]) or list_contains(g, p[2]) then g else list_append(g, p[3]) end"
+_ODD = "abs(ln({0}.area / m.ma)) + 0.45::double * (abs(ln({0}.l / m.ml)) + abs(ln({0}.s / m.ms))) - 0.25::double * {0}.conf"
+#: Greedy suppression over boxes sz (with area, long side l and short side s) and median sizes m (image_no, ma, ml, ms): g1 what nested pairs delete, g2 with fused boxes too.
+GREEDY = f"""np as (select a.image_no, a.box_id as a, b.box_id as b, ma, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / greatest(least(a.area, b.area), 1) as overlap, greatest(a.area, b.area) / greatest(least(a.area, b.area), 1) as ratio, least(a.area, b.area) as lesser, greatest(a.area, b.area) as greater,
+      case when a.area <= b.area then a.box_id else b.box_id end as small, case when a.area <= b.area then b.box_id else a.box_id end as large, {_ODD.format("a")} as odd_a, {_ODD.format("b")} as odd_b, a.conf as conf_a, b.conf as conf_b
+      from sz a join sz b on a.image_no = b.image_no and a.box_id < b.box_id and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2 join m on m.image_no = a.image_no),
+    worse as (select *, case when lesser < 0.35 * ma then small when greater > 3 * ma then large when abs(odd_a - odd_b) > 0.05 then case when odd_a > odd_b then a else b end when abs(conf_a - conf_b) > 0.05 then case when conf_a < conf_b then a else b end else large end as w from np where overlap >= 0.86 and ratio >= 1.15),
+    g1 as (select m.image_no, list_reduce(list_concat([[]::bigint[]], coalesce(list([a, b, w] order by overlap desc, ratio desc, a, b) filter (a is not null), [])), {_FOLD}) as g from m left join worse using (image_no) group by 1),
+    big as (select a.image_no, a.box_id, a.area, list(b.box_id) as inside from sz a join sz b on a.image_no = b.image_no and a.box_id <> b.box_id and (b.x1 + b.x2) / 2 between a.x1 and a.x2 and (b.y1 + b.y2) / 2 between a.y1 and a.y2 join m on m.image_no = a.image_no and a.area >= 1.25 * ma group by 1, 2, 3),
+    g2 as (select g1.image_no, list_reduce(list_concat([any_value(g)], coalesce(list(list_concat([box_id], inside) order by area desc, box_id) filter (box_id is not null), [])), lambda g, p: case when list_contains(g, p[1]) then g when len(list_filter(p[2:], lambda x: not list_contains(g, x))) >= 2 then list_append(g, p[1]) else g end) as g from g1 left join big using (image_no) group by 1)"""
+_NESTED = f""", sz as (select *, (x2 - x1) * (y2 - y1) as area, greatest(x2 - x1, y2 - y1) as l, least(x2 - x1, y2 - y1) as s from box), m as (select image_no, median(area) as ma, median(l) as ml, median(s) as ms from sz group by 1), {GREEDY}"""
+
+
+@query(f"{_NESTED} select image_no, unnest(g) as box_id from g2", "box")
 def nested_suppression(spark, d):
-    """Ordered, so tests hold it against a loop."""
+    """M11."""
     return boxes.suppress_nested(fx.box(spark, d)).select("image_no", "box_id")
 
 
-@query()
+#: Rows of boxes c (image_no, box_id, cx, cy, h) as one reads: b has a line for each box t with its row k and that row's mean y.
+READ = """r as (select image_no, greatest(10, 0.6 * median(h)) as reach, list([{'total': cy, 'n': 1, 'items': [{'cx': cx, 'id': box_id}]}] order by cy, cx, box_id) as l from c group by 1),
+    f as (select image_no, list_reduce(l, lambda m, p: case when list_position(list_transform(m, lambda q: abs(q.total / q.n - p[1].total) <= reach), true) is null then list_concat(m, p)
+      else list_transform(m, lambda q, i: case when i = list_position(list_transform(m, lambda z: abs(z.total / z.n - p[1].total) <= reach), true) then {'total': q.total + p[1].total, 'n': q.n + 1, 'items': list_concat(q.items, p[1].items)} else q end) end) as rows from r),
+    u as (select image_no, unnest(rows) as q, generate_subscripts(rows, 1) as k from f), b as (select image_no, q.total / q.n as y, k, unnest(q.items) as t from u)"""
+
+
+@query(
+    f""", c as (select image_no, box_id, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, y2 - y1 as h from box), {READ} select image_no, t.id as box_id, row_number() over (partition by image_no order by y, k, t.cx, t.id) as place from b""",
+    "box",
+)
 def reading_order(spark, d):
-    """Ordered, so tests hold it against a loop."""
+    """W1."""
     return boxes.reading_order(fx.box(spark, d))
 
 
-@query()
+@query(
+    f""", p as (select a.image_no, a.box_id as a, b.box_id as b, case when a.conf >= b.conf then b.box_id else a.box_id end as w from digit a join digit b on a.image_no = b.image_no and a.box_id < b.box_id and greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * 20 / 240 > 0.8),
+    g as (select d.image_no, list_reduce(list_concat([[]::bigint[]], coalesce(list([a, b, w] order by a, b) filter (a is not null), [])), {_FOLD}) as g from (select distinct image_no from digit) d left join p using (image_no) group by 1),
+    o as (select g.image_no, coalesce(string_agg(digit, '' order by x1, box_id) filter (not list_contains(g, box_id) and digit <> '.'), '') as digits from g join digit using (image_no) group by 1)
+    select image_no, digits, case when length(digits) = 1 then '0.0' || digits when length(digits) >= 2 then substr(digits, 1, length(digits) - 2) || '.' || right(digits, 2) end as weight from o""",
+    "digit",
+)
 def digit_reading(spark, d):
-    """Ordered, so tests hold it against a loop."""
+    """J14, T5, X13."""
     out = boxes.unique_digits(fx.digit(spark, d))
     return out.select("image_no", "digits", tx.digits_to_weight(F.col("digits")).alias("weight"))
 
@@ -824,12 +854,20 @@ def arc_resample(spark, d):
     return rounded(c.select("vec_id", "pos", "p.x", "p.y"), 4)
 
 
-@query()
+_NEAR = "list_position(list_transform(m, lambda {0}: least(fmod({0}.angle - p[1].angle + 180, 180::double), 180 - fmod({0}.angle - p[1].angle + 180, 180::double)) < 10), true)"
+
+
+@query(
+    f"""with c as (select l_orderkey as key, row_number() over (partition by l_orderkey order by {fx._L}) as candidate, fmod(l_extendedprice, 180.0::double) as angle, l_quantity as length, case when l_returnflag <> 'N' then [l_returnflag] else []::varchar[] end as sources from lineitem),
+    f as (select key, list_reduce(list([{{'candidate': candidate, 'angle': angle, 'length': length, 'sources': sources}}] order by length desc, candidate), lambda m, p: case when {_NEAR.format("q")} is null then list_concat(m, p)
+      else list_transform(m, lambda q, i: case when i = {_NEAR.format("z")} then {{'candidate': q.candidate, 'angle': q.angle, 'length': q.length, 'sources': list_distinct(list_concat(q.sources, p[1].sources))}} else q end) end) as kept from c group by 1)
+    select key, k.candidate, {r("k.angle", 4)} as angle, k.length, greatest(1, len(k.sources))::bigint as merged from (select key, unnest(kept) as k from f)"""
+)
 def axis_merge(spark, d):
-    """Ordered, so tests hold it against a loop."""
+    """J22."""
     li = fx.table(spark, d, "lineitem").withColumn("candidate", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*fx._ORDER)).cast("long"))
     source = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
-    return boxes.merge_axes(li.select(F.col("l_orderkey").alias("key"), "candidate", source.alias("source"), F.pmod("l_extendedprice", F.lit(180.0)).alias("angle"), F.col("l_quantity").alias("length")))
+    return boxes.merge_axes(li.select(F.col("l_orderkey").alias("key"), "candidate", source.alias("source"), F.pmod("l_extendedprice", F.lit(180.0)).alias("angle"), F.col("l_quantity").alias("length"))).withColumn("angle", F.round("angle", 4) + F.lit(0.0))
 
 
 @query(f"""with s as (select *, 'IMG_' || o_orderkey as name from orders) select o_orderkey, case when o_totalprice < 1000 then 'small' when o_orderkey % 9 = 0 then 'no mask' else 'ok' end as status, {r("case when not (o_totalprice < 1000 or o_orderkey % 9 = 0) then o_totalprice / 2 end", 4)} as x from s""")
