@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,7 +45,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes stage tables and lets Spark drop the shuffle files of finished steps."""
+    """Deletes stage tables and lets Spark drop the shuffle files of finished steps.
+
+    Spark drops them once the driver's garbage collection has found their plan.
+    Listeners may still hold the plan of a step that has just ended, so without
+    tables to delete, when files are all that is meant, it is asked for twice.
+    """
+    if not tables:
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
     for t in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(t._fieldloom_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
