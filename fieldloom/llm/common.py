@@ -45,16 +45,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes stage tables and lets Spark drop the shuffle files of finished steps.
-
-    Spark drops them once the driver's garbage collection has found their plan.
-    Listeners may still hold the plan of a step that has just ended, so without
-    tables to delete, when files are all that is meant, it is asked for twice.
-    """
-    if not tables:
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    """Deletes stage tables, and lets Spark drop the shuffle files of steps that ended some time ago."""
     for t in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(t._fieldloom_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -62,6 +53,17 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of the step that has just ended.
+
+    It does so once the driver's garbage collection has found the step's plan,
+    and listeners hold that for a moment longer; so it is asked for twice.
+    """
+    release(spark)
+    time.sleep(0.5)
+    release(spark)
+
+
 #: Arrow batches end at so many bytes, so that very long texts don't meet in one batch.
 BATCH_BYTES = 4 << 20
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import meet
-from .common import mix64, prefix_hashes, release, rows_of, span_hashes, stage_table, text_bytes, texts_of, trim
+from .common import drop_shuffles, mix64, prefix_hashes, release, rows_of, span_hashes, stage_table, text_bytes, texts_of, trim
 from .components import components
 
 WORDS = 5
@@ -291,7 +291,7 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     classes = able.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "row")).alias("x"), F.first("sig").alias("sig"))
     classes = stage_table(classes.select("k1", "k2", "n", F.col("x.doc_id").alias("least"), F.col("x.row").alias("least_row"), "sig"), "ngram-first")
     twice = stage_table(classes.groupBy("least").count().where("count > 1").select(F.col("least").alias("twice")), "ngram-twice")
-    release(spark)
+    drop_shuffles(spark)
     named = classes.join(_side(twice), F.col("least") == F.col("twice"), "left").withColumn("doc", F.when(F.col("twice").isNull(), F.col("least")).otherwise(F.xxhash64("least", "least_row"))).drop("twice")
     classes, whole = stage_table(named, "ngram-classes"), classes
     member = able.select("doc_id", "row", "k1", "k2", "n").join(classes.select("k1", "k2", "n", "doc", "least", "least_row"), ["k1", "k2", "n"])
@@ -309,6 +309,7 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     ranges = max(12, int(entries / meet.RANGE_ENTRIES) + 1)
     packed = own.mapInArrow(_by_range(ranges, order), meet.PACKED)
     live = stage_table(meet.met(packed, "live", ranges, 20_000, meet.live, "token long, doc long, n long"), "ngram-live")
+    drop_shuffles(spark)
     # Tiles with the same members would give the same comparisons; one of each lot stays.
     lots = live.groupBy("token").agg(F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("lot"), F.count("*").alias("members"))
     one = lots.groupBy("lot", "members").agg(F.min("token").alias("token")).select("token")
@@ -320,7 +321,7 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     sets = classes.select("doc", "n", "sig")
     links = _verify(first, sets, own)
     known = stage_table(components(links.unionByName(by_id), "ngram-components"), "ngram-known")
-    release(spark)
+    drop_shuffles(spark)
     # Tiles in which more than one component is left.
     tiles = live.join(known.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     tiles = stage_table(tiles, "ngram-tiles")
@@ -333,6 +334,7 @@ def link_documents(documents: DataFrame, id_column: str = "doc_id") -> DataFrame
     dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "n", "component", "sig", "tokens")
     second = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_across, "a long, b long").distinct()
     more = _verify(second, sets, own)
+    drop_shuffles(spark)
     stars = known.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     reach = stage_table(components(stars.unionByName(more), "ngram-components"), "ngram-reach")
     # A component's number is the smallest id of its classes.

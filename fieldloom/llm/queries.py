@@ -37,7 +37,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = warc.archive_path(spark)
     warc.write_archives(read_table(spark, sf_dir, "pages"), path)
-    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    warc.delete_archives(spark, path)  # what was read is written by itself
+    return rows
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

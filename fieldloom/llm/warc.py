@@ -176,7 +176,9 @@ def read_archives(spark: SparkSession, path: str, block: int = BLOCK) -> DataFra
 
     kept = inside.select("path", "block", "at", "next", "entry").groupBy("path", "block").applyInPandas(follow, "path string, at long")
     ids = kept.join(cand, ["path", "at"])
-    return ids.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "path", "at")
+    out = stage_table(ids.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "path", "at"), "warc-records")
+    release(spark, cand, reached)
+    return out
 
 
 def jump_chains(pointers: DataFrame) -> DataFrame:
@@ -211,3 +213,8 @@ def jump_chains(pointers: DataFrame) -> DataFrame:
 
 def archive_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+
+
+def delete_archives(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
