@@ -37,7 +37,7 @@ FILE_BYTES = 128 << 20
 LARGEST = [32 << 10, 512 << 10, 8 << 20]
 BLOCK = 4 << 20
 #: A table of repeated payloads of at most so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 100_000
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
