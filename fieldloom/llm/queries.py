@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 
-
-
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import link_documents
 
@@ -83,7 +81,15 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_lattice, op4_warc, op5_packing, op6_quality, op7_suffix, op8_licenses, op9_fingerprints, op10_toxicity)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_lattice, op4_warc, op5_packing, op6_quality, op7_suffix, op8_licenses, op9_fingerprints, op10_toxicity, op13_token_counts)}
 
 #: The join by all shared shingles, and components by a recursion that hands the smaller id on; and archives as the contract describes what is read back.
 ORACLE_SQL: dict[str, str] = {
