@@ -69,12 +69,12 @@ def values(array: pa.Array) -> list[bytes]:
 class Sums:
     """Counts by key columns that a task sums up before it hands them on.
 
-    Parts are merged when they hold HELD_ROWS rows; what is then still more than
+    Parts are merged when they hold so many rows; what is then still more than
     half of that is handed on, so memory stays bounded whatever the keys are.
     """
 
-    def __init__(self, keys: list[str], counts: list[str], schema: pa.Schema):
-        self.keys, self.counts, self.schema = keys, counts, schema
+    def __init__(self, keys: list[str], counts: list[str], schema: pa.Schema, held: int = HELD_ROWS):
+        self.keys, self.counts, self.schema, self.held = keys, counts, schema, held
         self.parts: list[pa.Table] = []
         self.rows = 0
 
@@ -86,10 +86,10 @@ class Sums:
         part = pa.table(columns, schema=self.schema)
         self.parts.append(part)
         self.rows += len(part)
-        if self.rows < HELD_ROWS:
+        if self.rows < self.held:
             return []
         whole = self._merged()
-        if len(whole) > HELD_ROWS // 2:
+        if len(whole) > self.held // 2:
             self.parts, self.rows = [], 0
             return whole.to_batches(max_chunksize=50_000)
         self.parts, self.rows = [whole], len(whole)
