@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as geo
 from ..functions import numeric as num
+from ..functions import runs as rle
 from ..functions import text as tx
 from ..operators import axes, boxes, components_analysis, stats, traits
 from . import fixtures as fx
@@ -124,6 +125,54 @@ def method_axes(spark, d):
     return rounded(out.select("vec_id", "candidate", "source", "angle", "length", "merged", F.col("bottom.x").alias("bottom_x"), F.col("bottom.y").alias("bottom_y"), F.col("top.x").alias("top_x"), F.col("top.y").alias("top_y"), "score"), 4)
 
 
+@query()
+def axis_records(spark, d):
+    """Axis, sizes and shape of each outline in one pass, a third of them with a model's angle; tests hold the search against loops."""
+    k = F.col("vec_id")
+    c = fx.contour(spark, d).withColumn("theta", F.when(k % 3 == 0, (k * 37) % 360 + F.lit(0.5)))
+    # Outlines come in few files; they are dealt out, as the search costs more than the exchange.
+    out = axes.measure_outlines(c.repartition("vec_id"), "vec_id", "c", "theta", refine=True)
+    wanted = ["vec_id", "axis_method", "candidates", "reasons", "end_search", "axis_length", "max_width", "width_50pct", "circularity", "endpoint_penalty", "refined", "rough_signs", "shape_label", "measurement_status", "shape_reason"]
+    return rounded(out.select(*wanted, F.col("bottom.x").alias("bottom_x"), F.col("bottom.y").alias("bottom_y"), F.col("top.x").alias("top_x"), F.col("top.y").alias("top_y")), 4)
+
+
+_RUNS = "runs as (select l_orderkey as key, l_linenumber * 7 + l_suppkey % 30 as y, l_partkey % 400 as x0, l_quantity::bigint as length from lineitem), lines as (select o_orderkey as key, o_custkey % 3 as candidate, 150 + o_custkey % 101 + 0.5::double as ax, 20 + o_custkey % 23 + 0.25::double as ay, cos(radians(o_custkey * 7 % 360)) as ux, sin(radians(o_custkey * 7 % 360)) as uy from orders)"
+
+
+def _runs(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") * 7 + F.col("l_suppkey") % 30).alias("y"), (F.col("l_partkey") % 400).alias("x0"), F.col("l_quantity").cast("long").alias("length"))
+
+
+@query(
+    f"""with {_RUNS}, px as (select key, y, unnest(range(x0, x0 + length)) as x from runs), d as (select key, candidate, -(x - ax) * uy + (y - ay) * ux as d from px join lines using (key))
+    select l.key, l.candidate, coalesce(count(*) filter (d < -0.25), 0) as left_px, coalesce(count(*) filter (d > 0.25), 0) as right_px, {r("coalesce(abs(count(*) filter (d < -0.25) - count(*) filter (d > 0.25)) / nullif(count(*) filter (d < -0.25) + count(*) filter (d > 0.25), 0)::double, 1)")} as penalty
+    from lines l left join d on d.key = l.key and d.candidate = l.candidate group by 1, 2"""
+)
+def mask_balance(spark, d):
+    """A mask's area on either side of an axis, by runs; the SQL counts pixels."""
+    k = F.col("o_custkey")
+    angle = F.radians((k * 7) % 360)
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    at = point(150 + k % 101 + F.lit(0.5), 20 + k % 23 + F.lit(0.25))
+    lines = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (k % 3).alias("candidate"), at.alias("at"), point(F.lit(0.0), F.lit(0.0)).alias("bottom"), point(F.cos(angle), F.sin(angle)).alias("top"))
+    out = axes.side_areas(_runs(spark, d), lines, "key")
+    return rounded(out.select("key", "candidate", F.col("left").alias("left_px"), F.col("right").alias("right_px"), F.col("area").alias("penalty")))
+
+
+@query(
+    f"""with {_RUNS}, px as (select key, y::double as y, unnest(range(x0, x0 + length))::double as x from runs), m as (select key, avg(x) as cx, avg(y) as cy, var_pop(x) as xx, var_pop(y) as yy, covar_pop(x, y) as xy from px group by 1), h as (select *, (xx + yy) / 2 as h, sqrt((xx - yy) * (xx - yy) / 4 + xy * xy) as q from m)
+    select key, {r("cx", 4)} as cx, {r("cy", 4)} as cy, {r("case when h + q > 0 then sqrt(greatest(h - q, 0) / (h + q)) else 1 end", 3)} as ratio, {r("2 * q", 3)} as anisotropy from h"""
+)
+def mask_axes(spark, d):
+    """Centroid and spread of masks, by runs; the SQL counts pixels."""
+    m = axes.mask_moments(_runs(spark, d), "key")
+    # The greater variance less the lesser one, turned back from the axis's ratio and the sums.
+    sums = _runs(spark, d).groupBy("key").agg(*[F.sum(c).alias(n) for n, c in rle.moments(F.col("y"), F.col("x0"), F.col("length")).items()])
+    spread = sums.select("key", F.explode(F.array(rle.central(*[F.col(c) for c in ("n", "x", "y", "xx", "yy", "xy")]))).alias("c")).select("key", (2 * F.sqrt(((F.col("c.xx") - F.col("c.yy")) / 2) ** 2 + F.col("c.xy") ** 2)).alias("anisotropy"))
+    return m.join(spread, "key").select("key", F.round("at.x", 4).alias("cx"), F.round("at.y", 4).alias("cy"), F.round("ratio", 3).alias("ratio"), F.round("anisotropy", 3).alias("anisotropy"))
+
+
 _TWICE = """w1 as (select a.vec_id, a.i, avg(b.x) as x, avg(b.y) as y from point a join range(-5, 6) t(k) on true join point b on b.vec_id = a.vec_id and b.i = (a.i + k + 64) % 64 group by 1, 2),
     w2 as (select a.vec_id, a.i, avg(b.x) as x, avg(b.y) as y from w1 a join range(-5, 6) t(k) on true join w1 b on b.vec_id = a.vec_id and b.i = (a.i + k + 64) % 64 group by 1, 2)"""
 
