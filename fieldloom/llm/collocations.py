@@ -33,14 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import BATCH_BYTES, U64, bounded_batches, mix64, prefix_hashes, rows_of, span_hashes, stage_table, text_bytes, trim
-from .words import HELD_ROWS, LOWER, Sums, as_array, byte_class, ends_of, gather, runs
+from .words import LOWER, Sums, as_array, byte_class, ends_of, gather, runs
 
 #: Longest phrase, least places, rows of a language in the result.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: The filter has 2 ** BITS bits, 16 MB, whatever the data.
 BITS = 27
-#: Hashes that a task sums up before it hands them on; parts of a language that are ranked by themselves first.
-HELD_HASHES, DEALT = 1 << 20, 16
+#: Bits of a hash by which n-grams are summed; fewer than 64 make shorter rows, and a sum of two n-grams only lets more through.
+HASH_BITS = 40
+#: Hashes and phrases that a task sums up before it hands them on; parts of a language that are ranked by themselves first.
+HELD_HASHES, HELD_PHRASES, DEALT = 1 << 21, 1 << 20, 16
+#: So many scan partitions share a task, which then sums more before anything is shuffled, but each core has so many tasks at least.
+SHARED, TASKS_A_CORE = 8, 2
 #: Bytes of text that are hashed at once.
 HASHED_BYTES = 1 << 20
 #: What ends a piece, and what stands between words.
@@ -88,7 +92,7 @@ class Words:
 
 
 def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes >> U64(64 - (8 * len(bits)).bit_length() + 1)
+    slot = hashes >> U64(65 - (8 * len(bits)).bit_length())
     return (bits[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -115,7 +119,8 @@ def hash_counts(docs: DataFrame, bits, first: int, last: int) -> DataFrame:
                     grams[at] = mix64(grams[at] * STEP + own[at + level - 1])
                     found.append(grams[at])
                 h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield from sums.add([pa.array(h.view(np.int64)), pa.array(n)])
+                h >>= U64(64 - HASH_BITS)
+                yield from sums.add([pa.array(h.astype(np.int64)), pa.array(n)])
         yield from sums.rest()
         trim()
 
@@ -124,7 +129,7 @@ def hash_counts(docs: DataFrame, bits, first: int, last: int) -> DataFrame:
 
 def frequent_bits(counts: DataFrame, least: int) -> np.ndarray | None:
     """The filter that has every hash of least or more; its size is fixed, so the driver may hold it. None if there is none."""
-    slot = F.shiftrightunsigned("h", 64 - BITS) + 1
+    slot = F.shiftright("h", HASH_BITS - BITS) + 1
     rows = counts.where(F.col("n") >= least).groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     out = np.zeros(1 << (BITS - 3), np.uint8)
     for r in rows:
@@ -138,7 +143,7 @@ def text_counts(docs: DataFrame, bits, longest: int) -> DataFrame:
     schema = pa.schema([("lang", pa.large_string()), ("phrase", pa.large_string()), ("words", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = bits.value, Sums(["lang", "phrase", "words"], ["n"], schema, HELD_ROWS)
+        known, sums = bits.value, Sums(["lang", "phrase", "words"], ["n"], schema, HELD_PHRASES)
         for batch in batches:
             for part in rows_of(batch, BATCH_BYTES):
                 words = Words.of(part.column(0), part.column(1))
@@ -179,10 +184,16 @@ def text_counts(docs: DataFrame, bits, longest: int) -> DataFrame:
     return docs.mapInArrow(run, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
+def in_fewer_tasks(df: DataFrame) -> DataFrame:
+    """df in tasks that share scan partitions; nothing is shuffled."""
+    n = df.rdd.getNumPartitions()
+    return df.coalesce(max(1, min(n, max(-(-n // SHARED), TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism))))
+
+
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """lang, phrase, words, n: phrases of up to so many words at least places, and the empty phrase for all words of a language."""
     spark = docs.sparkSession
-    narrow = bounded_batches(docs).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    narrow = in_fewer_tasks(bounded_batches(docs).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     # Words, pairs, and then all longer ones, of which few are left.
     for first, last in [(k, k if k < 3 else longest) for k in range(1, min(3, longest) + 1)]:
