@@ -52,9 +52,10 @@ def unit(x: Column, y: Column) -> Column:
 
 
 def axis_gap(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Degrees between two axis directions from their vectors."""
-    dot = F.abs(ax * bx + ay * by) / (F.hypot(ax, ay) * F.hypot(bx, by))
-    return F.degrees(F.acos(F.least(dot, F.lit(1.0))))
+    """Degrees between two axis directions from their vectors; null for one without a length."""
+    a, b = F.hypot(ax, ay), F.hypot(bx, by)
+    dot = F.when((a >= 1e-6) & (b >= 1e-6), F.try_divide(F.abs(ax * bx + ay * by), a * b))
+    return F.degrees(F.acos(F.when(dot > 1, 1.0).otherwise(dot)))
 
 
 def point_to_segment(px, py, ax, ay, bx, by) -> Column:

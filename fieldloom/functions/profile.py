@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def mostly_empty(w: Column, most: float = 0.1) -> Column:
-    """Whether more than a share of the widths is 0 or less."""
-    return F.size(F.filter(w, lambda x: x <= 0)) / F.size(w) > most
+    """Whether more than a share of the widths is 0 or less; not so without widths."""
+    return F.coalesce(F.try_divide(F.size(F.filter(w, lambda x: x <= 0)), F.size(w)) > most, F.lit(False))
 
 
 def at_fraction(w: Column, fraction: float) -> Column:
@@ -19,13 +19,13 @@ def at_fraction(w: Column, fraction: float) -> Column:
 
 
 def peak_percent(w: Column) -> Column:
-    """Where the first greatest width stands, in percent of the axis."""
-    return 100 * (F.array_position(w, F.array_max(w)) - 1) / (F.size(w) - 1)
+    """Where the first greatest width stands, in percent of the axis; a single width stands at its start."""
+    return 100 * (F.array_position(w, F.array_max(w)) - 1) / F.greatest(F.size(w) - 1, F.lit(1))
 
 
 def to_axis(w: Column, length: Column, target: float = 100.0) -> Column:
-    """Widths as if the axis were target long."""
-    return F.transform(w, lambda x: x * target / length)
+    """Widths as if the axis were target long; as they are on an axis of no length."""
+    return F.when(length < 1e-6, w).otherwise(F.transform(w, lambda x: x * target / F.greatest(length, F.lit(1e-6))))
 
 
 def gaussian(w: Column, sigma: float = 1.5) -> Column:

@@ -26,8 +26,10 @@ def basename(path: Column) -> Column:
 
 
 def image_of_kernel(name: Column) -> Column:
-    """The image an object was cut from: the last number part goes, the suffix stays; other names stay as they are."""
-    return F.regexp_replace(name, r"^(.*)_kernel_\d+(\.[^.]*)?$", "$1$2")
+    """The image an object was cut from: what follows the last mark goes, the suffix stays; names without the mark stay as they are."""
+    suffix = F.regexp_extract(name, r"[^./\\][^/\\]*?(\.[^./\\]*)$", 1)
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(suffix))
+    return F.when(F.contains(stem, F.lit("_kernel_")), F.concat(F.regexp_extract(stem, r"(?s)^(.*)_kernel_", 1), suffix)).otherwise(name)
 
 
 def kernel_name(stem: Column, number: Column) -> Column:
@@ -66,9 +68,9 @@ CONFUSED, MEANT = "OoIl|BS,:;", "0011185..."
 
 
 def normalise_weight(text: Column) -> Column:
-    """Confused characters to digits, then only digits, one dot and one leading minus are left."""
+    """Confused characters to digits, then only digits and one dot are left, and a leading minus if there was one anywhere."""
     t = F.regexp_replace(F.translate(text, CONFUSED, MEANT), r"[^0-9.\-]", "")
-    minus = F.when(t.startswith("-"), "-").otherwise("")
+    minus = F.when(F.contains(t, F.lit("-")), "-").otherwise("")
     t = F.replace(t, F.lit("-"), F.lit(""))
     dot = F.instr(t, ".")
     whole = F.when(dot > 0, F.concat(F.substring(t, F.lit(1), dot), F.replace(F.substring(t, dot + 1, F.length(t)), F.lit("."), F.lit("")))).otherwise(t)

@@ -109,8 +109,11 @@ def binned(df: DataFrame, key: str, value: str, width: float = 30.0, bins: int =
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Counts in equal bins between the least and the greatest value, which falls into the last bin."""
+    """Counts in equal bins between the least and the greatest value, which falls into the last bin; equal values lie in the middle of a range of 1. Nulls are left out."""
+    df = df.where(F.col(value).isNotNull())
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    same = F.col("lo") == F.col("hi")
+    ends = ends.select(F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     place = F.least(F.floor((F.col(value) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1).cast("bigint"))
     return df.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))  # ends is one row
 
@@ -321,7 +324,8 @@ def split_sets(df: DataFrame, key: str, shares: tuple[float, float], seed: str,
     placed = placed.join(F.broadcast(before_each(hashed.withColumn("__one", F.lit(1)), [], "__one")), "__range")  # a row per range
     n, place = F.col("__all"), F.col("__before") + F.col("__upto")
     if rounded:
-        val, test = (F.greatest(F.lit(1), F.bround(n * x).cast("long")) for x in (shares[1], 1 - sum(shares)))
+        # What is left of 1 is a decimal share like the others, without the rounding of their sum.
+        val, test = (F.greatest(F.lit(1), F.bround(n * x).cast("long")) for x in (shares[1], round(1 - sum(shares), 9)))
         train = n - val - test
     else:
         train, val = (F.greatest(F.lit(1), F.floor(n * x).cast("long")) for x in shares)
@@ -331,11 +335,11 @@ def split_sets(df: DataFrame, key: str, shares: tuple[float, float], seed: str,
 
 def running_best(df: DataFrame, order: str, value: str) -> DataFrame:
     """The best value so far and how many steps ago it was reached first, over a log of training steps."""
-    log = in_ranges(df, order)
+    # A best goes with the first step that reached it, so a plateau needs no key of its own.
+    log = in_ranges(df, order).withColumn("__at", F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("best"), F.col(order).alias("step"))))
     # What earlier ranges have reached is one row each.
-    ranges = log.groupBy("__range").agg(F.min(value).alias("__least"))
+    ranges = log.groupBy("__range").agg(F.min("__at").alias("__least"))
     earlier = ranges.select("__range", F.min("__least").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
-    own = F.min(value).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    best = log.withColumn("__own", own).join(F.broadcast(earlier), "__range").withColumn("best", F.least("__own", "__earlier"))
-    reached = best.groupBy("best").agg(F.min(order).alias("__reached"))
-    return best.join(reached, "best").withColumn("stall", F.col(order) - F.col("__reached")).select(*df.columns, "best", "stall")
+    own = F.min("__at").over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    best = log.withColumn("__own", own).join(F.broadcast(earlier), "__range").withColumn("__best", F.least("__own", "__earlier"))
+    return best.select(*df.columns, F.col("__best.best").alias("best"), (F.col(order) - F.col("__best.step")).alias("stall"))

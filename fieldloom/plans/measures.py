@@ -395,32 +395,35 @@ def initial_angles(spark, d):
 
 
 # Joins, counts, order and display: J3, J4, J18, J19, J21, G12, F5, F10, F21, T1, T2, T10, T11, X19, S14.
-@query("select k.kernel_name, p.p_size from kernel k join part p on p.p_partkey = k.l_partkey and p.p_size > 25", "kernel")
+@query("select k.kernel_name, p.p_size from kernel k join part p on p.p_partkey = k.l_partkey + case when k.kernel_id % 2 = 0 then 1000000000 else 0 end", "kernel")
 def with_axis(spark, d):
-    """Objects with their axis; those without one go."""
-    axis = fx.table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    return fx.kernel(spark, d).join(axis, "l_partkey").select("kernel_name", "p_size")
+    """Objects with their axis; those without one, whose keys nothing has, go."""
+    axis = fx.table(spark, d, "part").select(F.col("p_partkey").alias("axis"), "p_size")
+    k = fx.kernel(spark, d).withColumn("axis", F.col("l_partkey") + F.when(F.col("kernel_id") % 2 == 0, 1_000_000_000).otherwise(0))
+    return k.join(axis, "axis").select("kernel_name", "p_size")
 
 
-@query("select kernel_name, coalesce(m.plant_name, 'UNKNOWN') as plant_name from kernel left join (select image_name, plant_name from image where image_no % 5 <> 0 qualify row_number() over (partition by image_name order by seq desc) = 1) m using (image_name)", "kernel image")
+@query("select kernel_name, coalesce(m.plant_name, 'UNKNOWN') as plant_name from kernel left join (select case when image_no % 5 = 0 then '?' else '' end || image_name as image_name, plant_name from image qualify row_number() over (partition by image_name order by seq desc) = 1) m using (image_name)", "kernel image")
 def kernel_plant(spark, d):
     """Object to image to group, UNKNOWN where the image has none."""
-    return traits.with_metadata(fx.kernel(spark, d), fx.image(spark, d).where("image_no % 5 <> 0")).select("kernel_name", "plant_name")
+    i = fx.image(spark, d).withColumn("image_name", F.concat(F.when(F.col("image_no") % 5 == 0, "?").otherwise(""), F.col("image_name")))  # names that no object has
+    return traits.with_metadata(fx.kernel(spark, d), i).select("kernel_name", "plant_name")
 
 
-@query("select i.stem, k.kernel_name from (select distinct stem from kernel where image_no % 10 = 0) i join kernel k on starts_with(k.kernel_name, i.stem || '_kernel_')", "kernel")
+@query("select i.stem, k.kernel_name from (select distinct stem from kernel) i join kernel k on regexp_extract(k.kernel_name, '^(.*)_kernel_', 1) = i.stem", "kernel")
 def kernels_of_image(spark, d):
     """An image's objects by the beginning of their names; the beginning is a key, so it is an equi-join."""
     k = fx.kernel(spark, d)
-    stems = k.where("image_no % 10 = 0").select("stem").distinct()
+    stems = k.select("stem").distinct()
     return stems.join(k.select(tx.kernel_stem(F.col("kernel_name")).alias("stem"), "kernel_name"), "stem")
 
 
-@query("select o_orderkey, c_name, c_acctbal from orders left join customer on c_custkey = o_custkey and c_custkey % 4 <> 0")
+@query("select o_orderkey, c_name, c_acctbal from orders left join customer on c_custkey = o_custkey + case when o_orderkey % 4 = 0 then 1000000000 else 0 end")
 def plant_lookup(spark, d):
-    """The group's row, or nulls."""
-    c = fx.table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal")
-    return fx.table(spark, d, "orders").join(c, "o_custkey", "left").select("o_orderkey", "c_name", "c_acctbal")
+    """The group's row, or nulls for groups that nothing has."""
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("group"), "c_name", "c_acctbal")
+    o = fx.table(spark, d, "orders").withColumn("group", F.col("o_custkey") + F.when(F.col("o_orderkey") % 4 == 0, 1_000_000_000).otherwise(0))
+    return o.join(c, "group", "left").select("o_orderkey", "c_name", "c_acctbal")
 
 
 @query("select s.n_nationkey as sample, e.label::bigint as label, p.p_name from nation s join embeddings e on e.vec_id = s.n_nationkey * 3 join part p on p.p_partkey = s.n_nationkey * 5")

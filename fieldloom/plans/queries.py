@@ -150,7 +150,7 @@ def anti_labels(spark, d):
 
 
 _FUZZY = """i as (select 'S' || n_nationkey as image_name, lower(n_name) as stem, case when n_nationkey % 4 = 0 then lower(n_name) else 'x' end as plant_name from nation),
-    p as (select lower(n_name) as name, n_nationkey as ord from nation where n_nationkey % 2 = 0 union all select substr(lower(r_name), 1, 2), 100 + r_regionkey from region)"""
+    p as (select case when n_nationkey % 2 = 0 then lower(n_name) else 'q' || n_nationkey end as name, n_nationkey as ord from nation union all select substr(lower(r_name), 1, 2), 100 + r_regionkey from region)"""
 
 
 @query(
@@ -162,7 +162,8 @@ def fuzzy_plant(spark, d):
     """By group, else by the first name that is part of the other."""
     n, g = fx.table(spark, d, "nation"), fx.table(spark, d, "region")
     i = n.select(F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("image_name"), F.lower("n_name").alias("stem"), F.when(F.col("n_nationkey") % 4 == 0, F.lower("n_name")).otherwise("x").alias("plant_name"))
-    p = n.where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("name"), F.col("n_nationkey").alias("ord")).union(g.select(F.substring(F.lower("r_name"), 1, 2), 100 + F.col("r_regionkey")))
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.concat(F.lit("q"), F.col("n_nationkey").cast("string")))
+    p = n.select(name.alias("name"), F.col("n_nationkey").alias("ord")).union(g.select(F.substring(F.lower("r_name"), 1, 2), 100 + F.col("r_regionkey")))
     return traits.match_profile(i, p)
 
 
@@ -210,7 +211,7 @@ def empty_image_rows(spark, d):
     n = fx.table(spark, d, "nation").select("n_nationkey")
     n = n.unionByName(n.select((F.col("n_nationkey") + 100).alias("n_nationkey")))  # keys that no customer has
     k = fx.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("raw"), F.count_if(F.col("c_acctbal") < 0).alias("filtered"))
-    return n.join(F.broadcast(k), "n_nationkey", "left").na.fill(0)  # one row per nation
+    return n.join(k, "n_nationkey", "left").na.fill(0)
 
 
 @query("select image_name, min(kernel_id) as first_seen, count(*) as n from kernel group by 1", "kernel")
@@ -570,16 +571,16 @@ def label_best(spark, d):
     return rounded(traits.one_per_key(t, "image_no", [F.desc("score"), F.col("p_partkey")]).select("image_no", "label", "score"))
 
 
-_RAW = "case o_orderkey % 5 when 0 then 'W: ' || o_orderkey || '.2S g' when 1 then 'O' || (o_orderkey % 100) || ',5' when 2 then '-' || (o_orderkey % 1000) || '.4.1' when 3 then (10000 + o_orderkey % 90000) || '' else (o_orderkey % 300) || '.' || (10 + o_orderkey % 90) end"
+_RAW = "case when o_orderkey % 23 = 0 then (o_orderkey % 90) || '-3.' || (o_orderkey % 9) when o_orderkey % 29 = 0 then (o_orderkey % 90) || '.5-' else case o_orderkey % 5 when 0 then 'W: ' || o_orderkey || '.2S g' when 1 then 'O' || (o_orderkey % 100) || ',5' when 2 then '-' || (o_orderkey % 1000) || '.4.1' when 3 then (10000 + o_orderkey % 90000) || '' else (o_orderkey % 300) || '.' || (10 + o_orderkey % 90) end end"
 _CLEAN = "regexp_replace(translate(raw, 'OoIl|BS,:;', '0011185...'), '[^0-9.\\-]', '', 'g')"
-_WEIGHT = f"""wr as (select o_orderkey, {_RAW} as raw from orders), wc as (select o_orderkey, {_CLEAN} as c from wr), wd as (select o_orderkey, case when starts_with(c, '-') then '-' else '' end as m, replace(c, '-', '') as c from wc),
+_WEIGHT = f"""wr as (select o_orderkey, {_RAW} as raw from orders), wc as (select o_orderkey, {_CLEAN} as c from wr), wd as (select o_orderkey, case when contains(c, '-') then '-' else '' end as m, replace(c, '-', '') as c from wc),
     wn as (select o_orderkey, m || case when instr(c, '.') > 0 then substr(c, 1, instr(c, '.')) || replace(substr(c, instr(c, '.') + 1), '.', '') else c end as text from wd)"""
 
 
 def _weights(spark, d):
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
-    raw = F.when(k % 5 == 0, F.concat(F.lit("W: "), s(k), F.lit(".2S g"))).when(k % 5 == 1, F.concat(F.lit("O"), s(k % 100), F.lit(",5"))).when(k % 5 == 2, F.concat(F.lit("-"), s(k % 1000), F.lit(".4.1"))).when(k % 5 == 3, s(10000 + k % 90000)).otherwise(F.concat(s(k % 300), F.lit("."), s(10 + k % 90)))
+    raw = F.when(k % 23 == 0, F.concat(s(k % 90), F.lit("-3."), s(k % 9))).when(k % 29 == 0, F.concat(s(k % 90), F.lit(".5-"))).when(k % 5 == 0, F.concat(F.lit("W: "), s(k), F.lit(".2S g"))).when(k % 5 == 1, F.concat(F.lit("O"), s(k % 100), F.lit(",5"))).when(k % 5 == 2, F.concat(F.lit("-"), s(k % 1000), F.lit(".4.1"))).when(k % 5 == 3, s(10000 + k % 90000)).otherwise(F.concat(s(k % 300), F.lit("."), s(10 + k % 90)))
     return fx.table(spark, d, "orders").select("o_orderkey", tx.normalise_weight(raw).alias("text"))
 
 

@@ -1,7 +1,11 @@
 """Worked examples, ordered logic against loops, invariants, files."""
 
 import math
+import os
+import random
 import time
+from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
@@ -260,3 +264,60 @@ def test_stream_gives_batch_rows(spark, tmp_path):
         q.awaitTermination(60)
         time.sleep(0.1)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_minus_anywhere_makes_a_weight_negative(spark):
+    rows = spark.createDataFrame([(t,) for t in ("5-3.1", "12-", "-4", "1--2", "7.5", "--", "")], "t string")
+    got = [r[0] for r in rows.select(tx.normalise_weight(F.col("t"))).collect()]
+    assert got == ["-53.1", "-12", "-4", "-12", "7.5", "-", ""]
+
+
+def test_image_names_are_cut_at_the_last_mark(spark):
+    names = ["a_kernel_001.jpg", "a_kernel_x.jpg", "a_kernel_1_kernel_2.png", "a_kernel_1", "b.jpg", "x_kernel_1.b.jpg", "d/a_kernel_3.tif", "a.x_kernel_1", ".a_kernel_1", "kernel_1.jpg"]
+
+    def image(name):
+        stem, suffix = os.path.splitext(name)
+        return stem.rsplit("_kernel_", 1)[0] + suffix if "_kernel_" in stem else name
+
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(tx.image_of_kernel(F.col("n"))).collect()]
+    assert got == [image(n) for n in names]
+
+
+def test_nothing_to_divide_by(spark):
+    one = spark.range(1).select(F.array().cast("array<double>").alias("none"), F.array(F.lit(3.0)).alias("single"), F.array(F.lit(1.0), F.lit(2.0)).alias("two"))
+    row = one.select(
+        prof.mostly_empty(F.col("none")).alias("empty"), prof.peak_percent(F.col("single")).alias("peak"), prof.to_axis(F.col("two"), F.lit(0.0)).alias("kept"), prof.to_axis(F.col("two"), F.lit(50.0)).alias("scaled"),
+        num.axis_gap(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("gap"), num.axis_gap(F.lit(1.0), F.lit(1.0), F.lit(-2.0), F.lit(0.0)).alias("some"),
+    ).first()
+    assert (row.empty, row.peak, row.kept, row.scaled, row.gap) == (False, 0.0, [1.0, 2.0], [2.0, 4.0], None)
+    assert row.some == pytest.approx(45)
+
+
+def test_histogram_of_equal_values(spark):
+    rows = spark.createDataFrame([(4.0,)] * 7 + [(None,)], "v double")
+    assert [tuple(r) for r in stats.histogram(rows, "v", 40).collect()] == [(20, 7)]
+    assert np.histogram([4.0] * 7, 40)[0].tolist().index(7) == 20
+    assert stats.histogram(rows.limit(0), "v", 40).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 5, 15, 25, 35, 45, 65, 97])
+def test_rounded_split_sizes(spark, n):
+    got = Counter(r.split for r in stats.split_sets(spark.range(n), "id", (0.7, 0.2), "s", rounded=True).collect())
+    test, val = max(1, round(n * 0.10)), max(1, round(n * 0.20))
+    assert got["train"] == max(0, n - test - val)
+    if n > 2:
+        assert (got["val"], got["test"]) == (val, test)
+
+
+def test_running_best_with_a_plateau(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([5.0, 4.0, None]) if i < 30 else 4.0) for i in range(200)]
+    ranges = stats.in_ranges
+    for per_range in (200_000, 17):
+        monkeypatch.setattr(stats, "in_ranges", partial(ranges, rows=per_range))
+        got = {r.step: (r.best, r.stall) for r in stats.running_best(spark.createDataFrame(rows, "step long, loss double"), "step", "loss").collect()}
+        best = None
+        for i, v in rows:
+            if v is not None and (best is None or v < best[0]):
+                best = (v, i)
+            assert got[i] == ((best[0], i - best[1]) if best else (None, None))
