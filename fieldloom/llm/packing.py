@@ -4,16 +4,18 @@ A task reads its documents in order and keeps N(h), the number of partially
 filled windows with fill level h, in one array. A document's remainder of s
 tokens goes to the level h for which the sum of N(h)^2 after the move is
 smallest; level 0 stands for a new window. Documents of a window or more fill
-whole windows first. At most MOST_OPEN windows stand open: where one more would
-be opened beyond that, the remainder is cut to close the fullest one and what is
-left of it is placed anew, so a task holds at most MOST_OPEN windows of ids. What
-is still partial at a task's end is cut into whole windows and windows whose
-size is a power of two, which need no padding.
-
-Defined results: null text counts as empty (one token, the end id); a null id
-stays null; tasks pack independently, and the task's number is part of
-sequence_id, so no id repeats; repeated rows are each packed; an empty table
-gives no rows; extra columns are ignored.
+whole windows first. At a task's end the windows that are filled to AS_IT_STANDS
+or more stay as the choice left them and are padded; only the emptier ones are
+dissolved and cut into whole windows and windows whose size is a power of two,
+which need no padding. How many windows stand open is up to the choice, which
+keeps few of a level, and at most those of the task's own documents; ids of
+vocabularies below 65,536 wait in two bytes each.
+
+Defined results: null text counts as empty (one token, the end id); a special
+string in a text is one id, as the library has it by default; a null id stays
+null; tasks pack independently, and the task's number is part of sequence_id, so
+no id repeats; repeated rows are each packed; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from .common import rows_of, texts_of, trim
 
 WINDOW = 4096
 END_ID = 2
-#: Windows that a task keeps open.
-MOST_OPEN = 128
+#: The fill from which on a window is padded at a task's end.
+AS_IT_STANDS = 0.95
 #: Distinct words and pre-tokens that a task remembers before their memo starts anew; this bounds memory and changes no result.
 WORDS, PARTS = 400_000, 400_000
 MEMO_LENGTH = 64
@@ -58,8 +60,9 @@ class WordIds:
         from .byte_bpe import byte_alphabet
 
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
         self._model = self._whole.model
+        special = [re.escape(t.content) for t in self._whole.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(special) or r"(?!)").search
         self._letters = dict(enumerate(byte_alphabet()))
         self._simple = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
         self._split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+").findall
@@ -72,7 +75,7 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         if not word:
             return b""
-        if self._simple(word):
+        if self._simple(word) and not self._special(word):
             return b"".join(map(self._parts.__getitem__, self._split(word.lower())))
         return _packed(self._whole.encode(word, add_special_tokens=False).ids)
 
@@ -144,60 +147,63 @@ class Levels:
         self.open -= 1
         return self.standing[level].pop()
 
-    def fullest(self) -> int:
-        return int(np.flatnonzero(self.count)[-1])
-
     def put(self, level: int, pieces: list) -> None:
         self.count[level] += 1
         self.open += 1
         self.standing.setdefault(level, []).append(pieces)
 
-    def rest(self) -> Iterator[list]:
+    def rest(self) -> Iterator[tuple[int, list]]:
         for level in sorted(self.standing):
-            yield from self.standing[level]
+            yield from ((level, pieces) for pieces in self.standing[level])
 
 
-def pack_stream(docs: Iterator[tuple[int, bytes]], window: int = WINDOW, most_open: int = MOST_OPEN, report: dict | None = None) -> Iterator[tuple]:
+def pack_stream(docs: Iterator[tuple[int, bytes]], window: int = WINDOW, keep: float = AS_IT_STANDS, report: dict | None = None) -> Iterator[tuple]:
     """(doc_id, packed ids) to (doc_id, start, length, crc32, doc_tokens, sequence, offset).
 
-    report, if given, counts tokens and those of them that the final cut deals out.
+    report, if given, counts tokens, those of them that the final cut deals out,
+    padding, and the most windows that stood open.
     """
     levels, sequence, size = Levels(window), 0, 4 * window
+    counts = report if report is not None else {}
+    counts.update(tokens=0, cut=0, padding=0, open=0)
 
     def close(pieces):
         nonlocal sequence
         offset = 0
         for doc, start, ids, total in pieces:
+            ids = _wide(ids)
             yield doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset
             offset += len(ids) // 4
         sequence += 1
 
     for doc, ids in docs:
         total, at = len(ids) // 4, 0
+        counts["tokens"] += total
         while len(ids) - at >= size:
             yield from close([(doc, at // 4, ids[at : at + size], total)])
             at += size
-        while at < len(ids):
+        if at < len(ids):
             length = (len(ids) - at) // 4
             level = levels.choose(length)
-            if level == 0 and levels.open >= most_open:
-                level = levels.fullest()
-                length = min(length, window - level)
             pieces = levels.take(level)
-            pieces.append((doc, at // 4, ids[at : at + 4 * length], total))
-            at += 4 * length
+            pieces.append((doc, at // 4, _narrow(ids[at:]), total))
             if level + length == window:
                 yield from close(pieces)
             else:
                 levels.put(level + length, pieces)
-        if report is not None:
-            report["tokens"] = report.get("tokens", 0) + total
+                counts["open"] = max(counts["open"], levels.open)
+    rest, left = [], 0
+    for level, pieces in levels.rest():
+        if level >= keep * window:
+            # Without a power of two for a size, the window is padded to its end.
+            counts["padding"] += 0 if level & (level - 1) == 0 else window - level
+            yield from close(pieces)
+        else:
+            rest += pieces
+            left += level
+    counts["cut"] = left
     # The rest: cut freely into whole windows, then into powers of two.
-    rest = [p for pieces in levels.rest() for p in pieces]
-    left = sum(len(p[2]) // 4 for p in rest)
-    if report is not None:
-        report["cut"] = left
-    rest.reverse()
+    rest = [(doc, start, _wide(ids), total) for doc, start, ids, total in reversed(rest)]
     while left:
         room = window if left >= window else 1 << (left.bit_length() - 1)
         left -= room
@@ -211,6 +217,16 @@ def pack_stream(docs: Iterator[tuple[int, bytes]], window: int = WINDOW, most_op
         yield from close(pieces)
 
 
+def _narrow(ids: bytes):
+    """Ids for waiting: an array of two bytes each where they fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2") if wide.max() < 1 << 16 else wide
+
+
+def _wide(ids) -> bytes:
+    return ids if isinstance(ids, bytes) else ids.astype("<u4").tobytes()
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
