@@ -12,7 +12,8 @@ into its score.
 
 The fit uses at most TRAIN_ROWS labelled ids, chosen by a hash of the id, one
 row of each, and of rows that share their smallest shingle only one, so that
-copies don't count as evidence. Defined results: null text counts as empty and
+copies don't count as evidence. All tokens with evidence are kept: as each stands
+in FEWEST of these rows at least, they are bounded by the rows' texts. Defined results: null text counts as empty and
 has no passage; without labelled rows of both kinds each score is 0; of several
 labels of one document the largest counts; repeated rows are each scored; an
 empty table gives no rows; extra columns are ignored.
@@ -37,8 +38,6 @@ from .quality import FIT_PARTITIONS, training_rows
 TRAIN_ROWS = 40_000
 #: Strength of the Dirichlet prior in documents; the least z-value and the least log-odds, either way, below which a token counts as 0; and the fewest documents of the kind it speaks for.
 PRIOR, EVIDENCE, LEAST_ODDS, FEWEST = 4.0, 2.0, 1.0, 4
-#: The most tokens a model keeps, best evidence first.
-TOKENS = 50_000
 #: Beginnings of words of these lengths are tokens of their own.
 BEGINNINGS = (4, 5, 6)
 #: What each word adds besides its log-odds; below 0, so that a segment must gain by every word it takes in and sums of clean texts stay bounded.
@@ -187,8 +186,6 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, left_out: int = 0,
         .withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
         .where((F.abs("z") >= EVIDENCE) & (F.abs("weight") >= LEAST_ODDS))
         .where(((F.col("weight") > 0) & (F.col("toxic") > F.col("clean")) & (F.col("toxic") >= FEWEST)) | ((F.col("weight") < 0) & (F.col("clean") >= FEWEST)))
-        .orderBy(F.desc(F.abs("z")), "token")
-        .limit(TOKENS)
     )
     model = Model(weights={r["token"]: float(r["weight"]) for r in best.select("token", "weight").collect()})
 

@@ -6,7 +6,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import compare
 import numpy as np
@@ -285,8 +285,7 @@ def test_warc(spark):
 def test_packing(spark, strange):
     path = public.path("word_bpe_49k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    rows = [*enumerate(strange), (9998, None), (9999, "word " * 9000), (9997, "ab " * 4095)]
+    rows = [*enumerate(strange), (9990, "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>"), (9998, None), (9999, "word " * 9000), (9997, "ab " * 4095)]
     got = packing.pack_documents(docs(spark, rows).repartition(2), path).collect()
     want = {i: np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in rows}
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -306,26 +305,56 @@ def test_packing(spark, strange):
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at == 4096 or at < 4096 and at & (at - 1) == 0
+        # Whole windows, powers of two, and those that are nearly full.
+        assert at <= 4096 and (at & (at - 1) == 0 or at >= 0.95 * 4096)
 
 
-def test_packing_holds_few_windows():
-    """Documents of over half a window never fit one another; still few windows stay open, and little is left for the final cut."""
+def test_packing_by_the_choice_alone():
+    """Every window is as a plain loop over the sum of squares leaves it; only those far from full at the end are cut anew."""
     rng = np.random.default_rng(8)
-    for sizes in ([3000] * 2000, rng.integers(1, 6000, 3000).tolist(), [2049] * 3000):
-        report, filled, every = {}, defaultdict(int), 0
+    for sizes in ([3000] * 300, rng.integers(1, 6000, 900).tolist(), [2049] * 300, rng.integers(1, 400, 4000).tolist(), [70_000, 1, 4095, 4096]):
+        report, filled, pieces, every = {}, defaultdict(int), defaultdict(list), 0
 
         def stream(sizes=sizes):
             for i, n in enumerate(sizes):
-                yield i, np.arange(n, dtype="<u4").tobytes()
+                yield i, (np.arange(n, dtype="<u4") * 3 + (i % 2) * 70_000).tobytes()
 
-        for doc, _, length, _, total, sequence, offset in packing.pack_stream(stream(), report=report):
+        for doc, start, length, crc, total, sequence, offset in packing.pack_stream(stream(), report=report):
+            assert offset == filled[sequence] and total == sizes[doc]
+            assert crc == zlib.crc32((np.arange(start, start + length, dtype="<u4") * 3 + (doc % 2) * 70_000).tobytes())
             every += length
             filled[sequence] += length
-            assert offset + length <= 4096 and total == sizes[doc]
+            pieces[sequence].append((doc, start))
         assert every == sum(sizes) == report["tokens"]
-        assert report["cut"] <= packing.MOST_OPEN * 4096 and report["cut"] < 0.1 * report["tokens"]
-        assert sum(n != 4096 for n in filled.values()) <= 12
+        # The loop: windows as lists of remainders, the smallest sum of squares, the fullest window on ties.
+        open_, count, done = [], Counter(), []
+        for doc, n in enumerate(sizes):
+            r = n % 4096
+            if not r:
+                continue
+            best = None
+            for level in sorted({0, *(w[0] for w in open_)}, reverse=True):
+                if level + r <= 4096:
+                    change = (0 if level == 0 else 1 - 2 * count[level]) + (0 if level + r == 4096 else 1 + 2 * count[level + r])
+                    if best is None or change < best[0]:
+                        best = (change, level)
+            level = best[1]
+            window = [0, []] if level == 0 else next(w for w in reversed(open_) if w[0] == level)
+            if level:
+                open_.remove(window)
+                count[level] -= 1
+            window = [level + r, [*window[1], (doc, n - r)]]
+            if window[0] == 4096:
+                done.append(window[1])
+            else:
+                open_.append(window)
+                count[window[0]] += 1
+        stay = [w for w in open_ if w[0] >= 0.95 * 4096]
+        got = sorted(map(sorted, pieces.values()))
+        for window in [*done, *(w[1] for w in stay)]:
+            assert sorted(window) in got
+        assert report["cut"] == sum(w[0] for w in open_ if w[0] < 0.95 * 4096)
+        assert report["padding"] == sum(4096 - w[0] for w in stay if w[0] & (w[0] - 1))
 
 
 def test_packing_of_nothing(spark):
@@ -726,28 +755,21 @@ def shingles_of(text):
 
 
 def brute_sketch(hashes):
-    below = sorted(h for h in hashes if h < sketch.threshold(sketch.FRACTION))
-    return below if len(below) >= sketch.LEAST else sorted(hashes)[: sketch.LEAST]
+    return sorted(h for h in hashes if h < sketch.threshold(sketch.FRACTION))
 
 
 def brute_likeness(s, t):
-    """Over the hashes up to where both sketches are complete."""
-    if not s and not t:
-        return 1.0
-    limit = lambda x: float("inf") if len(x) < sketch.LEAST else max(x[-1], sketch.threshold(sketch.FRACTION) - 1)
-    top = min(limit(s), limit(t))
-    a, b = {h for h in s if h <= top}, {h for h in t if h <= top}
-    return len(a & b) / len(a | b) if a | b else 0.0
+    return len({*s} & {*t}) / len({*s} | {*t}) if s or t else 1.0
 
 
 def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(sketch, "ROWS_PER_RANGE", 20)
     rng = random.Random(3)
     long = [f"word{rng.randrange(20_000)}" for _ in range(60_000)]
-    rows = [*odd_texts(12), (1006, "repeated id"), (1006, "repeated id"), (3000, " ".join(long)), (2999, " ".join(long[:30_000]) + " end"), (None, None)]
+    rows = [*odd_texts(12), (1006, "repeated id"), (1006, "repeated id"), *((None, f"no id {k} " + "x " * (k % 7)) for k in range(60)), (3000, " ".join(long)), (2999, " ".join(long[:30_000]) + " end"), (None, None)]
     got = sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in sketch.fingerprint_documents(docs(spark, rows)).collect())
-    # Descending ids, null last; texts in order within an id.
-    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    # Descending ids, texts in order within an id; then those without id, by a hash of their text.
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), hash64(x[1].encode()) >> 1 if x[0] is None else 0, x[1]))
     text = lambda s: "".join(f"{h & (1 << 64) - 1:016X}" for h in s)
     want = []
     for k, (i, t) in enumerate(order):
@@ -762,11 +784,17 @@ def test_fingerprints(spark, monkeypatch):
 
 
 def test_containment_of_unequal_documents(spark):
+    """Within four standard errors at every size, and exact where one text holds the other."""
     words = [f"w{i}" for i in range(40_000)]
-    df = sketch.with_sketch(spark.createDataFrame([(" ".join(words), " ".join(words[:4000]))], "a string, b string"), "a", "sa")
+    rows = [(n, " ".join(words), " ".join([*words[: n // 2], *(f"v{i}" for i in range(n - n // 2))])) for n in (40, 232, 2500, 20_000)]
+    df = sketch.with_sketch(spark.createDataFrame([*rows, (4, " ".join(words), " ".join(words[100:150]))], "n int, a string, b string"), "a", "sa")
     df = sketch.with_sketch(df, "b", "sb")
-    row = df.select(sketch.containment(F.col("sb"), F.col("sa")).alias("c"), sketch.likeness(F.col("sa"), F.col("sb")).alias("l"), F.size("sa").alias("n")).first()
-    assert row.c == 1.0 and abs(row.l - 0.1) < 0.05 and abs(row.n - 800) < 120
+    for r in df.select("n", sketch.containment(F.col("sb"), F.col("sa")).alias("c"), sketch.containment(F.col("sa"), F.col("sb")).alias("d"), F.size("sa").alias("size")).collect():
+        assert abs(r.size - 10_000) < 400
+        if r.n == 4:
+            assert r.c == 1.0
+            continue
+        assert abs(r.c - 0.5) < 4 * (0.25 / (r.n / 4)) ** 0.5 and abs(r.d - r.n / 80_000) < 0.02
 
 
 def test_sketches_merge(spark):
@@ -779,7 +807,7 @@ def test_sketches_merge(spark):
 
 
 def test_every_contract_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -825,7 +853,6 @@ def test_pipeline_stages_against_brute_force(spark, small):
     kept = sorted((i, len(b.decode("utf-8", "ignore"))) for i, b in brute_kept(few))
     assert [(i, n) for i, n, _ in got] == kept and all(n == c for _, n, c in got) and len(got) == len(want)
     ids = Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    ids.encode_special_tokens = True
     pieces = stage["packing"](spark, table, small).collect()
     assert sum(r.length for r in pieces) == sum(len(ids.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
     for f in stage.values():
