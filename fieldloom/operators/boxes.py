@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import cells
 from ..functions import numeric as num
 
 
@@ -68,39 +73,107 @@ def final_ids(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.withColumn("final_id", F.when(F.col("kept"), F.sum(F.col("kept").cast("long")).over(w)))
 
 
+_BOX = ("box_id", "x1", "y1", "x2", "y2", "conf")
+
+
+def by_image(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(image_no, boxes): each image's boxes in one row, by number; a detector gives a thousand of an image at most."""
+    return df.groupBy("image_no").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("boxes"))
+
+
+def _flat(batch: pa.RecordBatch, names: tuple[str, ...]) -> tuple[np.ndarray, dict[str, pa.Array], dict[str, np.ndarray]]:
+    """Of rows (image_no, boxes): each box's row, its columns, and their values as doubles, a missing one not a number."""
+    boxes = batch.column(1)
+    flat = boxes.flatten()
+    columns = {n: flat.field(i) for i, n in enumerate(names)}
+    values = {n: c.cast(pa.float64()).to_numpy(zero_copy_only=False) for n, c in columns.items() if n not in ("box_id", "digit")}
+    return np.repeat(np.arange(len(batch)), np.diff(boxes.offsets.to_numpy())), columns, values
+
+
+def _corners(v: dict[str, np.ndarray]) -> tuple:
+    return v["x1"], v["y1"], v["x2"], v["y2"]
+
+
+def _nested(image, corners, share, ratio):
+    """Boxes i and j of which the smaller lies in the larger by a share, and that differ by a ratio; overlap and ratio."""
+    i, j = cells.Grid(image, *corners).meeting()
+    size = cells.area(*corners)
+    least = np.maximum(np.minimum(size[i], size[j]), 1.0)
+    overlap, times = cells.shared(corners, i, j) / least, np.maximum(size[i], size[j]) / least
+    keep = (overlap >= share) & (times >= ratio)
+    return i[keep], j[keep], overlap[keep], times[keep], size
+
+
 def overlap_pairs(df: DataFrame, share: float = NESTED_SHARE, ratio: float = NESTED_RATIO) -> DataFrame:
-    """Pairs of an image's boxes of which the smaller lies in the larger by a share, and that differ by a ratio."""
-    box = ["box_id", "x1", "y1", "x2", "y2", "conf"]
-    a = df.select("image_no", *[F.col(c).alias(f"a_{c}") for c in box])
-    b = df.select("image_no", *[F.col(c).alias(f"b_{c}") for c in box])
-    pairs = a.join(b, "image_no").where("a_box_id < b_box_id and a_x1 < b_x2 and b_x1 < a_x2 and a_y1 < b_y2 and b_y1 < a_y2")
-    at = lambda s: tuple(F.col(f"{s}_{c}") for c in box[1:5])
-    sa, sb = num.box_area(*at("a")), num.box_area(*at("b"))
-    least = F.greatest(F.least(sa, sb), F.lit(1.0))
-    pairs = pairs.withColumns({"overlap": num.overlap_area(at("a"), at("b")) / least, "ratio": F.greatest(sa, sb) / least, "larger": F.when(sa >= sb, F.col("a_box_id")).otherwise(F.col("b_box_id"))})
-    return pairs.where((F.col("overlap") >= share) & (F.col("ratio") >= ratio))
+    """Pairs of an image's boxes of which the smaller lies in the larger by a share, and that differ by a ratio.
+
+    One exchange by image; within it, boxes meet in the cells of a grid, so boxes that are apart are no pairs to look at.
+    """
+
+    def run(batches):
+        for batch in batches:
+            image, columns, v = _flat(batch, _BOX)
+            i, j, overlap, times, size = _nested(image, _corners(v), share, ratio)
+            sides = [c.take(pa.array(k)) for k in (i, j) for c in columns.values()]
+            larger = columns["box_id"].take(pa.array(np.where(size[i] >= size[j], i, j)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(image[i])), *sides, pa.array(overlap), pa.array(times), larger], names=names)
+
+    kind = {c: df.schema[c].dataType.simpleString() for c in ("image_no", *_BOX)}
+    each = [(f"{s}_{c}", kind[c]) for s in ("a", "b") for c in _BOX]
+    fields = [("image_no", kind["image_no"]), *each, ("overlap", "double"), ("ratio", "double"), ("larger", kind["box_id"])]
+    names = [n for n, _ in fields]
+    return by_image(df, _BOX).mapInArrow(run, ", ".join(" ".join(f) for f in fields))
 
 
 def holding_centres(df: DataFrame, least: int = 2) -> DataFrame:
-    """Boxes that hold, also on their border, the centres of so many others of their image."""
-    other = df.select("image_no", F.col("box_id").alias("o"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
-    hits = df.join(other, "image_no").where("box_id != o and cx between x1 and x2 and cy between y1 and y2")
-    return hits.groupBy("image_no", "box_id").agg(F.count("*").alias("centres")).where(F.col("centres") >= least)
+    """Boxes that hold, also on their border, the centres of so many others of their image; one exchange by image."""
+
+    def run(batches):
+        for batch in batches:
+            image, columns, v = _flat(batch, _BOX[:5])
+            holder, _ = cells.Grid(image, *_corners(v)).holding()
+            many = np.bincount(holder, minlength=len(image))
+            own = np.flatnonzero(many >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(image[own])), columns["box_id"].take(pa.array(own)), pa.array(many[own])], names=["image_no", "box_id", "centres"])
+
+    kind = {c: df.schema[c].dataType.simpleString() for c in ("image_no", "box_id")}
+    return by_image(df, _BOX[:5]).mapInArrow(run, f"image_no {kind['image_no']}, box_id {kind['box_id']}, centres long")
+
 
+def nearest_within(queries: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """(image_no, line_id, box_id): the nearest point (image_no, box_id, cx, cy) within reach of each query (image_no, line_id, px, py), the smallest number on ties; null without any.
 
-def worse_of(a, b, middle) -> Column:
+    Points stand in cells as wide as the reach, and a query looks into its own and the eight round it.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    asked = queries.withColumn("dx", around).withColumn("dy", around).withColumns({"ix": cell("px") + F.col("dx"), "iy": cell("py") + F.col("dy")})
+    put = points.select("image_no", "box_id", "cx", "cy", cell("cx").alias("ix"), cell("cy").alias("iy"))
+    far = (F.col("cx") - F.col("px")) * (F.col("cx") - F.col("px")) + (F.col("cy") - F.col("py")) * (F.col("cy") - F.col("py"))
+    near = asked.join(put, ["image_no", "ix", "iy"]).withColumn("d2", far).where(F.col("d2") <= reach * reach)
+    best = near.groupBy("image_no", "line_id").agg(F.min(F.struct("d2", "box_id")).alias("m")).select("image_no", "line_id", F.col("m.box_id").alias("box_id"))
+    return queries.select("image_no", "line_id").join(best, ["image_no", "line_id"], "left")
+
+
+def _log_gap(value, reference):
+    real = (value > 0) & (reference > 0)
+    return np.where(real, np.abs(np.log(np.where(real, value, 1.0) / np.where(real, reference, 1.0))), 0.0)
+
+
+def worse_of(i, j, sizes: dict[str, np.ndarray], middle: dict[str, np.ndarray], sure: np.ndarray) -> np.ndarray:
     """Which of two overlapping boxes goes: a sliver, a fused box, the odder one by size and confidence, the less sure one, the larger one."""
-    small, large = F.when(a["area"] <= b["area"], a["box_id"]).otherwise(b["box_id"]), F.when(a["area"] <= b["area"], b["box_id"]).otherwise(a["box_id"])
-    lesser, greater = F.least(a["area"], b["area"]), F.greatest(a["area"], b["area"])
-    sure = lambda x: F.coalesce(x["conf"], F.lit(0.0))
-    odd = lambda x: num.size_gap(x["area"], middle["area"]) + SIDE_WEIGHT * (num.size_gap(x["long_side"], middle["long_side"]) + num.size_gap(x["short_side"], middle["short_side"])) - SURE_WEIGHT * sure(x)
-    return (
-        F.when(lesser < AREA_RATIOS[0] * middle["area"], small)
-        .when(greater > AREA_RATIOS[1] * middle["area"], large)
-        .when(F.abs(odd(a) - odd(b)) > CLEAR_GAP, F.when(odd(a) > odd(b), a["box_id"]).otherwise(b["box_id"]))
-        .when(F.abs(sure(a) - sure(b)) > CLEAR_GAP, F.when(sure(a) < sure(b), a["box_id"]).otherwise(b["box_id"]))
-        .otherwise(large)
-    )
+    area = sizes["area"]
+    gaps = {c: _log_gap(sizes[c], middle[c]) for c in sizes}
+    odd = gaps["area"] + SIDE_WEIGHT * (gaps["long_side"] + gaps["short_side"]) - SURE_WEIGHT * sure
+    small, large = np.where(area[i] <= area[j], i, j), np.where(area[i] <= area[j], j, i)
+    of = middle["area"][i]
+    rules = [
+        (np.minimum(area[i], area[j]) < AREA_RATIOS[0] * of, small),
+        (np.maximum(area[i], area[j]) > AREA_RATIOS[1] * of, large),
+        (np.abs(odd[i] - odd[j]) > CLEAR_GAP, np.where(odd[i] > odd[j], i, j)),
+        (np.abs(sure[i] - sure[j]) > CLEAR_GAP, np.where(sure[i] < sure[j], i, j)),
+    ]
+    return np.select([r[0] for r in rules], [r[1] for r in rules], large)
 
 
 def suppress_nested(df: DataFrame, share: float = NESTED_SHARE, ratio: float = NESTED_RATIO, fused: float = FUSED_RATIO, least: int = 2, middle: DataFrame | None = None) -> DataFrame:
@@ -109,35 +182,44 @@ def suppress_nested(df: DataFrame, share: float = NESTED_SHARE, ratio: float = N
     Pairs are taken by overlap, then ratio, both falling; the worse box of a
     pair goes unless either has gone already. Then, from the largest down, boxes
     well above the median that still hold the centres of several others go. The
-    order within an image decides, so an image is folded in one row; a detector
-    gives a thousand boxes of an image at most. A null confidence counts as 0.
+    order within an image decides, so an image is judged in one row. A null
+    confidence counts as 0.
     """
-    df = with_sizes(df)
-    sides = ["area", "long_side", "short_side"]
+    sides = ("area", "long_side", "short_side")
     if middle is None:
-        middle = df.groupBy("image_no").agg(F.struct(*[F.median(c).alias(c) for c in sides]).alias("middle"))
-    one = F.struct("box_id", *sides, "conf")
-    pairs = overlap_pairs(df, share, ratio).select("image_no", "a_box_id", "b_box_id", "overlap", "ratio")
-    for side in ("a", "b"):
-        pairs = pairs.join(df.select("image_no", F.col("box_id").alias(f"{side}_box_id"), one.alias(side)), ["image_no", f"{side}_box_id"])
-    pairs = pairs.join(middle, "image_no")
-    pairs = pairs.withColumn("worse", worse_of(F.col("a"), F.col("b"), F.col("middle")))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("o"), (-F.col("ratio")).alias("r"), F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), "worse")))
-    lists = pairs.groupBy("image_no").agg(ranked.alias("pairs"))
-    held = df.groupBy("image_no").agg(F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("rank"), "box_id", "x1", "y1", "x2", "y2"))).alias("boxes"))
-    none = F.array().cast("array<bigint>")
-    nested = lambda gone, p: F.when(F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"]), gone).otherwise(F.concat(gone, F.array(p["worse"])))
-
-    def holds(gone, b):
-        cx, cy = lambda o: (o["x1"] + o["x2"]) / 2, lambda o: (o["y1"] + o["y2"]) / 2
-        inside = F.filter("boxes", lambda o: (o["box_id"] != b["box_id"]) & ~F.array_contains(gone, o["box_id"]) & cx(o).between(b["x1"], b["x2"]) & cy(o).between(b["y1"], b["y2"]))
-        judged = ~F.array_contains(gone, b["box_id"]) & (-b["rank"] >= fused * F.col("middle.area"))
-        return F.when(judged, F.when(F.size(inside) >= least, F.concat(gone, F.array(b["box_id"]))).otherwise(gone)).otherwise(gone)
-
-    rows = held.join(lists, "image_no", "left").join(middle, "image_no")
-    rows = rows.withColumn("gone", F.coalesce(F.aggregate("pairs", none, nested), none))
-    out = rows.select("image_no", "gone", F.explode(F.aggregate("boxes", F.col("gone"), holds)).alias("box_id"))
-    return out.select("image_no", "box_id", F.when(F.array_contains("gone", F.col("box_id")), "overlap_contained").otherwise("overlap_multi_center").alias("reason"))
+        middle = with_sizes(df).groupBy("image_no").agg(F.struct(*[F.median(c).alias(c) for c in sides]).alias("middle"))
+    rows = by_image(df, _BOX).join(middle, "image_no")
+
+    def run(batches):
+        for batch in batches:
+            image, columns, v = _flat(batch, _BOX)
+            corners, number = _corners(v), columns["box_id"].to_numpy(zero_copy_only=False)
+            w, h = corners[2] - corners[0], corners[3] - corners[1]
+            sizes = {"area": w * h, "long_side": np.maximum(w, h), "short_side": np.minimum(w, h)}
+            of = {c: batch.column(2).field(k).cast(pa.float64()).to_numpy(zero_copy_only=False)[image] for k, c in enumerate(sides)}
+            i, j, overlap, times, _ = _nested(image, corners, share, ratio)
+            worse = worse_of(i, j, sizes, of, np.nan_to_num(v["conf"]))
+            gone = np.zeros(len(image), bool)
+            for k in np.lexsort((number[j], number[i], -times, -overlap, image[i])):
+                if not gone[i[k]] and not gone[j[k]]:
+                    gone[worse[k]] = True
+            nested = gone.copy()
+            holder, held = cells.Grid(image, *corners).holding()
+            large = sizes["area"] >= fused * of["area"]
+            keep = large[holder]
+            holder, held = holder[keep], held[keep]
+            order = np.lexsort((number[holder], -sizes["area"][holder], image[holder]))
+            holder, held = holder[order], held[order]
+            starts = np.flatnonzero(np.r_[True, holder[1:] != holder[:-1]]) if len(holder) else []
+            for k, points in zip(starts, np.split(held, starts[1:]) if len(holder) else [], strict=True):
+                if not gone[holder[k]] and np.count_nonzero(~gone[points]) >= least:
+                    gone[holder[k]] = True
+            own = np.flatnonzero(gone)
+            reason = [("overlap_multi_center", "overlap_contained")[x] for x in nested[own].astype(int)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(image[own])), columns["box_id"].take(pa.array(own)), pa.array(reason, pa.string())], names=["image_no", "box_id", "reason"])
+
+    kind = {c: df.schema[c].dataType.simpleString() for c in ("image_no", "box_id")}
+    return rows.select("image_no", "boxes", "middle").mapInArrow(run, f"image_no {kind['image_no']}, box_id {kind['box_id']}, reason string")
 
 
 def tray_or_edge(df: DataFrame) -> DataFrame:
@@ -226,26 +308,27 @@ def unique_digits(df: DataFrame, share: float = 0.8) -> DataFrame:
     more than a part of the smaller one's area the less sure one goes, the later
     one on ties, unless either has gone already.
     """
-    box = F.struct("box_id", "x1", "y1", "x2", "y2", "conf", "digit")
-    own = df.groupBy("image_no").agg(F.array_sort(F.collect_list(box)).alias("all"))
-    at = lambda d: (d["x1"], d["y1"], d["x2"], d["y2"])
-    area = lambda d: F.greatest(num.box_area(*at(d)), F.lit(1.0))
-
-    def against(gone, i):
-        a = F.get("all", i)
-
-        def step(gone, b):
-            clash = (b["box_id"] > a["box_id"]) & ~F.array_contains(gone, a["box_id"]) & ~F.array_contains(gone, b["box_id"])
-            clash = clash & (num.overlap_area(at(a), at(b)) / F.least(area(a), area(b)) > share)
-            return F.when(clash, F.concat(gone, F.array(F.when(a["conf"] >= b["conf"], b["box_id"]).otherwise(a["box_id"])))).otherwise(gone)
-
-        later = F.slice("all", i + 2, F.size("all"))
-        return F.when(F.array_contains(gone, a["box_id"]), gone).otherwise(F.aggregate(later, gone, step))
-
-    gone = F.aggregate(F.sequence(F.lit(0), F.size("all") - 1), F.array().cast("array<bigint>"), against)
-    kept = own.withColumn("gone", gone).select("image_no", F.filter("all", lambda d: ~F.array_contains(F.col("gone"), d["box_id"]) & d["digit"].rlike("^[0-9]+$")).alias("kept"))
-    by_x = F.array_sort(F.transform("kept", lambda k: F.struct(k["x1"].alias("x1"), k["box_id"].alias("box_id"), k["digit"].alias("digit"))))
-    return kept.select("image_no", F.array_join(F.transform(by_x, lambda k: k["digit"]), "").alias("digits"))
+    names = (*_BOX, "digit")
+
+    def run(batches):
+        for batch in batches:
+            image, columns, v = _flat(batch, names)
+            corners = _corners(v)
+            i, j = cells.Grid(image, *corners).meeting()
+            size = np.maximum(cells.area(*corners), 1.0)
+            over = cells.shared(corners, i, j) / np.minimum(size[i], size[j]) > share
+            i, j, gone = i[over], j[over], np.zeros(len(image), bool)
+            for k in np.lexsort((j, i)):
+                if not gone[i[k]] and not gone[j[k]]:
+                    gone[j[k] if v["conf"][i[k]] >= v["conf"][j[k]] else i[k]] = True
+            texts = [[] for _ in range(len(batch))]
+            digits = columns["digit"].to_pylist()
+            for k in np.lexsort((np.arange(len(image)), corners[0], image)):
+                if not gone[k] and re.fullmatch("[0-9]+", digits[k] or ""):
+                    texts[image[k]].append(digits[k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join(t) for t in texts], pa.string())], names=["image_no", "digits"])
+
+    return by_image(df, names).mapInArrow(run, f"image_no {df.schema['image_no'].dataType.simpleString()}, digits string")
 
 
 def merge_axes(df: DataFrame, gap: float = 10.0, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -44,14 +44,23 @@ def before_each(ranges: DataFrame, keys: list[str], n: str) -> DataFrame:
     return each.withColumns({"__before": before, "__all": F.sum("__n").over(Window.partitionBy(*keys))}).drop("__n")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float], rows: int = ROWS_PER_RANGE) -> DataFrame:
+#: Values of a group that one task may hold; the largest group's count decides.
+MOST_HELD = 1_000_000
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float], rows: int = ROWS_PER_RANGE, held: int | None = None) -> DataFrame:
     """(keys, q): exact quantiles of value by linear interpolation, as an array; nulls are left out.
 
-    Equal values are counted first, counts are summed up within ranges of values,
-    and only the values next to the wanted ranks are gathered, so no task holds a
-    group, however few groups there are.
+    One pass counts the groups. If the largest fits a task, one aggregate gives
+    all quantiles. Beyond that equal values are counted first, counts are summed
+    up within ranges of values, and only the values next to the wanted ranks are
+    gathered, so no task holds a group, however few groups there are.
     """
-    counts = in_ranges(df.where(F.col(value).isNotNull()), value, rows).groupBy(*keys, "__range", value).agg(F.count("*").alias("__n"))
+    df = df.where(F.col(value).isNotNull())
+    largest = df.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    if largest <= (MOST_HELD if held is None else held):
+        return df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in at])).alias("q"))
+    counts = in_ranges(df, value, rows).groupBy(*keys, "__range", value).agg(F.count("*").alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*keys, "__range").orderBy(value))
     placed = counts.withColumn("__upto", upto).join(before_each(counts, keys, "__n"), [*keys, "__range"])
     last = F.col("__before") + F.col("__upto")

@@ -24,8 +24,8 @@ _BUNDLE = f"""{_MOMENTS}, {upright("scan", "select k, k / 99.0::double as fr fro
 
 def _bundle(spark, d):
     at = lambda y: F.struct(F.lit(0.0).alias("x"), F.lit(y).alias("y"))
-    # explode keeps the bundle from being computed anew for each of its fields.
-    return fx.contour(spark, d).select("vec_id", F.explode(F.array(geo.bundle(F.col("c"), at(-120.0), at(120.0)))).alias("m"))
+    c = fx.contour(spark, d).withColumns({"bottom": at(-120.0), "top": at(120.0)})
+    return axes.bundles(c, "c", "bottom", "top").select("vec_id", "m")
 
 
 @query(f""", {_BUNDLE} select vec_id, {r("len")} as axis_length, {r("w25", 4)} as width_25pct, {r("w50", 4)} as width_50pct, {r("w75", 4)} as width_75pct, {r("max_width", 4)} as max_width, {r("area", 4)} as area, {r("perimeter", 4)} as perimeter, {r("circularity")} as circularity, {r("eccentricity", 4)} as eccentricity, {r("lw", 4)} as length_width_ratio from b""", "contour")

@@ -177,9 +177,7 @@ def nearest_kernel(spark, d):
     b = fx.box(spark, d)
     lines = b.where("box_id <= 2").select("image_no", F.col("box_id").alias("line_id"), F.col("x1").alias("px"), F.col("y1").alias("py"))
     c = b.where("box_id > 2").select("image_no", "box_id", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
-    j = lines.join(c, "image_no").withColumn("d2", (F.col("cx") - F.col("px")) * (F.col("cx") - F.col("px")) + (F.col("cy") - F.col("py")) * (F.col("cy") - F.col("py"))).where("d2 <= 40000")
-    near = j.groupBy("image_no", "line_id").agg(F.min(F.struct("d2", "box_id")).alias("m")).select("image_no", "line_id", F.col("m.box_id").alias("box_id"))
-    return lines.select("image_no", "line_id").join(near, ["image_no", "line_id"], "left")
+    return boxes.nearest_within(lines, c, 200.0)
 
 
 @query("select o_orderkey, coalesce(a.p_name, b.p_name) as mask from orders left join part a on a.p_partkey = o_orderkey and o_orderkey % 2 = 0 left join part b on b.p_partkey = o_orderkey + 1")

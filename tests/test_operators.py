@@ -321,3 +321,41 @@ def test_running_best_with_a_plateau(spark, monkeypatch):
             if v is not None and (best is None or v < best[0]):
                 best = (v, i)
             assert got[i] == ((best[0], i - best[1]) if best else (None, None))
+
+
+def test_boxes_meet_in_cells_as_in_loops():
+    from fieldloom.functions.cells import Grid
+
+    rng = np.random.default_rng(9)
+    for spread, size in ((40, 10), (1000, 5), (10, 300), (0, 4)):
+        image = np.sort(rng.integers(0, 4, 150))
+        x1, y1 = rng.uniform(0, spread + 1e-3, (2, 150)).round(1)
+        x2, y2 = x1 + rng.uniform(0, size, 150).round(1), y1 + rng.uniform(0, size, 150).round(1)
+        x1[0], x2[0], y1[0], y2[0] = -500, 900, -500, 900  # one that covers all
+        grid = Grid(image, x1, y1, x2, y2)
+        pairs = sorted(zip(*(a.tolist() for a in grid.meeting()), strict=True))
+        assert pairs == [(i, j) for i in range(150) for j in range(i + 1, 150) if image[i] == image[j] and x1[i] < x2[j] and x1[j] < x2[i] and y1[i] < y2[j] and y1[j] < y2[i]]
+        held = sorted(zip(*(a.tolist() for a in grid.holding()), strict=True))
+        mx, my = (x1 + x2) / 2, (y1 + y2) / 2
+        assert held == [(i, j) for i in range(150) for j in range(150) if i != j and image[i] == image[j] and x1[i] <= mx[j] <= x2[i] and y1[i] <= my[j] <= y2[i]]
+    assert [len(a) for a in Grid(np.zeros(0, int), *np.zeros((4, 0))).meeting()] == [0, 0]
+
+
+def test_boxes_that_are_apart_are_no_pairs(spark):
+    """A row of a thousand boxes makes as many pairs as have neighbours, and images take one exchange."""
+    rows = [(1, i, 9.0 * i, 0.0, 9.0 * i + 10, 10.0, 0.5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "image_no long, box_id long, x1 double, y1 double, x2 double, y2 double, conf double")
+    pairs = boxes.overlap_pairs(df, 0.05, 1.0)
+    assert pairs.count() == 999
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_nearest_within(spark):
+    rng = random.Random(8)
+    points = [(rng.randrange(3), i, rng.uniform(-500, 500), rng.uniform(-500, 500)) for i in range(200)] + [(1, 900, 10.0, 10.0), (1, 901, 10.0, 10.0)]
+    queries = [(rng.randrange(4), i, rng.uniform(-600, 600), rng.uniform(-600, 600)) for i in range(60)] + [(1, 99, 10.0, 10.0)]
+    got = {(r.image_no, r.line_id): r.box_id for r in boxes.nearest_within(spark.createDataFrame(queries, "image_no long, line_id long, px double, py double"), spark.createDataFrame(points, "image_no long, box_id long, cx double, cy double"), 60.0).collect()}
+    for image, line, px, py in queries:
+        near = [((x - px) ** 2 + (y - py) ** 2, k) for i, k, x, y in points if i == image]
+        assert got[image, line] == min((n for n in near if n[0] <= 3600), default=(0, None))[1]
+    assert got[1, 99] == 900
