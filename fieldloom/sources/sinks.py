@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,22 @@ def write_parquet(df: DataFrame, path: str, by: list[str] = ()) -> None:
     (w.option("partitionOverwriteMode", "dynamic").partitionBy(*by) if by else w).parquet(path)
 
 
+def replace_processed(df: DataFrame, path: str, by: str, processed: DataFrame) -> None:
+    """Parquet in folders by key, of which those of every processed key are replaced, also where a rerun has found no rows for it.
+
+    df has rows of processed keys only. Folders without new rows are deleted
+    after the others are written; a run that is broken off in between is repeated
+    with the same result.
+    """
+    spark = df.sparkSession
+    write_parquet(df, path, [by])
+    fs, p = _store(spark, path)
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    empty = processed.select(by).distinct().join(df.select(by).distinct(), by, "left_anti")
+    for row in empty.select(F.col(by).cast("string")).toLocalIterator():
+        fs.delete(p(f"{path.rstrip('/')}/{folder(by, row[0])}"), True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -73,6 +93,96 @@ def backup(spark: SparkSession, path: str, to: str) -> None:
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p(path), fs, p(to), False, spark._jsc.hadoopConfiguration())
 
 
+#: Where a result folder keeps its manifests, one file per version.
+MANIFESTS = "_manifests"
+
+
+def manifest(spark: SparkSession, folder: str) -> tuple[int, dict[str, str]]:
+    """The number of the last version of a result folder and the place of each of its tables; 0 and none before the first."""
+    fs, p = _store(spark, folder)
+    home = p(f"{folder.rstrip('/')}/{MANIFESTS}")
+    if not fs.exists(home):
+        return 0, {}
+    names = [f.getPath().getName() for f in fs.listStatus(home)]
+    numbers = [int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d+\.json", n)]
+    if not numbers:
+        return 0, {}
+    stream = fs.open(p(f"{folder.rstrip('/')}/{MANIFESTS}/{max(numbers):012d}.json"))
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return max(numbers), json.loads(text)
+
+
+def commit(spark: SparkSession, folder: str, tables: dict[str, tuple], based_on: int | None = None) -> int:
+    """Changes several tables of a result folder in one step: name to (rows, write or None). Returns the new version.
+
+    Each table is written to a new place; the step is the new manifest's, which
+    is renamed to its name only if no other commit has taken that name. Whatever
+    fails before leaves all tables as they were. based_on: the version that the
+    rows were read from; a newer one makes the commit fail.
+    """
+    folder = folder.rstrip("/")
+    last, places = manifest(spark, folder)
+    if based_on is not None and based_on != last:
+        raise RuntimeError(f"version {based_on} is not the last one, {last} is")
+    new = dict(places)
+    for name, (rows, write) in tables.items():
+        new[name] = f"{name}/{last + 1}-{uuid.uuid4().hex}"
+        (write or (lambda d, at: d.write.parquet(at)))(rows, f"{folder}/{new[name]}")
+    fs, p = _store(spark, folder)
+    draft, final = p(f"{folder}/{MANIFESTS}/.{uuid.uuid4().hex}"), p(f"{folder}/{MANIFESTS}/{last + 1:012d}.json")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(new, sort_keys=True).encode()))
+    out.close()
+    files = spark._jvm.org.apache.hadoop.fs
+    kept = spark.sparkContext._gateway.new_array(getattr(files, "Options$Rename"), 0)
+    files.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, final, kept)  # fails if there is one
+    return last + 1
+
+
+def current(spark: SparkSession, folder: str, name: str) -> str:
+    """The place of a table in a result folder's last version."""
+    return f"{folder.rstrip('/')}/{manifest(spark, folder)[1][name]}"
+
+
+def vacuum(spark: SparkSession, folder: str) -> int:
+    """Deletes what the last version doesn't name: older versions, and what broken commits have left. Returns how many places went."""
+    folder = folder.rstrip("/")
+    last, places = manifest(spark, folder)
+    fs, p = _store(spark, folder)
+    gone = 0
+    for name in places:
+        for f in fs.listStatus(p(f"{folder}/{name}")):
+            if f"{name}/{f.getPath().getName()}" != places[name]:
+                gone += fs.delete(f.getPath(), True)
+    for f in fs.listStatus(p(f"{folder}/{MANIFESTS}")):
+        if f.getPath().getName() != f"{last:012d}.json":
+            fs.delete(f.getPath(), False)
+    return gone
+
+
+def delete_everywhere(spark: SparkSession, folder: str, gone: DataFrame, tables: dict[str, tuple]) -> int:
+    """Deletes objects from several tables of a result folder in one step: name to (read, key, write or None); read(spark, path) gives a table's rows."""
+    last, _ = manifest(spark, folder)
+    ids = gone.select(F.col(gone.columns[0]).alias("__gone")).distinct()
+    rows = {name: (read(spark, current(spark, folder, name)), key, write) for name, (read, key, write) in tables.items()}
+    return commit(spark, folder, {name: (df.join(ids, F.col(key) == F.col("__gone"), "left_anti"), write) for name, (df, key, write) in rows.items()}, last)
+
+
+def rename_everywhere(spark: SparkSession, folder: str, names: DataFrame, tables: dict[str, tuple]) -> int:
+    """Renames groups in several tables of a result folder in one step: names (old, new); tables as in delete_everywhere, key being the group's column."""
+    last, _ = manifest(spark, folder)
+    new = names.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+    out = {}
+    for name, (read, key, write) in tables.items():
+        df = read(spark, current(spark, folder, name))
+        renamed = df.join(new, F.col(key) == F.col("__old"), "left").withColumn(key, F.coalesce("__new", key))
+        out[name] = (renamed.select(*df.columns), write)
+    return commit(spark, folder, out, last)
+
+
 def swap_in(df: DataFrame, path: str, staged: str, write=None) -> None:
     """Replaces a table by rows that may be read from it: written beside it first, then the old one is renamed, the new one put in its place, and the old one deleted.
 
