@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import json_maps
+
 DETECTION = "struct<kernel_id:bigint,id:bigint,box:array<double>,deleted:boolean>"
-BOXES = f"map<string,struct<accepted_detections:array<{DETECTION}>,detections:array<{DETECTION}>,accepted_boxes:array<array<double>>>>"
+BOXES = f"struct<accepted_detections:array<{DETECTION}>,detections:array<{DETECTION}>,accepted_boxes:array<array<double>>>"
 POINTS = "array<array<double>>"
 AXIS = "kernel_name string, bottom array<double>, top array<double>, shape_label string, measurement_status string, axis_length double, max_width double, area double, perimeter double, circularity double"
 
@@ -50,22 +52,20 @@ def accepted_boxes(entries: DataFrame, entry: str = "entry") -> DataFrame:
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """Box JSON files, an object keyed by image: image_name, kernel_id, box."""
-    raw = spark.read.option("wholetext", True).text(path)
-    return accepted_boxes(raw.select(F.explode(F.from_json("value", BOXES)).alias("image_name", "entry")))
+    """Box JSON files, an object keyed by image, cut at its entries: image_name, kernel_id, box."""
+    return accepted_boxes(json_maps.members(spark, path, BOXES).select(F.col("key").alias("image_name"), F.col("value").alias("entry")))
 
 
 def read_axes(spark: SparkSession, path: str) -> DataFrame:
-    """Axis JSON, an array of records; missing numbers are 0."""
-    rows = spark.read.schema(AXIS).option("multiLine", True).json(path)
+    """Axis JSON, an array of records, cut between them; missing numbers are 0."""
+    rows = json_maps.records(spark, path, AXIS).drop("file", "place")
     return rows.na.fill(0.0, ["axis_length", "max_width", "area", "perimeter", "circularity"])
 
 
 def read_contours(spark: SparkSession, path: str) -> DataFrame:
-    """Contour JSON, an object keyed by object name, one file or one per image: kernel_name, c."""
-    raw = spark.read.option("wholetext", True).text(path)
-    flat = raw.select(F.explode(F.from_json("value", f"map<string,{POINTS}>")).alias("kernel_name", "points"))
-    return flat.select("kernel_name", F.transform("points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("c"))
+    """Contour JSON, an object keyed by object name, one file or one per image, cut at its entries: kernel_name, c."""
+    flat = json_maps.members(spark, path, POINTS, end="]")
+    return flat.select(F.col("key").alias("kernel_name"), F.transform("value", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("c"))
 
 
 def read_profiles(spark: SparkSession, path: str, least: int = 20) -> DataFrame:

@@ -60,6 +60,46 @@ def export_log(log: DataFrame, order: str, path: str) -> None:
     write_csv(log.orderBy(order).coalesce(1), path)
 
 
+def write_json_document(df: DataFrame, path: str, key: str | None = None, order: str | None = None) -> None:
+    """One compact JSON document in one file: an array of all rows, or with a key an object of the other columns by key; in order if asked.
+
+    Tasks write ranges of the order as fragments; then the fragments, in order
+    and with commas between them, are copied through a small buffer into the file
+    that gets its name when it is whole. A key that is null is left out.
+    """
+    spark = df.sparkSession
+    if key is not None:
+        df, order = df.where(F.col(key).isNotNull()), order or key
+        own = F.to_json(F.struct(F.col(key).cast("string").alias("k")))
+        text = F.concat(F.expr("substr(k, 6, length(k) - 6)"), F.lit(":"), F.col("v"))
+        rows = df.select(*([F.col(order).alias("o")] if order else []), own.alias("k"), F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("v")).withColumn("value", text)
+    else:
+        rows = df.select(*([F.col(order).alias("o")] if order else []), F.to_json(F.struct(*df.columns)).alias("value"))
+    if order:
+        rows = rows.repartitionByRange("o").sortWithinPartitions("o", "value")
+    fragments = f"{path}.fragments-{uuid.uuid4().hex}"
+    rows.select("value").write.option("lineSep", ",").text(fragments)
+    fs, p = _store(spark, path)
+    draft = p(f"{path}.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(b"[" if key is None else b"{"))
+        parts = sorted((f.getPath().getName(), f) for f in fs.listStatus(p(fragments)) if f.getPath().getName().startswith("part-") and f.getLen())
+        for i, (_, f) in enumerate(parts):
+            # A fragment ends with a comma, which the last one loses.
+            stream = fs.open(f.getPath())
+            try:
+                spark._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, f.getLen() - (1 if i == len(parts) - 1 else 0))
+            finally:
+                stream.close()
+        out.write(bytearray(b"]" if key is None else b"}"))
+    finally:
+        out.close()
+    fs.delete(p(path), True)
+    fs.rename(draft, p(path))
+    fs.delete(p(fragments), True)
+
+
 def write_json_array(df: DataFrame, path: str, files: int = 1) -> None:
     """Compact JSON arrays of all rows, without missing values, one in each of so many files; choose files so that one's rows fit a task."""
     lot = F.pmod(F.xxhash64(*df.columns), F.lit(files))

@@ -72,3 +72,65 @@ def test_two_commits_of_one_version(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="(?i)exist"):
         sinks.commit(spark, folder, {"t": (spark.range(3), meanwhile)})
     assert spark.read.parquet(sinks.current(spark, folder, "t")).count() == 7
+
+
+def documents(seed):
+    rng = random.Random(seed)
+    strange = ['plain', 'quote " here', 'back \\ slash', 'end \\" }', '{"not": [a, map]}', "é 日本, }", "\\\\", "", "tab\tline\n", "]]}},,"]
+    value = lambda: {"detections": [{"id": rng.randrange(9), "kernel_id": rng.randrange(9), "box": [1.5, 2, 3, rng.randrange(50)], "note": rng.choice(strange), "deleted": rng.random() < 0.2} for _ in range(rng.randrange(0, 4))], "summary": {"deep": [[{"x": rng.choice(strange)}]]}}
+    return {f"{rng.choice(strange)}-{i}": value() for i in range(60)}
+
+
+@pytest.mark.parametrize(("block", "form"), [(1 << 20, {}), (3000, {"indent": 2}), (900, {"ensure_ascii": False, "separators": (",", ":")})])
+def test_documents_are_cut_at_their_entries(spark, tmp_path, block, form):
+    made = {f"d{k}.json": documents(k) for k in range(2)}
+    for name, d in made.items():
+        (tmp_path / name).write_text(json.dumps(d, **form), encoding="utf-8")
+    (tmp_path / "empty.json").write_text("{}\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        from fieldloom.sources import json_maps
+
+        text = json_maps.entries(spark, str(tmp_path / "*.json"))
+        got = {}
+        for r in text.collect():
+            got.setdefault(r.file.split("/")[-1], []).append((r.place, json.loads("{" + r.text + "}")))
+        for name, d in made.items():
+            assert [e for _, e in sorted(got[name], key=lambda x: x[0])] == [{k: v} for k, v in d.items()]
+        assert set(got) == set(made)
+        if block == 900:
+            assert spark.read.option("lineSep", "}").text(str(tmp_path / "d0.json")).rdd.getNumPartitions() > 5
+        boxes = readers.read_boxes(spark, str(tmp_path / "d0.json"))
+        want = sum(not x["deleted"] for v in made["d0.json"].values() for x in v["detections"])
+        assert boxes.count() == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_arrays_and_contours_are_cut(spark, tmp_path):
+    records = [{"kernel_name": f"k{i}}}", "bottom": [1.0, i], "axis_length": i or None} for i in range(60)]
+    contours = {f"k[{i}]": [[float(j), float(i)] for j in range(i % 7)] for i in range(60)}
+    (tmp_path / "a.json").write_text(json.dumps(records))
+    (tmp_path / "c.json").write_text(json.dumps(contours, separators=(",", ":")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200)
+    try:
+        axes = sorted((r.kernel_name, r.bottom, r.axis_length) for r in readers.read_axes(spark, str(tmp_path / "a.json")).collect())
+        assert axes == sorted((r["kernel_name"], r["bottom"], r["axis_length"] or 0.0) for r in records)
+        got = {r.kernel_name: [[p.x, p.y] for p in r.c] for r in readers.read_contours(spark, str(tmp_path / "c.json")).collect()}
+        assert got == contours
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_one_document_from_many_tasks(spark, tmp_path):
+    rows = [(f'k"{i:03d}', i, [1.0, float(i)], None if i % 3 else "x, }") for i in range(200)]
+    df = spark.createDataFrame(rows, "name string, n int, p array<double>, note string").repartition(7)
+    whole = lambda r: {k: v for k, v in zip(("name", "n", "p", "note"), r, strict=True) if v is not None}
+    sinks.write_json_document(df, f"{tmp_path}/a.json", order="n")
+    assert json.loads((tmp_path / "a.json").read_text()) == [whole(r) for r in rows]
+    sinks.write_json_document(df, f"{tmp_path}/m.json", key="name")
+    got = json.loads((tmp_path / "m.json").read_text())
+    assert got == {r[0]: {k: v for k, v in whole(r).items() if k != "name"} for r in rows} and list(got) == sorted(got)
+    sinks.write_json_document(df.limit(0), f"{tmp_path}/a.json")
+    assert json.loads((tmp_path / "a.json").read_text()) == []
+    assert sorted(f.name for f in tmp_path.iterdir() if not f.name.startswith(".")) == ["a.json", "m.json"]
