@@ -42,9 +42,9 @@ BITS = 27
 #: Bits of a hash by which n-grams are summed; fewer than 64 make shorter rows, and a sum of two n-grams only lets more through.
 HASH_BITS = 40
 #: Hashes and phrases that a task sums up before it hands them on; parts of a language that are ranked by themselves first.
-HELD_HASHES, HELD_PHRASES, DEALT = 1 << 21, 1 << 20, 16
+HELD_HASHES, HELD_PHRASES, DEALT = 1 << 20, 1 << 19, 16
 #: So many scan partitions share a task, which then sums more before anything is shuffled, but each core has so many tasks at least.
-SHARED, TASKS_A_CORE = 8, 2
+SHARED, TASKS_A_CORE = 8, 3
 #: Bytes of text that are hashed at once.
 HASHED_BYTES = 1 << 20
 #: What ends a piece, and what stands between words.
@@ -121,6 +121,7 @@ def hash_counts(docs: DataFrame, bits, first: int, last: int) -> DataFrame:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 h >>= U64(64 - HASH_BITS)
                 yield from sums.add([pa.array(h.astype(np.int64)), pa.array(n)])
+            trim()
         yield from sums.rest()
         trim()
 
@@ -178,6 +179,7 @@ def text_counts(docs: DataFrame, bits, longest: int) -> DataFrame:
                     out.append((langs.dictionary.take(pa.array(lang_of[first])), text, level, n))
                 for lang, text, level, n in out:
                     yield from sums.add([lang.cast(pa.large_string()), text, pa.array(np.full(len(n), level, np.int32)), pa.array(n.astype(np.int64))])
+            trim()
         yield from sums.rest()
         trim()
 
