@@ -359,3 +359,19 @@ def test_nearest_within(spark):
         near = [((x - px) ** 2 + (y - py) ** 2, k) for i, k, x, y in points if i == image]
         assert got[image, line] == min((n for n in near if n[0] <= 3600), default=(0, None))[1]
     assert got[1, 99] == 900
+
+
+def test_covariance_of_wide_arrays(spark):
+    """512 elements, far from 0, over several blocks and tasks; a row isn't squared before it is summed."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 512)) @ np.diag(rng.uniform(0.1, 3, 512)) + 1e6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)]
+    df = spark.createDataFrame(rows, "k int, v array<double>").repartition(5)
+    n, mean, cov = components_analysis.centred_sums(df, "v")
+    assert n == 300 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T), rtol=1e-6, atol=1e-6)
+    assert components_analysis.centred_sums(df.limit(0), "v")[0] == 0
+    *_, load, percent = components_analysis.principal_components(df, "v", 3, scale=False)
+    lam, vec = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(np.abs(load[:, 0]), np.abs(vec[:, -1]), atol=1e-5) and percent[0] == pytest.approx(100 * lam[-1] / lam.sum(), rel=1e-6)
+    with pytest.raises(Exception, match="512 elements"):
+        components_analysis.centred_sums(df.union(spark.createDataFrame([(1, [1.0])], "k int, v array<double>")), "v")
