@@ -116,9 +116,37 @@ def detection_counts(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("image_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("kernel_id")).alias("ids"))
 
 
-def read_results(spark: SparkSession, folder: str, essential: str, optional: dict[str, str], schemas: dict[str, str]) -> dict:
-    """A result folder's tables by name, with ok, errors and warnings; only the essential one must be there."""
+#: Lots into which objects are dealt by their image.
+LOTS = 256
+
+
+def _lot(image: str, lots: int):
+    return F.pmod(F.xxhash64(F.col(image).cast("string")), F.lit(lots)).cast("int").alias("lot")
+
+
+def objects_of(spark: SparkSession, path: str, images: DataFrame, image: str = "image_name", lots: int = LOTS) -> DataFrame:
+    """The objects of some images, from a table that sinks.write_by_image has laid out.
+
+    The lots of the wanted images, at most as many numbers as there are lots, are
+    read first; the scan then opens only their folders.
+    """
+    own = images.select(F.col(image).cast("string").alias(image)).distinct().select(image, _lot(image, lots))
+    wanted = [r[0] for r in own.select("lot").distinct().collect()]
+    return spark.read.parquet(path).where(F.col("lot").isin(wanted)).join(own, ["lot", image]).drop("lot")
+
+
+def read_results(spark: SparkSession, folder: str, essential: str, optional: dict[str, str], schemas: dict[str, str], others: dict | None = None) -> dict:
+    """A result folder's tables by name, with ok, errors and warnings; only the essential one must be there.
+
+    others: name to (file, read) for what is no Parquet or CSV table, such as
+    boxes, axes, contours or profiles; read(spark, path) gives its rows.
+    """
     out = {"ok": True, "errors": [], "warnings": [], "tables": {}}
+    for name, (file, read) in (others or {}).items():
+        if exists(spark, f"{folder}/{file}"):
+            out["tables"][name] = read(spark, f"{folder}/{file}")
+        else:
+            out["warnings"].append(f"{name} is missing")
     for name in [essential, *optional]:
         got = parquet_or_csv(spark, f"{folder}/{optional.get(name, name)}", schemas[name])
         if got is not None:

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import LOTS, _lot
+
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", missing: str = "", mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("sep", sep).option("nullValue", missing).option("emptyValue", missing).csv(path)
@@ -20,6 +22,12 @@ def write_parquet(df: DataFrame, path: str, by: list[str] = ()) -> None:
     (w.option("partitionOverwriteMode", "dynamic").partitionBy(*by) if by else w).parquet(path)
 
 
+def write_by_image(df: DataFrame, path: str, image: str = "image_name", lots: int = LOTS) -> None:
+    """Objects in folders by lots of images, sorted by image, so that readers.objects_of opens only what it needs; few files, however many images."""
+    dealt = df.withColumn("lot", _lot(image, lots)).repartition("lot").sortWithinPartitions("lot", image)
+    dealt.write.mode("overwrite").partitionBy("lot").parquet(path)
+
+
 def replace_processed(df: DataFrame, path: str, by: str, processed: DataFrame) -> None:
     """Parquet in folders by key, of which those of every processed key are replaced, also where a rerun has found no rows for it.
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,29 @@ def test_one_document_from_many_tasks(spark, tmp_path):
     sinks.write_json_document(df.limit(0), f"{tmp_path}/a.json")
     assert json.loads((tmp_path / "a.json").read_text()) == []
     assert sorted(f.name for f in tmp_path.iterdir() if not f.name.startswith(".")) == ["a.json", "m.json"]
+
+
+def test_only_the_lots_of_wanted_images_are_opened(spark, tmp_path):
+    path = f"{tmp_path}/contours"
+    rows = [(f"img{i}.jpg", k, [(float(k), float(i))]) for i in range(300) for k in range(3)]
+    df = spark.createDataFrame(rows, "image_name string, kernel int, c array<struct<x:double,y:double>>")
+    sinks.write_by_image(df, path, lots=32)
+    wanted = spark.createDataFrame([("img7.jpg",), ("img7.jpg",), ("img250.jpg",), ("none.jpg",)], "image_name string")
+    got = readers.objects_of(spark, path, wanted, lots=32)
+    assert sorted((r.image_name, r.kernel, r.c[0].y) for r in got.collect()) == sorted((n, k, c[0][1]) for n, k, c in rows if n in ("img7.jpg", "img250.jpg"))
+    assert re.search(r"PartitionFilters: \[[^\]]*lot", got._jdf.queryExecution().executedPlan().toString())
+    # The scan lists the folders that its partition filter leaves.
+    assert "PartitionFilters" in got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert len([f for f in (tmp_path / "contours").iterdir() if f.name.startswith("lot=")]) == 32
+    every = spark.createDataFrame([(n,) for n, *_ in rows], "image_name string")
+    assert readers.objects_of(spark, path, every, lots=32).count() == len(rows)
+
+
+def test_a_whole_result_folder(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([("k1", 2.0)], "kernel string, size double"), f"{tmp_path}/sizes.csv")
+    (tmp_path / "boxes.json").write_text(json.dumps({"a.jpg": {"accepted_boxes": [[1, 2, 3, 4]]}}))
+    (tmp_path / "profiles.txt").write_text("p " + " ".join(["1.0"] * 25) + "\n")
+    others = {"boxes": ("boxes.json", readers.read_boxes), "profiles": ("profiles.txt", readers.read_profiles), "contours": ("contours.json", readers.read_contours)}
+    got = readers.read_results(spark, str(tmp_path), "sizes", {"plants": "plants"}, {"sizes": "kernel string, size double", "plants": "plant string"}, others)
+    assert got["ok"] and got["errors"] == [] and sorted(got["warnings"]) == ["contours is missing", "plants is missing"]
+    assert got["tables"]["boxes"].first().box == [1, 2, 3, 4] and len(got["tables"]["profiles"].first().w) == 25 and got["tables"]["sizes"].count() == 1
