@@ -108,7 +108,16 @@ def format_box(box: Column) -> Column:
     return F.concat_ws(",", F.transform(box, lambda v: v.cast("bigint").cast("string")))
 
 
-def weight_score(kind: Column, confidence: Column, source: Column, priority: Column) -> Column:
-    """Confidence counts most; numbers with a dot, treated images and surer regions add to it."""
+def weight_score(kind: Column, confidence: Column, source: Column, priority: Column, place: tuple[Column, Column, Column, Column] | None = None) -> Column:
+    """Confidence counts most; numbers with a dot, treated images and surer regions add to it.
+
+    place (x and y of the text's middle, width and height of the image), if
+    known, adds for what stands in the middle from left to right, and low.
+    """
     by_source = F.when(source.endswith("_binary"), 5.0).when(source.endswith("_scaled"), 2.5).otherwise(0.0)
-    return 100 * confidence + F.when(kind == "explicit_decimal", 25.0).otherwise(8.0) + by_source + 10 * priority
+    out = 100 * confidence + F.when(kind == "explicit_decimal", 25.0).otherwise(8.0) + by_source + 10 * priority
+    if place is None:
+        return out
+    x, y, width, height = place
+    middle = F.greatest(F.lit(-1.0), 1 - F.abs(x - width / 2) / F.greatest(width / 2, F.lit(1.0)))
+    return out + F.coalesce(8 * middle + 6 * y / F.greatest(height.cast("double"), F.lit(1.0)), F.lit(0.0))

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components_analysis import centred_sums
+
 
 #: Rows that one range of an ordered column should hold, and the most ranges; their bounds are all that the driver gets.
 ROWS_PER_RANGE, MOST_RANGES = 200_000, 4096
@@ -149,9 +152,18 @@ def covariances(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def loadings(df: DataFrame, dims: str, values: str) -> DataFrame:
-    """Pearson correlation of each latent dimension with each position of a profile."""
-    long = df.select(F.posexplode(dims).alias("dim", "z"), F.col(values).alias("__v")).select("dim", "z", F.posexplode("__v").alias("pos", "value"))
-    return long.groupBy("dim", "pos").agg(F.corr("z", "value").alias("r"))
+    """Pearson correlation of each latent dimension with each position of a profile, null where one of them doesn't vary; from block sums, so rows aren't multiplied."""
+    rows = df.where(F.col(dims).isNotNull() & F.col(values).isNotNull())
+    first = rows.select(F.size(dims)).first()
+    schema = "dim int, pos int, r double"
+    if first is None:
+        return df.sparkSession.createDataFrame([], schema)
+    k = first[0]
+    _, _, cov = centred_sums(rows.select(F.concat(F.col(dims).cast("array<double>"), F.col(values).cast("array<double>")).alias("v")), "v")
+    var = np.diag(cov)
+    both = np.sqrt(np.outer(var[:k], var[k:]))
+    r = np.divide(cov[:k, k:], both, out=np.full(both.shape, np.nan), where=both > 0)
+    return df.sparkSession.createDataFrame([(i, j, None if np.isnan(x) else float(x)) for (i, j), x in np.ndenumerate(r)], schema)
 
 
 def strongest(load: DataFrame) -> DataFrame:

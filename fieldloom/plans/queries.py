@@ -612,6 +612,46 @@ def weight_best(spark, d):
     return traits.one_per_key(c, "image_no", [F.col("kind"), F.desc("score"), k, F.col("value")]).select("image_no", "o_orderkey", "value", "kind", "score")
 
 
+@query(
+    f"""with {_CAND}, s as (select o_orderkey % 500 as image_no, o_orderkey, value, kind, (o_orderkey % 90) + case kind when 'explicit_decimal' then 25 else 8 end + 10 + case when o_orderkey % 5 = 0 then 0 else 8 * greatest(-1, 1 - abs((o_orderkey * 7) % 1300 - 400) / 400.0::double) + 6 * ((o_orderkey * 11) % 600) / 600.0::double end as score from c where value between 0.05 and 999.99)
+    select image_no, o_orderkey, value, kind, {r("score")} as score from s qualify row_number() over (partition by image_no order by kind, round(score, 6) desc, o_orderkey, value) = 1"""
+)
+def weight_best_placed(spark, d):
+    """X11 with the place of a text: the middle and the lower part of an image count more; where the place isn't known nothing is added."""
+    k = F.col("o_orderkey")
+    c = weight_candidates(spark, d).withColumn("image_no", k % 500)
+    known = lambda v: F.when(k % 5 != 0, v)
+    place = (known((k * 7) % 1300), known((k * 11) % 600), F.lit(800), F.lit(600))
+    c = c.withColumn("score", F.round(tx.weight_score(F.col("kind"), (k % 90) / 100, F.lit("screen"), F.lit(1.0), place), 6))
+    return traits.one_per_key(c, "image_no", [F.col("kind"), F.desc("score"), k, F.col("value")]).select("image_no", "o_orderkey", "value", "kind", "score")
+
+
+_SEG = "select o_orderkey, (o_orderkey % 97)::double as px, (o_custkey % 89)::double as py, (o_orderkey % 31)::double as ax, (o_custkey % 23)::double as ay, case when o_orderkey % 13 = 0 then (o_orderkey % 31)::double else (o_orderkey % 71)::double end as bx, case when o_orderkey % 13 = 0 then (o_custkey % 23)::double else (o_custkey % 53)::double end as by_ from orders"
+
+
+@query(
+    f"""with s as ({_SEG}), t as (select *, case when bx = ax and by_ = ay then 0 else greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) end as f from s)
+    select o_orderkey, {r("sqrt((px - ax - f * (bx - ax)) * (px - ax - f * (bx - ax)) + (py - ay - f * (by_ - ay)) * (py - ay - f * (by_ - ay)))", 5)} as distance from t"""
+)
+def segment_distance(spark, d):
+    """Distance of a point from a segment, also from one without a length."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    dot = k % 13 == 0
+    b = [F.when(dot, k % 31).otherwise(k % 71).cast("double"), F.when(dot, c % 23).otherwise(c % 53).cast("double")]
+    far = num.point_to_segment((k % 97).cast("double"), (c % 89).cast("double"), (k % 31).cast("double"), (c % 23).cast("double"), *b)
+    return rounded(fx.table(spark, d, "orders").select("o_orderkey", far.alias("distance")), 5)
+
+
+@query(
+    f"""select vec_id, (k - 1)::integer as pos, {r("case when k in (1, 64) then 0 when k in (65, 128) then 0 when k <= 64 then w[k] / 2 else -w[129 - k] / 2 end")} as x, {r("case when k <= 64 then (k - 1) / 63.0::double else (128 - k) / 63.0::double end")} as y from profile, range(1, 129) t(k)""",
+    "profile",
+)
+def closed_outline(spark, d):
+    """The symmetric outline of a profile with its tips closed."""
+    p = fx.profile(spark, d).select("vec_id", F.posexplode(prof.outline(F.col("w"), closed=True)).alias("pos", "p"))
+    return rounded(p.select("vec_id", "pos", "p.x", "p.y"))
+
+
 @query("select o_orderkey, case when length(x) = 1 then '0.0' || x else substr(x, 1, length(x) - 2) || '.' || right(x, 2) end as weight from (select o_orderkey, cast(o_orderkey % 2000 as varchar) as x from orders)")
 def digit_weight(spark, d):
     """X13."""
@@ -703,7 +743,12 @@ _PAIR = """, pairs as (select a.image_no, a.box_id as a, b.box_id as b, (a.x2 -
     nested as (select image_no, a, b, i / least(sa, sb) as overlap, greatest(sa, sb) / least(sa, sb) as ratio, case when sa >= sb then a else b end as larger from pairs where i / least(sa, sb) >= 0.86 and greatest(sa, sb) / least(sa, sb) >= 1.15)"""
 
 
-@query(f"""{_PAIR} select image_no, a as a_box_id, b as b_box_id, {r("overlap")} as overlap, {r("ratio")} as ratio, larger from nested""", "box")
+@query(
+    f""", li as (select image_no, list({{'n': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) as bs from box group by 1), fi as (select image_no, bs, unnest(bs) as a from li), pr as (select image_no, a, unnest(bs) as b from fi),
+    ov as (select image_no, a.n as a_box_id, b.n as b_box_id, (a.x2 - a.x1) * (a.y2 - a.y1) as sa, (b.x2 - b.x1) * (b.y2 - b.y1) as sb, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) as i from pr where a.n < b.n and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2)
+    select image_no, a_box_id, b_box_id, {r("i / least(sa, sb)")} as overlap, {r("greatest(sa, sb) / least(sa, sb)")} as ratio, case when sa >= sb then a_box_id else b_box_id end as larger from ov where i / least(sa, sb) >= 0.86 and greatest(sa, sb) / least(sa, sb) >= 1.15""",
+    "box",
+)
 def box_overlap_pairs(spark, d):
     """J12, T4, X28."""
     return rounded(boxes.overlap_pairs(fx.box(spark, d)).select("image_no", "a_box_id", "b_box_id", "overlap", "ratio", "larger"))
@@ -807,7 +852,15 @@ def width_profile(spark, d):
     return rounded(c, 4)
 
 
-@query(f"""select vec_id, k::integer as pos, {r("px + (k * 64 / 24.0::double - i) * (qx - px)", 4)} as x, {r("py + (k * 64 / 24.0::double - i) * (qy - py)", 4)} as y from edge join range(24) t(k) on i = floor(k * 64 / 24.0::double)""", "contour")
+#: Points of a contour as two lists; a place in them counts from 1.
+_LISTS = ", l as (select vec_id, list(x order by i) as xs, list(y order by i) as ys from point group by 1)"
+
+
+@query(
+    f"""{_LISTS}, s as (select vec_id, xs, ys, unnest(range(24)) as k from l), a as (select vec_id, k, xs, ys, floor(k * 64 / 24.0::double)::integer as i, (floor(k * 64 / 24.0::double)::integer + 1) % 64 as j, k * 64 / 24.0::double - floor(k * 64 / 24.0::double) as f from s)
+    select vec_id, k::integer as pos, {r("xs[i + 1] + f * (xs[j + 1] - xs[i + 1])", 4)} as x, {r("ys[i + 1] + f * (ys[j + 1] - ys[i + 1])", 4)} as y from a""",
+    "contour",
+)
 def outline_resample(spark, d):
     """P14."""
     c = fx.contour(spark, d).select("vec_id", F.posexplode(geo.sampled(F.col("c"), 24)).alias("pos", "p"))
@@ -825,7 +878,7 @@ def circle_deviation(spark, d):
 
 
 @query(
-    f""", c as (select a.vec_id, a.i, b.x - a.x as ax, b.y - a.y as ay, d.x - a.x as bx, d.y - a.y as by_ from point a join point b on a.vec_id = b.vec_id and b.i = (a.i + 59) % 64 join point d on a.vec_id = d.vec_id and d.i = (a.i + 5) % 64)
+    f"""{_LISTS}, n as (select vec_id, xs, ys, unnest(range(64)) as i from l), c as (select vec_id, i, xs[(i + 59) % 64 + 1] - xs[i + 1] as ax, ys[(i + 59) % 64 + 1] - ys[i + 1] as ay, xs[(i + 5) % 64 + 1] - xs[i + 1] as bx, ys[(i + 5) % 64 + 1] - ys[i + 1] as by_ from n)
     select vec_id, i::integer as pos, {r("1 - acos(greatest(-1, least(1, (ax * bx + ay * by_) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_))))) / pi()", 5)} as sharpness from c""",
     "contour",
 )
