@@ -357,3 +357,50 @@ def keep_first(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
     release(documents.sparkSession, linked)
     gone = _side(gone)
     return documents.join(gone, documents[id_column] == gone["__gone"], "left_anti")
+
+
+def link_classes(documents: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Every link, as pairs of classes and the documents in them: (a, b) with a < b, and (id, class_id, n_shingles).
+
+    link_documents follows links only until components are known. Here every two
+    classes of a tile are compared, block by block, so no link between different
+    texts is lost; documents of one class link with each other, and aren't
+    expanded into pairs. The work grows with the pairs within tiles that the
+    bitmaps can't exclude. Rows without id, and empty texts, are in no class.
+    """
+    spark = documents.sparkSession
+    docs = texts_of(documents, id_column).withColumn("row", F.xxhash64("text"))
+    measured = stage_table(docs.mapInArrow(_measure, "doc_id long, row long, n long, k1 long, k2 long, sig binary, bucket int, seen long"), "ngram-measured")
+    able = measured.where("bucket is null and n > 0 and doc_id is not null")
+    classes = able.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "row")).alias("x"), F.first("sig").alias("sig"))
+    classes = stage_table(classes.select("k1", "k2", "n", "x.*", F.xxhash64("x.doc_id", "x.row").alias("class_id"), "sig"), "ngram-classes")
+    first = classes.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "class_id")
+    own = docs.join(_side(first), (F.col("doc_id") == F.col("__id")) & (F.col("row") == F.col("__row"))).groupBy(F.col("class_id").alias("doc_id")).agg(F.first("text").alias("text"))
+    own = stage_table(own, "ngram-texts")
+    counts = np.zeros(BUCKETS, np.int64)
+    for b, n in measured.where("bucket is not null").groupBy("bucket").agg(F.sum("seen")).collect():  # at most BUCKETS rows
+        counts[b] = n
+    order = spark.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.uint32))
+    ranges = max(12, int((classes.agg(F.sum(F.col("n") / DENOMINATOR + 1)).first()[0] or 0) / meet.RANGE_ENTRIES) + 1)
+    live = stage_table(meet.met(own.mapInArrow(_by_range(ranges, order), meet.PACKED), "live", ranges, 20_000, meet.live, "token long, doc long, n long"), "ngram-live")
+    # Of tiles with the same members one stays; a pair counts in the tile of its smallest common token.
+    lots = live.groupBy("token").agg(F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("lot"), F.count("*").alias("members"))
+    one = lots.groupBy("lot", "members").agg(F.min("token").alias("token"), F.ceil(F.first("members") / BLOCK).cast("int").alias("blocks")).where("members > 1")
+    shared = live.groupBy("doc").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    sets = classes.select(F.col("class_id").alias("doc"), "n", "sig")
+    dealt = live.join(one.select("token", "blocks"), "token").join(sets.select("doc", "sig"), "doc").join(shared, "doc")
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "n", F.col("doc").alias("component"), "sig", "tokens")
+    pairs = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_across, "a long, b long").distinct()
+    links = _verify(pairs, sets, own)
+    members = stage_table(able.join(classes.select("k1", "k2", "n", "class_id"), ["k1", "k2", "n"]).select(F.col("doc_id").alias(id_column), "class_id", F.col("n").alias("n_shingles")).distinct(), "ngram-members")
+    release(spark, measured, classes, own, live)
+    return links, members
+
+
+def link_counts(links: DataFrame, members: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, n_links): how many other documents each one links with directly, from what link_classes gives; a document in several classes counts once in each."""
+    size = members.groupBy("class_id").agg(F.count("*").alias("size"))
+    both = links.select("a", "b").union(links.select("b", "a")).join(size.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("size").alias("linked"))
+    each = size.join(both, "class_id", "left").select("class_id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n"))
+    return members.join(each, "class_id").groupBy(id_column).agg(F.sum("n").alias("n_links"))

@@ -98,6 +98,33 @@ def test_ngram_join_beyond_its_bounds(spark, monkeypatch):
     assert linked(spark, rows) == brute_links(rows)
 
 
+def test_every_link_of_the_ngram_join(spark, monkeypatch):
+    """All links between different texts, one tile's as well as those over blocks, and how many documents each links with."""
+    near = [(5000 + i, " ".join(f"w{j}" if j not in (i % 50, i * 7 % 50) else f"v{i}x{j}" for j in range(50))) for i in range(60)]
+    texts = [(i, t) for i, t in odd_texts(5) if i is not None]
+    rows = list({i: (i, t) for i, t in [*texts, *near, (9001, texts[0][1]), (9002, texts[0][1])]}.values())
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    linked = {(i, j) for i in sets for j in sets if i != j and sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    for block in (1024, 5):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        links, members = ngram_join.link_classes(docs(spark, [*rows, (None, "no id")]))
+        of = defaultdict(set)
+        for r in members.collect():
+            of[r.class_id].add(r.doc_id)
+        got = {(i, j) for own in of.values() for i in own for j in own if i != j}
+        pairs = [(r.a, r.b) for r in links.collect()]
+        assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+        got |= {x for a, b in pairs for i in of[a] for j in of[b] for x in ((i, j), (j, i))}
+        assert got == linked
+        assert {r.doc_id: r.n_links for r in ngram_join.link_counts(links, members).collect()} == {i: sum((i, j) in linked for j in sets) for i in sets if sets[i]}
+    links, members = ngram_join.link_classes(docs(spark, EMPTY))
+    assert links.count() == members.count() == 0
+
+
 def test_ngram_join_of_repeated_ids(spark):
     a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
     assert linked(spark, [(3, a), (5, a), (5, b), (7, b), (9, c)]) == [("3", 3, "3"), ("5", 3, "3"), ("5", 3, "3"), ("7", 3, "3"), ("9", 3, "9")]
