@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
 import re
@@ -34,21 +36,47 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under the shared folder and reads it back.
 
     This cuts the lineage with files every executor can read, so a lost
-    executor costs the lost tasks and not the steps before them.
+    executor costs the lost tasks and not the steps before them. A table that a
+    result still reads when its function returns stays until clean() is called,
+    or this process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fieldloom_path = path
+    _STAGED.add(path)
     return out
 
 
+#: Stage tables of this process that are still there.
+_STAGED: set[str] = set()
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the stage tables that this process has left, and says how many; for after the last action on results that read them."""
+    n = len(_STAGED)
+    for at in [*_STAGED]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _STAGED.discard(at)
+    return n
+
+
+@atexit.register
+def _clean_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _STAGED else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the driver's JVM may be gone already
+            clean(spark)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes stage tables, and lets Spark drop the shuffle files of steps that ended some time ago."""
     for t in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(t._fieldloom_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _STAGED.discard(t._fieldloom_path)
     gc.collect()
     spark._jvm.System.gc()
 

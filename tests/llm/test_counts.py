@@ -205,6 +205,18 @@ def test_collocations_of_little(spark):
     assert collocations.mine_phrases(table(spark, [(1, "one two three", "en", "s"), (2, None, None, None)])).count() == 0
 
 
+def test_stage_tables_have_an_owner(spark, small):
+    from fieldloom.llm import common, queries
+
+    common.clean(spark)
+    rows = queries.QUERIES["op12_collocations"](spark, small)
+    assert rows.count() >= 0
+    left = [*common._STAGED]
+    assert left and common.clean(spark) == len(left) and not common._STAGED
+    path = spark._jvm.org.apache.hadoop.fs.Path(left[0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def test_scores_pass_64_bits(spark):
     from pyspark.sql import functions as F
 
