@@ -105,32 +105,21 @@ def without_deleted(labels: DataFrame, present: DataFrame, key: str) -> DataFram
     return kept.unionByName(rows.where("__some = 0")).drop("__some")
 
 
-#: Profile names that may be broadcast for a search by substring.
-MOST_NAMES = 100_000
-
-
 def match_profile(images: DataFrame, profiles: DataFrame) -> DataFrame:
     """Each image with the profile of its group, else the first by order whose name is part of the image's stem or the other way round.
 
-    No key can serve a search by substrings of any length. Names, one per group
-    of a study, are broadcast if a count shows them few; beyond that, names and
-    stems meet on the three-letter parts that one has of the other, and shorter
-    ones, which are few by nature, are broadcast.
+    What one text has of another begins with its first three letters, or is
+    shorter than that, so the two meet on those and on all parts of one to three
+    letters; each pair that meets is then looked at whole. Nothing is broadcast.
     """
     known = images.join(profiles.select(F.col("name").alias("profile"), "ord"), F.col("plant_name") == F.col("profile"), "left")
     exact = known.where(F.col("profile").isNotNull()).select("image_name", "profile")
     rest, own = known.where(F.col("profile").isNull()).select("image_name", "stem"), profiles.select("name", "ord")
-    part = F.contains("stem", "name") | F.contains("name", "stem")
-    if own.count() <= MOST_NAMES:
-        near = rest.join(F.broadcast(own), part)
-    else:
-        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-        long = lambda df, c: df.where(F.length(c) >= 3).withColumn("__gram", F.explode(grams(F.col(c))))
-        first = lambda df, c: df.where(F.length(c) >= 3).withColumn("__gram", F.substring(F.col(c), 1, 3))
-        near = long(rest, "stem").join(first(own, "name"), "__gram").where(F.contains("stem", "name")).drop("__gram")
-        near = near.unionByName(first(rest, "stem").join(long(own, "name"), "__gram").where(F.contains("name", "stem")).select(*near.columns))
-        near = near.unionByName(rest.join(F.broadcast(own.where(F.length("name") < 3).distinct()), F.contains("stem", "name")).select(*near.columns))
-        near = near.unionByName(own.join(F.broadcast(rest.where(F.length("stem") < 3).distinct()), F.contains("name", "stem")).select(*near.columns))
+    parts = lambda c, k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (k - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    whole = lambda df, c: df.withColumn("__part", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[parts(F.col(c), k) for k in (1, 2, 3)]))))
+    begun = lambda df, c: df.withColumn("__part", F.substring(c, 1, 3))
+    near = whole(rest, "stem").join(begun(own, "name"), "__part").where(F.contains("stem", "name")).select("image_name", "name", "ord")
+    near = near.unionByName(begun(rest, "stem").join(whole(own, "name"), "__part").where(F.contains("name", "stem")).select("image_name", "name", "ord"))
     fuzzy = near.groupBy("image_name").agg(F.min_by("name", "ord").alias("profile"))
     return images.select("image_name").distinct().join(exact.unionByName(fuzzy), "image_name", "left")
 

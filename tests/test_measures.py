@@ -351,13 +351,18 @@ def test_ranges_change_nothing(spark, monkeypatch):
     assert len({r[0] for r in stats.in_ranges(df, "v", 150).select("__range").distinct().collect()}) > 10
 
 
-def test_names_match_without_a_broadcast(spark, monkeypatch):
-    images = spark.createDataFrame([(f"i{k}", s, "x") for k, s in enumerate(["corn_12", "ab", "wheat", "a", "zz", "corn", "rice_b"])] + [("e", "q", "corn")], "image_name string, stem string, plant_name string")
-    profiles = spark.createDataFrame([("corn", 3), ("corn_1", 2), ("ab", 1), ("xwheatx", 5), ("ce_", 4), ("b", 9)], "name string, ord int")
-    want = sorted((r.image_name, r.profile or "") for r in traits.match_profile(images, profiles).collect())
-    monkeypatch.setattr(traits, "MOST_NAMES", 0)
-    assert sorted((r.image_name, r.profile or "") for r in traits.match_profile(images, profiles).collect()) == want
-    assert dict(want)["i0"] == "corn_1" and dict(want)["e"] == "corn" and dict(want)["i2"] == "xwheatx" and dict(want)["i4"] == ""
+def test_names_match_without_a_broadcast(spark):
+    stems = ["corn_12", "ab", "wheat", "a", "zz", "corn", "rice_b", "", "éé", "日本語", "aaaa"]
+    images = [(f"i{k}", s, "x") for k, s in enumerate(stems)] + [("e", "q", "corn")]
+    names = [("corn", 3), ("corn_1", 2), ("ab", 1), ("xwheatx", 5), ("ce_", 4), ("b", 9), ("é", 20), ("本語", 21), ("aaaaaaa", 22), ("zz", 30)]
+    for profiles in (names, [*names, ("", 50)]):
+        frame = traits.match_profile(spark.createDataFrame(images, "image_name string, stem string, plant_name string"), spark.createDataFrame(profiles, "name string, ord int"))
+        got = {r.image_name: r.profile for r in frame.collect()}
+        for image, stem, plant in images:
+            near = [(o, n) for n, o in profiles if n in stem or stem in n]
+            assert got[image] == (plant if plant in dict(profiles) else min(near)[1] if near else None)
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def crossed(ring, at, u):
