@@ -11,7 +11,7 @@ from ..functions import runs as rle
 from ..functions import text as tx
 from ..operators import axes, boxes, components_analysis, stats, traits
 from . import fixtures as fx
-from .queries import GREEDY, MERGED, READ, _latent, query, r, rounded, upright
+from .queries import GREEDY, MERGED, READ, _latent, _norm, query, r, rounded, upright
 
 _MOMENTS = """a as (select vec_id, sum(px * qy - qx * py) / 2 as a, sum((px + qx) * (px * qy - qx * py)) as sx, sum((py + qy) * (px * qy - qx * py)) as sy, sum(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py))) as p from edge group by 1), c as (select vec_id, a, p, sx / (6 * a) as cx, sy / (6 * a) as cy from a),
     e as (select c.vec_id, a, px - cx as px, py - cy as py, qx - cx as qx, qy - cy as qy from edge join c using (vec_id)),
@@ -366,9 +366,16 @@ def direction_loss(spark, d):
 
 
 # Labels of images: X9, U3, T6, R9, W16, R20.
-@query()
+@query(
+    f"""with t as (select p_partkey % 500 as image_no, p_partkey + case when p_partkey % 500 % 4 = 0 then 1000000 else 0 end as line, {_norm('raw')} as text, (p_partkey % 100) / 100.0::double as conf, p_size::double as y, (p_partkey % 7)::double as x
+      from (select *, case when p_partkey % 5 = 0 then 'P' || p_partkey when p_partkey % 3 = 0 then '-B' || p_partkey || '-' else concat_ws('_', p_brand, p_type, p_name) end as raw from part)), f as (select *, length(regexp_replace(text, '[^-]', '', 'g')) as h, length(regexp_replace(text, '[^A-Z0-9]', '', 'g')) as a from t where conf >= 0.2),
+    b as (select image_no, text as label, 100 * conf + 12 * h + a + 20 as score from f where h >= 2 and a >= 8 qualify row_number() over (partition by image_no order by 100 * conf + 12 * h + a desc, line) = 1),
+    w as (select image_no, nullif(regexp_extract(string_agg(text, '' order by y, x, line), '([A-Z0-9]+(?:-[A-Z0-9]+){{2,}})', 1), '') as target from f group by 1),
+    p as (select image_no, conf from f join w using (image_no) where contains(target, text) or contains(text, target) qualify row_number() over (partition by image_no order by y, x, line) = 1)
+    select image_no, coalesce(label, target) as label, {r("case when label is not null then score else round(conf * 100, 3) end")} as score from w left join b using (image_no) left join p using (image_no) where coalesce(label, target) is not null"""
+)
 def label_reading(spark, d):
-    """The best line, else a label over all lines; tests hold it against a loop."""
+    """The best line, else a label over all lines; a loop in the tests agrees too."""
     p = fx.table(spark, d, "part")
     k = F.col("p_partkey")
     raw = F.when(k % 5 == 0, F.concat(F.lit("P"), k.cast("string"))).when(k % 3 == 0, F.concat(F.lit("-B"), k.cast("string"), F.lit("-"))).otherwise(F.concat_ws("_", "p_brand", "p_type", "p_name"))

@@ -18,4 +18,4 @@ def test_same_rows(spark, small, duck, name):
 
 
 def test_queries_without_sql_are_known():
-    assert set(plans.QUERIES) - set(plans.ORACLE) == {"pca_scores", "pca_variance", "latent_pca", "label_reading", "correlation_stars", "pca_loadings", "method_axes", "axis_records"}
+    assert set(plans.QUERIES) - set(plans.ORACLE) == {"pca_scores", "pca_variance", "latent_pca", "correlation_stars", "pca_loadings", "method_axes", "axis_records"}
