@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import compare
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import pytest
 import regex
@@ -665,6 +666,25 @@ def test_suffix_of_hot_anchors(spark, monkeypatch):
     assert all((out[k, : suffix.LEAST] == contexts[e, w : w + suffix.LEAST]).all() and not out[k, suffix.LEAST :].any() for k, (e, w) in enumerate(zip(entry, within, strict=True)))
 
 
+def test_surroundings_are_packed_over_blocks(monkeypatch):
+    """Entries of many blocks share the rows of their ranges, the filter lets every shared anchor through, and few others pass."""
+    rng = np.random.default_rng(3)
+    token = rng.integers(0, 2**63, 40_000).astype(np.uint64)
+    bits = np.zeros(1 << 17, np.uint8)
+    for h in suffix.filter_hashes(token[:20_000]):
+        np.bitwise_or.at(bits, (h >> np.uint64(15)).astype(np.int64), np.uint8(1) << ((h >> np.uint64(12)) & np.uint64(7)).astype(np.uint8))
+    assert suffix.passes(bits, token[:20_000]).all() and suffix.passes(bits, token[20_000:]).mean() < 0.02
+    monkeypatch.setattr(suffix, "BLOCK", 2000)
+    texts = ["".join(chr(97 + k) for k in rng.integers(0, 26, 1000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts), pa.array([0] * 200, pa.int64())], names=["doc_id", "text", "row"])
+
+    class Known:
+        value = np.full(1 << 13, 255, np.uint8)
+
+    out = pa.Table.from_batches(suffix._surroundings(500, np.zeros(1 << suffix.BUCKET_BITS, bool), Known)([batch]))
+    assert len(out) <= 500 and len(b"".join(out.column("counts").to_pylist())) > 40_000
+
+
 def test_frequent_passages_are_settled_early():
     """Of a class that a task has met often, only what can be the smallest id is sent again."""
     contexts, frequent = np.zeros((6, suffix.CONTEXT), np.uint8), {}
