@@ -4,10 +4,12 @@ import math
 import os
 import random
 import time
+import tracemalloc
 from collections import Counter
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from fieldloom.functions import geometry as geo
 from fieldloom.functions import numeric as num
 from fieldloom.functions import profile as prof
 from fieldloom.functions import text as tx
-from fieldloom.operators import boxes, components_analysis, stats, traits
+from fieldloom.operators import axes, boxes, components_analysis, stats, traits
 from fieldloom.plans import fixtures as fx
 from fieldloom.plans import queries as plans
 from fieldloom.sources import config, readers, sinks
@@ -375,3 +377,13 @@ def test_covariance_of_wide_arrays(spark):
     assert np.allclose(np.abs(load[:, 0]), np.abs(vec[:, -1]), atol=1e-5) and percent[0] == pytest.approx(100 * lam[-1] / lam.sum(), rel=1e-6)
     with pytest.raises(Exception, match="512 elements"):
         components_analysis.centred_sums(df.union(spark.createDataFrame([(1, [1.0])], "k int, v array<double>")), "v")
+
+
+def test_boxes_are_looked_at_in_bounded_parts(monkeypatch):
+    """Slices of whole images, about so many boxes each, whatever the batch holds."""
+    monkeypatch.setattr(boxes, "TOGETHER", 50)
+    many = [10] * 20 + [120] + [30] * 5 + [0, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(many))), pa.array([list(range(n)) for n in many])], names=["image_no", "boxes"])
+    parts = list(boxes._parts([batch, batch.slice(3, 4)]))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [*range(len(many)), 3, 4, 5, 6]
+    assert all(len(p) == 1 or len(p.column(1).flatten()) <= 50 for p in parts) and len(parts) < 15
