@@ -148,8 +148,8 @@ def first_source(primary: DataFrame, fallback: DataFrame, key: str) -> DataFrame
     return primary.withColumn("priority", F.lit(1.0)).unionByName(rest.withColumn("priority", F.lit(0.25)))
 
 
-#: What a label looks like (a fixed pattern): three parts of capitals and digits at least, with hyphens between.
-LABEL = "[A-Z0-9]+(?:-[A-Z0-9]+){2,}"
+#: What a label looks like (a fixed pattern): three parts of capitals and digits at least, with hyphens between. Parts end where they must, so nothing is given back, and a label of thousands of parts needs no stack.
+LABEL = "[A-Z0-9]++(?:-[A-Z0-9]++){2,}+"
 
 
 def read_labels(texts: DataFrame) -> DataFrame:
@@ -166,8 +166,11 @@ def read_labels(texts: DataFrame) -> DataFrame:
     line = F.struct("y", "x", "line", "text", "conf")
     own = scored.groupBy("image_no").agg(F.min(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("rank"), "line", F.col("text").alias("label"), "score"))).alias("best"), F.array_sort(F.collect_list(line)).alias("lines"))
     own = own.withColumn("target", F.nullif(F.regexp_extract(F.array_join(F.transform("lines", lambda p: p["text"]), ""), f"({LABEL})", 1), F.lit("")))
-    part = F.get(F.filter("lines", lambda p: F.contains(F.col("target"), p["text"]) | F.contains(p["text"], F.col("target"))), F.lit(0))
-    own = own.withColumn("from", part)
+    # A filter would hold every line against a target that grows with their number; the first that fits ends the search.
+    kind = own.schema["lines"].dataType.elementType
+    fits = lambda p: F.contains(F.col("target"), p["text"]) | F.contains(p["text"], F.col("target"))
+    part = F.aggregate("lines", F.lit(None).cast(kind), lambda s, p: F.when(s.isNotNull(), s).when(fits(p), p))
+    own = own.withColumn("from", F.when(F.col("best").isNull(), part))
     return own.select("image_no", F.coalesce("best.label", "target").alias("label"), F.when(F.col("best").isNotNull(), F.col("best.score")).otherwise(F.round(F.col("from.conf") * 100, 3)).alias("score")).where("label is not null")
 
 

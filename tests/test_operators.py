@@ -404,3 +404,10 @@ def test_digits_that_cover_each_other_hold_no_pairs():
             if not gone[i] and not gone[j] and max(0, 12 - abs(x[i] - x[j])) / 12 > 0.8:
                 gone[j if sure[i] >= sure[j] else i] = True
     assert boxes._covered(tuple(c[:few] for c in corners), sure[:few], 0.8).tolist() == gone.tolist() and 0 < (~got).sum() < 10
+
+
+def test_label_of_thousands_of_lines(spark):
+    """The label over all lines is as long as they are many."""
+    lines = spark.range(20000).select(F.lit(1).alias("image_no"), F.col("id").alias("line"), F.lit("AB-C").alias("text"), F.lit(0.5).alias("conf"), F.col("id").cast("double").alias("y"), F.lit(0.0).alias("x"))
+    got = traits.read_labels(lines).first()
+    assert got.label == "AB-C" * 20000 and got.score == 50.0
