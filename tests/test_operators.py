@@ -411,3 +411,18 @@ def test_label_of_thousands_of_lines(spark):
     lines = spark.range(20000).select(F.lit(1).alias("image_no"), F.col("id").alias("line"), F.lit("AB-C").alias("text"), F.lit(0.5).alias("conf"), F.col("id").cast("double").alias("y"), F.lit(0.0).alias("x"))
     got = traits.read_labels(lines).first()
     assert got.label == "AB-C" * 20000 and got.score == 50.0
+
+
+def test_side_areas_at_their_bounds(spark):
+    """Pixels a quarter from the line count as their distance says, also where it is next to level."""
+    runs, lines, want = [], [], []
+    for key, (angle, ax, ay) in enumerate([(180, 150.5, 20.25), (180, 150.5, 20.75), (0, 150.5, 20.25), (90, 150.25, 20.5), (270, 150.75, 20.5), (37, 150.5, 20.25), (217, 148.5, 22.25)]):
+        ux, uy = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+        own = [(y, x0, n) for y in range(17, 25) for x0, n in ((140, 20), (151, 3), (300, 40))]
+        runs += [(key, *q) for q in own]
+        lines.append((key, 0, (ax, ay), (0.0, 0.0), (ux, uy)))
+        d = [-(x - ax) * uy + (y - ay) * ux for y, x0, n in own for x in range(x0, x0 + n)]
+        want.append((key, sum(v < -0.25 for v in d), sum(v > 0.25 for v in d)))
+    point = "struct<x:double,y:double>"
+    got = axes.side_areas(spark.createDataFrame(runs, "key long, y long, x0 long, length long"), spark.createDataFrame(lines, f"key long, candidate long, at {point}, bottom {point}, top {point}"), "key")
+    assert sorted((r.key, r.left, r.right) for r in got.collect()) == want
