@@ -32,9 +32,14 @@ def query(sql: str | None = None, views: str = ""):
     return put
 
 
+def places(x, digits: int):
+    """A double rounded as the SQL does it: scaled, then to a whole number; Spark rounds its decimal text, which goes the other way next to a half."""
+    return F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, and a negative zero made a zero, for comparison."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(places(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def r(expression: str, digits: int = 6) -> str:

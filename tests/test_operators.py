@@ -426,3 +426,13 @@ def test_side_areas_at_their_bounds(spark):
     point = "struct<x:double,y:double>"
     got = axes.side_areas(spark.createDataFrame(runs, "key long, y long, x0 long, length long"), spark.createDataFrame(lines, f"key long, candidate long, at {point}, bottom {point}, top {point}"), "key")
     assert sorted((r.key, r.left, r.right) for r in got.collect()) == want
+
+
+def test_rounding_next_to_a_half(spark):
+    """Rounded as the SQL rounds: by the scaled value, on either side of zero."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(8)
+    values = [float(np.nextafter((k + 0.5) / 1e5, side)) for k in rng.integers(0, 10**5, 200).tolist() for side in (-9, 9)] + [(k + 0.5) / 1e5 for k in range(300)] + [-0.381875, 0.38187499999999996, float("nan")]
+    got = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select("v", plans.places(F.col("v"), 5).alias("r")).collect()
+    want = duckdb.connect().execute("select round(unnest(?::double[]), 5)", [values]).fetchall()
+    assert [str(x.r) for x in got] == [str(float("nan") if w is None else w) for (w,) in want]
