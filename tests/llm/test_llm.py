@@ -685,6 +685,33 @@ def test_surroundings_are_packed_over_blocks(monkeypatch):
     assert len(out) <= 500 and len(b"".join(out.column("counts").to_pylist())) > 40_000
 
 
+def test_surroundings_go_in_rounds(spark, monkeypatch):
+    """Where every anchor is shared, no round sends much more than its share of the texts; all rounds together send each entry once, and the cuts are the same."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(chr(97 + k) for k in rng.integers(0, 26, 1000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts), pa.array([0] * 200, pa.int64())], names=["doc_id", "text", "row"])
+    cold = np.zeros(1 << suffix.BUCKET_BITS, bool)
+
+    class Known:
+        value = np.full(1 << 13, 255, np.uint8)
+
+    def sent(*args):
+        out = pa.Table.from_batches(suffix._surroundings(20, cold, Known, *args)([batch]))
+        held = {c: b"".join(out.column(c).to_pylist()) for c in ("tokens", "docs", "rows", "starts", "counts", "contexts")}
+        return sum(map(len, held.values())), sorted(zip(np.frombuffer(held["docs"], np.int64).tolist(), np.frombuffer(held["starts"], np.int32).tolist(), strict=True))
+
+    size, whole = sent()
+    rounds = suffix.rounds_for(len(whole), 200_000)
+    parts = [sent(k, rounds) for k in range(rounds)]
+    assert size > 5 * 200_000 and max(p[0] for p in parts) < 1.2 * suffix.ROUND_SHARE * 200_000
+    assert sorted(x for p in parts for x in p[1]) == whole
+    p, q = ("".join(chr(97 + k) for k in rng.integers(0, 26, 400)) for _ in range(2))
+    rows = [(i, p[i : 200 + 7 * i] + str(i) + q[3 * i : 90 + 5 * i]) for i in range(40)] + [(50, p + q), (None, p), (51, q + p), (51, p)]
+    monkeypatch.setattr(suffix, "rounds_for", lambda entries, size: 3)
+    assert cuts(spark, rows) == brute_cut(rows)
+    assert suffix.cut_documents(docs(spark, EMPTY)).count() == 0
+
+
 def test_frequent_passages_are_settled_early():
     """Of a class that a task has met often, only what can be the smallest id is sent again."""
     contexts, frequent = np.zeros((6, suffix.CONTEXT), np.uint8), {}
